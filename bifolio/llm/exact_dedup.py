@@ -49,6 +49,7 @@ def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(staged)
     query = keyed_state(stream).writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
