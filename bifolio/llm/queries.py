@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .token_records import token_records
+
+
+def tokenizer_file(name: str) -> str:
+    """The path of one of the public tokenizer files that are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +41,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_records": op2_token_records,
         "op4_exact_dedup": op4_exact_dedup,
     }
 

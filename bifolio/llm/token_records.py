@@ -97,14 +97,13 @@ class ChunkEncoder:
 
     def _learn(self, stretches: list[str]) -> None:
         """Encode stretches, each as if a space stood before it, many in one text; the bytes behind the ids show where each ends."""
-        for i in range(0, len(stretches), 2048):
-            part = stretches[i : i + 2048]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(self.width[ids])
+        parts = [stretches[i : i + 192] for i in range(0, len(stretches), 192)]
+        for part, coded in zip(parts, self._plain([" " + " ".join(part) for part in parts]), strict=True):
+            ends = np.cumsum(self.width[np.frombuffer(coded, "<u4")])
             want = np.cumsum([1 + len(x.encode()) for x in part])
             cut = np.searchsorted(ends, want) + 1
             if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[cut - 1], want):
-                coded, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+                cut = [0, *(4 * cut).tolist()]
                 self.known.update(zip(part, [coded[a:b] for a, b in zip(cut, cut[1:])], strict=False))
             else:  # an id doesn't stand for its own bytes here
                 self.known.update(zip(part, self._plain([" " + x for x in part]), strict=True))
