@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id
+from .common import crc_mod, table
 from .exact_dedup import exact_dedup
+from .pii import find_pii
 from .token_records import token_records
 
 
@@ -39,10 +41,23 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_records": op2_token_records,
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_language_id": op7_language_id,
+        "op9_pii": op9_pii,
     }
 
 
