@@ -3,7 +3,8 @@
 For each language a raw-content zstandard dictionary is filled with sample text
 of it. A text is compressed with every dictionary; the language whose
 dictionary leaves the fewest bytes is chosen. Case is folded in both, and the
-matcher takes matches from four bytes on, as words are short. If the runner-up
+matcher takes matches from four bytes on, as words are short; stretches without
+letters count as one space. If the runner-up
 is nearly as small, the choice is marked as rejected.
 
 The sample is bounded: of each language at most ``docs_each`` documents,
@@ -30,6 +31,7 @@ from .text_kernel import sliced
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_GAP = re.compile(r"[\W\d_]+")
 DOCS_EACH, BYTES_EACH = 192, 1536
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -51,10 +53,15 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     for lang in sorted(counts):
         own = sorted((r["id"] is not None, r["id"] or 0, r["part"]) for r in rows if r["lang"] == lang)[:docs_each]
         if own:
-            model[lang] = "\n".join(x[2] for x in own).lower().encode()
+            model[lang] = folded("\n".join(x[2] for x in own))
     return model
 
 
+def folded(text: str) -> bytes:
+    """Lower-case words, one space between them."""
+    return _GAP.sub(" ", text.lower()).encode()
+
+
 _COMPRESSORS: dict[tuple, list[tuple[str, object]]] = {}
 
 
@@ -79,7 +86,7 @@ def classify(text: str | None, known: list[tuple[str, object]], margin: float) -
     """(language, score, rejected) of one text."""
     if not text or not known or not _LETTER.search(text):
         return UNKNOWN, 0.0, True
-    data = text.lower().encode()
+    data = folded(text)
     sizes = sorted((len(c.compress(data)), lang) for lang, c in known)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
