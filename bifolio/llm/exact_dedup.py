@@ -101,6 +101,6 @@ def clashes(narrow: DataFrame, groups: DataFrame, digest: Callable[[Column], Col
     hits = narrow.withColumn("digest", digest(F.col("text"))).join(many, "digest")
     entries = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("entry_text")).dropDuplicates(["digest"])
     # repeated rows of one id may lie under one digest: any of their texts serves, as a differing one shows up as a clash
-    bad = hits.join(entries, "digest").filter(F.col("text") != F.col("entry_text")).select("digest").distinct()
-    bad = settled(bad, "dedup-clashes")
-    return None if bad.isEmpty() else bad
+    bad = hits.join(entries, "digest").filter(F.col("text") != F.col("entry_text")).select("digest")
+    bad = settled(bad, "dedup-clashes")  # written before distinct(), which would keep a hot digest's join from being split
+    return None if bad.isEmpty() else bad.distinct()

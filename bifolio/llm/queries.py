@@ -11,6 +11,7 @@ from . import language_id
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .pii import find_pii
+from .quality import quality_scores
 from .token_records import token_records
 
 
@@ -25,6 +26,11 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=lambda i: crc_mod(i, 5) != 0)
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -55,6 +61,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_records": op2_token_records,
+        "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_language_id": op7_language_id,
         "op9_pii": op9_pii,
