@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .common import crc_mod, table
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .pii import find_pii
 from .quality import quality_scores
@@ -22,6 +23,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
@@ -36,6 +41,33 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM b, unnest(range(1, greatest(len(w) - least(10, len(w)), 0) + 2)) AS r(i)
+  WHERE len(w) > 0
+), hit AS (
+  SELECT d.doc_id, p AS a, s.l AS l, array_to_string(d.w[p:p + s.l - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT l FROM bw) AS s, unnest(range(1, len(d.w) - s.l + 2)) AS r(p)
+), found AS (
+  SELECT hit.doc_id, hit.a, hit.l, bw.item_id FROM hit JOIN bw ON hit.l = bw.l AND hit.g = bw.g
+), covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM found, unnest(range(a, a + l)) AS r(q) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -67,6 +99,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_token_records": op2_token_records,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
@@ -78,5 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": OP1_SQL,
         "op4_exact_dedup": OP4_SQL,
     }
