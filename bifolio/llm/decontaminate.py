@@ -93,7 +93,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
     nothing = "cast(null as bigint) as m, -1 as at, 0 as n, array_repeat('', 0) as ctx"
     size = F.array(F.struct(F.lit(0).alias("len"), F.size("w").alias("n_words"), F.expr(f"struct({nothing})").alias("r")))
-    parts = [F.transform(runs(F.col("w"), length, gram), lambda r, length=length: F.struct(F.lit(length).alias("len"), F.lit(0).alias("n_words"), r.alias("r"))) for length in sorted(sizes)]
+
+    def of_length(length: int) -> Column:
+        return F.transform(runs(F.col("w"), length, gram), lambda r: F.struct(F.lit(length).alias("len"), F.lit(0).alias("n_words"), r.alias("r")))
+
+    parts = [of_length(length) for length in sorted(sizes)]
     rows = split.select("doc_id", F.explode(F.concat(size, *parts)).alias("x")).select("doc_id", "x.len", "x.n_words", "x.r.*")
 
     marks = None  # the benchmark's fingerprints: a window's least hash
