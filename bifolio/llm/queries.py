@@ -11,6 +11,7 @@ from . import language_id, toxicity
 from .common import crc_mod, table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .pii import find_pii
 from .quality import quality_scores
 from .token_records import token_records
@@ -79,6 +80,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_records": op2_token_records,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
