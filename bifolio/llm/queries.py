@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .pii import find_pii
 from .quality import quality_scores
+from .substring_dedup import remove_repeats
 from .token_records import token_records
 
 
@@ -80,6 +81,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -102,12 +107,35 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(w) - 18)) AS r(i)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM g) WHERE k > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT q) AS q FROM later, unnest(range(i, i + 20)) AS r(q) GROUP BY doc_id
+), flat AS (
+  SELECT doc_id, unnest(q) AS q FROM gone
+), kept AS (
+  SELECT s.doc_id, string_agg(s.x, ' ' ORDER BY s.p) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) AS s
+  LEFT JOIN flat ON flat.doc_id = s.doc_id AND flat.q = s.p
+  WHERE flat.q IS NULL GROUP BY s.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(CAST(len(gone.q) AS BIGINT), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_token_records": op2_token_records,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
@@ -119,4 +147,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
         "op4_exact_dedup": OP4_SQL,
+        "op5_substring_dedup": OP5_SQL,
     }
