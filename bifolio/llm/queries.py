@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .pii import find_pii
 from .quality import quality_scores
+from .sentence_pieces import round_trip
 from .substring_dedup import remove_repeats
 from .token_records import token_records
 
@@ -43,6 +44,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -140,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
+        "op10_sentence_pieces": op10_sentence_pieces,
     }
 
 
