@@ -93,7 +93,7 @@ def powers(which: int, n: int) -> np.ndarray:
         done = 1
         while done < size:  # doubling
             take = min(done, size - done)
-            have[done : done + take] = have[:take] * (have[done - 1] * BASES[which])
+            have[done : done + take] = have[:take] * U(int(have[done - 1]) * int(BASES[which]) % (1 << 64))
             done += take
         _POWERS[which] = have
     return have[:n]
