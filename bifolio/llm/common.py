@@ -45,8 +45,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes that a plan reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files and tables that a plan reads, as the optimizer knows them; counted where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if known < 1 << 50:
+        return known
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return int(df.agg(F.sum(sum(texts, F.lit(8)).cast("long"))).head()[0] or 0)
 
 
 def pieces(df: DataFrame, each: int, least: int) -> int:
