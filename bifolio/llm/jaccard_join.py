@@ -46,6 +46,8 @@ from .text_kernel import U, ascii_lower, gram_hashes, mix, sliced, span_hashes,
 SHINGLE, PERCENT = 3, 90
 BUCKET_BYTES = 32 << 20
 CHUNK_SETS, CHUNK_TOKENS = 2048, 4_000_000
+#: So many candidates of some 60 bytes (about 30 MB as a hash table) are sent to the scan of the texts; more are joined by a shuffle.
+BROADCAST_UNITS = 500_000
 
 
 # ---- sets -------------------------------------------------------------------
@@ -319,6 +321,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = settled(classes.filter("rep is not null").join(candidates.toDF("k1", "cluster"), "k1"), "jaccard-candidates")
     sizes = grouped.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
     units = grouped.join(sizes.filter("members > 1"), "cluster").select(F.col("rep").alias("doc_id"), "k1", "k2", "cluster", "chunks", F.pmod(F.hash("k2"), "chunks").alias("chunk"))
+    units = settled(units, "jaccard-units")
+    units = F.broadcast(units) if units.count() <= BROADCAST_UNITS else units
     texts = narrow.filter("doc_id is not null").join(units, "doc_id")
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "k1", "k2", "text")
 
