@@ -6,6 +6,8 @@ can't be read ends as a row with an ``error``, not as a failed job.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ PARSED = "struct<chapters:array<struct<title:string,blocks:array<struct<kind:str
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
     """path, suffix, name, sha256 and content of files or folders."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    # the scan leaves out files without a byte; the listing has them
+    listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/", 1),) for f in found.inputFiles()], "path string")
+    empty = listed.join(found.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
+    found = found.select("path", "content").unionByName(empty)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return found.select("path", name.alias("name"), suffix(F.col("path")).alias("suffix"), F.sha2("content", 256).alias("sha256"), "content")
 
@@ -49,7 +55,7 @@ def read(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     text = files.filter(F.col("suffix").isin(".txt", ".md"))
     packed = files.filter(F.col("suffix").isin(*READERS)).select("path", "name", "suffix", "sha256", F.pandas_udf(parsed, PARSED)("name", "suffix", "content").alias("p"))
     none = F.array().cast("array<string>")
-    form = F.upper(F.ltrim(F.lit("."), F.col("suffix")))
+    form = F.upper(F.regexp_replace("suffix", r"^\.", ""))
     title = stem(F.col("path"))
     base = ("path", "sha256")
     documents = (
