@@ -13,6 +13,10 @@ from ..sources import files
 from ..sources.errors import ReadError
 
 
+class Stopped(Exception):
+    """The run was asked to stop; the store keeps the batches that are done."""
+
+
 @dataclass
 class Result:
     summary: DataFrame
@@ -20,12 +24,13 @@ class Result:
     plan: DataFrame
 
 
-def run(spark: SparkSession, paths: list[str], source: str, target: str, make: Callable[[], transform.Translate], packages: DataFrame, out: str, store_path: str, keep_store: bool = False, partitions: int | None = None) -> Result:
+def run(spark: SparkSession, paths: list[str], source: str, target: str, make: Callable[[], transform.Translate], packages: DataFrame, out: str, store_path: str, keep_store: bool = False, partitions: int | None = None, batches: int = 1, should_stop: Callable[[], bool] | None = None, on_progress: Callable[[int, int], None] | None = None) -> Result:
     """Translate all documents under ``paths`` and write a page each to ``out``.
 
     What the store has is taken from it; the rest is translated and appended to
-    it in one commit before anything is rendered, so a run that was cut short
-    goes on where it was. Documents that can't be read are in the summary with
+    it in ``batches`` commits of whole chapters before anything is rendered, so
+    a run that was cut short goes on where it was. ``should_stop`` is asked
+    before each batch, ``on_progress`` told (done, batches) after it. Documents that can't be read are in the summary with
     their error. The store's rows of this run go when all pages are written.
     """
     plan = language.pair_plan(spark.createDataFrame([(source, target)], "source string, target string"), packages)
@@ -37,8 +42,14 @@ def run(spark: SparkSession, paths: list[str], source: str, target: str, make: C
     keyed = blocks.join(documents.select("doc_id", "sha256"), "doc_id").withColumn("pair", pair)
     done = store.stored(spark, store_path)
     left = store.pending(keyed, done).dropDuplicates(store.KEY)  # equal files are translated once
-    fresh = transform.transformed(left, make, partitions).withColumn("seq", F.unix_micros(F.current_timestamp()))
-    store.append(fresh, store_path)
+    for number in range(batches):
+        if should_stop and should_stop():
+            raise Stopped
+        part = left.filter(F.pmod(F.hash("sha256", "chapter_idx"), F.lit(batches)) == number)
+        fresh = transform.transformed(part, make, partitions)
+        store.append(fresh.withColumn("seq", F.unix_micros(F.current_timestamp())), store_path)
+        if on_progress:
+            on_progress(number + 1, batches)
     whole = render.aligned(keyed, store.stored(spark, store_path), store.KEY)
     rows = render.rows(whole, F.lit(source), F.lit(target))
     body = render.bodies(rows).join(documents.select("doc_id", "title"), "doc_id").select("*", F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(found["pivot"]).alias("pivot"))

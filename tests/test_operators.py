@@ -152,7 +152,11 @@ def test_pipeline_resumes(spark, tmp_path):
 
         return translate
 
-    result = pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at)
+    with pytest.raises(pipeline.Stopped):
+        pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, should_stop=lambda: True)
+    told = []
+    result = pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, batches=2, on_progress=lambda *x: told.append(x))
+    assert told == [(1, 2), (2, 2)]
     (page,) = [open(r["path"].removeprefix("file://"), encoding="utf-8").read() for r in result.written.collect()]
     assert calls.value == 2 and "SENTINEL" in page and ">SECOND</td>" in page and "first <i>one</i>" in page and page.count("fila-marca") == 2
     assert page.count('<tr><td lang="en">') == 2 and page.count('nivel-1"') == 1
