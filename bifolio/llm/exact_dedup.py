@@ -46,6 +46,7 @@ def keyed_state(rows: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_per_batch: int = 256) -> None:
     """Feed what is new in the folder ``staged`` to the state kept at ``checkpoint``."""
     own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # as many stores; a new session would have the default
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
