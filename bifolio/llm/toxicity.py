@@ -90,27 +90,27 @@ class Index:
         """The k examples of highest cosine with the vector, exactly, and the cosines; only those above 0."""
         bound = w @ self.peak[t]
         order = np.argsort(-bound, kind="stable")
+        size = self.start[t + 1] - self.start[t]
+        at = np.arange(int(size.sum())) + np.repeat(self.start[t] - (np.cumsum(size) - size), size)
+        examples, parts = self.posting[at], self.weight[at] * np.repeat(w, size)
+        block = examples // BLOCK
         best_i, best_c = np.zeros(0, np.int64), np.zeros(0)
-        lists = [self.posting[self.start[x] : self.start[x + 1]] for x in t]
-        weights = [self.weight[self.start[x] : self.start[x + 1]] for x in t]
-        step = 4
-        for i in range(0, len(order), step):
-            blocks = order[i : i + step]
+        i, step = 0, 4
+        while i < len(order):
+            blocks, i = order[i : i + step], i + step
             blocks = blocks[bound[blocks] > (best_c[-1] - 1e-9 if len(best_c) >= k else 0)]
             if not len(blocks):
                 break
-            found = np.zeros((len(blocks), BLOCK))
-            for p, v, q in zip(lists, weights, w, strict=True):
-                for row, b in enumerate(blocks):
-                    lo, hi = np.searchsorted(p, (b * BLOCK, (b + 1) * BLOCK))
-                    if hi > lo:
-                        found[row, p[lo:hi] - b * BLOCK] += q * v[lo:hi]
-            row, col = np.nonzero(found)
-            ids, cos = blocks[row] * BLOCK + col, found[row, col]
+            chosen = np.zeros(len(bound), bool)
+            chosen[blocks] = True
+            inside = chosen[block]
+            ids, place = np.unique(examples[inside], return_inverse=True)
+            cos = np.bincount(place, parts[inside], len(ids))
             keep = ids != without
             best_i, best_c = np.concatenate([best_i, ids[keep]]), np.concatenate([best_c, cos[keep]])
             top = np.lexsort((best_i, -np.round(best_c, 9)))[:k]
             best_i, best_c = best_i[top], best_c[top]
+            step *= 2
         return best_i, best_c
 
     def cell(self, i: np.ndarray, c: np.ndarray) -> tuple[int, int]:
