@@ -286,7 +286,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("entries", pa.binary())]
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", 1 << 20):
                 tokens, offsets = shingle_sets(batch.column(1), shingle)
                 k1, k2 = set_keys(tokens, offsets)
                 n = len(k1)

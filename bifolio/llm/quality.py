@@ -110,7 +110,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text", 1 << 21):
+            for batch in sliced(whole, "text", 1 << 20):
                 x = statistics(batch.column(1))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "x"])
