@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, settled
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup, sha256
-from .jaccard_join import jaccard_components
+from .jaccard_join import PERCENT, SHINGLE, jaccard_components
 from .quality import quality_scores
 
 #: So many ids of 8 bytes (some 30 MB as a hash table) are sent to all executors; more are joined by a shuffle.
@@ -44,9 +44,9 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return left.join(again, same, "left_anti").unionByName(repeated)
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id."""
-    found = jaccard_components(docs, id_col, text_col)
+    found = jaccard_components(docs, id_col, text_col, shingle, percent)
     return without(docs, found.filter("doc_id <> component_id").select("doc_id"), id_col)
 
 

@@ -5,8 +5,9 @@ is written as Parquet in the shared folder and read again as the next one's
 docs. All but the last return the columns of documents.
 
 A document goes if its quality score is under 0.3, if its text has an exact copy
-with a larger id, if it is linked to a document with a smaller id by near-equal
-shingles, or if it holds a passage of the benchmark. The last stage returns
+with a larger id, if it is linked to a document with a smaller id by a Jaccard
+similarity of at least 0.8 of their sets of five-word shingles (op6 has a rule
+of its own), or if it holds a passage of the benchmark. The last stage returns
 doc_id, n_tokens and ids of the others.
 """
 
@@ -19,6 +20,8 @@ from bifolio.llm.common import shared_path, table
 from bifolio.llm.queries import tokenizer_file
 from bifolio.llm.sentence_pieces import encoded
 
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filters.good_documents(docs, table(spark, sf_dir, "labels"))
@@ -29,7 +32,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return filters.one_of_each_group(docs)
+    return filters.one_of_each_group(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
