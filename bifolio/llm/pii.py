@@ -107,6 +107,8 @@ _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_DIGIT_WORD}|[0-9])(?!\w)[ ,/-]{{0,3}}){{
 _ONE_DIGIT = re.compile(rf"{_DIGIT_WORD}|[0-9]", re.I)
 _DOTTED_WORDS = re.compile(rf"(?<=[0-9]) +(?:{DOT_WORDS}) +(?=[0-9])", re.I)
 _PLUS_WORD = re.compile(r"(?<!\w)(?:plus|más)[ ]+(?=[0-9])", re.I)
+#: Letters that re.I takes for these, though lower() doesn't make them so.
+_FOLDED = str.maketrans("ſıİ\u212a", "siik")
 
 
 @lru_cache(1 << 16)
@@ -168,7 +170,7 @@ def undisguised(text: str) -> Tape:
         end = m.start() + len(m[0].rstrip(" ,/-"))
         digits = list(_ONE_DIGIT.finditer(tape.text, m.start(), end))
         if any(d[0].isalpha() for d in digits):
-            edits.append((m.start(), end, [(str(DIGITS.get(d[0].lower(), d[0])), d.start(), d.end()) for d in digits]))
+            edits.append((m.start(), end, [(str(DIGITS.get(d[0].translate(_FOLDED).lower(), d[0])), d.start(), d.end()) for d in digits]))
     tape = tape.rewritten(edits)
     for pattern, sign in ((_AT_FRAMED, "@"), (_DOT_FRAMED, "."), (_DOTTED_WORDS, "."), (_PLUS_WORD, "+")):
         tape = tape.rewritten([(m.start(), m.end(), [(sign, m.start(), m.end())]) for m in pattern.finditer(tape.text)])
@@ -181,23 +183,31 @@ def undisguised(text: str) -> Tape:
 
 
 _ORDINARY: set[str] = set()
-_DOTS = tuple(DOT_WORDS.split("|"))
+_DOTS, _ATS = tuple(DOT_WORDS.split("|")), tuple(f" {w} " for w in AT_WORDS.split("|"))
+_WORD = re.compile(r"\w+")
+#: The part of _BARE from its at-word to the first letter behind the first dot.
+_BARE_AT = re.compile(rf" (?:{AT_WORDS}) +[A-Za-z0-9-]{{1,63}}(?: +(?:{DOT_WORDS}) +|\.)[A-Za-z0-9-]", re.I)
 
 
 def suspicious(text: str) -> bool:
-    """Whether any transducer may change the text; built from fast tests that never miss one that does."""
+    """Whether any transducer may change the text: a test for each one's pattern, as the first that matches sees the text unchanged."""
+    low = text
     if not text.isascii():
         for c in set(text) - _ORDINARY:
             if plain_char(c) != c:
                 return True
             _ORDINARY.add(c)
+        low = text.translate(_FOLDED)
     if any(c in text for c in "([{<") and (_AT_FRAMED.search(text) or _DOT_FRAMED.search(text)):
         return True
-    low = text.lower()
-    if any(w in low for w in _DOTS) and _BARE_DOT.search(text):
+    low = low.lower()
+    if any(w in low for w in _DOTS) and _BARE_DOT.search(text):  # also all of _DOTTED_WORDS
         return True
-    words = set(low.replace(",", " ").replace("/", " ").replace("-", " ").split())
-    return not words.isdisjoint(DIGITS) and bool(_SPELLED.search(text))
+    if ("plus" in low or "más" in low) and _PLUS_WORD.search(text):
+        return True
+    if any(w in low for w in _ATS) and _BARE_AT.search(text):
+        return True
+    return not DIGITS.keys().isdisjoint(_WORD.findall(low)) and bool(_SPELLED.search(text))
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
