@@ -10,9 +10,16 @@ their cosine; the share of toxic votes and the best cosine are turned into a
 probability by counts on the examples themselves, each left out of its own
 vote. The examples found are the evidence for a score.
 
-Terms are the letter runs that tell the labels apart in the sample (by a
-chi-square statistic of at least ``LEAST_CHI2``, ``MOST_TERMS`` at most), so
-that rare chance words don't decide who is near. A text with none of them has
+The sample may hold the labels in another mix than the corpus. So an example
+counts as many times as its label has learnable labels for each example of it
+(in units that sum to the sample's size) in all that is fitted: document
+frequencies, the choice of terms, and the counts that turn votes into scores.
+
+Terms are the letter runs that tell the labels apart, ``MOST_TERMS`` at most:
+by a chi-square statistic of at least ``LEAST_CHI2`` on the sample as it is, so
+that rare chance words don't decide who is near, and by the square of the
+correlation of word and label at the corpus's mix, ``LEAST_PHI2`` or more,
+which depends on neither the sample's mix nor its size. A text with none of them has
 no neighbour and gets the rate of such examples.
 
 Bounds: ``EXAMPLES_EACH`` examples of each label, chosen by a hash of their
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .text_kernel import ascii_lower, sliced, span_hashes, utf8, words
 
-EXAMPLES_EACH, MOST_TERMS, LEAST_CHI2, NEIGHBOURS, BLOCK = 1500, 2048, 25.0, 12, 64
+EXAMPLES_EACH, MOST_TERMS, LEAST_CHI2, LEAST_PHI2, NEIGHBOURS, BLOCK = 1500, 2048, 25.0, 0.015, 12, 64
 SCHEMA = "doc_id long, score double, evidence array<long>"
 
 _GAP = np.ones(256, bool)
@@ -124,32 +131,44 @@ class Index:
         return (float(self.cells[self.cell(i, c)]), self.ids[i].tolist()) if len(i) else (self.no_term, [])
 
 
-def build(ids: list[int], texts: list[str | None], labels: list[int]) -> Index:
-    """The index of the examples, with its calibration."""
+def association(df: np.ndarray, both: np.ndarray, pos: float, n: float) -> np.ndarray:
+    """The square of each term's correlation with the label: chi-square over n."""
+    expected = df * pos / n
+    spread = expected * (1 - pos / n) * (1 - df / n)
+    return np.where(spread > 1e-9, (both - expected) ** 2 / np.maximum(spread, 1e-9), 0) / n
+
+
+def build(ids: list[int], texts: list[str | None], labels: list[int], counts: dict[int, int] | None = None) -> Index:
+    """The index of the examples, with its calibration; ``counts``: how many learnable labels of each kind there are (as in the sample, if not given)."""
     empty = np.zeros(0, np.uint64)
     if not ids:
         return Index(empty, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)))
     order = np.argsort(ids, kind="stable")
     ids, y = np.array(ids, np.int64)[order], np.array(labels, float)[order]
     h, docs, n = terms(pa.array([texts[i] for i in order], pa.string()))
+    sampled = np.array([(y == k).sum() for k in (0, 1)], float)
+    whole = sampled if counts is None else np.array([counts.get(k, 0) for k in (0, 1)], float) * (sampled > 0)
+    worth = whole / np.maximum(sampled, 1) * n / whole.sum()  # of an example of each label; 1 where the mix is the corpus's
+    each = worth[y.astype(int)]
     d, t, _ = counted(h, docs)
     vocabulary, at = np.unique(t, return_inverse=True)
     df = np.bincount(at, minlength=len(vocabulary)).astype(float)
-    both = np.bincount(at, y[d], len(vocabulary))
-    pos = y.sum()
-    expected = df * pos / n
-    spread = expected * (1 - pos / n) * (1 - df / n)
-    chi2 = np.where(spread > 0, (both - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (df >= 3))
-    good = np.sort(good[np.argsort(-chi2[good], kind="stable")[:MOST_TERMS]])
+    true_df = np.bincount(at, each[d], len(vocabulary))
+    pos = each @ y
+    chi2 = n * association(df, np.bincount(at, y[d], len(vocabulary)), y.sum(), n)
+    phi2 = association(true_df, np.bincount(at, (each * y)[d], len(vocabulary)), pos, n)
+    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (phi2 >= LEAST_PHI2) & (df >= 3))
+    good = np.sort(good[np.argsort(-phi2[good], kind="stable")[:MOST_TERMS]])
     blocks = -(-n // BLOCK)
-    index = Index(vocabulary[good], np.log(1 + n / df[good]), ids, y, np.zeros(len(good) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(good), blocks)))
+    index = Index(vocabulary[good], np.log(1 + n / true_df[good]), ids, y, np.zeros(len(good) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(good), blocks)))
     d, t, w = index.vectors(h, docs)
     order = np.lexsort((d, t))
     index.posting, index.weight = d[order], w[order]
     index.start = np.searchsorted(t[order], np.arange(len(good) + 1))
     np.maximum.at(index.peak, (t, d // BLOCK), w)
-    hits, toxic = np.full((8, 4), 1.0), np.tile(((np.arange(8) + 0.5) / 8)[:, None], (1, 4))  # one example's worth of the plain vote
+    vote = (np.arange(8) + 0.5) / 8
+    vote = vote * worth[1] / (vote * worth[1] + (1 - vote) * worth[0])
+    hits, toxic = np.full((8, 4), 1.0), np.tile(vote[:, None], (1, 4))  # one example's worth of the plain vote
     rest = [0.0, 0.0]
     cut = np.searchsorted(d, np.arange(n + 1))
     for i in range(n):
@@ -157,22 +176,22 @@ def build(ids: list[int], texts: list[str | None], labels: list[int]) -> Index:
         near, c = index.nearest(t[own], w[own], without=i) if cut[i + 1] > cut[i] else ([], None)
         if len(near):
             x = index.cell(near, c)
-            hits[x] += 1
-            toxic[x] += y[i]
+            hits[x] += each[i]
+            toxic[x] += each[i] * y[i]
         else:
-            rest[0] += 1
-            rest[1] += y[i]
+            rest[0] += each[i]
+            rest[1] += each[i] * y[i]
     index.cells = np.maximum.accumulate(toxic / hits, axis=0)  # more toxic votes never lower a score
     index.no_term = (rest[1] + pos / n) / (rest[0] + 1)
     return index
 
 
-def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = EXAMPLES_EACH) -> tuple[list, list, list]:
-    """Ids, texts and labels of the bounded sample."""
+def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = EXAMPLES_EACH) -> tuple[list, list, list, dict[int, int]]:
+    """Ids, texts and labels of the bounded sample, and how many learnable labels of each kind there are."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & learn(F.col("doc_id")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return [], [], []
+        return [], [], [], {}
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, float(min(1.0, 1.2 * each / n)))])
     chosen = known.filter(lot < F.element_at(share, F.col("y")) * F.lit(1 << 20)).dropDuplicates(["doc_id"])
@@ -180,7 +199,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id",
     rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # both labels: 2.4 * each rows or so
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     rows = [r for y in (0, 1) for r in [r for r in rows if r["y"] == y][:each]]
-    return [r["doc_id"] for r in rows], [r["text"] for r in rows], [r["y"] for r in rows]
+    return [r["doc_id"] for r in rows], [r["text"] for r in rows], [r["y"] for r in rows], counts
 
 
 def toxicity_scores(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
