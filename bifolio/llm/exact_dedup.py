@@ -1,12 +1,14 @@
 """Exact deduplication with keyed state on disk.
 
 A stream of (digest, id, locator) rows updates one state entry a digest: the
-largest id seen, the place its text can be read again, and how many rows came.
+largest id seen, the file it came from, and how many rows came.
 The state lies in RocksDB, is checkpointed in the shared folder and never
 expires, so later runs of the same stream go on where an earlier one ended.
 A digest alone is no proof: every row that hits an entry is compared with the
-whole text behind the entry's locator, and digests that two texts share are
-dealt with by the texts themselves.
+whole text of the entry, and digests that two texts share are dealt with by the
+texts themselves. The entry's id serves as its locator: its text is found by
+scanning the table and joining on digest and id. The file is kept in the state
+but nothing reads it.
 
 Null text counts as empty; rows without text are therefore copies of each
 other. Of equal texts the row with the largest id stays (null ids lose); of
