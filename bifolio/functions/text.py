@@ -30,8 +30,7 @@ def collapse(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of stretches without white space."""
-    flat = collapse(text)
-    return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).cast("long")
+    return F.regexp_count(text, F.lit(f"[^{WS}]+")).cast("long")
 
 
 def escape(text: Column, quotes: bool = False) -> Column:
@@ -40,6 +39,23 @@ def escape(text: Column, quotes: bool = False) -> Column:
     return text
 
 
+# Flags of formatting.
+ITALIC_FLAG, BOLD_FLAG = 2, 16
+
+
+def styled(spans: Column) -> Column:
+    """(plain, html) of an array of (text, flags)."""
+
+    def html(s: Column) -> Column:
+        inner = escape(s["text"])
+        for flag, tag in ((ITALIC_FLAG, "i"), (BOLD_FLAG, "b")):
+            inner = F.when(s["flags"].bitwiseAND(flag) != 0, F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag}>"))).otherwise(inner)
+        return inner
+
+    real = F.filter(spans, lambda s: s["text"] != "")
+    return F.struct(F.array_join(F.transform(real, lambda s: s["text"]), "").alias("plain"), F.array_join(F.transform(real, html), "").alias("html"))
+
+
 def image_count(md: Column) -> Column:
     return F.size(F.regexp_extract_all(md, F.lit(IMAGE), F.lit(0)))
 
@@ -54,14 +70,20 @@ def _unlinked(md: Column) -> Column:
     return collapse(md)
 
 
+#: Text without any of these has no inline markup.
+MARKUP = r"[*_`\[]"
+
+
 def plain(md: Column) -> Column:
     """Inline Markdown as plain text: references go, links and code keep their text, then bold, then italics."""
-    return F.regexp_replace(F.regexp_replace(_unlinked(md), BOLD, "$1$2"), ITALIC, "$1$2")
+    inside = F.regexp_replace(F.regexp_replace(_unlinked(md), BOLD, "$1$2"), ITALIC, "$1$2")
+    return F.when(md.rlike(MARKUP), inside).otherwise(collapse(md))
 
 
 def marked(md: Column) -> Column:
     """Inline Markdown as safe HTML with b and i."""
-    return F.regexp_replace(F.regexp_replace(escape(_unlinked(md)), BOLD, "<b>$1$2</b>"), ITALIC, "<i>$1$2</i>")
+    inside = F.regexp_replace(F.regexp_replace(escape(_unlinked(md)), BOLD, "<b>$1$2</b>"), ITALIC, "<i>$1$2</i>")
+    return F.when(md.rlike(MARKUP), inside).otherwise(escape(collapse(md)))
 
 
 def decoded(content: Column) -> Column:

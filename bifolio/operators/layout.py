@@ -9,26 +9,19 @@ running sum numbers the islands.
 
 from __future__ import annotations
 
-import re
-from html import escape
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import WS, collapse
-from ..functions.text import escape as escaped
+from ..functions.text import WS, collapse, styled
 from ..schema import MARK_IMAGE, MARK_TABLE, MARKER, PARAGRAPH
 
 # What ends a sentence, and what starts in the middle of one.
 ENDS = r"[.!?:;…»”\"'][{ws}]*$"
 LOWER = "a-záéíóúüñàèìòùâêîôûäëïöç"
-ITALIC, BOLD = 2, 16
 PAGE_NUMBER = r"^\p{Nd}{1,4}$"
 LIMITED = "PDF: fidelidad limitada — la división en párrafos es heurística, no se detectan encabezados y las imágenes y tablas se pierden (quedan sus marcas)."
 
-WS = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
-
 
 def _ends_sentence(text: Column) -> Column:
     return text.rlike(ENDS.replace("{ws}", WS))
@@ -38,20 +31,10 @@ def _starts_lower(text: Column) -> Column:
     return text.rlike(f"^[{LOWER}]")
 
 
-def scanned_warning(pages: list[int]) -> str:
-    return f"PDF: {len(pages)} página(s) sin capa de texto omitida(s) (¿escaneadas?): {', '.join(map(str, pages[:10]))}{'…' if len(pages) > 10 else ''}. OCR fuera del alcance."
-
-
-def styled(spans: Column) -> Column:
-    """(plain, html) of an array of (text, flags)."""
-
-    def html(s: Column) -> Column:
-        inner = escaped(s["text"])
-        inner = F.when(s["flags"].bitwiseAND(ITALIC) != 0, F.concat(F.lit("<i>"), inner, F.lit("</i>"))).otherwise(inner)
-        return F.when(s["flags"].bitwiseAND(BOLD) != 0, F.concat(F.lit("<b>"), inner, F.lit("</b>"))).otherwise(inner)
-
-    real = F.filter(spans, lambda s: s["text"] != "")
-    return F.struct(F.array_join(F.transform(real, lambda s: s["text"]), "").alias("plain"), F.array_join(F.transform(real, html), "").alias("html"))
+def scanned_warning(n: Column, first: Column) -> Column:
+    """The warning for n pages without a text layer, the first of which are named."""
+    more = F.when(n > F.size(first), "…").otherwise("")
+    return F.concat(F.lit("PDF: "), n.cast("string"), F.lit(" página(s) sin capa de texto omitida(s) (¿escaneadas?): "), F.array_join(first.cast("array<string>"), ", "), more, F.lit(". OCR fuera del alcance."))
 
 
 def join_lines(rows: DataFrame, key: list[str], order: str, plain: str = "plain", html: str = "html") -> DataFrame:
@@ -114,75 +97,3 @@ def scanned_pages(pdf_blocks: DataFrame) -> DataFrame:
     has_text = F.exists("lines", lambda line: F.exists(line, lambda s: F.trim(s["text"]) != ""))
     pages = pdf_blocks.groupBy("doc_id", "page").agg(F.bool_or(F.col("type") == 1).alias("image"), F.bool_or((F.col("type") != 1) & has_text).alias("text")).filter("image and not text")
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_scanned"), F.slice(F.array_sort(F.collect_list(F.col("page") + 1)), 1, 10).alias("first_pages"))
-
-
-# ---- one document, for the file reader ------------------------------------
-
-
-def _join(lines: list[tuple[str, str]]) -> tuple[str, str]:
-    plain = marked = ""
-    for p, m in lines:
-        if plain.endswith("-") and re.match(f"[{LOWER}]", p.strip()):
-            plain, marked = plain[:-1] + p.strip(), re.sub(r"-((?:</[bi]>)*)$", r"\1", marked) + m.strip()
-        else:
-            plain, marked = f"{plain} {p}".strip(), f"{marked} {m}".strip()
-    return " ".join(plain.split()), " ".join(marked.replace("</i> <i>", " ").replace("</b> <b>", " ").split())
-
-
-def _spans(line: dict) -> tuple[str, str]:
-    plain, marked = [], []
-    for s in line.get("spans", []):
-        if s.get("text"):
-            html, flags = escape(s["text"], quote=False), s.get("flags", 0)
-            for bit, tag in ((ITALIC, "i"), (BOLD, "b")):
-                html = f"<{tag}>{html}</{tag}>" if flags & bit else html
-            plain.append(s["text"])
-            marked.append(html)
-    return "".join(plain), "".join(marked)
-
-
-def _inside(box: tuple, tables: list[tuple]) -> int | None:
-    for i, t in enumerate(tables):
-        w, h = min(box[2], t[2]) - max(box[0], t[0]), min(box[3], t[3]) - max(box[1], t[1])
-        if w > 0 and h > 0 and w * h > 0.5 * (box[2] - box[0]) * (box[3] - box[1]):
-            return i
-    return None
-
-
-def fold_pages(pages: list[dict]) -> tuple[list[dict], list[int]]:
-    """(merged blocks, numbers of scanned pages) of one document's pages."""
-    out: list[dict] = []
-    scanned = []
-
-    def add(kind: str, text: str, html: str = "") -> None:
-        last = out[-1] if out else None
-        if kind == PARAGRAPH and last and last["kind"] == PARAGRAPH:
-            hyphen = last["text"].endswith("-")
-            if hyphen or (not re.search(r"[.!?:;…»”\"']\s*$", last["text"]) and re.match(f"[{LOWER}]", text)):
-                last["text"] = last["text"][:-1] + text if hyphen else f"{last['text']} {text}"
-                last["html"] = re.sub(r"-((?:</[bi]>)*)$", r"\1", last["html"]) + html if hyphen else f"{last['html']} {html}"
-                return
-        out.append({"kind": kind, "text": text, "html": html, "level": 2})
-
-    for number, page in enumerate(pages, 1):
-        seen, text, image = set(), False, False
-        for b in page["blocks"]:
-            if b.get("type") == 1:
-                image = True
-                add(MARKER, MARK_IMAGE)
-                continue
-            table = _inside(b.get("bbox", (0, 0, 0, 0)), page["tables"])
-            if table is not None:
-                text = True
-                if table not in seen:
-                    seen.add(table)
-                    add(MARKER, MARK_TABLE)
-                continue
-            plain, marked = _join([x for x in map(_spans, b.get("lines", [])) if x[0].strip()])
-            if plain:
-                text = True
-                if not re.match(r"^\d{1,4}$", plain):
-                    add(PARAGRAPH, plain, marked)
-        if image and not text:
-            scanned.append(number)
-    return out, scanned

@@ -6,68 +6,120 @@ can't be read ends as a row with an ``error``, not as a failed job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import decoded, is_utf8, stem, suffix
-from ..schema import HEADING
+from ..operators import layout
+from ..schema import HEADING, PARAGRAPH
 from . import docx, epub, pdf
+from .blocks import BLOCK
 from .errors import ReadError
 from .textmd import text_blocks
 
 FORMATS = (".txt", ".md", ".epub", ".docx", ".pdf")
 NOT_UTF8 = "El fichero no está en UTF-8; se ha leído como cp1252 y puede haber caracteres sustituidos."
-READERS = {".epub": epub.read, ".docx": docx.read, ".pdf": pdf.read}
-
-PARSED = "struct<chapters:array<struct<title:string,blocks:array<struct<kind:string,text:string,html:string,level:int>>>>,warnings:array<string>,error:string>"
+#: Files go to Python in batches of about so many bytes, or one by one if larger.
+ARROW_BYTES = 16 << 20
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
     """path, suffix, name, sha256 and content of files or folders."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str((1 << 31) - 1), "268435456"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     # the scan leaves out files without a byte; the listing has them
     listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/", 1),) for f in found.inputFiles()], "path string")
     empty = listed.join(found.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
     found = found.select("path", "content").unionByName(empty)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return found.select("path", name.alias("name"), suffix(F.col("path")).alias("suffix"), F.sha2("content", 256).alias("sha256"), "content")
-
-
-def parse_one(name: str, kind: str, content: bytes) -> dict:
-    try:
-        chapters, warnings = READERS[kind](name, content)
-        return {"chapters": chapters, "warnings": warnings, "error": None}
-    except ReadError as e:
-        return {"chapters": [], "warnings": [], "error": str(e)}
+    return found.select("path", name_of(F.col("path")).alias("name"), suffix(F.col("path")).alias("suffix"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def reader(read: Callable, kind: str, *more: Column) -> Column:
+    """(error, found) of each file: what ``read`` makes of its name, content and other columns; whatever goes wrong in it is the file's error."""
+
+    def one(name: str, content: bytes, *rest) -> tuple[str | None, object]:
+        try:
+            return None, read(name, content, *[list(x) for x in rest])
+        except ReadError as e:
+            return str(e), None
+        except Exception as e:  # a damaged file must not end the job
+            return f"«{name}» no se puede leer: {type(e).__name__}: {e}", None
+
+    @F.pandas_udf(f"struct<error:string,found:array<{kind}>>")
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        done = [one(*x) for x in zip(*columns, strict=True)]
+        return pd.DataFrame({"error": pd.Series([e for e, _ in done], dtype=object), "found": pd.Series([None if e else [x] for e, x in done], dtype=object)})
+
+    return run("name", "content", *more)
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """One row a file: what is known of it, and what its reader found, as ``text``, ``chapters``, ``body`` or ``pages``; others are null.
+
+    Formats are told apart by suffix, and each has its branch of the plan.
+    """
+    known = files.select("path", "name", "suffix", "sha256", "content", F.upper(F.regexp_replace("suffix", r"^\.", "")).alias("format"), stem(F.col("path")).alias("title"))
+    kinds = {"warnings": "array<string>", "error": "string", "text": "string", "chapters": f"array<struct<title:string,blocks:array<{BLOCK}>>>", "body": docx.BODY, "pages": pdf.LAYOUT}
+
+    def branch(rows: DataFrame, **found: Column) -> DataFrame:
+        columns = [found.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+        return rows.select(F.col("path").alias("doc_id"), "path", "sha256", "format", "title", *columns)
+
+    def of(*suffixes: str) -> DataFrame:
+        return known.filter(F.col("suffix").isin(*suffixes))
+
+    content, none = F.col("content"), F.array().cast("array<string>")
+    text = branch(of(".txt", ".md"), text=decoded(content), warnings=F.when(is_utf8(content), none).otherwise(F.array(F.lit(NOT_UTF8))))
+    word = branch(of(".docx").withColumn("r", reader(docx.body, docx.BODY)), body=F.get("r.found", F.lit(0)), error=F.col("r.error"), warnings=none)
+    laid = branch(of(".pdf").withColumn("r", reader(pdf.layout, pdf.LAYOUT)), pages=F.get("r.found", F.lit(0)), error=F.col("r.error"), warnings=F.when(F.col("r.error").isNull(), F.array(F.lit(layout.LIMITED))).otherwise(none))
+    book = of(".epub").withColumn("p", reader(epub.package, epub.PACKAGE)).withColumn("wanted", F.coalesce(epub.spine(F.get("p.found", F.lit(0))), F.array()))
+    members = F.transform(F.filter("wanted", lambda i: i["present"]), lambda i: i["member"])
+    book = book.withColumn("r", reader(epub.read, f"array<array<{BLOCK}>>", members)).withColumn("made", epub.chapters(F.col("wanted"), F.get("r.found", F.lit(0))))
+    empty = F.when(F.size("made") == 0, F.concat(F.lit("«"), "name", F.lit("»: no se ha encontrado texto en el EPUB.")))
+    book = branch(book, chapters=F.col("made"), error=F.coalesce("p.error", "r.error", empty), warnings=epub.warnings(F.col("wanted")))
+    unknown = F.concat(F.lit("formato no soportado «"), "suffix", F.lit(f"»; se admiten: {', '.join(FORMATS)}"))
+    rest = branch(known.filter(~F.col("suffix").isin(*FORMATS)), error=unknown, warnings=none)
+    return text.unionByName(book).unionByName(word).unionByName(laid).unionByName(rest)
+
+
+def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chapters, blocks) of parsed files; a document's id is its path, and a chapter's index is its place among those with blocks."""
+    flat = text_blocks(parsed.filter("text is not null").select("doc_id", "text"))
+    of_word = parsed.filter("body is not null").select("doc_id", "title", docx.blocks(F.col("body")).alias("blocks"))
+    nested = parsed.filter("chapters is not null and error is null").select("doc_id", F.posexplode("chapters").alias("chapter_idx", "c")).select("doc_id", "chapter_idx", "c.*")
+    nested = nested.unionByName(of_word.filter(F.size("blocks") > 0).select("doc_id", F.lit(0).alias("chapter_idx"), "title", "blocks"))
+    pages = parsed.filter("pages is not null")
+    boxes = pages.select("doc_id", F.explode("pages.boxes").alias("b")).select("doc_id", "b.*")
+    laid = layout.layout_blocks(boxes, pages.select("doc_id", F.explode("pages.tables").alias("t")).select("doc_id", "t.*"))
+    readable = laid.filter(F.col("kind") == PARAGRAPH).select("doc_id").distinct()
+    blocks = flat.unionByName(nested.select("doc_id", "chapter_idx", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "chapter_idx", "block_idx", "b.*")).unionByName(laid.join(readable, "doc_id", "left_semi"))
+
+    single = parsed.filter("text is not null").select("doc_id", F.lit(0).alias("chapter_idx"), "title").unionByName(pages.join(readable, "doc_id", "left_semi").select("doc_id", F.lit(0).alias("chapter_idx"), "title"))
+    chapters = single.unionByName(nested.select("doc_id", "chapter_idx", "title"))
+
+    scanned = layout.scanned_pages(boxes)
+    found = parsed.drop("text", "chapters", "pages").join(scanned, "doc_id", "left").join(readable.withColumn("readable", F.lit(True)), "doc_id", "left")
+    looks = F.when(F.col("n_scanned") > 0, " (parece escaneado; OCR fuera del alcance).").otherwise(".")
+    no_text = F.when((F.col("format") == "PDF") & F.col("readable").isNull(), F.concat(F.lit("«"), name_of(F.col("path")), F.lit("»: el PDF no tiene capa de texto extraíble"), looks))
+    no_word = F.when(F.col("body").isNotNull() & (F.size(docx.blocks(F.col("body"))) == 0), F.concat(F.lit("«"), name_of(F.col("path")), F.lit("»: el DOCX no contiene texto.")))
+    warnings = F.when(F.col("n_scanned") > 0, F.concat("warnings", F.array(layout.scanned_warning(F.col("n_scanned"), F.col("first_pages"))))).otherwise(F.col("warnings"))
+    documents = found.select("doc_id", "path", "sha256", "format", "title", warnings.alias("warnings"), F.coalesce("error", no_text, no_word).alias("error"))
+    return documents, chapters, blocks
 
 
-def parsed(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_one(*x) for x in zip(names, kinds, contents, strict=True)], columns=["chapters", "warnings", "error"])
+def read(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chapters, blocks) of scanned files. Write what ``parse`` gives and pass it to ``tables`` to read each file once only."""
+    return tables(parse(files))
 
 
-def read(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chapters, blocks) of scanned files; a document's id is its path."""
-    known = F.col("suffix").isin(*FORMATS)
-    text = files.filter(F.col("suffix").isin(".txt", ".md"))
-    packed = files.filter(F.col("suffix").isin(*READERS)).select("path", "name", "suffix", "sha256", F.pandas_udf(parsed, PARSED)("name", "suffix", "content").alias("p"))
-    none = F.array().cast("array<string>")
-    form = F.upper(F.regexp_replace("suffix", r"^\.", ""))
-    title = stem(F.col("path"))
-    base = ("path", "sha256")
-    documents = (
-        text.select(F.col("path").alias("doc_id"), *base, form.alias("format"), title.alias("title"), F.when(is_utf8(F.col("content")), none).otherwise(F.array(F.lit(NOT_UTF8))).alias("warnings"), F.lit(None).cast("string").alias("error"))
-        .unionByName(packed.select(F.col("path").alias("doc_id"), *base, form.alias("format"), title.alias("title"), F.col("p.warnings").alias("warnings"), F.col("p.error").alias("error")))
-        .unionByName(files.filter(~known).select(F.col("path").alias("doc_id"), *base, form.alias("format"), title.alias("title"), none.alias("warnings"), F.concat(F.lit("formato no soportado «"), "suffix", F.lit(f"»; se admiten: {', '.join(FORMATS)}")).alias("error")))
-    )
-    flat = text_blocks(text.select(F.col("path").alias("doc_id"), decoded(F.col("content")).alias("text")))
-    chapter = packed.select(F.col("path").alias("doc_id"), F.posexplode("p.chapters").alias("chapter_idx", "c"))
-    nested = chapter.select("doc_id", "chapter_idx", F.posexplode("c.blocks").alias("block_idx", "b")).select("doc_id", "chapter_idx", "block_idx", "b.*")
-    chapters = text.select(F.col("path").alias("doc_id"), F.lit(0).alias("chapter_idx"), title.alias("title")).unionByName(chapter.select("doc_id", "chapter_idx", "c.title"))
-    return documents, chapters, flat.unionByName(nested)
+def name_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
 def chapter_titles(blocks: DataFrame, default: DataFrame) -> DataFrame:

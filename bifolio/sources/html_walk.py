@@ -9,6 +9,8 @@ parser may differ on pages that break these rules in other ways.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
@@ -24,37 +26,64 @@ SINGLE = set("p dt dd pre figcaption".split())
 BLOCKISH = set("p div section article blockquote ul ol li dl table figure figcaption img image svg pre".split()) | HEADINGS
 ENDS_P = set("p div section article blockquote ul ol dl table figure figcaption pre header footer main nav aside form hr".split()) | HEADINGS
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}}
-NOTE_TYPES, NOTE_ROLES = ("footnote", "endnote", "rearnote"), ("doc-footnote", "doc-endnote")
+# An element's part in notes, by a piece of an attribute's value; an empty name stands for any element.
+NOTE_PARTS = (
+    ("reference", "a", "epub:type", "noteref"),
+    ("reference", "a", "role", "doc-noteref"),
+    ("note", "", "epub:type", "footnote"),
+    ("note", "", "epub:type", "endnote"),
+    ("note", "", "epub:type", "rearnote"),
+    ("note", "", "role", "doc-footnote"),
+    ("note", "", "role", "doc-endnote"),
+)
 NOTE_SIGN = re.compile(r"^[\d*†‡§]+$")
 
+#: What the walk does at an element; "inside" is left to those that hold blocks.
+ACTION = {t: "skip" for t in SKIPPED} | {t: "heading" for t in HEADINGS} | {"table": "table", "ul": "list", "ol": "list"} | {t: "image" for t in IMAGES} | {t: "paragraph" for t in SINGLE}
+
 
 class Node:
-    __slots__ = ("attrs", "children", "name")
+    """An element. ``images``, ``linked`` and ``blocky`` tell what lies below it: how many images, an anchor, an element that starts a block."""
+
+    __slots__ = ("blocky", "children", "images", "linked", "name", "parent", "parts")
 
-    def __init__(self, name: str, attrs: dict[str, str]) -> None:
-        self.name, self.attrs, self.children = name, attrs, []
+    def __init__(self, name: str, attrs: dict[str, str], parent: Node | None) -> None:
+        self.name, self.parent, self.children = name, parent, []
+        self.parts = {part for part, element, key, piece in NOTE_PARTS if element in ("", name) and piece in attrs.get(key, "")} if attrs else set()
+        self.images, self.linked, self.blocky = 0, False, False
 
-    def below(self):
-        """All elements under this one, in order."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+    def elements(self, *names: str) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node) and (not names or c.name in names)]
+
+    def strings(self) -> Iterator[str]:
+        """All text below, in order."""
+        todo: list[Node | str] = [self]
         while todo:
-            node = todo.pop()
-            yield node
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+            x = todo.pop()
+            if isinstance(x, str):
+                yield x
+            else:
+                todo += reversed(x.children)
 
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+    def refers(self) -> bool:
+        """Whether it is the mark of a note in running text."""
+        return "reference" in self.parts or (self.name == "sup" and self.linked and NOTE_SIGN.match("".join("".join(self.strings()).split())) is not None)
 
 
 class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
+        self.root = Node("", {}, None)
         self.open = [self.root]
+        self.nodes: list[Node] = []  # parents before their children
+        self.opened: Counter[str] = Counter()
 
     def _close(self, names: set[str], until: set[str]) -> None:
+        if not any(self.opened[name] for name in names):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name in names:
+                self.opened.subtract(n.name for n in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i].name in until:
@@ -68,17 +97,20 @@ class Tree(HTMLParser):
         elif tag in SCOPE:
             self._close({tag}, SCOPE[tag])
         if tag == "body" or tag == "html":
-            if any(n.name == tag for n in self.open):
+            if self.opened[tag]:
                 return
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
         self.open[-1].children.append(node)
+        self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].name == tag and tag not in ("p", "div", "li", "td", "span"):
             self.open.pop()
+            self.opened[tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in VOID:
@@ -92,92 +124,74 @@ class Tree(HTMLParser):
 
 
 def tree(html: str) -> Node:
+    """The body, or what stands for it, with each element told what lies below it."""
     parser = Tree()
     parser.feed(html)
     parser.close()
-    return next((n for n in parser.root.below() if n.name == "body"), parser.root)
-
+    for node in reversed(parser.nodes):
+        up = node.parent
+        up.images += node.images + (node.name in IMAGES)
+        up.linked |= node.linked or node.name == "a"
+        up.blocky |= node.blocky or node.name in BLOCKISH
+    return next((n for n in parser.nodes if n.name == "body"), parser.root)
 
-def is_reference(node: Node) -> bool:
-    """A mark in the text that leads to a note."""
-    if node.name == "a":
-        return "noteref" in node.attrs.get("epub:type", "") or "doc-noteref" in node.attrs.get("role", "")
-    return node.name == "sup" and any(n.name == "a" for n in node.below()) and bool(NOTE_SIGN.match("".join(node.text().split())))
 
+def running_text(node: Node, without: list[Node]) -> tuple[str, str]:
+    """(plain text, HTML with i, em, b and strong) of an element, without some of its children.
 
-def is_note(node: Node) -> bool:
-    return any(x in node.attrs.get("epub:type", "") for x in NOTE_TYPES) or any(x in node.attrs.get("role", "") for x in NOTE_ROLES)
-
-
-def inline(node: Node, left_out: tuple[Node, ...] = ()) -> tuple[str, str]:
-    """(plain text, HTML with i, em, b and strong) of an element."""
-    plain: list[str] = []
-    marked: list[str] = []
-    todo: list[object] = list(reversed(node.children))
+    Each piece is a pair of what it adds to either; an element adds its tags to the HTML alone.
+    """
+    pieces: list[tuple[str, str]] = []
+    todo: list[Node | str | tuple[str, str]] = [c for c in reversed(node.children) if c not in without]
     while todo:
         x = todo.pop()
-        if isinstance(x, tuple):  # an end tag that is due
-            marked.append(x[0])
+        if isinstance(x, tuple):
+            pieces.append(x)
         elif isinstance(x, str):
-            plain.append(x)
-            marked.append(escape(x, quote=False))
-        elif x in left_out or x.name in SKIPPED or x.name in IMAGES or is_reference(x):
-            continue
+            pieces.append((x, escape(x, quote=False)))
         elif x.name == "br":
-            plain.append(" ")
-            marked.append(" ")
-        else:
-            if x.name in KEPT_INLINE:
-                marked.append(f"<{x.name}>")
-                todo.append((f"</{x.name}>",))
-            todo += reversed(x.children)
-    return " ".join("".join(plain).split()), " ".join("".join(marked).split())
-
-
-def blocks(html: str) -> list[dict]:
-    """Ordered blocks of a page: kind, text, html, level."""
-    out: list[dict] = []
-
-    def add(kind: str, text: str, html: str = "", level: int = 2) -> None:
-        if text:
-            out.append({"kind": kind, "text": text, "html": html, "level": level})
-
-    def paragraph(node: Node, left_out: tuple[Node, ...] = ()) -> None:
-        dropped = {id(d) for x in left_out for d in (x, *x.below())}
-        for n in node.below():
-            if n.name in IMAGES and id(n) not in dropped:
-                add(MARKER, MARK_IMAGE)
-        add(PARAGRAPH, *inline(node, left_out))
-
-    todo: list[tuple[str, Node]] = [("inside", tree(html))]
+            pieces.append((" ", " "))
+        elif ACTION.get(x.name) not in ("skip", "image") and not x.refers():
+            kept = x.name in KEPT_INLINE
+            todo += [("", f"</{x.name}>" if kept else ""), *reversed(x.children), ("", f"<{x.name}>" if kept else "")]
+    return tuple(" ".join("".join(p[side] for p in pieces).split()) for side in (0, 1))
+
+
+def of_element(node: Node, what: str, without: list[Node]) -> list[tuple[str, str, str, int]]:
+    """The blocks that an element makes itself: (kind, text, html, level)."""
+    if what in ("note", "table", "image"):
+        return [(MARKER, {"note": MARK_NOTE, "table": MARK_TABLE, "image": MARK_IMAGE}[what], "", 2)]
+    text, html = running_text(node, without)
+    if what == "heading":
+        return [(HEADING, text, html, int(node.name[1]))]
+    images = node.images - sum(x.images + (x.name in IMAGES) for x in without)
+    return [(MARKER, MARK_IMAGE, "", 2)] * images + [(PARAGRAPH, text, html, 2)]
+
+
+def walk(body: Node) -> Iterator[tuple[Node, str, list[Node]]]:
+    """The elements that make blocks, in order: (element, what it is, children that are left out of it)."""
+    todo: list[tuple[str, Node]] = [("inside", body)]
     while todo:
         how, node = todo.pop()
-        if how == "list":
-            for li in reversed([c for c in node.children if isinstance(c, Node) and c.name == "li"]):
-                todo.append(("item", li))
-            continue
-        if how == "item":
-            nested = tuple(c for c in node.children if isinstance(c, Node) and c.name in ("ul", "ol"))
-            paragraph(node, nested)
-            todo += [("list", n) for n in reversed(nested)]
-            continue
         if how == "inside":
-            todo += [("element", c) for c in reversed(node.children) if isinstance(c, Node)]
-            continue
-        if node.name in SKIPPED:
-            continue
-        if is_note(node):
-            add(MARKER, MARK_NOTE)
-        elif node.name in HEADINGS:
-            add(HEADING, *inline(node), int(node.name[1]))
-        elif node.name == "table":
-            add(MARKER, MARK_TABLE)
-        elif node.name in IMAGES:
-            add(MARKER, MARK_IMAGE)
-        elif node.name in ("ul", "ol"):
-            todo.append(("list", node))
-        elif node.name not in SINGLE and any(n.name in BLOCKISH for n in node.below()):
-            todo.append(("inside", node))
+            todo += [("", c) for c in reversed(node.elements())]
+        elif how == "list":
+            todo += [("item", c) for c in reversed(node.elements("li"))]
+        elif how == "item":
+            nested = node.elements("ul", "ol")
+            yield node, "paragraph", nested
+            todo += [("list", c) for c in reversed(nested)]
         else:
-            paragraph(node)
-    return out
+            what = ACTION.get(node.name, "inside" if node.blocky else "paragraph")
+            if what != "skip" and "note" in node.parts:
+                what = "note"
+            if what in ("inside", "list"):
+                todo.append((what, node))
+            elif what != "skip":
+                yield node, what, []
+
+
+def blocks(html: str) -> list[dict]:
+    """Ordered blocks of a page: kind, text, html, level; none has an empty text."""
+    found = (b for x in walk(tree(html)) for b in of_element(*x))
+    return [dict(zip(("kind", "text", "html", "level"), b, strict=True)) for b in found if b[1]]

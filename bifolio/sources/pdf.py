@@ -1,21 +1,34 @@
 """PDF: needs a layout library, which may not be installed.
 
 The library's part is small: pages, their layout blocks in reading order, and
-the boxes of tables. All that follows from them is in ``operators.layout``, for
-one document in Python here and for many as DataFrame operators there.
+the boxes of tables. They come out as the rows that ``operators.layout`` makes
+blocks of.
 """
 
 from __future__ import annotations
 
-import re
-
-from ..operators.layout import LIMITED, fold_pages, scanned_warning
-from ..schema import MARKER
 from .errors import ReadError
 
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+LAYOUT = f"struct<boxes:array<struct<page:int,pos:int,type:int,bbox:{BOX},lines:array<array<struct<text:string,flags:int>>>>>,tables:array<struct<page:int,table_idx:int,bbox:{BOX}>>>"
+
+
+def _box(corners) -> dict:
+    return dict(zip(("x0", "y0", "x1", "y1"), map(float, corners), strict=True))
+
 
-def pages(name: str, content: bytes) -> list[dict]:
-    """Each page's ``blocks`` (type, bbox, lines of spans) and ``tables`` (boxes)."""
+def as_rows(pages: list[dict]) -> dict:
+    """The layout rows of pages, each given as its ``blocks`` (type, bbox, lines of spans) and ``tables`` (boxes)."""
+    boxes = [
+        {"page": p, "pos": i, "type": b.get("type", 0), "bbox": _box(b.get("bbox", (0, 0, 0, 0))), "lines": [[{"text": s.get("text", ""), "flags": s.get("flags", 0)} for s in line.get("spans", [])] for line in b.get("lines", [])]}
+        for p, page in enumerate(pages)
+        for i, b in enumerate(page["blocks"])
+    ]
+    return {"boxes": boxes, "tables": [{"page": p, "table_idx": i, "bbox": _box(t)} for p, page in enumerate(pages) for i, t in enumerate(page["tables"])]}
+
+
+def layout(name: str, content: bytes) -> dict:
+    """A file's layout rows."""
     try:
         import pymupdf
     except ImportError:
@@ -26,20 +39,11 @@ def pages(name: str, content: bytes) -> list[dict]:
         raise ReadError(f"«{name}» no se puede abrir como PDF: {e}") from None
     if book.needs_pass:
         raise ReadError(f"«{name}» está cifrado con contraseña; no soportado.")
-    out = []
+    pages = []
     for page in book:
         try:
-            tables = [tuple(t.bbox) for t in page.find_tables().tables]
+            tables = [t.bbox for t in page.find_tables().tables]
         except Exception:
             tables = []
-        out.append({"blocks": page.get_text("dict", sort=True).get("blocks", []), "tables": tables})
-    return out
-
-
-def read(name: str, content: bytes) -> tuple[list[dict], list[str]]:
-    """(chapters, warnings): one chapter."""
-    found, scanned = fold_pages(pages(name, content))
-    warnings = [LIMITED, *([scanned_warning(scanned)] if scanned else [])]
-    if all(b["kind"] == MARKER for b in found):
-        raise ReadError(f"«{name}»: el PDF no tiene capa de texto extraíble" + (" (parece escaneado; OCR fuera del alcance)." if scanned else "."))
-    return [{"title": re.sub(r"(?<=.)\.[^.]*$", "", name), "blocks": found}], warnings
+        pages.append({"blocks": page.get_text("dict", sort=True).get("blocks", []), "tables": tables})
+    return as_rows(pages)

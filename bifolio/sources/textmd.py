@@ -1,10 +1,9 @@
 """TXT and Markdown: from text to blocks.
 
 Every construct ends at a blank line, so the stretches between blank lines are
-parsed alone, in parallel, however long the document is. A stretch without a
-sign of structure is one paragraph and never leaves the JVM; others pass through
-an Arrow-batched function that cuts them into blocks. Inline markup is done by
-Column expressions for both.
+parsed alone. A stretch without a sign of structure is one paragraph and never
+leaves the JVM; others pass through an Arrow-batched function that cuts them into
+blocks. Inline markup is done by Column expressions for both.
 """
 
 from __future__ import annotations
@@ -12,12 +11,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import WS, image_count, marked, normal_lines, plain, without_images
 from ..schema import HEADING, MARK_IMAGE, MARK_NOTE, MARK_TABLE, MARKER, PARAGRAPH
+from .blocks import marks
 
 # What lines look like.
 QUOTE = re.compile(r"^\s{0,3}>\s?")
@@ -91,34 +90,43 @@ def pieces(stretch: str) -> list[dict]:
 
 
 def parsed(stretches: pd.Series) -> pd.Series:
-    return stretches.map(pieces)
+    return stretches.map(lambda found: None if found is None else [pieces(x) for x in found])
 
 
-def stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row for each stretch between blank lines: the other columns, seg, stretch."""
-    text = normal_lines(F.coalesce(F.col(text_col), F.lit("")))
-    text = F.regexp_replace(F.regexp_replace(text, rf"\A[{WS}]*\n", ""), rf"[{WS}]+\z", "")
-    return docs.withColumn("_all", F.split(text, rf"\n[{WS}]*\n")).select("*", F.posexplode("_all").alias("seg", "stretch")).drop("_all", text_col).filter(~F.col("stretch").rlike(rf"\A[{WS}]*\z"))
+def stretches(text: Column) -> Column:
+    """The parts of a text between blank lines; blank ones are left out."""
+    cut = F.split(normal_lines(F.coalesce(text, F.lit(""))), rf"\n(?:[{WS}]*\n)+")
+    return F.filter(cut, lambda x: x.rlike(rf"[^{WS}]"))
 
 
-def pieces_of(cut: DataFrame) -> DataFrame:
-    """The stretches' pieces in order: the other columns, seg, pos, kind, md, level."""
-    structured = F.col("stretch").rlike(STRUCTURED)
-    rest = [c for c in cut.columns if c != "stretch"]
-    slow = cut.filter(structured).select(*rest, F.posexplode(F.pandas_udf(parsed, PIECES)("stretch")).alias("pos", "p")).select(*rest, "pos", "p.kind", "p.md", "p.level")
-    joined = F.regexp_replace("stretch", rf"[{WS}]*\n[{WS}]*", " ")
-    fast = cut.filter(~structured).select(*rest, F.lit(0).alias("pos"), F.lit(PARAGRAPH).alias("kind"), joined.alias("md"), F.lit(2).alias("level"))
-    return fast.unionByName(slow)
+def plain_piece(stretch: Column) -> Column:
+    """A stretch without structure: one paragraph."""
+    joined = F.regexp_replace(F.regexp_replace(stretch, rf"\A[{WS}]*\n|\n[{WS}]*\z", ""), rf"[{WS}]*\n[{WS}]*", " ")
+    return F.array(F.struct(F.lit(PARAGRAPH).alias("kind"), joined.alias("md"), F.lit(2).alias("level")))
+
+
+def of_piece(p: Column) -> Column:
+    """The blocks of a piece: its images' markers, then itself with its inline markup done."""
+    paragraph = p["kind"] == PARAGRAPH
+    images = F.when(paragraph & F.contains(p["md"], F.lit("![")), image_count(p["md"])).otherwise(0)
+    body = F.when(images > 0, without_images(p["md"])).otherwise(p["md"])
+    is_marker = p["kind"] == MARKER
+    own = F.struct(p["kind"].alias("kind"), F.when(is_marker, p["md"]).otherwise(plain(body)).alias("text"), F.when(is_marker, "").otherwise(marked(body)).alias("html"), p["level"].cast("int").alias("level"))
+    return F.concat(marks(images, MARK_IMAGE), F.array(own))
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Numbered blocks of documents given as text: doc_id, chapter_idx, block_idx, kind, text, html, level."""
-    found = pieces_of(stretches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    images = F.when(F.col("kind") == PARAGRAPH, image_count(F.col("md"))).otherwise(0)
-    body = F.when(F.col("kind") == PARAGRAPH, without_images(F.col("md"))).otherwise(F.col("md"))
-    is_marker = F.col("kind") == MARKER
-    own = F.struct(F.col("kind").alias("kind"), F.when(is_marker, F.col("md")).otherwise(plain(body)).alias("text"), F.when(is_marker, "").otherwise(marked(body)).alias("html"), F.col("level").alias("level"))
-    image = F.struct(F.lit(MARKER).alias("kind"), F.lit(MARK_IMAGE).alias("text"), F.lit("").alias("html"), F.lit(2).alias("level"))
-    each = found.select("doc_id", "seg", "pos", F.posexplode(F.concat(F.array_repeat(image, images), F.array(own))).alias("sub", "b")).select("doc_id", "seg", "pos", "sub", "b.*").filter("text <> ''")
-    at = Window.partitionBy("doc_id").orderBy("seg", "pos", "sub")
-    return each.select("doc_id", F.lit(0).alias("chapter_idx"), (F.row_number().over(at) - 1).alias("block_idx"), "kind", "text", "html", "level")
+    """Numbered blocks of documents given as text: doc_id, chapter_idx, block_idx, kind, text, html, level.
+
+    A document's stretches stay in its row, so they are numbered without a shuffle.
+    """
+    return numbered(docs, id_col, stretches(F.col(text_col)))
+
+
+def numbered(docs: DataFrame, id_col: str, found: Column) -> DataFrame:
+    """The blocks of each row's stretches. Python gets the stretches of documents with a sign of structure, and a null for all others."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), found.alias("found")).withColumn("odd", F.when(F.exists("found", lambda x: x.rlike(STRUCTURED)), F.col("found")))
+    parts = cut.withColumn("own", F.pandas_udf(parsed, f"array<{PIECES}>")("odd"))
+    pieces = F.flatten(F.coalesce("own", F.transform("found", plain_piece)))
+    blocks = F.filter(F.flatten(F.transform(pieces, of_piece)), lambda b: b["text"] != "")
+    return parts.select("doc_id", F.posexplode(blocks).alias("block_idx", "b")).select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")

@@ -130,6 +130,53 @@ def word(body):
     return out.getvalue()
 
 
+def test_deep_and_long_pages():
+    import time
+
+    deep = "<p>a" + "<b>" * 3000 + "x" + "</b>" * 3000 + "<sup>" + "<i>" * 3000 + "<a>1</a>"
+    assert html_walk.blocks(deep)[0]["text"] == "ax"
+    began = time.time()
+    assert len(html_walk.blocks("<div>" * 2000 + "<p>x</p>" * 20_000)) == 20_000
+    assert time.time() - began < 5
+
+
+def test_damaged_files_are_rows(spark, tmp_path):
+    good = epub({"O/b.xhtml": "<body><p>c" + "d" * 500 + "</p></body>"}, '<manifest><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="b"/></spine>')
+    at = good.index(b"cddd")
+    doc = word("<w:p><w:r><w:t>text</w:t></w:r></w:p>")
+    locked = bytearray(good)
+    for sign in (b"PK\x03\x04", b"PK\x01\x02"):  # the flag of an encrypted member
+        i = -1
+        while (i := locked.find(sign, i + 1)) >= 0:
+            if b"b.xhtml" in locked[i : i + 60]:
+                locked[i + (6 if sign[2] == 3 else 8)] |= 1
+    inputs = {"crc.epub": good[:at] + b"X" + good[at + 1 :], "locked.epub": bytes(locked), "cut.epub": good[:200], "cut.docx": doc[: len(doc) // 2], "empty.docx": word(""), "empty.epub": epub({"O/b.xhtml": "<body> </body>"}, '<manifest><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="b"/></spine>'), "good.epub": good, "good.docx": doc, "nothing.pdf": b""}
+    for k, v in inputs.items():
+        (tmp_path / k).write_bytes(v)
+    documents, chapters, blocks = files.read(files.scan(spark, f"file://{tmp_path}"))
+    errors = {r["doc_id"].rsplit("/", 1)[-1]: r["error"] for r in documents.collect()}
+    assert set(errors) == set(inputs) and {k for k, e in errors.items() if e is None} == {"good.epub", "good.docx"}
+    assert "CRC" in errors["crc.epub"] and "encrypted" in errors["locked.epub"] and errors["empty.docx"].endswith("no contiene texto.") and "no se ha encontrado texto" in errors["empty.epub"]
+    assert {r["doc_id"].rsplit("/", 1)[-1] for r in blocks.collect()} == {r["doc_id"].rsplit("/", 1)[-1] for r in chapters.collect()} == {"good.epub", "good.docx"}
+
+
+def test_pages_with_a_layout(spark):
+    """What a layout library finds, through the tables of documents."""
+    from bifolio.sources import pdf
+
+    line = lambda *spans: {"spans": [{"text": t, "flags": f} for t, f in spans]}
+    book = [{"blocks": [{"bbox": (0, 0, 9, 9), "lines": [line(("One ", 2), ("two-", 2)), line(("three", 0))]}, {"type": 1, "bbox": (0, 0, 1, 1)}], "tables": []}, {"blocks": [{"type": 1}], "tables": []}]
+    scan = [{"blocks": [{"type": 1}], "tables": []}] * 11
+    rows = [(k, k, "s", "PDF", k, [], None, None, None, None, pdf.as_rows(v)) for k, v in (("a.pdf", book), ("b.pdf", scan))]
+    schema = f"doc_id string, path string, sha256 string, format string, title string, warnings array<string>, error string, text string, chapters array<struct<title:string,blocks:array<{files.BLOCK}>>>, body {files.docx.BODY}, pages {pdf.LAYOUT}"
+    documents, chapters, blocks = files.tables(spark.createDataFrame(rows, schema))
+    assert [(r["doc_id"], r["kind"], r["text"], r["html"]) for r in blocks.orderBy("block_idx").collect()] == [("a.pdf", P, "One twothree", "<i>One </i><i>two</i>three"), ("a.pdf", M, MARK_IMAGE, ""), ("a.pdf", M, MARK_IMAGE, "")]
+    found = {r["doc_id"]: r for r in documents.collect()}
+    assert found["a.pdf"]["error"] is None and found["a.pdf"]["warnings"] == ["PDF: 1 página(s) sin capa de texto omitida(s) (¿escaneadas?): 2. OCR fuera del alcance."]
+    assert "parece escaneado" in found["b.pdf"]["error"] and "1, 2, 3, 4, 5, 6, 7, 8, 9, 10…" in found["b.pdf"]["warnings"][0]
+    assert [r["doc_id"] for r in chapters.collect()] == ["a.pdf"]
+
+
 def test_files(spark, tmp_path):
     opf = '<manifest><item id="a" href="no.xhtml"/><item id="a" href="c%201.xhtml"/><item id="b" href="b.xhtml"/><item id="m" href="gone.xhtml"/><item id="n" href="nav.xhtml"/><item id="e" href="e.xhtml"/></manifest><spine><itemref idref="n" linear="NO"/><itemref idref="e"/><itemref idref="a"/><itemref idref="x"/><itemref idref="m"/><itemref idref="b"/></spine>'
     book = epub({"O/c 1.xhtml": "<html><body><h1>One</h1><p>a <i>b</i></p></body></html>", "O/b.xhtml": "<body><p>c</p></body>", "O/nav.xhtml": "<p>nav</p>", "O/e.xhtml": "<body> </body>"}, opf)
