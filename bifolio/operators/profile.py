@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import thousands, word_count
 from ..schema import MARKER, MARKERS, PARAGRAPH, SAMPLE_CHARS, TRANSLATABLE
@@ -30,13 +29,22 @@ def volume(blocks: DataFrame, chapters: DataFrame | None = None, keys: tuple[str
 def sample_text(blocks: DataFrame, limit: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id and the first translatable texts, by lines, until ``limit`` characters are reached; cut to the limit.
 
-    Only the first ``limit`` blocks of a document can matter, as none is empty.
+    As no block is empty, those past the first ``limit`` of a chapter and what is past
+    ``limit`` characters of a block don't matter; they go before the shuffle.
     """
-    at = Window.partitionBy("doc_id").orderBy("chapter_idx", "block_idx").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(at), F.lit(0))
-    head = blocks.filter(translatable()).withColumn("_before", before).filter(F.col("_before") < limit)
+    head = blocks.filter(translatable() & (F.col("block_idx") < limit)).select("doc_id", "chapter_idx", "block_idx", F.substring("text", 1, limit).alias("text"))
+    # numbers of blocks count markers too, so a chapter's first translatable ones may lie further on if it has many markers
+    late = blocks.filter(F.col("block_idx") >= limit).join(blocks.filter(~translatable()).select("doc_id", "chapter_idx").distinct(), ["doc_id", "chapter_idx"], "left_semi")
+    head = head.unionByName(late.filter(translatable()).select("doc_id", "chapter_idx", "block_idx", F.substring("text", 1, limit).alias("text")))
     texts = head.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter_idx", "block_idx", "text"))).alias("x"))
-    return texts.select("doc_id", F.substring(F.array_join(F.transform("x", lambda e: e["text"]), "\n"), 1, limit).alias("sample"))
+    return texts.select("doc_id", first_texts(F.transform("x", lambda e: e["text"]), limit).alias("sample"))
+
+
+def first_texts(texts: Column, limit: int = SAMPLE_CHARS) -> Column:
+    """The sample of texts that are in one row: folded until the limit is reached, joined by line feeds and cut."""
+    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"))
+    taken = F.aggregate(F.transform(texts, lambda t: F.length(t)), start, lambda acc, n: F.when(acc["chars"] >= limit, acc).otherwise(F.struct((acc["chars"] + n).alias("chars"), (acc["n"] + 1).alias("n"))))
+    return F.substring(F.array_join(F.slice(texts, F.lit(1), taken["n"]), "\n"), 1, limit)
 
 
 def omitted(blocks: DataFrame) -> DataFrame:

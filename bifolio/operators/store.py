@@ -2,21 +2,29 @@
 
 Rows are appended, never changed; of several rows for one block the last wins,
 so a task or batch that runs twice does no harm. The key holds the content's
-hash and the language pair, so other content or another pair starts afresh.
+hash and the language pair, so other content or another pair starts afresh. Rows
+lie in ``BUCKETS`` folders a pair by the content's hash, sorted by it, so their
+number doesn't grow with the documents. A finished job's rows go by a row of their
+own without a text, which is the last for all blocks of its content.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import chapter_file
 from ..schema import TRANSLATIONS
 from .profile import translatable
 
 KEY = ["sha256", "pair", "chapter_idx", "block_idx"]
+BUCKETS = 256
+#: Chapter and block of the row that ends a job.
+ENDED = -1
 
 
 def last_wins(rows: DataFrame) -> DataFrame:
@@ -26,7 +34,7 @@ def last_wins(rows: DataFrame) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, sha256: str, pair: str) -> DataFrame:
     """The translations of a job folder with files cap-NNN.jsonl; broken lines are skipped, the last line of a block wins.
 
-    A folder whose meta.json names other content or another pair counts as empty; one without it is taken as it is.
+    A folder whose meta.json names other content or another pair is stale: it is deleted, and counts as empty. One without it is taken as it is.
     """
     meta = _files(spark, f"{path}/meta.json")
     if meta is not None:
@@ -35,6 +43,7 @@ def read_jsonl(spark: SparkSession, path: str, sha256: str, pair: str) -> DataFr
         except json.JSONDecodeError:
             found = {}
         if not isinstance(found, dict) or (found.get("sha256"), found.get("pair")) != (sha256, pair):
+            remove(spark, path)
             return spark.createDataFrame([], TRANSLATIONS).drop("seq")
     lines = _files(spark, f"{path}/cap-*.jsonl")
     if lines is None:
@@ -54,12 +63,40 @@ def _files(spark: SparkSession, pattern: str) -> DataFrame | None:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Add rows (KEY, t, seq) to the store; readers of one content and pair skip all other folders."""
-    rows.select(*KEY, "t", "seq").write.mode("append").partitionBy("sha256", "pair").parquet(path)
+    """Add rows (KEY, t, seq) to the store."""
+    dealt = rows.select(*KEY, "t", "seq").withColumn("bucket", F.pmod(F.xxhash64("sha256"), F.lit(BUCKETS)).cast("int"))
+    dealt.sortWithinPartitions("pair", "bucket", "sha256").write.mode("append").partitionBy("pair", "bucket").parquet(path)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    return last_wins(spark.read.schema(TRANSLATIONS).parquet(path)) if _files_exist(spark, path) else spark.createDataFrame([], TRANSLATIONS).drop("seq")
+    """The last row of each block, but for those of jobs that have ended since."""
+    if not _files_exist(spark, path):
+        return spark.createDataFrame([], TRANSLATIONS).drop("seq")
+    rows = spark.read.schema(f"{TRANSLATIONS}, bucket int").parquet(path).drop("bucket")
+    ended = rows.filter(F.col("chapter_idx") == ENDED).groupBy("sha256", "pair").agg(F.max("seq").alias("ended"))
+    live = rows.filter(F.col("chapter_idx") != ENDED).join(ended, ["sha256", "pair"], "left").filter("ended is null or seq > ended")
+    return last_wins(live.drop("ended"))
+
+
+def write_jsonl(rows: DataFrame, path: str, sha256: str, pair: str) -> None:
+    """One job's rows (chapter_idx, block_idx, t) as a folder that ``read_jsonl`` reads: meta.json, and a file cap-NNN.jsonl a chapter with a line a block."""
+    spark, line = rows.sparkSession, F.to_json(F.struct(F.col("block_idx").alias("b"), "t"))
+    lines = rows.groupBy("chapter_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))  # a chapter is one file
+    named = lines.select(chapter_file(F.col("chapter_idx")).alias("name"), F.concat("text", F.lit("\n")).alias("text"))
+    meta = spark.createDataFrame([("meta.json", json.dumps({"sha256": sha256, "pair": pair}))], "name string, text string")
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as o:
+                    o.write(text.encode())
+            yield b.select(["name"])
+
+    named.unionByName(meta).mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 def _files_exist(spark: SparkSession, path: str) -> bool:
@@ -78,15 +115,21 @@ def resumed(blocks: DataFrame, done: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("translatable"), F.count("hit").alias("resumed"), F.count_if(F.col("hit").isNull()).alias("fresh"))
 
 
-def discard(spark: SparkSession, path: str, sha256: str, pair: str) -> None:
-    """Drop a finished job's rows, and the folders that get empty."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    parts = [path, f"sha256={sha256}", f"pair={pair}"]
-    full = [reduce(lambda a, b: f"{a}/{b}", parts[: i + 1]) for i in range(3)]
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(full[2]), True)
-    for p in (full[1], full[0]):
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else ["-"]
-        if all(n.startswith(("_", ".")) for n in names):
-            fs.delete(at, True)
+def discard(spark: SparkSession, path: str, contents: DataFrame, pair: str) -> None:
+    """End the jobs of the contents (sha256) for a pair: one append, however many they are."""
+    now = F.unix_micros(F.current_timestamp())
+    rows = contents.select("sha256", F.lit(pair).alias("pair"), F.lit(ENDED).alias("chapter_idx"), F.lit(ENDED).alias("block_idx"), F.lit(None).cast("string").alias("t"), now.alias("seq"))
+    append(rows, path)
+    if stored(spark, path).isEmpty():
+        remove(spark, path)
+
+
+def compact(spark: SparkSession, path: str, into: str) -> None:
+    """Write what is left of a store, without ended jobs and rows that others replaced, as a new one."""
+    append(stored(spark, path).withColumn("seq", F.lit(0).cast("long")), into)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +14,10 @@ from ..sources import files
 from ..sources.errors import ReadError
 
 
+# Fixed value: the warning of a translation in two steps.
+PIVOT_NOTE = "Par sin traducción directa: se traduce por pivote en inglés (doble cómputo)."
+
+
 class Stopped(Exception):
     """The run was asked to stop; the store keeps the batches that are done."""
 
@@ -31,17 +36,24 @@ def run(spark: SparkSession, paths: list[str], source: str, target: str, make: C
     it in ``batches`` commits of whole chapters before anything is rendered, so
     a run that was cut short goes on where it was. ``should_stop`` is asked
     before each batch, ``on_progress`` told (done, batches) after it. Documents that can't be read are in the summary with
-    their error. The store's rows of this run go when all pages are written.
+    their error; its warnings are those of reading and, if the pair is reached by
+    the pivot, a note of that. The store's rows of this run go when all pages are
+    written, all in one step.
     """
     plan = language.pair_plan(spark.createDataFrame([(source, target)], "source string, target string"), packages)
     found = plan.head()
     if found["error"]:
         raise ReadError(found["error"])
-    documents, chapters, blocks = files.read(files.scan(spark, *paths))
-    pair = F.lit(f"{source}-{target}")
-    keyed = blocks.join(documents.select("doc_id", "sha256"), "doc_id").withColumn("pair", pair)
-    done = store.stored(spark, store_path)
-    left = store.pending(keyed, done).dropDuplicates(store.KEY)  # equal files are translated once
+    work = f"{out}/_work-{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
+    # each file is read and parsed once
+    documents, chapters, blocks = (written(t, name) for t, name in zip(files.tables(written(files.parse(files.scan(spark, *paths)), "parsed")), ("documents", "chapters", "blocks"), strict=True))
+    keyed = blocks.join(documents.select("doc_id", "sha256"), "doc_id").withColumn("pair", F.lit(f"{source}-{target}"))
+    left = written(store.pending(keyed, store.stored(spark, store_path)).dropDuplicates(store.KEY), "left")  # equal files are translated once
     for number in range(batches):
         if should_stop and should_stop():
             raise Stopped
@@ -54,9 +66,10 @@ def run(spark: SparkSession, paths: list[str], source: str, target: str, make: C
     rows = render.rows(whole, F.lit(source), F.lit(target))
     body = render.bodies(rows).join(documents.select("doc_id", "title"), "doc_id").select("*", F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(found["pivot"]).alias("pivot"))
     render.write_files(render.pages(body), out).write.mode("overwrite").parquet(f"{out}/_written")
-    written = spark.read.parquet(f"{out}/_written")
-    summary = profile.summary(documents, profile.volume(blocks, chapters))
+    pages = spark.read.parquet(f"{out}/_written")
+    pivot = F.when(F.lit(found["pivot"]), F.array(F.lit(PIVOT_NOTE))).otherwise(F.array().cast("array<string>"))
+    summary = written(profile.summary(documents.withColumn("warnings", F.when(F.col("error").isNull(), F.concat("warnings", pivot)).otherwise(F.col("warnings"))), profile.volume(blocks, chapters)), "summary")
     if not keep_store:
-        for r in documents.filter("error is null").select("sha256").distinct().toLocalIterator():
-            store.discard(spark, store_path, r["sha256"], f"{source}-{target}")
-    return Result(summary, written, plan)
+        store.discard(spark, store_path, documents.filter("error is null").select("sha256").distinct(), f"{source}-{target}")
+    store.remove(spark, *(f"{work}/{name}" for name in ("parsed", "documents", "chapters", "blocks", "left")))
+    return Result(summary, pages, plan)
