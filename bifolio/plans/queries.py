@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import BOLD, collapse, escape, marked, plain
+from ..functions.text import BOLD, chapter_file, collapse, decoded, duration, escape, marked, normal_lines, plain, rate_and_eta, stem, styled, suffix, thousands
 from ..operators import language, layout, profile, render, store
-from ..schema import BLOCKS, PARAGRAPH
+from ..schema import MARKER, PARAGRAPH
 from ..sources import files, html_walk
 from ..sources.textmd import text_blocks
 
@@ -27,8 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes a core may lie in fewer pieces than there are cores.
+SMALL = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table's rows dealt to all cores, as one row group is one task; larger tables have pieces enough and aren't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def doc_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +58,17 @@ FROM documents
 """
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line a paragraph, as ``text_blocks`` makes of doubled line feeds where there is no markup: doc_id, chapter_idx, block_idx, kind, text, html, level."""
-    cut = documents(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    real = cut.withColumn("text", collapse(F.col("line"))).filter("text <> ''")
-    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    return real.select("doc_id", "lang", F.lit(0).alias("chapter_idx"), at.alias("block_idx"), F.lit(PARAGRAPH).alias("kind"), "text", F.lit("").alias("html"), F.lit(2).alias("level"))
+def line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, text, and the lines that aren't blank, white space collapsed, as an array."""
+    cut = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), collapse)
+    return documents(spark, sf_dir).select("doc_id", "lang", "text", F.filter(cut, lambda x: x != "").alias("lines"))
+
+
+def lines(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Each line a paragraph, as ``text_blocks`` makes of doubled line feeds where there is no markup: doc_id, lang, others of the document, chapter_idx, block_idx, kind, text, html, level."""
+    each = line_arrays(spark, sf_dir).select("doc_id", "lang", *more, F.posexplode("lines").alias("block_idx", "line"))
+    own = [c for c in each.columns if c not in ("block_idx", "line")]
+    return each.select(*own, F.lit(0).alias("chapter_idx"), "block_idx", F.lit(PARAGRAPH).alias("kind"), F.col("line").alias("text"), F.lit("").alias("html"), F.lit(2).alias("level"))
 
 
 LINES = r"""
@@ -90,7 +106,7 @@ def language_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.sample_text(lines(spark, sf_dir))
+    return line_arrays(spark, sf_dir).filter(F.size("lines") > 0).select("doc_id", profile.first_texts(F.col("lines")).alias("sample"))
 
 
 SAMPLE = f"""
@@ -118,32 +134,44 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", sha.alias("sha256"), F.concat_ws("-", F.left(sha, F.lit(12)), "lang", F.lit("xx")).alias("job"))
 
 
-def _store_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks with the store's key, a store with an older and a newer row for each block of every third document)."""
-    keyed = lines(spark, sf_dir).withColumn("sha256", F.sha2(F.col("doc_id").cast("string"), 256)).withColumn("pair", F.concat_ws("-", "lang", F.lit("xx")))
-    third = keyed.filter(F.col("doc_id") % 3 == 0).select(*store.KEY, "text")
-    rows = third.select(*store.KEY, F.lower("text").alias("t"), F.lit(1).cast("long").alias("seq")).unionByName(third.filter(F.col("block_idx") % 2 == 0).select(*store.KEY, F.concat("text", F.lit("!")).alias("t"), F.lit(2).cast("long").alias("seq")))
-    return keyed, rows
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with the store's key: their document's content and the pair. Copies of a text share their keys."""
+    return lines(spark, sf_dir, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.concat_ws("-", "lang", F.lit("xx")).alias("pair"))
+
+
+def _versions(keyed: DataFrame) -> DataFrame:
+    """Store rows: an older one for each line, and a newer one for lines with an e."""
+    version = lambda t, seq: F.struct(t.alias("t"), F.lit(seq).cast("long").alias("seq"))
+    newer = F.when(F.contains("text", F.lit("e")), F.array(version(F.concat("text", F.lit("!")), 2))).otherwise(F.array(version(F.col("text"), 2)).cast("array<struct<t:string,seq:bigint>>"))
+    has = F.contains("text", F.lit("e"))
+    every = F.concat(F.array(version(F.lower("text"), 1)), F.filter(newer, lambda x: has))
+    return keyed.select(*store.KEY, F.explode(every).alias("v")).select(*store.KEY, "v.*")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(all lines with the store's key, a store that has those of over 40 characters)."""
+    keyed = _keyed(spark, sf_dir)
+    return keyed, store.last_wins(_versions(keyed.filter(F.length("text") > 40)))
 
 
 def pending_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, rows = _store_rows(spark, sf_dir)
-    return store.pending(keyed, store.last_wins(rows)).select("doc_id", "block_idx", "text")
+    keyed, done = _store(spark, sf_dir)
+    return store.pending(keyed, done).select("doc_id", "block_idx", "text")
 
 
 def resume_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, rows = _store_rows(spark, sf_dir)
-    return store.resumed(keyed, store.last_wins(rows))
+    keyed, done = _store(spark, sf_dir)
+    return store.resumed(keyed, done)
 
 
 def resume_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, rows = _store_rows(spark, sf_dir)
-    return store.last_wins(rows).select("sha256", "pair", "block_idx", "t")
+    """A store of all lines of all documents."""
+    return store.last_wins(_versions(_keyed(spark, sf_dir))).select("sha256", "pair", "block_idx", "t")
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, rows = _store_rows(spark, sf_dir)
-    return render.rows(render.aligned(keyed, store.last_wins(rows), store.KEY), F.col("lang"), F.lit("xx"))
+    keyed, done = _store(spark, sf_dir)
+    return render.rows(render.aligned(keyed, done, store.KEY), F.col("lang"), F.lit("xx"))
 
 
 def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +183,22 @@ def rendered_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("doc_id", F.length("body").cast("long").alias("chars"), F.sha2("body", 256).alias("sha256"))
 
 
+KEYED = f"""{LINES}, keyed AS (
+  SELECT l.*, sha256(coalesce(d.text, '')) AS sha256, concat_ws('-', l.lang, 'xx') AS pair FROM lines l JOIN documents d ON d.doc_id = l.doc_id
+), versions AS (
+  SELECT sha256, pair, block_idx, text, lower(text) AS t, 1 AS seq FROM keyed UNION ALL SELECT sha256, pair, block_idx, text, text || '!', 2 FROM keyed WHERE contains(text, 'e')
+), every AS (
+  SELECT sha256, pair, block_idx, arg_max(t, seq) AS t FROM versions GROUP BY ALL
+), store AS (
+  SELECT sha256, pair, block_idx, arg_max(t, seq) AS t FROM versions WHERE length(text) > 40 GROUP BY sha256, pair, block_idx
+)"""
+KEYED = KEYED.replace("GROUP BY ALL", "GROUP BY sha256, pair, block_idx")
+
+
 ALIGNED = f"""
-WITH {LINES}, esc AS (
-  SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS o,
-         CASE WHEN doc_id % 3 <> 0 THEN '' WHEN block_idx % 2 = 0 THEN text || '!' ELSE lower(text) END AS t FROM lines
+WITH {KEYED}, esc AS (
+  SELECT k.*, replace(replace(replace(replace(replace(k.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS o, coalesce(s.t, '') AS t
+  FROM keyed k LEFT JOIN store s ON s.sha256 = k.sha256 AND s.pair = k.pair AND s.block_idx = k.block_idx
 ), rendered AS (
   SELECT doc_id, block_idx, '<tr><td lang="' || lang || '">' || o || '</td><td lang="xx">' || replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</td></tr>' AS row FROM esc
 )"""
@@ -186,19 +226,24 @@ FROM isle GROUP BY doc_id, island
 
 def line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("doc_id", "block_idx", F.col("text").alias("plain"), F.col("text").alias("html"))
+    rows = rows.withColumn("html", F.concat(F.lit("<i>"), escape(F.col("html")), F.lit("</i>")))
     joined = layout.join_lines(rows, ["doc_id"], "block_idx")
-    return joined.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
+    return joined.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"), F.sha2("html", 256).alias("html_sha256"))
 
 
 LINE_JOIN = f"""
 WITH {LINES}, near AS (
-  SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS q FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)
+  SELECT *, coalesce(lag(text) OVER w LIKE '%-' AND regexp_matches(text, '^[a-záéíóúüñàèìòùâêîôûäëïöç]'), block_idx = 0) OR block_idx = 0 AS glued,
+         text LIKE '%-' AND regexp_matches(coalesce(lead(text) OVER w, ''), '^[a-záéíóúüñàèìòùâêîôûäëïöç]') AS cut
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)
+), part AS (
+  SELECT doc_id, block_idx, CASE WHEN glued THEN '' ELSE ' ' END AS sep, CASE WHEN cut THEN left(text, -1) ELSE text END AS p FROM near
 ), j AS (
-  SELECT doc_id, string_agg(CASE WHEN block_idx = 0 OR (p LIKE '%-' AND regexp_matches(text, '^[a-záéíóúüñàèìòùâêîôûäëïöç]')) THEN '' ELSE ' ' END
-         || CASE WHEN text LIKE '%-' AND regexp_matches(coalesce(q, ''), '^[a-záéíóúüñàèìòùâêîôûäëïöç]') THEN regexp_replace(text, '-$', '') ELSE text END, '' ORDER BY block_idx) AS text
-  FROM near GROUP BY doc_id
+  SELECT doc_id, string_agg(sep || p, '' ORDER BY block_idx) AS text,
+         replace(string_agg(sep || '<i>' || replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</i>', '' ORDER BY block_idx), '</i> <i>', ' ') AS html
+  FROM part GROUP BY doc_id
 )
-SELECT doc_id, length(text) AS chars, sha256(text) AS sha256 FROM j
+SELECT doc_id, length(text) AS chars, sha256(text) AS sha256, sha256(html) AS html_sha256 FROM j
 """
 
 # A small catalogue: (from_code, from_name, to_code, to_name, installed, ord).
@@ -264,7 +309,7 @@ FROM keyed LEFT JOIN names ON names.k = keyed.k LEFT JOIN spanish ON spanish.k =
 
 def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in detector on each document's sample."""
-    return language.detect(profile.sample_text(lines(spark, sf_dir)), language.stop_word_detector).select("doc_id", "detected")
+    return language.detect(sample_text(spark, sf_dir), language.stop_word_detector).select("doc_id", "detected")
 
 
 def _page_blocks(pages: pd.Series) -> pd.Series:
@@ -272,7 +317,8 @@ def _page_blocks(pages: pd.Series) -> pd.Series:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.pandas_udf(_page_blocks, "array<struct<kind:string,text:string,html:string,level:int>>")("html")).alias("block_idx", "b"))
+    walked = F.pandas_udf(_page_blocks, "array<struct<kind:string,text:string,html:string,level:int>>")("html")
+    found = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), F.posexplode(walked).alias("block_idx", "b"))
     return found.select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")
 
 
@@ -285,10 +331,92 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.chapter_titles(pages(spark, sf_dir), default).drop("chapter_idx")
 
 
+def _with_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' blocks; every link of a list stands for an image, every heading is followed by a note, and footers are tables."""
+    blocks = pages(spark, sf_dir)
+    mark = F.when(F.col("text").startswith("©"), "[tabla omitida]").when(F.length("text") < 6, "[imagen omitida]")
+    return blocks.withColumn("kind", F.when(mark.isNotNull(), MARKER).otherwise(F.col("kind"))).withColumn("html", F.when(mark.isNotNull(), "").otherwise(F.col("html"))).withColumn("text", F.coalesce(mark, "text"))
+
+
 def page_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.omitted(pages(spark, sf_dir))
 
 
+def omitted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of omissions of the pages, where short blocks stand for images and copyright lines for tables."""
+    return profile.omitted(_with_omissions(spark, sf_dir))
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered rows of all kinds: headings, paragraphs with inline HTML, markers."""
+    blocks = _with_omissions(spark, sf_dir).withColumn("t", F.when(F.col("kind") != MARKER, F.concat("text", F.lit(" '*'"))))
+    return render.rows(blocks, F.lit("en"), F.lit("xx")).select("doc_id", "block_idx", "row")
+
+
+def page_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume and console line of pages with headings."""
+    chapters = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    volumes = profile.volume(_with_omissions(spark, sf_dir), chapters)
+    return volumes.join(profile.volume_line(volumes), "doc_id")
+
+
+PAGES = r"""
+cut AS (
+  SELECT page_id AS doc_id, unnest(string_split(x, chr(1))) AS piece, generate_subscripts(string_split(x, chr(1)), 1) AS pos
+  FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'g'), '^.*?<body>', ''), '<(li|p|h1|div class="ad"|footer)>', chr(1) || '\1>', 'g'), '</(li|p|div|article|footer|body|html|ul|nav)>', chr(1), 'g') AS x FROM pages)
+), inner_html AS (
+  SELECT doc_id, pos, piece LIKE 'h1>%' AS heading, contains(piece, '<b>') AS bold, regexp_replace(replace(regexp_extract(piece, '^(li|p|h1|div class="ad"|footer)>(.*)$', 2, 's'), '<br>', ' '), '</?[a-zA-Z][^<>]*>', '', 'g') AS raw
+  FROM cut WHERE regexp_matches(piece, '^(li|p|h1|div class="ad"|footer)>')
+), plain AS (
+  SELECT doc_id, pos, heading, bold, replace(replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM inner_html
+), blocks AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS block_idx, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind,
+         trim(regexp_replace(t, '\s+', ' ', 'g')) AS text,
+         trim(CASE WHEN bold THEN '<b>' ELSE '' END || regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\s+', ' ', 'g') || CASE WHEN bold THEN '</b>' ELSE '' END) AS html,
+         CASE WHEN heading THEN 1 ELSE 2 END AS level
+  FROM plain WHERE trim(regexp_replace(t, '\s+', ' ', 'g')) <> ''
+), marked AS (
+  SELECT doc_id, block_idx, CASE WHEN m IS NULL THEN kind ELSE 'marker' END AS kind, coalesce(m, text) AS text, CASE WHEN m IS NULL THEN html ELSE '' END AS html, level
+  FROM (SELECT *, CASE WHEN text LIKE '©%' THEN '[tabla omitida]' WHEN length(text) < 6 THEN '[imagen omitida]' END AS m FROM blocks)
+)"""
+
+
+def _omitted_sql(blocks: str) -> str:
+    return f"""
+WITH {PAGES}, n AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'marker' AND text = '[imagen omitida]') AS images, count(*) FILTER (WHERE kind = 'marker' AND text = '[tabla omitida]') AS tables, count(*) FILTER (WHERE kind = 'marker' AND text = '[nota omitida]') AS notes FROM {blocks} GROUP BY doc_id
+)
+SELECT doc_id, images, tables, notes, CASE WHEN images + tables + notes > 0 THEN 'elementos omitidos con marca en el HTML: ' || concat_ws(', ', CASE WHEN images > 0 THEN images || ' imagen(es)' END, CASE WHEN tables > 0 THEN tables || ' tabla(s)' END, CASE WHEN notes > 0 THEN notes || ' nota(s)' END) END AS summary
+FROM n
+"""
+
+
+PAGE_TITLES = f"""
+WITH {PAGES}, heads AS (SELECT doc_id, arg_min(text, block_idx) AS heading FROM blocks WHERE kind = 'heading' GROUP BY doc_id)
+SELECT page_id AS doc_id, coalesce(heading, regexp_extract(url, '([^/]*)$', 1)) AS title FROM pages LEFT JOIN heads ON heads.doc_id = pages.page_id
+"""
+
+PAGE_ROWS = f"""
+WITH {PAGES}, esc AS (
+  SELECT *, replace(replace(replace(replace(replace(text || ' ''*''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS u FROM marked
+)
+SELECT doc_id, block_idx,
+       CASE kind WHEN 'marker' THEN '<tr class="fila-marca"><td colspan="2">' || text || '</td></tr>'
+                 WHEN 'heading' THEN '<tr class="fila-encabezado nivel-' || level || '"><td colspan="2"><span class="enc-orig" lang="en">' || html || '</span><span class="enc-trad" lang="xx">' || u || '</span></td></tr>'
+                 ELSE '<tr><td lang="en">' || html || '</td><td lang="xx">' || u || '</td></tr>' END AS row
+FROM esc
+"""
+
+PAGE_VOLUME = f"""
+WITH {PAGES}, v AS (
+  SELECT page_id AS doc_id, CAST(coalesce(sum(len(string_split(text, ' '))) FILTER (WHERE kind <> 'marker'), 0) AS BIGINT) AS words,
+         count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind IN ('paragraph', 'heading')) AS translatable, CAST(1 AS BIGINT) AS chapters
+  FROM pages LEFT JOIN marked ON marked.doc_id = pages.page_id GROUP BY page_id
+)
+SELECT *, 'Volumen: ' || replace(format('{{:,}}', words), ',', '.') || ' palabras · ' || replace(format('{{:,}}', paragraphs), ',', '.') || ' párrafos · 1 capítulo' AS line FROM v
+"""
+
+
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as chapters, their lines as blocks, numbered without gaps."""
     cut = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("spine_pos"), "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -307,39 +435,183 @@ SELECT conv_id AS doc_id, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY
 FROM flat WHERE text <> ''
 """
 
-# (document, kind, text): blocks with omissions of every kind.
-OMISSIONS = [("a", "marker", "[imagen omitida]"), ("a", "marker", "[imagen omitida]"), ("a", "marker", "[nota omitida]"), ("a", "paragraph", "[tabla omitida]"), ("b", "paragraph", "x"), ("c", "marker", "[tabla omitida]"), ("c", "marker", "?")]
+def numbers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as the console and the file names show them."""
+    n = F.col("n_chars")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", thousands(n * 1000).alias("thousands"), duration(n).alias("duration"), chapter_file(F.col("doc_id")).alias("file"), rate_and_eta(F.lit(10), n, F.lit(2.0))["eta"].cast("long").alias("eta"))
 
 
-def omitted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(d, 0, i, k, t, "", 2) for i, (d, k, t) in enumerate(OMISSIONS)]
-    return profile.omitted(spark.createDataFrame(rows, BLOCKS))
+NUMBERS = """
+SELECT doc_id, replace(format('{:,}', n_chars * 1000), ',', '.') AS thousands,
+       CASE WHEN n_chars < 60 THEN n_chars || ' s' WHEN n_chars < 3600 THEN (n_chars // 60) || ' min ' || (n_chars % 60) || ' s' ELSE (n_chars // 3600) || ' h ' || (n_chars // 60 % 60) || ' min' END AS duration,
+       printf('cap-%03d.jsonl', doc_id) AS file, CAST(trunc((n_chars - 10) / 5.0) AS BIGINT) AS eta
+FROM documents
+"""
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems and suffixes of the pages' addresses, and the reader that each suffix would have."""
+    at = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
+    return at.select("page_id", stem(F.col("path")).alias("stem"), suffix(F.col("path")).alias("suffix"), suffix(F.col("path")).isin(*files.FORMATS).alias("supported"))
 
 
-OMITTED = f"""
-WITH b(d, k, t) AS (VALUES {", ".join(f"('{d}', '{k}', '{t}')" for d, k, t in OMISSIONS)}), n AS (
-  SELECT d, count(*) FILTER (WHERE k = 'marker' AND t = '[imagen omitida]') AS images, count(*) FILTER (WHERE k = 'marker' AND t = '[tabla omitida]') AS tables, count(*) FILTER (WHERE k = 'marker' AND t = '[nota omitida]') AS notes FROM b GROUP BY d
+FILE_NAMES = r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages), n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS suffix FROM p)
+SELECT page_id, regexp_replace(name, '(.)\.[^.]*$', '\1') AS stem, suffix, suffix IN ('.txt', '.md', '.epub', '.docx', '.pdf') AS supported FROM n
+"""
+
+
+def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts read back from bytes: with a byte order mark, with foreign line ends, and in the old single-byte encoding where it has all characters."""
+    raw = F.concat(F.lit("\ufeff"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")))
+    utf8 = normal_lines(decoded(F.encode(raw, "UTF-8")))
+    single = F.when(F.coalesce("text", F.lit("")).rlike("^[\\x00-\\x7f\\xa0-\\xff]*$"), decoded(F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit(" é")), "ISO-8859-1")))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(utf8, 256).alias("utf8"), F.sha2(single, 256).alias("single"))
+
+
+DECODED = r"""
+SELECT doc_id, sha256(coalesce(text, '')) AS utf8, CASE WHEN regexp_full_match(coalesce(text, ''), '[\x00-\x7f\x{a0}-\x{ff}]*', 's') THEN sha256(coalesce(text, '') || ' é') END AS single FROM documents
+"""
+
+
+def languages_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's languages by name, of several names the first, with the number of documents of each."""
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.count(F.lit(1)).alias("documents"))
+    every = language.packages_table(spark, [*PACKAGES, ("es", "Castilian", "ca", "Valencian", False, 10), ("xa", "", "en", "English", False, 11)])
+    return language.catalogue(every).join(counts, "code", "left").select("code", "name", F.coalesce("documents", F.lit(0)).alias("documents"), (F.row_number().over(Window.orderBy("name")) - 1).alias("place"))  # one row a language
+
+
+def language_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All languages in one line, by name."""
+    return language.language_list(language.packages_table(spark, PACKAGES))
+
+
+def install_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages that the documents' languages need for Spanish and Portuguese, each once."""
+    packages = language.packages_table(spark, PACKAGES)
+    own = table(spark, sf_dir, "documents").select(F.col("lang").alias("source")).filter("source is not null").distinct()
+    pairs = own.withColumn("target", F.explode(F.array(F.lit("es"), F.lit("pt"))))
+    return language.provision(language.pair_plan(pairs, packages), packages).select("from_code", "to_code", "from_name", "to_name", "ord")
+
+
+def styled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's words as runs, formatted by their lengths."""
+    words = F.transform(F.split("text", " "), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), F.element_at(F.array(F.lit(0), F.lit(2), F.lit(16), F.lit(18)), F.pmod(F.length(w), F.lit(4)) + 1).alias("flags")))
+    return lines(spark, sf_dir).select("doc_id", "block_idx", styled(words).alias("s")).select("doc_id", "block_idx", F.sha2("s.html", 256).alias("html"), F.trim("s.plain").alias("plain"))
+
+
+STYLED = f"""
+WITH {LINES}, w AS (SELECT doc_id, block_idx, text, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM lines),
+e AS (SELECT *, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ' ' AS h FROM w)
+SELECT doc_id, block_idx, sha256(string_agg(CASE length(x) % 4 WHEN 0 THEN h WHEN 1 THEN '<i>' || h || '</i>' WHEN 2 THEN '<b>' || h || '</b>' ELSE '<b><i>' || h || '</i></b>' END, '' ORDER BY i)) AS html, any_value(text) AS plain
+FROM e GROUP BY doc_id, block_idx
+"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(layout boxes, tables): eight lines a page; lines of under 12 characters are images; pages of over four lines have a table over the third and fourth, and half of the fifth."""
+    box = lambda *x: F.struct(*[v.cast("double").alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), x, strict=True)])
+    n = F.col("block_idx")
+    span = lambda t: F.array(F.struct(t.alias("text"), F.lit(2).alias("flags")))
+    short = F.length("text") < 12
+    rows = lines(spark, sf_dir).select("doc_id", F.floor(n / 8).cast("int").alias("page"), (n % 8).alias("pos"), "text", short.cast("int").alias("type"))
+    boxes = rows.select("doc_id", "page", "pos", "type", box(F.lit(0), F.col("pos") * 10, F.lit(9), F.col("pos") * 10 + 10).alias("bbox"), F.when(F.col("type") == 1, F.array().cast("array<array<struct<text:string,flags:int>>>")).otherwise(F.transform(F.split("text", ", "), span)).alias("lines"))
+    tables = rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")).filter("n > 4").select("doc_id", "page", F.lit(0).alias("table_idx"), box(F.lit(-5), F.lit(20), F.lit(50), F.lit(45)).alias("bbox"))
+    return boxes, tables
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with a layout: lines joined, tables and images marked, fragments merged."""
+    return layout.layout_blocks(*_boxes(spark, sf_dir)).select("doc_id", "block_idx", "kind", "text", "html")
+
+
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with pages that hold images alone, and the warning."""
+    found = layout.scanned_pages(_boxes(spark, sf_dir)[0])
+    return found.select("doc_id", "n_scanned", F.array_join(F.col("first_pages").cast("array<string>"), ", ").alias("first_pages"), layout.scanned_warning(F.col("n_scanned"), F.col("first_pages")).alias("warning"))
+
+
+_BOXES = f"""{LINES}, box AS (
+  SELECT doc_id, block_idx // 8 AS page, block_idx % 8 AS pos, text, length(text) < 12 AS image, count(*) OVER (PARTITION BY doc_id, block_idx // 8) > 4 AND block_idx % 8 IN (2, 3) AS inside FROM lines
+)"""
+
+LAYOUT = rf"""
+WITH {_BOXES}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page, inside AND NOT image ORDER BY pos) AS k,
+         trim(regexp_replace(replace(regexp_replace(text, '-, ([a-záéíóúüñàèìòùâêîôûäëïöç])', '\1', 'g'), ', ', ' '), '\s+', ' ', 'g')) AS joined FROM box
+), b AS (
+  SELECT doc_id, page * 8 + pos AS nr, CASE WHEN image OR inside THEN 'marker' ELSE 'paragraph' END AS kind,
+         CASE WHEN image THEN '[imagen omitida]' WHEN inside THEN '[tabla omitida]' ELSE joined END AS text
+  FROM placed WHERE image OR (inside AND k = 1) OR (NOT inside AND joined <> '' AND NOT regexp_matches(joined, '^[0-9]{{1,4}}$'))
+), flag AS (
+  SELECT *, lag(text) OVER w AS p, coalesce(kind = 'paragraph' AND lag(kind) OVER w = 'paragraph' AND (lag(text) OVER w LIKE '%-' OR (NOT regexp_matches(lag(text) OVER w, '[.!?:;…»”"'']\s*$') AND regexp_matches(text, '^[a-záéíóúüñàèìòùâêîôûäëïöç]'))), false) AS joins
+  FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY nr)
+), isle AS (
+  SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER w AS island, CASE WHEN NOT joins OR p LIKE '%-' THEN '' ELSE ' ' END AS sep, coalesce(lead(joins) OVER w, false) AND text LIKE '%-' AS cut
+  FROM flag WINDOW w AS (PARTITION BY doc_id ORDER BY nr)
+), part AS (
+  SELECT *, CASE WHEN cut THEN left(text, -1) ELSE text END AS t FROM isle
 )
-SELECT d AS doc_id, images, tables, notes, CASE WHEN images + tables + notes > 0 THEN 'elementos omitidos con marca en el HTML: ' || concat_ws(', ', CASE WHEN images > 0 THEN images || ' imagen(es)' END, CASE WHEN tables > 0 THEN tables || ' tabla(s)' END, CASE WHEN notes > 0 THEN notes || ' nota(s)' END) END AS summary
-FROM n
+SELECT doc_id, CAST(island - 1 AS INTEGER) AS block_idx, any_value(kind) AS kind, string_agg(sep || t, '' ORDER BY nr) AS text,
+       CASE WHEN any_value(kind) = 'marker' THEN '' ELSE string_agg(sep || '<i>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</i>', '' ORDER BY nr) END AS html
+FROM part GROUP BY doc_id, island
+"""
+
+SCANNED = f"""
+WITH {_BOXES}, p AS (SELECT doc_id, page + 1 AS page FROM box GROUP BY doc_id, page HAVING bool_and(image)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p),
+d AS (SELECT doc_id, count(*) AS n_scanned, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) FILTER (WHERE i <= 10) AS first_pages FROM k GROUP BY doc_id)
+SELECT *, 'PDF: ' || n_scanned || ' página(s) sin capa de texto omitida(s) (¿escaneadas?): ' || first_pages || CASE WHEN n_scanned > 10 THEN '…' ELSE '' END || '. OCR fuera del alcance.' AS warning FROM d
 """
 
+_PACKAGES_MORE = _PACKAGES_SQL[:-1] + ", ('es', 'Castilian', 'ca', 'Valencian', false, 10), ('xa', '', 'en', 'English', false, 11))"
+
+LANGUAGES_USED = f"""
+WITH {_PACKAGES_MORE}, names AS (
+  SELECT c AS code, arg_min(CASE WHEN n = '' THEN c ELSE n END, p) AS name FROM (SELECT f AS c, fn AS n, (CASE WHEN i THEN 0 ELSE 1000 END) + o * 2 AS p FROM packages UNION ALL SELECT t, tn, (CASE WHEN i THEN 0 ELSE 1000 END) + o * 2 + 1 FROM packages) GROUP BY c
+)
+SELECT code, name, (SELECT count(*) FROM documents WHERE lang = code) AS documents, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS place FROM names
+"""
+
+LANGUAGE_MENU = f"""
+WITH {_PACKAGES_SQL}, names AS (
+  SELECT c, arg_min(n, p) AS n FROM (SELECT f AS c, fn AS n, (CASE WHEN i THEN 0 ELSE 1000 END) + o * 2 AS p FROM packages UNION ALL SELECT t, tn, (CASE WHEN i THEN 0 ELSE 1000 END) + o * 2 + 1 FROM packages) GROUP BY c
+)
+SELECT string_agg(n || ' (' || c || ')', ', ' ORDER BY n) AS languages FROM names
+"""
+
+INSTALL_LIST = f"""
+{PAIR_PLAN.replace("codes AS (SELECT f AS c FROM packages UNION SELECT t FROM packages)", "codes(c) AS (VALUES ('es'), ('pt'))").replace("SELECT source, target, w = 'pivot' AS pivot,", "SELECT DISTINCT p.f AS from_code, p.t AS to_code, p.fn AS from_name, p.tn AS to_name, p.o AS ord FROM (SELECT source, target, w = 'pivot' AS pivot,")}) AS plan
+JOIN packages p ON contains(',' || to_install || ',', ',' || p.f || '>' || p.t || ',')
+"""
+
+# Inline Markdown without lookarounds: two passes take the place of one that looks at its neighbours.
+_ITALIC = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(^|[^*])\*([^*\n]+)\*($|[^*])', '\1{a}\2{b}\3', 'g'), '(^|[^*])\*([^*\n]+)\*($|[^*])', '\1{a}\2{b}\3', 'g'), '(^|[^_])_([^_\n]+)_($|[^_])', '\1{a}\2{b}\3', 'g'), '(^|[^_])_([^_\n]+)_($|[^_])', '\1{a}\2{b}\3', 'g')"
+_LINKS = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[\^[^\]]+\]', '', 'g'), '\[([^\]]+)\]\(([^)]*)\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '\s+', ' ', 'g'))"
 _BOLD = r"\*\*(.+?)\*\*|__(.+?)__"
 
+_UNLINKED = f"unlinked AS (SELECT doc_id, block_idx, {_LINKS} AS x FROM lines)"
+_PLAIN = _ITALIC.format(rf"regexp_replace(x, '{_BOLD}', '\1\2', 'g')", a="", b="")
+_MARKED = _ITALIC.format(rf"regexp_replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '{_BOLD}', '<b>\1\2</b>', 'g')", a="<i>", b="</i>")
+#: The documents' lines have no other markup than inline one.
+MARKDOWN = f"WITH {LINES}, {_UNLINKED} SELECT doc_id, 0 AS chapter_idx, block_idx, 'paragraph' AS kind, {_PLAIN} AS text, {_MARKED} AS html, 2 AS level FROM unlinked"
+ITALICS = f"WITH {LINES}, {_UNLINKED} SELECT doc_id, block_idx, {_PLAIN} AS text, {_MARKED} AS html FROM unlinked"
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "doc_volume": (doc_volume, DOC_VOLUME),
     "line_blocks": (line_blocks, f"WITH {LINES} SELECT doc_id, block_idx, text FROM lines"),
-    "markdown_blocks": (markdown_blocks, None),
+    "markdown_blocks": (markdown_blocks, MARKDOWN),
     "line_volume": (line_volume, LINE_VOLUME),
     "language_volume": (language_volume, f"WITH {LINES} SELECT lang, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS words, count(*) AS paragraphs, count(*) AS translatable FROM lines GROUP BY lang"),
     "sample_text": (sample_text, SAMPLE),
     "bold_plain": (bold_plain, rf"WITH {LINES} SELECT doc_id, block_idx, regexp_replace(text, '{_BOLD}', '\1\2', 'g') AS text FROM lines"),
     "inline_html": (inline_html, rf"WITH {LINES} SELECT doc_id, block_idx, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '{_BOLD}', '<b>\1\2</b>', 'g') AS html FROM lines"),
-    "italic_plain": (italic_plain, None),
+    "italic_plain": (italic_plain, ITALICS),
     "content_hash": (content_hash, "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, substring(sha256(coalesce(text, '')), 1, 12) || '-' || lang || '-xx' AS job FROM documents"),
-    "pending_blocks": (pending_blocks, f"WITH {LINES} SELECT doc_id, block_idx, text FROM lines WHERE doc_id % 3 <> 0"),
-    "resume_counts": (resume_counts, f"WITH {LINES} SELECT doc_id, count(*) AS translatable, count(*) FILTER (WHERE doc_id % 3 = 0) AS resumed, count(*) FILTER (WHERE doc_id % 3 <> 0) AS fresh FROM lines GROUP BY doc_id"),
-    "resume_last_wins": (resume_last_wins, f"WITH {LINES} SELECT sha256(CAST(doc_id AS VARCHAR)) AS sha256, lang || '-xx' AS pair, block_idx, CASE WHEN block_idx % 2 = 0 THEN text || '!' ELSE lower(text) END AS t FROM lines WHERE doc_id % 3 = 0"),
+    "pending_blocks": (pending_blocks, f"WITH {KEYED} SELECT doc_id, block_idx, text FROM keyed ANTI JOIN store USING (sha256, pair, block_idx)"),
+    "resume_counts": (resume_counts, f"WITH {KEYED} SELECT k.doc_id, count(*) AS translatable, count(s.t) AS resumed, count(*) - count(s.t) AS fresh FROM keyed k LEFT JOIN store s USING (sha256, pair, block_idx) GROUP BY k.doc_id"),
+    "resume_last_wins": (resume_last_wins, f"WITH {KEYED} SELECT sha256, pair, block_idx, t FROM every"),
     "aligned_rows": (aligned_rows, f"{ALIGNED} SELECT doc_id, block_idx, row FROM rendered"),
     "rendered_document": (rendered_document, f"{ALIGNED} SELECT doc_id, length(string_agg(row, E'\\n' ORDER BY block_idx)) AS chars, sha256(string_agg(row, E'\\n' ORDER BY block_idx)) AS sha256 FROM rendered GROUP BY doc_id"),
     "merge_fragments": (merge_fragments, MERGED),
@@ -347,9 +619,20 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "language_lookup": (language_lookup, _lookup_sql()),
     "pair_plan": (pair_plan, PAIR_PLAN),
     "detected_language": (detected_language, None),
-    "omitted_summary": (omitted_summary, OMITTED),
-    "page_blocks": (page_blocks, None),
-    "page_titles": (page_titles, None),
-    "page_omitted": (page_omitted, None),
+    "omitted_summary": (omitted_summary, _omitted_sql("marked")),
+    "page_blocks": (page_blocks, f"WITH {PAGES} SELECT doc_id, block_idx, kind, text, html, level FROM blocks"),
+    "page_titles": (page_titles, PAGE_TITLES),
+    "page_omitted": (page_omitted, _omitted_sql("blocks")),
+    "page_rows": (page_rows, PAGE_ROWS),
+    "page_volume": (page_volume, PAGE_VOLUME),
     "conversation_blocks": (conversation_blocks, CONVERSATIONS),
+    "numbers_text": (numbers_text, NUMBERS),
+    "file_names": (file_names, FILE_NAMES),
+    "decoded_text": (decoded_text, DECODED),
+    "languages_used": (languages_used, LANGUAGES_USED),
+    "language_menu": (language_menu, LANGUAGE_MENU),
+    "install_list": (install_list, INSTALL_LIST),
+    "styled_words": (styled_words, STYLED),
+    "layout_blocks": (layout_blocks, LAYOUT),
+    "scanned_pages": (scanned_pages, SCANNED),
 }

@@ -93,10 +93,6 @@ def test_layout(spark):
         ("paragraph", "goes on here.", "goes on here."),
     ]
     assert [tuple(r) for r in layout.scanned_pages(pdf).collect()] == [("a", 1, [2])]
-    pages = [{"blocks": [{"type": r[3], "bbox": tuple(r[4].values()), "lines": [{"spans": s} for s in r[5]]} for r in rows if r[1] == p], "tables": [(20, 0, 35, 10)] if p == 0 else []} for p in range(3)]
-    folded, scanned = layout.fold_pages(pages)
-    assert [(b["kind"], b["text"], b["html"]) for b in folded] == found and scanned == [2]
-    assert "1, 2, 3, 4, 5, 6, 7, 8, 9, 10…" in layout.scanned_warning(list(range(1, 12)))
 
 
 def test_languages(spark):
