@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a file go to Python in batches of about so many bytes.
+ARROW_BYTES = 4 << 20
+#: A key with a larger share of all rows than one in so many counts as hot; so there are at most so many hot keys.
+HOT_SHARE, LEAST_HOT = 50_000, 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,9 +66,111 @@ def input_bytes(df: DataFrame) -> int:
 
 def pieces(df: DataFrame, each: int, least: int) -> int:
     """Into how many pieces of about ``each`` input bytes to deal a table."""
-    return int(max(least, min(-(-input_bytes(df) // each), 1 << 20)))
+    return int(max(least, -(-input_bytes(df) // each)))
 
 
 def crc_mod(col, k: int):
     """crc32 of an id as text, modulo k; null for a null id."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(k)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, which are 10,000 rows of any size else; a smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and 0 < int(now) <= ARROW_BYTES):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+_RELEASED = [0.0]
+
+
+def release_memory(every: float = 0.0) -> None:
+    """Give freed memory of this Python worker back to the system, at most once in ``every`` seconds."""
+    import pyarrow as pa
+
+    if time.monotonic() - _RELEASED[0] < every:
+        return
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    _RELEASED[0] = time.monotonic()
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches (for ``mapInArrow``) whose worker keeps no freed memory for the next task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable) -> Iterator:
+        try:
+            for out in run(batches):
+                yield out
+                release_memory(5.0)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of one group's table (for ``applyInArrow``)."""
+
+    def one(table):
+        try:
+            return run(table)
+        finally:
+            release_memory(1.0)
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release_memory(1.0)
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
+def located(docs: DataFrame, *keep: str) -> tuple[DataFrame, str, str]:
+    """The rows with two more columns, whose names are returned, that tell each row from all others and lead back to it: a hash of its file's path, and its place in the file.
+
+    The columns come from the scan, so they are the same in each reading. Rows that
+    don't come straight from Parquet files are written to the shared folder first.
+    ``keep`` names the columns that are needed (all, if none is given).
+    """
+    bounded_batches(docs.sparkSession)
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if not (plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.simpleString(1000).split("]")[-1]):
+        docs = settled(docs.select(*keep) if keep else docs, "located")
+    names = []
+    for name in ("at_file", "at_row"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    place = docs.metadataColumn("_metadata")
+    file, row = F.xxhash64(place["file_path"]), place["row_index"]
+    return docs.select(*(keep or ["*"]), file.alias(names[0]), row.alias(names[1])), *names
+
+
+def skew_joined(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join with a table that has one row a key and, in ``count``, how many of ``rows`` have that key.
+
+    Hot keys (at most ``HOT_SHARE`` by their definition) are broadcast, so their
+    rows stay where they are; the others are joined by a shuffle.
+    """
+    total = found.agg(F.sum(count)).head()[0] or 0
+    least = max(LEAST_HOT, total // HOT_SHARE)
+    hot = found.filter(F.col(count) >= least)
+    if hot.isEmpty():
+        return rows.join(found, keys)
+    rare = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.filter(F.col(count) < least), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rare)
+
+
+def without_rows(docs: DataFrame, at: tuple[str, str], dropped: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows whose place isn't in ``dropped`` (two columns, as ``at`` of docs); up to ``most`` places (some 60 MB as a hash table) are broadcast."""
+    dropped = settled(dropped.toDF("gone_file", "gone_row"), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= most else dropped
+    return docs.join(dropped, (docs[at[0]] == dropped["gone_file"]) & (docs[at[1]] == dropped["gone_row"]), "left_anti").drop(*at)

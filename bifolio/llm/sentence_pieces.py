@@ -27,6 +27,7 @@ an empty table gives an empty result. Only the columns named are read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import re
 import zlib
@@ -38,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, lean
 from .text_kernel import BASES, U, mix, sliced
 
 SPACE = "▁"
@@ -46,12 +48,14 @@ UNIGRAM, BPE = 1, 2
 CELLS = 4_000_000
 #: Judged pairs are remembered in so many slots, as a power of 2.
 PAIR_BITS = 20
+#: Bytes of remembered stretches, with about ``ENTRY_BYTES`` for each beside its text and ids; as much again is kept of the ones before.
+REMEMBERED_BYTES, ENTRY_BYTES = 24 << 20, 200
 
 
 class Pieces:
     """A model's pieces, with encoding and decoding."""
 
-    def __init__(self, path: str, kind: int | None = None, remembered: int = 300_000) -> None:
+    def __init__(self, path: str, kind: int | None = None, remembered: int = REMEMBERED_BYTES) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         with open(path, "rb") as f:
@@ -89,7 +93,11 @@ class Pieces:
         self.own = np.zeros(len(model.pieces), np.int8)  # 1: a piece that encodes to itself, -1: it doesn't, 0: not judged yet
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.remembered, self.held = remembered, 0
+        parts = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
+        self.piece_size = np.array([len(x) for x in parts], np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(parts), np.uint8)
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -102,17 +110,26 @@ class Pieces:
 
     def merged(self, word: str) -> list[str]:
         """The BPE encoding of a word: the best-scored neighbours merge, the leftmost of equals first."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and s > best:
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list[str | None] = list(word)
+        n, score = len(parts), self.score
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-found, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (found := score.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or parts[i] + parts[j] != both:  # one of the two has merged meanwhile
+                continue
+            parts[i], parts[j] = both, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := score.get(both + parts[k])) is not None:
+                    heapq.heappush(heap, (-found, i, both + parts[k]))
+            h = before[i]
+            if h >= 0 and (found := score.get(parts[h] + both)) is not None:
+                heapq.heappush(heap, (-found, h, parts[h] + both))
+        return [x for x in parts if x is not None]
 
     def stay(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether two pieces, encoded together, stay these two, for many pairs."""
@@ -231,42 +248,44 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut = [[] if not t else self._spaced(t) if self._runs.search(t) or t[0] == " " else t.split(" ") for t in texts]
-        if len(self.known) > self.remembered:
-            self.older, self.known = self.known, {}
+        if self.held > self.remembered:
+            self.older, self.known, self.held = self.known, {}, 0
         new = set()
         for parts in cut:
             new.update(parts)
         new.difference_update(self.known)
         if self.older and new:
             again = {x: self.older[x] for x in new if x in self.older}
-            self.known.update(again)
+            self._remember(again)
             new.difference_update(again)
         if new:
             found = self.learn([x if x[:1] == SPACE else SPACE + x for x in new])
-            self.known.update((x, found[x if x[:1] == SPACE else SPACE + x]) for x in new)
+            self._remember({x: found[x if x[:1] == SPACE else SPACE + x] for x in new})
         known = self.known
         return [b"".join([known[x] for x in parts]) for parts in cut]
 
+    def _remember(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.held += sum(len(x) + len(ids) + ENTRY_BYTES for x, ids in found.items())
+
     @staticmethod
     def _spaced(text: str) -> list[str]:
         """Runs of spaces with what follows them, of a text that has some."""
         return re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
 
+    def decode_all(self, coded: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 texts of many arrays of ids, by one table lookup; bytes that aren't UTF-8 become U+FFFD, control ids nothing."""
+        ids = np.concatenate([np.zeros(0, np.int64), *coded]).astype(np.int64)
+        size = self.piece_size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = self.piece_bytes[np.arange(int(ends[-1])) + np.repeat(self.piece_start[ids] - ends[:-1], size)].tobytes()
+        cut = ends[np.concatenate(([0], np.cumsum([len(x) for x in coded]))).astype(np.int64)].tolist()
+        texts = [data[a + (data[a : a + 1] == b" " and a < b) : b] for a, b in zip(cut, cut[1:])]
+        return [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in texts]
+
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; bytes that aren't UTF-8 become U+FFFD, control ids nothing."""
-        out, data = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                data.append(self.byte_of[i])
-                continue
-            if data:
-                out.append(data.decode("utf-8", "replace"))
-                data.clear()
-            out.append(self.text[i])
-        if data:
-            out.append(data.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        """The text of ids."""
+        return self.decode_all([np.array(list(ids), np.int64)])[0].decode()
 
 
 _LOADED: dict[tuple, Pieces] = {}
@@ -285,11 +304,12 @@ def _mapped(docs: DataFrame, path: str, kind: int | None, id_col: str, text_col:
         pieces = loaded(path, kind)
         names = [f.split()[0] for f in schema.split(", ")]
         for whole in batches:
-            for batch in sliced(whole, "text", 1 << 22):
+            for batch in sliced(whole, "text", 1 << 20):
                 coded = pieces.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns(pieces, coded)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def encoded(docs: DataFrame, path: str, kind: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +327,7 @@ def round_trip(docs: DataFrame, path: str, kind: int | None = None, id_col: str
     """doc_id, n_tokens, the crc32 of the little-endian uint32 ids, and the sha256 of the text decoded from them."""
 
     def columns(pieces: Pieces, coded: list[bytes]) -> list[pa.Array]:
-        back = [hashlib.sha256(pieces.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in coded]
+        back = [hashlib.sha256(x).hexdigest() for x in pieces.decode_all([np.frombuffer(x, "<u4") for x in coded])]
         return [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([zlib.crc32(x) for x in coded], pa.int64()), pa.array(back, pa.string())]
 
     return _mapped(docs, path, kind, id_col, text_col, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string", columns)
@@ -319,6 +339,6 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in pieces.decode_all([np.array(x or [], np.int64) for x in batch.column(1).to_pylist()])], pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(lean(run), "doc_id long, text string")
