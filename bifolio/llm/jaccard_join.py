@@ -14,23 +14,30 @@ and expected chance matches. Segments too short to tell (fewer tokens than
 v_i) are left out, unless a set has so many of them that the guarantee would
 be lost; then it indexes them all.
 
-Index entries travel packed: each batch of documents sends each bucket one row
-with its hashes. Sets that share an entry are candidates; the components of
-candidates are compared token by token with a prefix filter in the order of
-local token counts, and pairs already joined by other links are skipped, so no
-list of all pairs arises. A component too large for one task is cut into
+Index entries travel packed: each stretch of documents sends each bucket one row
+with its hashes. Sets that share an entry are candidates. Their components are
+only the first sieve, as passages that many texts share can chain them together.
+The second compares sketches: a set's sketch has a bit for each of about as many
+hash values as it has tokens, 1 where an odd number of its tokens fall. Two
+sketches differ in no more bits than the sets in tokens, so no linked pair is
+lost. Sets of neighbouring size bands are compared, some 0.1 byte a token. What
+is left in components is compared token by token with a prefix filter in the
+order of local token counts, and pairs already joined by other links are skipped,
+so no list of all pairs arises. A component too large for one task is cut into
 chunks, and each pair of chunks is a task.
 
 The result has one row a document: n_shingles, and component_id, the least id
 that can be reached by links. Null text and text without words have no
-shingles and are linked with nothing. Null ids link like others but can't name
-a component: a text that only rows without an id hold is compared with its
-equals alone. Repeated rows are copies of each other. Empty tables give empty
-results. Only the columns named are read.
+shingles and are linked with nothing. Rows are told apart by their place in their
+file, so rows without an id link like others, and rows that share an id are
+documents of their own; a component's name is the least id in it, null if it has
+none. Repeated rows are copies of each other. Empty tables give empty results.
+Only the columns named are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -39,13 +46,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settled
+from .common import lean, lean_group, located, pieces, settled, skew_joined
 from .components import connected
 from .text_kernel import U, ascii_lower, gram_hashes, mix, sliced, span_hashes, utf8, words
 
 SHINGLE, PERCENT = 3, 90
-BUCKET_BYTES = 32 << 20
-CHUNK_SETS, CHUNK_TOKENS = 2048, 4_000_000
+#: Of the cost of a scheme: so many other sets share a passage with a set.
+SHARING = 3
+BUCKET_BYTES = 8 << 20
+RANGE_ENTRIES = 200_000
+CHUNK_SETS, CHUNK_TOKENS = 2048, 1_000_000
 #: So many candidates of some 60 bytes (about 30 MB as a hash table) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_UNITS = 500_000
 
@@ -96,30 +106,46 @@ def band_starts(most: int, percent: int) -> np.ndarray:
     return np.array(found, np.int64)
 
 
+def weak_weight(t: float, ones: int, twos: int) -> float:
+    """An upper bound, at three standard deviations, of the weight of the segments with fewer tokens than their v, at t tokens a segment."""
+    one, two = math.exp(-t), math.exp(-t) * (1 + t)
+    return ones * one + 2 * twos * two + 3 * math.sqrt(ones * one + 4 * twos * two)
+
+
 @lru_cache(None)
 def allocation(low: int, high: int, percent: int) -> tuple[int, int, int, int]:
     """(H, segments with v = 1, segments with v = 2, spare) for smaller sets of ``low`` to ``high`` tokens.
 
-    The cost of a segment of t tokens is its entries plus the expected chance
-    matches of an entry, 200 * 0.3**(tokens in the entry).
+    ``spare`` is so large that few sets have more weight of weak segments. The
+    cost of a scheme is its entries, and the tokens of the sets of ``SHARING``
+    others, one with each of which a tenth of the tokens is shared, times the
+    chance that they agree in a segment.
     """
     largest = high + high * 100 // percent
     most = largest * (100 - percent) // (100 + percent)
-    spare = 1 if most >= 8 else 2
-    need = most + 1 + spare
+    size = (low + high) / 2
     best = None
-    for twos in range(need // 2 + 1):
-        ones = need - 2 * twos
-        t = (low + high) / 2 / (ones + twos)
-        one, two = 1 + 200 * 0.3**t, (1 + t) * (1 + 200 * 0.3 ** max(t - 1, 0))
-        cost = ones * one + twos * two
+    for twos in range(most + 2):
+        for spare in range(1 if most >= 8 else 2, most + 24):
+            ones = most + 1 + spare - 2 * twos
+            if ones >= 0 and spare >= weak_weight(t := size / (ones + twos), ones, twos):
+                break
+        else:
+            continue
+        apart = 0.9 * t
+        agree = math.exp(-2 * apart) * (1 - math.exp(-t / 10))
+        cost = ones + twos * (1 + t) + SHARING * size * agree * (ones + twos * (1 + 2 * apart))
         if best is None or cost < best[0]:
-            best = (cost, ones, twos)
-    return most, best[1], best[2], spare
+            best = (cost, ones, twos, spare)
+    if best is None:  # sets so small that some segment of each is weak
+        spare = 2
+        twos = (most + 1 + spare) // 2
+        best = (0, most + 1 + spare - 2 * twos, twos, spare)
+    return most, *best[1:]
 
 
 def signatures(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry hash, set number) of every index entry of every set."""
+    """(entry, set number) of every index entry of every set: 48 bits, the lowest 1 if it is a whole segment, 0 if one token is left out."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     if not len(tokens):
@@ -155,32 +181,97 @@ def signatures(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
         lost = np.bincount(owner, np.where(weak, v, 0), n) > own[:, 3]
         salt = mix((scheme_of[owner].astype(U) << U(32)) + number.astype(U) + U(1))
         keep = ~weak | lost[owner] | (count > 0)
-        out.append((mix(sums[keep] ^ salt[keep]), owner[keep]))
+        out.append((mix(sums[keep] ^ salt[keep]) >> U(17) << U(1) | U(1), owner[keep]))
         if (own[:, 2] > 0).any():
             pick = v[place] == 2
             pick &= (count[place] > 1) | lost[d]
             p = place[pick]
-            out.append((mix((sums[p] - t[pick]) ^ salt[p]), d[pick]))
+            out.append((mix((sums[p] - t[pick]) ^ salt[p]) >> U(17) << U(1), d[pick]))
     if not out:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+# ---- sketches ---------------------------------------------------------------
+
+
+def sketches(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each set's parity bits: a power of 2 of them, at least 64 and at least its size."""
+    size = np.diff(offsets)
+    width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / 64)).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(width)))
+    of = np.repeat(np.arange(len(size)), size)
+    bit = (mix(tokens ^ U(0xE7037ED1A0B428DB)) & (width[of] - 1).astype(U)).astype(np.int64)
+    odd = np.zeros(int(first[-1]), np.uint8)
+    np.bitwise_xor.at(odd, first[of] + bit, np.uint8(1))
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def near_sketches(found: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
+    """Roots of the sets under the pairs whose sketches, cut to the shortest, differ in no more bits than linked sets in tokens."""
+    n = len(found)
+    least = min(map(len, found))
+    rows = np.empty((n, least // 8), U)
+    for i, x in enumerate(found):  # a wider sketch, folded, is a narrower one
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, least // 8), axis=0)
+    order = np.argsort(size, kind="stable")
+    rows, size = rows[order], size[order].astype(np.int64)
+    last = np.searchsorted(size, size * 100 // percent, side="right")
+    joined = Joined(n)
+    for i in range(n):
+        some = slice(i + 1, int(last[i]))
+        if some.start >= some.stop:
+            continue
+        apart = np.bitwise_count(rows[some] ^ rows[i]).sum(1, dtype=np.int64)
+        for j in (i + 1 + np.flatnonzero(apart * (100 + percent) <= (size[some] + size[i]) * (100 - percent))).tolist():
+            a, b = joined.find(i), joined.find(j)
+            joined.up[max(a, b)] = min(a, b)
+    roots = np.empty(n, np.int64)
+    roots[order] = order[joined.roots(np.arange(n))]
+    return roots
+
+
 # ---- packed index entries ---------------------------------------------------
 
 
 def packed(entries: np.ndarray, keys: np.ndarray) -> bytes:
-    """Entry hashes, then the set key of each as a place in a table of keys."""
+    """Sorted entries byte plane by byte plane, then the set key of each as a place in a table of keys."""
     nodes, at = np.unique(keys, return_inverse=True)
-    return np.array([len(entries), len(nodes)], "<u4").tobytes() + entries.astype("<u8").tobytes() + nodes.astype("<u8").tobytes() + at.astype("<u2" if len(nodes) <= 1 << 16 else "<u4").tobytes()
+    wide = 2 if len(nodes) <= 1 << 16 else 4
+    planes = lambda x, width: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+    return np.array([len(entries), len(nodes)], "<u4").tobytes() + planes(entries.astype("<u8"), 6) + nodes.astype("<u8").tobytes() + planes(at.astype("<u4"), wide)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, k = np.frombuffer(blob, "<u4", 2).astype(int)
-    entries = np.frombuffer(blob, "<u8", n, 8)
-    nodes = np.frombuffer(blob, "<u8", k, 8 + 8 * n)
-    at = np.frombuffer(blob, "<u2" if k <= 1 << 16 else "<u4", n, 8 + 8 * n + 8 * k)
-    return entries, nodes[at]
+    wide = 2 if k <= 1 << 16 else 4
+
+    def whole(data: np.ndarray, kind: str) -> np.ndarray:
+        out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        out[:, : len(data) // max(n, 1)] = data.reshape(-1, n).T
+        return out.view(kind).ravel()
+
+    entries = whole(np.frombuffer(blob, np.uint8, 6 * n, 8), "<u8")
+    nodes = np.frombuffer(blob, "<u8", k, 8 + 6 * n)
+    return entries, nodes[whole(np.frombuffer(blob, np.uint8, wide * n, 8 + 6 * n + 8 * k), "<u4")]
+
+
+def by_range(parts: list[tuple[np.ndarray, np.ndarray]], each: int = RANGE_ENTRIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A bucket's packets put together by ranges of entries, of about ``each`` entries; equal segments with and without a token left out stay together."""
+    n = sum(len(e) for e, _ in parts)
+    low, high = min(int(e[0]) for e, _ in parts), max(int(e[-1]) for e, _ in parts)
+    edges = np.linspace(low, high, max(2, n // each + 2)).astype(U)[1:-1] & ~U(1)
+    cuts = [np.concatenate(([0], np.searchsorted(e, edges), [len(e)])) for e, _ in parts]
+    for r in range(len(edges) + 1):
+        yield tuple(np.concatenate([p[side][c[r] : c[r + 1]] for p, c in zip(parts, cuts, strict=True)]) for side in (0, 1))
+
+
+def chain(nodes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all nodes of a root, each node having two at most; in random order, as contraction by least names takes a round for each node of a sorted chain."""
+    order = np.lexsort((mix(np.arange(len(roots), dtype=U)), roots))
+    same = roots[order][1:] == roots[order][:-1]
+    return nodes[order[:-1][same]], nodes[order[1:][same]]
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -201,14 +292,21 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_entries(entries: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all keys with a common entry, at most one a key."""
+    """Links that join all keys with a common entry, at most two a key.
+
+    Segments at most one token apart are equal or one is the other without a
+    token, so an entry counts only where a whole segment has it: two segments that
+    become equal by leaving out a token each are two tokens apart.
+    """
     nodes, at = np.unique(keys, return_inverse=True)
     order = np.argsort(entries, kind="stable")
-    e, k = entries[order], at[order]
-    same = e[1:] == e[:-1]
+    hashed, k = entries[order] | U(1), at[order]
+    same = hashed[1:] == hashed[:-1]
+    group = np.concatenate(([0], np.cumsum(~same)))
+    whole = np.bincount(group, (entries[order] & U(1)).astype(float)) > 0
+    same &= whole[group[1:]]
     root = local_roots(k[:-1][same], k[1:][same], len(nodes))
-    far = root != np.arange(len(nodes))
-    return nodes[far], nodes[root[far]]
+    return chain(nodes, root)
 
 
 # ---- comparison -------------------------------------------------------------
@@ -277,21 +375,30 @@ def compare(tokens: np.ndarray, offsets: np.ndarray, side: np.ndarray, cross: bo
 
 # ---- the join ---------------------------------------------------------------
 
+SETS = "doc_id long, file long, row long, n long, band int, k1 long, k2 long, sketch binary"
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The documents (SETS), and by set (k1, k2): n, copies (how many documents have it), and least: (null, doc_id, file, row) of the first document that links reach."""
+    source, file, row = located(docs, *dict.fromkeys((id_col, text_col)))
+    narrow = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
     buckets = pieces(narrow, BUCKET_BYTES, 12)
 
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("entries", pa.binary())]
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "text", 1 << 20):
                 tokens, offsets = shingle_sets(batch.column(1), shingle)
                 k1, k2 = set_keys(tokens, offsets)
-                n = len(k1)
-                none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *none], [f[0] for f in fields])
+                size = np.diff(offsets)
+                band = np.searchsorted(band_starts(int(size.max(initial=1)), percent), size, side="right") - 1
+                columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(size), pa.array(band.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sketches(tokens, offsets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SETS.split(", ")])
+
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text", 1 << 20):
+                tokens, offsets = shingle_sets(batch.column(0), shingle)
+                k1, _ = set_keys(tokens, offsets)
                 entries, of = signatures(tokens, offsets, percent)
                 if not len(entries):
                     continue
@@ -301,53 +408,75 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 fresh = np.ones(len(entries), bool)
                 fresh[1:] = (entries[1:] != entries[:-1]) | (keys[1:] != keys[:-1])
                 entries, keys = entries[fresh], keys[fresh]
-                place = (entries % U(buckets)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                cut = np.searchsorted(place[order], np.arange(buckets + 1))
-                rows = [(b, packed(entries[o], keys[o])) for b in range(buckets) if len(o := order[cut[b] : cut[b + 1]])]
-                nulls = [pa.nulls(len(rows), pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([*nulls, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], [f[0] for f in fields])
+                cut = np.searchsorted((entries >> U(16)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=U))
+                rows = [(b, packed(entries[cut[b] : cut[b + 1]], keys[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
 
-    made = settled(narrow.mapInArrow(index, "doc_id long, n long, k1 long, k2 long, bucket int, entries binary"), "jaccard-index")
-    rows = made.filter("bucket is null").select("doc_id", "n", "k1", "k2")
-    classes = settled(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
+    rows = settled(narrow.mapInArrow(lean(measure), SETS), "jaccard-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row"))
+    classes = settled(rows.filter("n > 0").groupBy("k1", "k2").agg(first.alias("rep"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [unpacked(x) for x in table.column("entries").to_pylist()]
-        a, b = shared_entries(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    candidates = connected(made.filter("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(meet, "a long, b long"))
-    grouped = settled(classes.filter("rep is not null").join(candidates.toDF("k1", "cluster"), "k1"), "jaccard-candidates")
-    sizes = grouped.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
-    units = grouped.join(sizes.filter("members > 1"), "cluster").select(F.col("rep").alias("doc_id"), "k1", "k2", "cluster", "chunks", F.pmod(F.hash("k2"), "chunks").alias("chunk"))
-    units = settled(units, "jaccard-units")
-    units = F.broadcast(units) if units.count() <= BROADCAST_UNITS else units
-    texts = narrow.filter("doc_id is not null").join(units, "doc_id")
-    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "k1", "k2", "text")
+        found = [link for entries, keys in by_range([unpacked(x) for x in table.column("entries").to_pylist()]) for link in [shared_entries(entries, keys)]]
+        return pa.table({c: np.concatenate([x[i] for x in found]).view(np.int64) for i, c in enumerate("ab")})
+
+    candidates = connected(narrow.select("text").mapInArrow(lean(index), "bucket int, entries binary").groupBy("bucket").applyInArrow(lean_group(meet), "a long, b long"))
+
+    # second sieve: sketches, by component and pair of neighbouring bands
+    grouped = settled(classes.join(candidates.toDF("k1", "cluster"), "k1").withColumn("zone", F.explode(F.array("band", F.col("band") + 1))), "jaccard-candidates")
+
+    def filtered(table: pa.Table) -> pa.Table:
+        k1 = table.column("k1").to_numpy()
+        roots = near_sketches(table.column("sketch").to_pylist(), table.column("n").to_numpy(), percent)
+        a, b = chain(k1, roots)
+        return pa.table({"a": a, "b": b})
+
+    near = chunk_pairs(grouped.select("cluster", "zone", "k1", "k2", "n", "sketch"), ["cluster", "zone"]).groupBy("cluster", "zone", "i", "j").applyInArrow(lean_group(filtered), "a long, b long")
+    clusters = connected(near.filter("a <> b"))
+
+    # what is left: token by token
+    left = settled(classes.select("k1", "k2", "n", F.col("rep.file").alias("file"), F.col("rep.row").alias("row")).join(clusters.toDF("k1", "cluster"), "k1"), "jaccard-units")
+    units = chunk_pairs(left, ["cluster"]).groupBy("file", "row").agg(F.collect_list(F.struct("cluster", "i", "j", "side")).alias("at"))  # as many as the component has chunks
+    units = F.broadcast(units) if left.count() <= BROADCAST_UNITS else units
+    spread = narrow.join(units, ["file", "row"]).select("text", F.explode("at").alias("u")).select("u.*", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         tokens, offsets = shingle_sets(table.column("text"), shingle)
         k1, k2 = set_keys(tokens, offsets)
-        # rows that share an id with the class's own are not its text
-        real = (k1.view(np.int64) == table.column("k1").to_numpy()) & (k2.view(np.int64) == table.column("k2").to_numpy())
-        _, first = np.unique(np.stack([k1[real], k2[real]], 1), axis=0, return_index=True)
-        keep = np.sort(np.flatnonzero(real)[first])
-        parts = [tokens[offsets[r] : offsets[r + 1]] for r in keep]
+        n = len(k1)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        side = table.column("side").to_numpy()[keep]
-        roots = compare(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))), side, i != j, percent) if len(keep) else np.zeros(0, np.int64)
-        far = np.flatnonzero(roots != np.arange(len(keep)))
-        name = [f"{k1[r]:016X}{k2[r]:016X}" for r in keep]
-        return pa.table({"a": pa.array([name[x] for x in far], pa.string()), "b": pa.array([name[roots[x]] for x in far], pa.string())})
-
-    links = spread.groupBy("cluster", "i", "j").applyInArrow(verify, "a string, b string")
-    roots = connected(links)
+        roots = compare(tokens, offsets, table.column("side").to_numpy(), i != j, percent)
+        name = np.array([f"{k1[r]:016X}{k2[r]:016X}" for r in range(n)], object)
+        a, b = chain(name, roots)
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    roots = connected(spread.groupBy("cluster", "i", "j").applyInArrow(lean_group(verify), "a string, b string"))
     named = classes.withColumn("node", F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("k1", "k2")]))
     linked = settled(named.join(roots, "node").select("k1", "k2", "root", "rep"), "jaccard-linked")
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    moved = linked.join(least, "root").select("k1", "k2", "least")
-    whole = classes.join(moved, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("least", "rep").alias("component_id"))
-    some = rows.filter("n > 0").join(whole, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    moved = linked.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select("k1", "k2", "least")
+    whole = classes.join(moved, ["k1", "k2"], "left").select("k1", "k2", "copies", F.coalesce("least", "rep").alias("least"))
+    return rows, settled(whole, "jaccard-components")
+
+
+def chunk_pairs(members: DataFrame, key: list[str]) -> DataFrame:
+    """The members of each key with more than one, once for each pair of chunks (i, j) that has theirs; ``side`` is 1 in j where i < j."""
+    sizes = members.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
+    dealt = members.join(sizes.filter("members > 1").drop("members"), key).withColumn("chunk", F.pmod(F.hash("k2"), "chunks"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).withColumn("side", (F.col("chunk") > F.col("other")).cast("int")).drop("chunks", "chunk", "other")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    rows, sets = set_components(docs, id_col, text_col, shingle, percent)
+    some = skew_joined(rows.filter("n > 0").select("doc_id", "n", "k1", "k2"), sets, ["k1", "k2"], "copies")
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id")).unionByName(alone)
+
+
+def later_in_group(docs_sets: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(file, row) of the documents that aren't the first of their component: by id, rows without one last, then by place."""
+    rows, sets = docs_sets
+    some = skew_joined(rows.filter("n > 0").select("file", "row", "k1", "k2"), sets.withColumn("first", F.struct("least.file", "least.row")).drop("least"), ["k1", "k2"], "copies")
+    return some.filter((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row"))).select("file", "row")
