@@ -1,19 +1,20 @@
 """Exact deduplication with keyed state on disk.
 
 A stream of (digest, id, locator) rows updates one state entry a digest: the
-largest id seen, the file it came from, and how many rows came.
-The state lies in RocksDB, is checkpointed in the shared folder and never
-expires, so later runs of the same stream go on where an earlier one ended.
-A digest alone is no proof: every row that hits an entry is compared with the
-whole text of the entry, and digests that two texts share are dealt with by the
-texts themselves. The entry's id serves as its locator: its text is found by
-scanning the table and joining on digest and id. The file is kept in the state
-but nothing reads it.
+largest id seen, where its text is (a hash of its file's path, and the row in the
+file), and how many rows came. The state lies in RocksDB, is checkpointed in the
+shared folder and never expires, so later runs of the same stream go on where an
+earlier one ended. A digest alone is no proof: where rows hit an entry, the entry's
+text is opened at its locator, and every distinct text of the hits is compared with
+it byte by byte. The texts that hit are made distinct before they are shuffled, so
+a text that a third of all rows have is sent once a task. Digests that two texts
+share are dealt with by the texts themselves.
 
 Null text counts as empty; rows without text are therefore copies of each
-other. Of equal texts the row with the largest id stays (null ids lose); of
-several rows with that same id exactly one is marked ``kept``. An empty table
-gives an empty result. Columns other than the id and the text are not read.
+other. Of equal texts the row with the largest id stays (null ids lose, and of
+several rows with that id the one last in place stays), so exactly one row of each
+text is ``kept``. An empty table gives an empty result. Columns other than the id
+and the text are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, shared_path
+from .common import located, settled, shared_path, skew_joined
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: So many digests of 32 bytes and ids of 8 (some 32 MB as a hash table) are sent to all executors; more are joined by a shuffle.
+#: So many digests of 32 bytes, or places of 16, (some 32 MB as a hash table) are sent to all executors; more are joined by a shuffle.
 BROADCAST_DIGESTS = 300_000
 
 
@@ -34,15 +35,20 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def texts_at(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, and the place of each row: file, row."""
+    found, file, row = located(docs, *dict.fromkeys((id_col, text_col)))
+    return found.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
+
+
+def state_rows(texts: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The narrow rows that the state needs: digest, id and where the text is."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(digest(text).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.input_file_name().alias("file"))
+    return texts.select(digest(F.col("text")).alias("digest"), "doc_id", "file", "row")
 
 
 def keyed_state(rows: DataFrame) -> DataFrame:
-    """The stateful step, for a stream (or a batch) of ``located`` rows: entry and count of each digest."""
-    return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file")).alias("entry"), F.count(F.lit(1)).alias("group_size"))
+    """The stateful step, for a stream (or a batch) of ``state_rows``: entry and count of each digest."""
+    return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("entry"), F.count(F.lit(1)).alias("group_size"))
 
 
 def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_per_batch: int = 256) -> None:
@@ -50,6 +56,7 @@ def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # as many stores; a new session would have the default
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")  # executors drop the stores soon after the stream ends
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
@@ -59,51 +66,59 @@ def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_
 
 
 def state_table(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state as rows: digest, keep_id, file, group_size."""
+    """The state as rows: digest, entry (doc_id, file, row), group_size."""
     found = spark.read.format("statestore").load(checkpoint)
     entry, count = (f.name for f in found.schema["value"].dataType.fields)
-    return found.select(F.col("key.digest").alias("digest"), F.col(f"value.{entry}.doc_id").alias("keep_id"), F.col(f"value.{entry}.file").alias("file"), F.col(f"value.{count}").alias("group_size"))
+    return found.select(F.col("key.digest").alias("digest"), F.col(f"value.{entry}").alias("entry"), F.col(f"value.{count}").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None) -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, digest."""
+    """One row a document: doc_id, keep_id, group_size, kept, digest, and its place: file, row."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    staged = settled(located(narrow, "doc_id", "text", digest), "dedup-rows")
+    texts = texts_at(docs, id_col, text_col)
+    staged = settled(state_rows(texts, digest), "dedup-rows")
     path = staged.inputFiles()
     checkpoint = checkpoint or shared_path(spark, "dedup-state")
     if path:
         run_stream(spark, path[0].rsplit("/", 1)[0], staged.schema, checkpoint)
-        groups = settled(state_table(spark, checkpoint).select("digest", "keep_id", "group_size"), "dedup-groups")
+        groups = settled(state_table(spark, checkpoint), "dedup-groups")
     else:
-        groups = keyed_state(staged).select("digest", "entry.doc_id", "group_size").toDF("digest", "keep_id", "group_size")
-    counted = staged.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    clashing = clashes(narrow, groups, digest)
+        groups = keyed_state(staged)
+    clashing = clashes(texts, staged, groups, digest)
     if clashing is None:
-        return spread(counted.join(groups, "digest"))
-    sound = counted.join(groups, "digest").join(clashing, "digest", "left_anti")
-    texts = narrow.withColumn("digest", digest(F.col("text"))).join(F.broadcast(clashing) if clashing.count() <= BROADCAST_DIGESTS else clashing, "digest", "left_semi")
-    by_text = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = texts.groupBy("digest", "text", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(by_text, ["digest", "text"]).drop("text")
-    return spread(sound.unionByName(again))
+        return decided(skew_joined(staged, groups, ["digest"], "group_size"))
+    sound = skew_joined(staged, groups, ["digest"], "group_size").join(clashing, "digest", "left_anti")
+    of_clash = texts.withColumn("digest", digest(F.col("text"))).join(_small(clashing), "digest", "left_semi")
+    by_text = keyed_state(of_clash.withColumn("digest", F.struct("digest", "text"))).select("digest.*", "entry", "group_size")
+    again = of_clash.join(by_text, ["digest", "text"]).drop("text")
+    return decided(sound.unionByName(again))
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    stays = (F.col("file") == F.col("entry.file")) & (F.col("row") == F.col("entry.row"))
+    return rows.select("doc_id", F.col("entry.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), "digest", "file", "row")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """A row for each copy; of the copies of the row that stays, the first is kept."""
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_DIGESTS else df
 
 
-def clashes(narrow: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
-    """Digests under which different texts lie, found by comparing each hit with the whole text of its entry; None if there are none."""
-    many = groups.filter("group_size > 1").select("digest", "keep_id")
+def opened(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """The texts at the locators of entries: digest, entry_text."""
+    at = _small(entries.select("digest", "entry.file", "entry.row"))
+    return texts.join(at, ["file", "row"]).select("digest", F.col("text").alias("entry_text"))
+
+
+def clashes(texts: DataFrame, staged: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
+    """Digests under which different texts lie, found by comparing each text that hits with the whole text of its entry; None if there are none."""
+    many = groups.filter("group_size > 1")
     few = many.count()
     if not few:
         return None
-    many = F.broadcast(many) if few <= BROADCAST_DIGESTS else many
-    hits = narrow.withColumn("digest", digest(F.col("text"))).join(many, "digest")
-    entries = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("entry_text")).dropDuplicates(["digest"])
-    # repeated rows of one id may lie under one digest: any of their texts serves, as a differing one shows up as a clash
-    bad = hits.join(entries, "digest").filter(F.col("text") != F.col("entry_text")).select("digest")
-    bad = settled(bad, "dedup-clashes")  # written before distinct(), which would keep a hot digest's join from being split
+    if few <= BROADCAST_DIGESTS:
+        hits = texts.withColumn("digest", digest(F.col("text"))).join(F.broadcast(many.select("digest")), "digest", "left_semi")
+    else:
+        hits = texts.join(skew_joined(staged, many, ["digest"], "group_size").select("file", "row", "digest"), ["file", "row"])
+    apart = hits.select("digest", "text").distinct().join(opened(texts, many), "digest").filter(F.col("text") != F.col("entry_text"))
+    bad = settled(apart.select("digest"), "dedup-clashes")
     return None if bad.isEmpty() else bad.distinct()

@@ -1,56 +1,55 @@
-"""Operators as filters: documents in, the documents that stay out, all columns unchanged."""
+"""Operators as filters: documents in, the documents that stay out, all columns unchanged.
+
+Decisions hold for rows, not ids: a row without an id, or with one that other rows
+have too, stays or goes by its own text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, settled
+from .common import bounded_batches, crc_mod, lean, located, without_rows
 from .decontaminate import contamination
-from .exact_dedup import exact_dedup, sha256
-from .jaccard_join import PERCENT, SHINGLE, jaccard_components
-from .quality import quality_scores
-
-#: So many ids of 8 bytes (some 30 MB as a hash table) are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+from .exact_dedup import exact_dedup
+from .jaccard_join import PERCENT, SHINGLE, later_in_group, set_components
+from .quality import learnt, statistics
+from .text_kernel import sliced
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id isn't in the table of ids (null ids stay)."""
-    ids = settled(ids.select(F.col(ids.columns[0]).cast("long").alias("dropped_id")).filter("dropped_id is not null").distinct(), "dropped")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs[id_col].cast("long") == ids["dropped_id"], "left_anti")
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Drops the documents whose quality score is under ``least``; each row is scored where it is, and none is shuffled."""
+    bounded_batches(docs.sparkSession)
+    model = learnt(docs, labels, lambda i: crc_mod(i, 5) != 0, id_col, text_col)
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, text_col, 1 << 20):
+                yield batch.filter(pa.array(model.score(statistics(batch.column(batch.schema.get_field_index(text_col)))) >= least))
 
-def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Drops the documents whose quality score is under ``least``."""
-    found = quality_scores(docs, labels, learn=lambda i: crc_mod(i, 5) != 0, id_col=id_col, text_col=text_col)
-    return without(docs, found.filter(F.col("score") < least).select("doc_id"), id_col)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keeps one row of each text: one of those with the largest id."""
-    found = settled(exact_dedup(docs, id_col, text_col), "dedup-decisions")
-    again = found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("again_id")).distinct()
-    left = without(docs, found.filter("doc_id <> keep_id").select("doc_id"), id_col)
-    digest = sha256(F.coalesce(F.col(text_col), F.lit("")))
-    nameless = found.filter("doc_id is null and keep_id is not null").select(F.col("digest").alias("nameless_digest")).distinct()
-    if not nameless.isEmpty():
-        left = left.join(nameless, left[id_col].isNull() & (digest == nameless["nameless_digest"]), "left_anti")
-    if again.isEmpty():
-        return left
-    same = left[id_col].cast("long").eqNullSafe(again["again_id"])
-    repeated = left.join(again, same, "left_semi").withColumn("repeated_digest", digest).dropDuplicates([id_col, "repeated_digest"]).drop("repeated_digest")
-    return left.join(again, same, "left_anti").unionByName(repeated)
+    rows, *at = located(docs)
+    found = exact_dedup(rows, id_col, text_col)
+    return without_rows(rows, at, found.filter(~F.col("kept")).select("file", "row"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest id."""
-    found = jaccard_components(docs, id_col, text_col, shingle, percent)
-    return without(docs, found.filter("doc_id <> component_id").select("doc_id"), id_col)
+    """Keeps of each group of linked documents the one with the smallest id (rows without one come last)."""
+    bounded_batches(docs.sparkSession)
+    rows, *at = located(docs)
+    return without_rows(rows, at, later_in_group(set_components(rows, id_col, text_col, shingle, percent)))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    return without(docs, found.filter("contaminated").select("doc_id"), id_col)
+    rows, *at = located(docs)
+    found = contamination(rows, benchmark, id_col=id_col, text_col=text_col)
+    return without_rows(rows, at, found.filter("contaminated").select("file", "row"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import lean, settled
 from .text_kernel import gram_hashes, sliced, span_hashes, utf8, words
 
 STATISTICS = (
@@ -115,7 +115,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -174,7 +174,7 @@ def _summed(rows: DataFrame, of, length: int) -> np.ndarray | None:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
 
-    found = rows.mapInArrow(part, "g int, v binary").repartition(GROUPS, "g").mapInArrow(join, "g int, v binary").collect()  # GROUPS rows at most
+    found = rows.mapInArrow(lean(part), "g int, v binary").repartition(GROUPS, "g").mapInArrow(join, "g int, v binary").collect()  # GROUPS rows at most
     return np.sum([np.frombuffer(r["v"]) for r in found], axis=0) if found else None
 
 
@@ -237,12 +237,20 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "x").mapInArrow(lean(run), "doc_id long, score double")
+
+
+def _labelled(stats: DataFrame, labels: DataFrame, learn, id_col: str, label_col: str) -> Model:
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & learn(F.col("doc_id")))
+    return fit(settled(stats.join(known, "doc_id").select("x", "y"), "quality-labelled"))
+
+
+def learnt(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """The model from the labels of the ids for which ``learn`` (of a column) holds."""
+    return _labelled(settled(with_statistics(docs, id_col, text_col), "quality-statistics"), labels, learn, id_col, label_col)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id and score of every document, learnt from the labels of the ids for which ``learn`` (of a column) holds."""
+    """doc_id and score of every document, learnt as in ``learnt``."""
     stats = settled(with_statistics(docs, id_col, text_col), "quality-statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & learn(F.col("doc_id")))
-    rows = settled(stats.join(known, "doc_id").select("x", "y"), "quality-labelled")
-    return score(stats, fit(rows))
+    return score(stats, _labelled(stats, labels, learn, id_col, label_col))

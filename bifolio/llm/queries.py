@@ -27,7 +27,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("file", "row")
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -60,26 +60,26 @@ WITH d AS (
   FROM b, unnest(range(1, greatest(len(w) - least(10, len(w)), 0) + 2)) AS r(i)
   WHERE len(w) > 0
 ), hit AS (
-  SELECT d.doc_id, p AS a, s.l AS l, array_to_string(d.w[p:p + s.l - 1], ' ') AS g
+  SELECT d.k, p AS a, s.l AS l, array_to_string(d.w[p:p + s.l - 1], ' ') AS g
   FROM d, (SELECT DISTINCT l FROM bw) AS s, unnest(range(1, len(d.w) - s.l + 2)) AS r(p)
 ), found AS (
-  SELECT hit.doc_id, hit.a, hit.l, bw.item_id FROM hit JOIN bw ON hit.l = bw.l AND hit.g = bw.g
+  SELECT hit.k, hit.a, hit.l, bw.item_id FROM hit JOIN bw ON hit.l = bw.l AND hit.g = bw.g
 ), covered AS (
-  SELECT doc_id, count(DISTINCT q) AS n_hit FROM found, unnest(range(a, a + l)) AS r(q) GROUP BY doc_id
+  SELECT k, count(DISTINCT q) AS n_hit FROM found, unnest(range(a, a + l)) AS r(q) GROUP BY k
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+  SELECT k, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY k
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM d LEFT JOIN covered USING (k) LEFT JOIN items USING (k)
 """
 
 OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
        count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))

@@ -10,15 +10,16 @@ anchor at equal distance from their starts: a gram of
 Around the others the match is extended to whole windows, and these are compared
 by 128 bits of hash over 64-bit word hashes (96 of them are kept).
 
-Documents are dealt to blocks by a hash of their ids. A block drops its own
+Documents are dealt to blocks by a hash of their place in their file, so no id
+makes a large one. A block drops its own
 repetitions first and sends each bucket of hash values one packed row, so a
 passage that a third of all documents share costs a bucket one entry a block,
 not one a document. A bucket answers each block with one bit an entry: whether
 the anchor is shared, or whether the block holds a window's first occurrence.
 The three readings of the documents share one exchange.
 
-Null text has no words. Null ids come before all others; repeated rows are
-ordered by their text, so one copy keeps its words. Documents shorter than the
+Null text has no words. Null ids come before all others; rows with the same id
+are ordered by block, then by text, so one of several copies keeps its words. Documents shorter than the
 window lose nothing. An empty table gives an empty result. Only the columns
 named are read.
 """
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import lean_group, located, pieces
 from .text_kernel import U, gram_hashes, span_hashes, utf8, words
 
 WINDOW, PERIOD = 20, 13
@@ -157,7 +158,8 @@ def _kept(block: Block, gone: np.ndarray, cut: np.ndarray, removed: np.ndarray):
 
 def _run(docs: DataFrame, id_col: str, text_col: str, schema: str, finish) -> DataFrame:
     blocks, buckets = pieces(docs, BLOCK_BYTES, 36), pieces(docs, BUCKET_BYTES, 12)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int").alias("block"))
+    rows, *at = located(docs, *dict.fromkeys((id_col, text_col)))
+    dealt = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(*at), F.lit(blocks)).cast("int").alias("block"))
 
     def send_anchors(table: pa.Table) -> pa.Table:
         distinct, *_ = Block(table).anchors()
@@ -189,6 +191,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, schema: str, finish) -> Da
         return packed(rows)
 
     def meet_windows(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")  # equal ids: the lower block first
         one, two, ids, sizes = [], [], [], []
         for x, y, names, at in zip(*[table.column(c).to_pylist() for c in ("one", "two", "ids", "at")], strict=True):
             one.append(from_planes(x, "<u8"))
@@ -220,7 +223,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, schema: str, finish) -> Da
         return finish(block, covers[word + 1] > covers[np.maximum(word - WINDOW + 1, 0)])
 
     by_block = dealt.groupBy("block")
-    shared = by_block.applyInArrow(send_anchors, PACKED).groupBy("bucket").applyInArrow(meet_anchors, ANSWER)
-    found = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_windows, PACKED)
-    firsts = found.groupBy("bucket").applyInArrow(meet_windows, ANSWER)
-    return by_block.cogroup(shared.unionByName(firsts).groupBy("block")).applyInArrow(cut_out, schema)
+    shared = by_block.applyInArrow(lean_group(send_anchors), PACKED).groupBy("bucket").applyInArrow(lean_group(meet_anchors), ANSWER)
+    found = by_block.cogroup(shared.groupBy("block")).applyInArrow(lean_group(send_windows), PACKED)
+    firsts = found.groupBy("bucket").applyInArrow(lean_group(meet_windows), ANSWER)
+    return by_block.cogroup(shared.unionByName(firsts).groupBy("block")).applyInArrow(lean_group(cut_out), schema)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bifolio.llm import decontaminate, exact_dedup, filters, jaccard_join, language_id, pii, quality, sentence_pieces, substring_dedup, token_records, toxicity
+from bifolio.llm import common, decontaminate, exact_dedup, filters, jaccard_join, language_id, pii, quality, sentence_pieces, substring_dedup, token_records, toxicity
 from bifolio.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, kept string, digest string, n long, spans string, m long, x string, label string"
@@ -71,7 +71,7 @@ def brute_contamination(rows, items):
         n = min(10, len(w))
         for a in range(len(w) - n + 1 if w else 0):
             windows[tuple(w[a : a + n])].add(i)
-    out = {}
+    out = []
     for d, t in rows:
         w, hit, found = words(t), set(), set()
         for n in {len(x) for x in windows}:
@@ -80,26 +80,36 @@ def brute_contamination(rows, items):
                     hit.update(range(a, a + n))
                     found |= windows[tuple(w[a : a + n])]
         ids = sorted(str(x) for x in found if x is not None)
-        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit))
-    return out
+        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
 
 
-def test_contamination(spark, docs):
-    rows = [x for x in ROWS if x[0] is not None]
+def test_contamination(spark):
+    """Also rows without an id, with a repeated one, and repeated rows."""
+    rows = [*ROWS, (5, ROWS[3][1]), (5, "clean words"), (None, ROWS[5][1]), ROWS[3], (None, ROWS[3][1])]
     items = [(1, ROWS[3][1]), (2, ROWS[5][1]), (2, ROWS[5][1]), (10, "w1 w2"), (11, None), (12, ""), (13, "..."), (14, "same " * 30), (None, "W3 w4 w5"), (9, "ÉTÉ x")]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    benchmark = spark.createDataFrame([(*x, "k") for x in items], "item_id long, text string, item string")
+    docs = table(spark, rows).repartition(3)
     want = brute_contamination(rows, items)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    found = decontaminate.contamination(docs.filter("doc_id is not null"), benchmark)
-    assert got(found, *names) == sorted(((d, *v) for d, v in want.items()), key=repr)
+    assert got(decontaminate.contamination(docs, benchmark), *names) == want
     few = decontaminate.BROADCAST_WINDOWS
     decontaminate.BROADCAST_WINDOWS = 0  # the way without broadcasts
     try:
-        assert got(decontaminate.contamination(docs.filter("doc_id is not null"), benchmark), *names) == got(found, *names)
+        assert got(decontaminate.contamination(docs, benchmark), *names) == want
     finally:
         decontaminate.BROADCAST_WINDOWS = few
 
 
+def test_sliding_least(spark):
+    r = random.Random(1)
+    lists = [[r.randrange(9) for _ in range(n)] for n in (0, 1, 2, 5, 7, 30)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for wide in (1, 2, 3, 7):
+        found = [r[0] for r in df.select(decontaminate.sliding_least(F.col("x"), wide, lambda m: m)).collect()]
+        assert found == [[min(x[i : i + wide]) for i in range(len(x))] for x in lists]
+
+
 def test_contamination_without_rows(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.contamination(docs, none).collect()} == {0}
@@ -194,14 +204,38 @@ def test_exact_dedup(spark, docs, bytes_kept):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+def test_many_digests(spark, monkeypatch):
+    """The way without broadcasts, and with hot digests."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rows = [*ROWS, *[(1000 + i, "x") for i in range(20)]]
+    want = brute_dedup(rows)
+    found = exact_dedup.exact_dedup(table(spark, rows).repartition(3), digest=lambda c: F.substring(exact_dedup.sha256(c), 1, 2)).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in found), key=repr) == sorted(((d, *want[t or ""]) for d, t in rows), key=repr)
+    assert sum(r["kept"] for r in found) == len(want)
+
+
+def test_locators_are_opened(spark, tmp_path):
+    """An entry's text is what lies at its locator."""
+    table(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c")]).coalesce(1).write.parquet(f"{tmp_path}/d")
+    texts = exact_dedup.texts_at(spark.read.parquet(f"{tmp_path}/d"))
+    groups = exact_dedup.keyed_state(exact_dedup.state_rows(texts))
+    assert sorted(r["entry_text"] for r in exact_dedup.opened(texts, groups).collect()) == ["a", "b", "c"]
+    wrong = groups.withColumn("entry", F.struct("entry.doc_id", "entry.file", F.lit(1).cast("long").alias("row")))
+    assert {r["entry_text"] for r in exact_dedup.opened(texts, wrong).collect()} == {"b"}
+    bad = exact_dedup.clashes(texts, exact_dedup.state_rows(texts), wrong, exact_dedup.sha256)
+    assert bad is not None and bad.count() == 1  # the two copies of "a" differ from what their entry leads to
+
+
 def test_state_goes_on(spark, tmp_path):
     first, second = table(spark, [(1, "a"), (2, "b")]), table(spark, [(3, "a"), (4, None)])
     staged = f"file://{tmp_path}/rows"
     for part in (first, second):
-        exact_dedup.located(part).write.mode("append").parquet(staged)
-        exact_dedup.run_stream(spark, staged, exact_dedup.located(first).schema, f"file://{tmp_path}/state")
+        rows = exact_dedup.state_rows(exact_dedup.texts_at(part))
+        rows.write.mode("append").parquet(staged)
+        exact_dedup.run_stream(spark, staged, rows.schema, f"file://{tmp_path}/state")
     state = exact_dedup.state_table(spark, f"file://{tmp_path}/state")
-    assert sorted((r["keep_id"], r["group_size"]) for r in state.collect()) == [(2, 1), (3, 2), (4, 1)]
+    assert sorted((r["entry"]["doc_id"], r["group_size"]) for r in state.collect()) == [(2, 1), (3, 2), (4, 1)]
 
 
 # ---- 5
@@ -239,6 +273,7 @@ def test_cover_has_all_differences():
 
 
 def brute_jaccard(rows):
+    """(id, shingles, least id of the component) of every row, also of those without an id."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for _, t in rows:
@@ -258,7 +293,7 @@ def brute_jaccard(rows):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)) if d is not None), key=repr)
+    return sorted(((d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
 def near_rows(seed=5):
@@ -280,7 +315,10 @@ def test_jaccard_join(spark, chunk, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK_SETS", chunk)
     if chunk < 100:
         monkeypatch.setattr(jaccard_join, "BROADCAST_UNITS", 0)
-    rows = [*[x for x in ROWS if x[0] is not None and x[0] >= 100], *near_rows(), (11, near_rows()[11][1])]
+    near = near_rows()
+    # rows without an id: some link others together, some are alone, some are copies; an id of two texts
+    nameless = [(None if i % 5 == 0 else i, t) for i, t in near]
+    rows = [*[x for x in ROWS if x[0] is None or x[0] >= 100], *nameless, (11, near[11][1]), (12, "quite another text than that of twelve"), (None, "alone in all the corpus"), (None, near[0][1])]
     found = jaccard_join.jaccard_components(table(spark, rows).repartition(4))
     assert got(found, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
 
@@ -290,6 +328,46 @@ def test_jaccard_edges(spark, docs):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_sketches_lose_no_pair():
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (1, 3, 10, 64, 65, 300, 1000):
+        base = r.integers(0, 1 << 62, n).astype(np.uint64)
+        for k in range(4):
+            some = base[: max(1, n - k * n // 12)].copy()
+            some[: k * len(some) // 15] = r.integers(0, 1 << 62, k * len(some) // 15)
+            sets.append(np.unique(some))
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    size = np.diff(offsets)
+    found = jaccard_join.sketches(np.concatenate(sets), offsets)
+    for percent in (80, 90):
+        roots = jaccard_join.near_sketches(found, size, percent)
+        for i in range(len(sets)):
+            for j in range(i):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * n >= percent * (size[i] + size[j] - n):
+                    assert roots[i] == roots[j]
+        assert len(set(roots.tolist())) >= 6
+
+
+def test_packets():
+    r = np.random.default_rng(1)
+    for n, k in ((1, 1), (50, 7), (200_000, 70_000)):
+        entries, keys = np.sort(r.integers(0, 1 << 48, n)).astype(np.uint64), r.integers(0, 1 << 63, k).astype(np.uint64)[r.integers(0, k, n)]
+        a, b = jaccard_join.unpacked(jaccard_join.packed(entries, keys))
+        assert np.array_equal(a, entries) and np.array_equal(b, keys)
+
+
+def test_ranges_lose_no_entry():
+    r = np.random.default_rng(2)
+    parts = [(np.sort(r.integers(0, 1 << 48, n)).astype(np.uint64), r.integers(0, 9, n).astype(np.uint64)) for n in (1, 40, 500)]
+    for each in (1, 30, 10_000):
+        got_all = list(jaccard_join.by_range(parts, each))
+        assert sorted(x for e, k in got_all for x in zip(e.tolist(), k.tolist(), strict=True)) == sorted(x for e, k in parts for x in zip(e.tolist(), k.tolist(), strict=True))
+        seen = [{x | 1 for x in e.tolist()} for e, _ in got_all]
+        assert sum(map(len, seen)) == len(set().union(*seen))
+
+
 def test_allocation_keeps_the_guarantee():
     for low, high in ((1, 1), (5, 9), (10, 11), (90, 99), (900, 1000)):
         most, ones, twos, spare = jaccard_join.allocation(low, high, 90)
@@ -322,17 +400,48 @@ def test_nearest_is_exact():
     vocabulary = [f"word{c}" for c in "abcdefghijklmnopqrst"]
     texts = [" ".join(r.choice(vocabulary[:10] if i % 2 else vocabulary[5:]) for _ in range(r.randrange(1, 30))) for i in range(300)]
     index = toxicity.build(list(range(300)), texts, [i % 2 for i in range(300)])
-    h, docs, n = toxicity.terms(toxicity.pa.array(texts))
-    d, t, w = index.vectors(h, docs)
-    dense = np.zeros((n, len(index.vocabulary)))
-    dense[d, t] = w
-    for i in range(0, 300, 7):
-        own = d == i
-        if own.any():
-            found, cos = index.nearest(t[own], w[own])
-            want = dense @ dense[i]
-            order = np.lexsort((np.arange(n), -np.round(want, 9)))[: len(found)]
-            assert np.allclose(cos, want[order]) and found.tolist() == order.tolist()
+    # by brute force: dense vectors of all terms
+    split = [re.findall("[a-z]+", t) for t in texts]
+    words = sorted({w for t in split for w in t})
+    n, y = len(texts), np.arange(300) % 2
+    count = np.array([[t.count(w) for w in words] for t in split], float)
+    df = (count > 0).sum(0)
+    phi2 = np.array([np.corrcoef(count[:, j] > 0, y)[0, 1] ** 2 if 0 < df[j] < n else 0 for j in range(len(words))])
+    dense = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * np.log(1 + n / df) * phi2
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    assert len(index.vocabulary) == len(words) == 20
+    searched = 0
+    for i in range(n):
+        t, w = index.vector(toxicity.bags(toxicity.pa.array([texts[i]]))[0])
+        searched += int((index.begin[index.first[t + 1]] - index.begin[index.first[t]]).sum())
+        found, cos = index.nearest(t, w)
+        want = dense @ dense[i]
+        order = np.lexsort((np.arange(n), -np.round(want, 9)))[: len(found)]
+        assert np.allclose(cos, want[order]) and index.ids[found].tolist() == order.tolist()
+        # votes, score and evidence
+        vote = (want[order] ** 2 * y[order]).sum() / (want[order] ** 2).sum()
+        score, evidence = index.score(t, w)
+        assert evidence == order.tolist() and score == index.cells[min(7, int(vote * 8 + 1e-9)), min(3, int(want[order][0] * 4 + 1e-9))]
+    assert index.read < searched * 2  # each search ran twice
+
+
+def test_search_reads_few_postings():
+    r = random.Random(5)
+    texts = [" ".join([f"topic{'abcdefgh'[i % 8]}"] * 5 + [r.choice(["aa", "bb", "cc", "dd"]) for _ in range(5)]) for i in range(2000)]
+    index = toxicity.build(list(range(2000)), texts, [int(i % 8 < 3) for i in range(2000)])
+    whole = 0
+    for x in toxicity.bags(toxicity.pa.array(texts[:200])):
+        t, w = index.vector(x)
+        whole += int((index.begin[index.first[t + 1]] - index.begin[index.first[t]]).sum())
+        index.nearest(t, w)
+    assert index.read < whole / 2
+
+
+def test_clashing_labels(spark):
+    docs = table(spark, [(i, f"word{'ab'[i % 2]}") for i in range(40)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 0), (2, 1), (2, 0), (3, 1), (3, None), (4, 7), (None, 1)], "doc_id long, toxic int")
+    ids, _, y, counts = toxicity.examples(docs, labels, learn=lambda i: F.lit(True))
+    assert dict(zip(ids, y, strict=True)) == {1: 0, 2: 1, 3: 1} and counts == {0: 1, 1: 2}
 
 
 def test_toxicity(spark):
@@ -435,6 +544,15 @@ def test_round_trip(spark, docs):
     assert sentence_pieces.encoded(empty(spark), path).count() == 0
 
 
+def test_long_runs_of_spaces():
+    import time
+
+    own = sentence_pieces.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    began = time.time()
+    (x,) = own.encode([" " * 200_000])
+    assert time.time() - began < 3 and own.decode(np.frombuffer(x, "<u4").tolist()) == " " * 200_000
+
+
 # ---- as filters
 
 
@@ -448,7 +566,28 @@ def test_filters(spark, docs):
     near = filters.one_of_each_group(docs.filter("doc_id is not null"))
     ids = {d for d, _, c in brute_jaccard([x for x in ROWS if x[0] is not None]) if d == c}
     assert {r["doc_id"] for r in near.collect()} == ids
+
+
+def test_filters_decide_by_row(spark):
+    """A row without an id, or with the id of another, stays or goes by its own text."""
+    near = near_rows()
+    rows = [(1, ROWS[3][1]), (1, "clean and short"), (None, ROWS[3][1]), (None, "clean too"), (None, near[0][1]), (None, near[0][1]), (7, None)]
+    docs = table(spark, rows).repartition(2)
     benchmark = spark.createDataFrame([(1, ROWS[3][1])], "item_id long, text string")
-    clean = filters.uncontaminated(docs, benchmark)
-    dirty = {d for d, v in brute_contamination([x for x in ROWS if x[0] is not None], [(1, ROWS[3][1])]).items() if v[4]}
-    assert dirty and {r["doc_id"] for r in clean.collect()} == {d for d, _ in ROWS} - dirty
+    left = [(r["doc_id"], r["text"]) for r in filters.uncontaminated(docs, benchmark).collect()]
+    assert sorted(left, key=repr) == sorted([x for x in rows if x[1] != ROWS[3][1]], key=repr)
+    left = [(r["doc_id"], r["text"]) for r in filters.one_of_each_group(docs).collect()]
+    assert sorted(left, key=repr) == sorted([x for i, x in enumerate(rows) if i not in (2, 5)], key=repr)
+    for f in (filters.distinct_documents, filters.one_of_each_group, lambda d: filters.uncontaminated(d, benchmark)):
+        assert f(empty(spark)).count() == 0 and f(docs).columns == docs.columns
+
+
+def test_good_documents(spark):
+    good = [(i if i % 3 else None, f"The paper number {i} reads well, and its words differ from line to line.") for i in range(40)]
+    bad = [(100 + i if i % 3 else None, "BUY!! NOW!! " * 20) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in (*range(40), *range(100, 140))], "doc_id long, quality int, toxic int")
+    docs = table(spark, [*good, *bad])
+    left = filters.good_documents(docs, labels)
+    assert left.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] is not None) == sorted(x for x in good if x[0] is not None)
+    assert sum(r["doc_id"] is None for r in left.collect()) == sum(x[0] is None for x in good)
+    assert filters.good_documents(empty(spark), labels).count() == 0

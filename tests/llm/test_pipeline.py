@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from bifolio.llm import quality
 from bifolio.llm.common import crc_mod
-from tests.llm.test_operators import brute_contamination, brute_dedup, brute_jaccard
+from tests.llm.test_near_copies import brute_near
+from tests.llm.test_operators import brute_contamination, brute_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,10 +20,9 @@ def test_pipeline(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
     keep = {v[0] for v in brute_dedup(rows).values()}
     rows = [x for x in rows if x[0] in keep]
-    keep = {d for d, _, c in brute_jaccard(rows) if d == c}
+    keep = {d for d, _, c in brute_near(rows) if d == c}
     rows = [x for x in rows if x[0] in keep]
-    dirty = brute_contamination(rows, items)
-    want = {d for d, _ in rows if not dirty[d][4]}
+    want = {d for d, *_, dirty in brute_contamination(rows, items) if not dirty}
     found = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in found} == want and len(found) == len(want)
     assert all(r["n_tokens"] == len(r["ids"]) for r in found)
