@@ -7,7 +7,8 @@ go, "(at)", "[dot]" and the bare words in the frame "name at host dot top"
 become signs, and runs of spelled digits become digits. Each transducer keeps,
 for every character it writes, the span of source characters it stands for, so
 a find in the rewritten text maps back to the source. Such a find is added
-when no base span of its kind overlaps it; base spans always stay.
+when no base span of its kind overlaps it; base spans always stay. Every text goes
+through all transducers.
 
 Null and empty texts have no spans. Texts of any length are scanned whole in
 about linear time. Repeated rows get equal results. Other columns are not read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -101,7 +103,7 @@ LEAST_SPELLED = 3
 
 _AT_FRAMED = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:{AT_WORDS}|@)[ \t]*[)\]}}>][ \t]*", re.I)
 _DOT_FRAMED = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:{DOT_WORDS}|\.)[ \t]*[)\]}}>][ \t]*", re.I)
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}( +(?:{AT_WORDS}) +|@)[A-Za-z0-9-]{{1,63}}(?:(?: +(?:{DOT_WORDS}) +|\.)[A-Za-z0-9-]{{1,63}}){{1,6}}(?![A-Za-z0-9-])", re.I)
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( ++(?:{AT_WORDS}) ++|@)[A-Za-z0-9-]++(?:(?: ++(?:{DOT_WORDS}) ++|\.)[A-Za-z0-9-]++)+", re.I)
 _BARE_DOT = re.compile(rf" +(?:{DOT_WORDS}) +", re.I)
 _DIGIT_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_DIGIT_WORD}|[0-9])(?!\w)[ ,/-]{{0,3}}){{{LEAST_SPELLED},}}", re.I)
@@ -164,8 +166,9 @@ class Tape:
 def undisguised(text: str) -> Tape:
     """The transducers, one after the other."""
     tape = Tape(text)
-    if not text.isascii():
-        tape = tape.rewritten([(i, i + 1, [(p, i, i + 1)] if p else []) for i, c in enumerate(text) if (p := plain_char(c)) != c])
+    odd = {c: plain_char(c) for c in set(text) if plain_char(c) != c} if not text.isascii() else {}
+    if odd:
+        tape = tape.rewritten([(i, i + 1, [(odd[c], i, i + 1)] if odd[c] else []) for i, c in enumerate(text) if c in odd])
     edits = []
     for m in _SPELLED.finditer(tape.text):
         end = m.start() + len(m[0].rstrip(" ,/-"))
@@ -183,45 +186,18 @@ def undisguised(text: str) -> Tape:
     return tape.rewritten(edits)
 
 
-_ORDINARY: set[str] = set()
-_DOTS, _ATS = tuple(DOT_WORDS.split("|")), tuple(f" {w} " for w in AT_WORDS.split("|"))
-_WORD = re.compile(r"\w+")
-#: The part of _BARE from its at-word to the first letter behind the first dot.
-_BARE_AT = re.compile(rf" (?:{AT_WORDS}) +[A-Za-z0-9-]{{1,63}}(?: +(?:{DOT_WORDS}) +|\.)[A-Za-z0-9-]", re.I)
-
-
-def suspicious(text: str) -> bool:
-    """Whether any transducer may change the text: a test for each one's pattern, as the first that matches sees the text unchanged."""
-    low = text
-    if not text.isascii():
-        for c in set(text) - _ORDINARY:
-            if plain_char(c) != c:
-                return True
-            _ORDINARY.add(c)
-        low = text.translate(_FOLDED)
-    if any(c in text for c in "([{<") and (_AT_FRAMED.search(text) or _DOT_FRAMED.search(text)):
-        return True
-    low = low.lower()
-    if any(w in low for w in _DOTS) and _BARE_DOT.search(text):  # also all of _DOTTED_WORDS
-        return True
-    if ("plus" in low or "más" in low) and _PLUS_WORD.search(text):
-        return True
-    if any(w in low for w in _ATS) and _BARE_AT.search(text):
-        return True
-    return not DIGITS.keys().isdisjoint(_WORD.findall(low)) and bool(_SPELLED.search(text))
-
-
 def spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then kind."""
     base = base_spans(text)
-    if not suspicious(text):
-        return base, base
     tape = undisguised(text)
-    taken: list[list[tuple[int, int]]] = [[(a, b) for a, b, k in base if k == kind] for kind in range(len(KINDS))]
+    if tape.text == text:
+        return base, base
+    taken = [[s for s in base if s[2] == kind] for kind in range(len(KINDS))]  # by start; those of a kind don't overlap
     added = []
     for a, b, kind in base_spans(tape.text):
         a, b = tape.source(a, b)
-        if not any(a < y and x < b for x, y in taken[kind]):
+        before = bisect_left(taken[kind], (b,)) - 1  # the last that starts before b
+        if before < 0 or taken[kind][before][1] <= a:
             added.append((a, b, kind))
     return base, sorted([*base, *added], key=lambda s: (s[0], s[2], s[1])) if added else base
 
