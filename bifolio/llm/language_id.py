@@ -7,9 +7,10 @@ matcher takes matches from four bytes on, as words are short; stretches without
 letters count as one space. If the runner-up
 is nearly as small, the choice is marked as rejected.
 
-The sample is bounded: of each language at most ``docs_each`` documents,
-chosen by a hash of their ids, of each at most ``bytes_each`` bytes from its
-middle. What is classified is always the whole text.
+The sample is bounded: the ``LANGUAGES`` languages with the most labelled documents,
+of each at most ``DOCS_EACH`` documents, chosen by a hash of their ids among those
+of at most ``LONGEST`` bytes (the shortest one, if all are longer); their whole
+texts are learnt. What is classified is always the whole text.
 
 Null texts and texts without a letter get ``und`` and score 0. If no labelled
 text has a letter, every document gets ``und``. Ties go to the language first
@@ -31,30 +32,35 @@ from .common import lean
 from .text_kernel import sliced
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _GAP = re.compile(r"[\W\d_]+")
-DOCS_EACH, BYTES_EACH = 192, 1536
+LANGUAGES, DOCS_EACH, LONGEST = 100, 192, 8192
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 Model = dict[str, bytes]
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS_EACH, bytes_each: int = BYTES_EACH) -> Model:
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS_EACH, longest: int = LONGEST, languages: int = LANGUAGES) -> Model:
     """Dictionaries' contents by language, from the rows where ``learn`` holds and the language is known."""
-    named = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    size = F.octet_length(F.col(text_col))
+    named = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (size <= longest).alias("short"), size.alias("size"))
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"), F.min("size").alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return {}
-    lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, 1.3 * docs_each / n)))])
-    size = F.octet_length("text")
-    part = F.col("text").substr(F.greatest(F.lit(1), (F.length("text") - bytes_each) / 2 + 1).cast("int"), F.lit(bytes_each))
-    rows = named.filter(lot < F.element_at(share, F.col("lang")) * F.lit(1 << 20)).filter(size > 0).select("id", "lang", part.alias("part")).collect()  # bounded by docs_each
+    lot = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1 << 20))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, 1.3 * docs_each / max(1, r["short"]))))])
+    least = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -1 if r["short"] else r["least"])])
+    chosen = named.filter((F.col("short") & (lot < F.element_at(share, F.col("lang")) * F.lit(1 << 20))) | (F.col("size") == F.element_at(least, F.col("lang"))))
+    # of repeated rows one serves; a language has 1.3 * docs_each rows or so
+    rows = chosen.groupBy("lang", "id", F.xxhash64("text")).agg(F.min("text").alias("text")).drop("xxhash64(text)").collect()
     model: Model = {}
-    for lang in sorted(counts):
-        own = sorted((r["id"] is not None, r["id"] or 0, r["part"]) for r in rows if r["lang"] == lang)[:docs_each]
-        if own:
-            model[lang] = folded("\n".join(x[2] for x in own))
+    for lang in sorted(r["lang"] for r in counts):
+        own = sorted((r["id"] is not None, r["id"] or 0, r["text"]) for r in rows if r["lang"] == lang)
+        own = own[:docs_each] if len(own[0][2].encode()) <= longest else own[:1]
+        model[lang] = folded("\n".join(x[2] for x in own))
     return model
 
 
@@ -75,7 +81,7 @@ def compressors(model: Model) -> list[tuple[str, object]]:
         _COMPRESSORS.clear()
         found = []
         for lang, content in sorted(model.items()):
-            how = z.ZstdCompressionParameters(window_log=18, hash_log=15, chain_log=15, search_log=1, min_match=4, strategy=z.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = z.ZstdCompressionParameters(window_log=20, hash_log=17, chain_log=17, search_log=1, min_match=4, strategy=z.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             found.append((lang, z.ZstdCompressor(compression_params=how, dict_data=d)))
@@ -85,7 +91,7 @@ def compressors(model: Model) -> list[tuple[str, object]]:
 
 def classify(text: str | None, known: list[tuple[str, object]], margin: float) -> tuple[str, float, bool]:
     """(language, score, rejected) of one text."""
-    if not text or not known or not _LETTER.search(text):
+    if not text or not known or not has_letter(text):
         return UNKNOWN, 0.0, True
     data = folded(text)
     sizes = sorted((len(c.compress(data)), lang) for lang, c in known)

@@ -392,6 +392,37 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_of_the_tables(spark):
+    """Held-out labels of the tables, and the same choice by a plain loop with compressors of its own."""
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs, common.crc_mod(F.col("doc_id"), 3) != 1)
+    rows = docs.withColumn("lang_pred", F.lit("zz")).withColumn("rejected", F.lit("clash"))
+    found = {r["doc_id"]: r for r in language_id.identify(rows, model).collect()}
+    held = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["lang"]]
+    assert np.mean([found[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.95
+    how = dict(window_log=20, hash_log=17, chain_log=17, search_log=1, min_match=4, strategy=z.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in held[:40]:
+        sizes = []
+        for lang, content in sorted(model.items()):
+            squeeze = z.ZstdCompressor(compression_params=z.ZstdCompressionParameters(**how), dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT))
+            sizes.append((len(squeeze.compress(re.sub(r"[\W\d_]+", " ", r["text"].lower()).encode())), lang))
+        assert min(sizes)[1] == found[r["doc_id"]]["lang_pred"]
+
+
+def test_language_edges(spark):
+    """Signs that look like letters aren't, long texts serve whole or not at all, languages are bounded, repeated rows are equal."""
+    rows = [(1, "²³ ½ ①", "en"), (2, "the house and the garden " * 5, "en"), (3, "la maison et le jardin " * 2000, "fr"), (4, "das haus und der garten " * 5, "de"), (5, None, None), (5, "the house", None), (5, "the house", None), (None, "le jardin " * 50_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True))
+    assert sorted(model) == ["de", "en", "fr"] and model["fr"].count(b"jardin") == 2000
+    found = [(r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, model).collect()]
+    assert sorted(found, key=repr) == sorted([(1, "und"), (2, "en"), (3, "fr"), (4, "de"), (5, "und"), (5, "en"), (5, "en"), (None, "fr")], key=repr)
+    assert sorted(language_id.fit(docs, F.lit(True), languages=2)) == ["de", "en"]
+    assert language_id.identify(docs.limit(0), model).count() == 0
+
+
 # ---- 8
 
 
