@@ -8,16 +8,18 @@ all little-endian; the payload is the document's ids as uint16 (vocabularies of
 at most 65,536 ids) or uint32. The mask rotates a checksum right by 15 bits and
 adds a constant, so that a checksum stored inside checksummed data stays
 harmless. The index beside it has 20 bytes a record: int64 document id, uint64
-offset of the record, uint32 number of ids. A reader that shuffles opens the
-index alone and then reads single records.
+offset of the record, uint32 number of ids. ``read_shuffled`` opens the indexes
+alone, puts their entries in random order and then reads single records.
 
-Tasks write files under names of their own and return one manifest row a file;
-only files named in the manifest count, so a task that is run again leaves no
-double records. ``bounds`` deals documents to files by ranges of their ids.
+Documents are dealt to files by ranges of (id, place in its file), so an id that
+many rows have, or none, makes no large file. Tasks write files under names of their
+own and return one manifest row a file; only files named in the manifest count, so a
+task that is run again leaves no double records. There are ``MOST_FILES`` files at
+most, larger ones if there is more, so the manifest is bounded.
 
 Null text counts as empty (it has the end id alone). Null ids sort first.
-Repeated rows are written as often as they come, ordered by text among equal
-ids. An empty table gives an empty manifest. Other columns are not read.
+Repeated rows are written as often as they come, in the order of their place among
+equal ids. An empty table gives an empty manifest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, shared_path
+from .common import input_bytes, lean, located, shared_path
 from .text_kernel import sliced
 
 MASK_DELTA = 0xA282EAD8
+FILE_BYTES, MOST_FILES = 24 << 20, 20_000
+#: Bytes of remembered stretches, with about ``ENTRY_BYTES`` for each beside its text and ids; as much again is kept of the ones before.
+REMEMBERED_BYTES, ENTRY_BYTES = 32 << 20, 200
 NO_ID = -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
 MANIFEST = "bucket long, records string, index string, wide boolean, n_docs long, n_tokens long, n_bytes long"
@@ -72,10 +77,10 @@ class ChunkEncoder:
     characters that aren't white space always starts a new word of it. So a
     text without two white-space characters in a row may be cut before its
     spaces, and the ids of the parts follow each other. Other texts are
-    encoded in one go. ``most`` bounds the stretches remembered.
+    encoded in one go. ``most`` bounds the bytes of stretches remembered.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = REMEMBERED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,7 +93,7 @@ class ChunkEncoder:
             self.width[i] = len(piece)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.held = most, 0
 
     _runs = re.compile(r"\s\s")
 
@@ -104,16 +109,21 @@ class ChunkEncoder:
             cut = np.searchsorted(ends, want) + 1
             if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[cut - 1], want):
                 cut = [0, *(4 * cut).tolist()]
-                self.known.update(zip(part, [coded[a:b] for a, b in zip(cut, cut[1:])], strict=False))
+                self._remember(zip(part, [coded[a:b] for a, b in zip(cut, cut[1:])], strict=False))
             else:  # an id doesn't stand for its own bytes here
-                self.known.update(zip(part, self._plain([" " + x for x in part]), strict=True))
+                self._remember(zip(part, self._plain([" " + x for x in part]), strict=True))
+
+    def _remember(self, found: Iterable[tuple[str, bytes]]) -> None:
+        for x, ids in found:
+            self.known[x] = ids
+            self.held += len(x) + len(ids) + ENTRY_BYTES
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut: list[list[str] | None] = [None if self._runs.search(text) or text[:1].isspace() else text.split(" ") for text in texts]
         known = self.known
-        if len(known) > self.most:
-            self.older, self.known = known, {}
+        if self.held > self.most:
+            self.older, self.known, self.held = known, {}, 0
             known = self.known
         new = set()
         for parts in cut:
@@ -122,7 +132,8 @@ class ChunkEncoder:
         new.difference_update(known)
         if self.older and new:
             older = self.older
-            known.update(again := {x: older[x] for x in new if x in older})
+            again = {x: older[x] for x in new if x in older}
+            self._remember(again.items())
             new.difference_update(again)
         self._learn(list(new))
         alone = iter(self._plain([text if parts is None else parts[0] for text, parts in zip(texts, cut, strict=True)]))
@@ -140,70 +151,50 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def bounds(docs: DataFrame, id_col: str, each: int, least: int) -> list[int]:
-    """Ids that part the documents into ranges of about equal numbers of rows, from the ids alone."""
-    n = max(least, -(-input_bytes(docs) // each))
-    if n < 2:
-        return []
-    (found,) = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], max(10_000, 10 * n))).head()
-    return sorted(set(found or []))
-
-
-def bucket(col, cuts: list[int]):
-    """How many of the sorted cuts lie below an id; looks at about twice the root of their number."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    fine, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[step - 1 :: step]))
-    i = F.size(F.filter(coarse, lambda b: b < col)) * step
-    return F.when(col.isNull(), 0).otherwise(i + F.size(F.filter(F.slice(fine, i + 1, F.lit(step)), lambda b: b < col)))
+def file_count(docs: DataFrame, each: int, least: int) -> int:
+    return int(min(MOST_FILES, max(least, -(-input_bytes(docs) // each))))
 
 
-def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 24 << 20, least_files: int = 8) -> list[dict]:
+def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, least_files: int = 8) -> list[dict]:
     """Write the records; returns the manifest, ordered by bucket, with ``start``: the number of ids in the files before."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = bounds(docs, id_col, file_bytes, least_files)
-    dealt = narrow.withColumn("bucket", bucket(F.col("doc_id"), cuts).cast("int")).repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
+    rows, *at = located(docs, *dict.fromkeys((id_col, text_col)))
+    narrow = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(at[0]).alias("file"), F.col(at[1]).alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("file"), F.col("row")]
+    dealt = narrow.repartitionByRange(file_count(narrow, file_bytes, least_files), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         encode = encoder(vocabulary)
         wide = encode.size > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
-        done: list[tuple] = []
-        now = None  # bucket, names, stream, entries, offset
-
-        def close() -> None:
-            b, name, out, entries, size = now
-            out.close()
-            index = np.array(entries, INDEX)
-            with store.open_output_stream(f"{root}/{name}.idx") as o:
-                o.write(index.tobytes())
-            done.append((b, f"{folder}/{name}.rec", f"{folder}/{name}.idx", wide, len(index), int(index["n"].sum(dtype=np.int64)), size))
-
+        bucket = TaskContext.get().partitionId()  # the ranges' order
+        name = f"part-{bucket:06d}-{uuid.uuid4().hex}"
+        out, index, size, n_docs, n_tokens = None, None, 0, 0, 0
         for whole in batches:
-            for batch in sliced(whole, "text"):
-                ids, texts, buckets = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-                for doc, coded, b in zip(ids, encode(texts), buckets, strict=True):
-                    if now is None or now[0] != b:
-                        if now is not None:
-                            close()
-                        name = f"part-{b:06d}-{uuid.uuid4().hex}"
-                        now = [b, name, store.open_output_stream(f"{root}/{name}.rec"), [], 0]
+            for batch in sliced(whole, "text", 1 << 21):
+                if out is None:
+                    out, index = store.open_output_stream(f"{root}/{name}.rec"), store.open_output_stream(f"{root}/{name}.idx")
+                entries = []
+                for doc, coded in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     coded += end
                     record = framed(coded if wide else np.frombuffer(coded, "<u4").astype("<u2").tobytes())
-                    now[2].write(record)
-                    now[3].append((NO_ID if doc is None else doc, now[4], len(coded) // 4))
-                    now[4] += len(record)
-        if now is not None:
-            close()
-        if done:
-            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "records", "index", "wide", "n_docs", "n_tokens", "n_bytes"), x, strict=True)) for x in done])
-
-    manifest = sorted((r.asDict() for r in dealt.mapInArrow(write, MANIFEST).collect()), key=lambda r: r["bucket"])  # one row a file
+                    out.write(record)
+                    entries.append((NO_ID if doc is None else doc, size, len(coded) // 4))
+                    size += len(record)
+                    n_tokens += len(coded) // 4
+                index.write(np.array(entries, INDEX).tobytes())
+                n_docs += len(entries)
+        if out is not None:
+            out.close()
+            index.close()
+            row = (bucket, f"{folder}/{name}.rec", f"{folder}/{name}.idx", wide, n_docs, n_tokens, size)
+            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "records", "index", "wide", "n_docs", "n_tokens", "n_bytes"), row, strict=True))])
+
+    manifest = sorted((r.asDict() for r in dealt.mapInArrow(lean(write), MANIFEST).collect()), key=lambda r: r["bucket"])  # one row a file: MOST_FILES at most
     start = 0
     for r in manifest:
         r["start"] = start
@@ -248,8 +239,54 @@ def _read(spark: SparkSession, manifest: list[dict], schema: str, ids) -> DataFr
                 if rows:
                     yield _batch(rows, fields, schema)
 
+    return _files(spark, manifest).mapInArrow(lean(read), schema)
+
+
+def _files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     files = spark.createDataFrame([(m["records"], m["index"], m["wide"], m["start"]) for m in manifest], "records string, index string, wide boolean, start long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(read, schema)
+    return files.repartition(max(1, len(manifest)))
+
+
+def read_shuffled(spark: SparkSession, manifest: list[dict], seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """doc_id, ids of all records in a random order that the seed decides: the index entries are shuffled, and each record is read at its offset alone."""
+
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for m in batch.to_pylist():
+                store, path = fs.FileSystem.from_uri(m["index"])
+                index = np.frombuffer(store.open_input_file(path).readall(), INDEX)
+                for a in range(0, len(index), 10_000):
+                    some = index[a : a + 10_000]
+                    ids = pa.array(some["doc_id"].copy(), mask=some["doc_id"] == NO_ID)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([m["records"]] * len(some), pa.string()), pa.array([m["wide"]] * len(some)), pa.array(some["offset"].astype(np.int64)), pa.array(some["n"].astype(np.int64))], ["doc_id", "records", "wide", "offset", "n"])
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        opened: dict[str, pa.NativeFile] = {}
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["records"] not in opened:
+                    if len(opened) >= 64:
+                        opened.pop(next(iter(opened))).close()
+                    store, path = fs.FileSystem.from_uri(r["records"])
+                    opened[r["records"]] = store.open_input_file(path)
+                kind = "<u4" if r["wide"] else "<u2"
+                data = opened[r["records"]].read_at(16 + r["n"] * np.dtype(kind).itemsize, r["offset"])
+                payload, _ = unframed(memoryview(data), 0)
+                rows.append((r["doc_id"], np.frombuffer(payload, kind).astype(np.int32).tolist()))
+                if len(rows) >= 200:
+                    yield _batch(rows, ["doc_id", "ids"], "doc_id long, ids array<int>")
+                    rows = []
+            if rows:
+                yield _batch(rows, ["doc_id", "ids"], "doc_id long, ids array<int>")
+
+    lot = F.xxhash64(F.lit(seed), "records", "offset")
+    found = _files(spark, manifest).mapInArrow(entries, "doc_id long, records string, wide boolean, offset long, n long").withColumn("lot", lot)
+    return found.repartition(partitions or max(1, len(manifest)), "lot").sortWithinPartitions("lot").drop("lot").mapInArrow(lean(pick), "doc_id long, ids array<int>")
 
 
 def _batch(rows: list[tuple], fields: list[str], schema: str) -> pa.RecordBatch:

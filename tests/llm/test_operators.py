@@ -120,24 +120,38 @@ def test_contamination_without_rows(spark, docs):
 
 
 def test_token_records(spark, docs):
+    """Also rows without an id and repeated ones; ids are in order, and each row starts where the ones before end."""
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    rows = sorted([x for x in ROWS if x[0] is not None])
-    want, start = [], 0
+    rows = [*ROWS, ROWS[4], (4, "other"), (None, "third")]
+    want = []
     for d, t in rows:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    found = token_records.token_records(docs.filter("doc_id is not null"), path)
-    assert got(found, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
-    assert token_records.token_records(docs, path).count() == len(ROWS)
+        want.append((d, len(ids), zlib.crc32(ids.tobytes())))
+    found = token_records.token_records(table(spark, rows).repartition(3), path).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found), key=repr) == sorted(want, key=repr)
+    found.sort(key=lambda r: r["start"])
+    assert [-1 if r["doc_id"] is None else r["doc_id"] for r in found] == sorted(-1 if d is None else d for d, _ in rows)
+    assert [r["start"] for r in found] == np.concatenate(([0], np.cumsum([r["n_tokens"] for r in found])))[:-1].tolist()
     assert token_records.token_records(empty(spark), path).count() == 0
 
 
+def test_shuffled_reads(spark, docs, tmp_path):
+    path = tokenizer_file("byte_bpe_50k.json")
+    manifest = token_records.write_records(docs, path, f"file://{tmp_path}/records")
+    plain = sorted((repr(r["doc_id"]), r["ids"]) for r in token_records.read_records(spark, manifest).collect())
+    orders = []
+    for seed in (1, 1, 2):
+        got_rows = [(repr(r["doc_id"]), r["ids"]) for r in token_records.read_shuffled(spark, manifest, seed, 2).collect()]
+        assert sorted(got_rows) == plain
+        orders.append([d for d, _ in got_rows])
+    assert orders[0] == orders[1] != orders[2]
+
+
 def test_stretches_follow_each_other():
-    encode = token_records.ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), most=50)
+    encode = token_records.ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), most=10_000)
     r = random.Random(1)
     for _ in range(400):
         t = "".join(r.choice("ab  \n\tÉ日1.,'s  xyz ") for _ in range(r.randrange(40)))
