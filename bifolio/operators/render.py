@@ -47,8 +47,8 @@ def pages(body: DataFrame, engine: str = "local") -> DataFrame:
     note = F.when(F.col("pivot"), " · pivote por inglés").otherwise("")
     meta = F.concat(F.lit("Edición bilingüe "), F.upper(src), F.lit(" → "), F.upper(dst), note, F.lit(f" · traducción {engine}"))
     page = F.concat(
-        F.lit('<!DOCTYPE html>\n<html lang="'), src, F.lit('">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit(f" — edición bilingüe</title>\n<style>{STYLE}</style>\n</head>\n<body>\n<header>\n<h1>"), title,
-        F.lit('</h1>\n<p class="meta">'), meta, F.lit("</p>\n</header>\n<table>\n<thead><tr><th>Original ("), src, F.lit(")</th><th>Traducción ("), dst, F.lit(")</th></tr></thead>\n<tbody>\n"), F.col("body"), F.lit("\n</tbody>\n</table>\n</body>\n</html>\n"),
+        F.lit('<!DOCTYPE html>\n<html lang="'), src, F.lit('">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n<title>'), title, F.lit(f" — edición bilingüe</title>\n<style>{STYLE}</style>\n</head>\n<body>\n<header>\n<h1>"), title,
+        F.lit('</h1>\n<p class="meta">'), meta, F.lit("</p>\n</header>\n<table>\n<colgroup><col><col></colgroup>\n<thead><tr><th>Original ("), src, F.lit(")</th><th>Traducción ("), dst, F.lit(")</th></tr></thead>\n<tbody>\n"), F.col("body"), F.lit("\n</tbody>\n</table>\n</body>\n</html>\n"),
     )
     return body.select("doc_id", page.alias("html"))
 

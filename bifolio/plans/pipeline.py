@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import word_count
 from ..operators import language, profile, render, store, transform
 from ..sources import files
 from ..sources.errors import ReadError
@@ -22,14 +24,36 @@ class Stopped(Exception):
     """The run was asked to stop; the store keeps the batches that are done."""
 
 
+@dataclass
+class Batch:
+    """What a batch of the translation did, and how the run stands after it."""
+
+    blocks: int
+    words: int
+    done: int
+    total: int
+    seconds: float
+
+    @property
+    def rate(self) -> float | None:
+        """Blocks a second so far."""
+        return self.done / self.seconds if self.done and self.seconds > 0 else None
+
+    @property
+    def eta(self) -> float | None:
+        """Seconds left at this rate."""
+        return (self.total - self.done) / self.rate if self.rate else None
+
+
 @dataclass
 class Result:
     summary: DataFrame
     written: DataFrame
     plan: DataFrame
+    batches: list[Batch]
 
 
-def run(spark: SparkSession, paths: list[str], source: str, target: str, make: Callable[[], transform.Translate], packages: DataFrame, out: str, store_path: str, keep_store: bool = False, partitions: int | None = None, batches: int = 1, should_stop: Callable[[], bool] | None = None, on_progress: Callable[[int, int], None] | None = None) -> Result:
+def run(spark: SparkSession, paths: list[str], source: str, target: str, make: Callable[[], transform.Translate], packages: DataFrame, out: str, store_path: str, keep_store: bool = False, partitions: int | None = None, batches: int = 1, should_stop: Callable[[], bool] | None = None, on_progress: Callable[[int, int], None] | None = None, settings: dict[str, str] | None = None) -> Result:
     """Translate all documents under ``paths`` and write a page each to ``out``.
 
     What the store has is taken from it; the rest is translated and appended to
@@ -54,12 +78,16 @@ def run(spark: SparkSession, paths: list[str], source: str, target: str, make: C
     documents, chapters, blocks = (written(t, name) for t, name in zip(files.tables(written(files.parse(files.scan(spark, *paths)), "parsed")), ("documents", "chapters", "blocks"), strict=True))
     keyed = blocks.join(documents.select("doc_id", "sha256"), "doc_id").withColumn("pair", F.lit(f"{source}-{target}"))
     left = written(store.pending(keyed, store.stored(spark, store_path)).dropDuplicates(store.KEY), "left")  # equal files are translated once
+    began, total, told = time.monotonic(), left.count(), []
     for number in range(batches):
         if should_stop and should_stop():
             raise Stopped
         part = left.filter(F.pmod(F.hash("sha256", "chapter_idx"), F.lit(batches)) == number)
-        fresh = transform.transformed(part, make, partitions)
+        seen = Observation()
+        fresh = transform.transformed(part, make, partitions, settings).observe(seen, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("words"))
         store.append(fresh.withColumn("seq", F.unix_micros(F.current_timestamp())), store_path)
+        done = seen.get["blocks"] + (told[-1].done if told else 0)
+        told.append(Batch(seen.get["blocks"], seen.get["words"], done, total, time.monotonic() - began))
         if on_progress:
             on_progress(number + 1, batches)
     whole = render.aligned(keyed, store.stored(spark, store_path), store.KEY)
@@ -72,4 +100,4 @@ def run(spark: SparkSession, paths: list[str], source: str, target: str, make: C
     if not keep_store:
         store.discard(spark, store_path, documents.filter("error is null").select("sha256").distinct(), f"{source}-{target}")
     store.remove(spark, *(f"{work}/{name}" for name in ("parsed", "documents", "chapters", "blocks", "left")))
-    return Result(summary, pages, plan)
+    return Result(summary, pages, plan, told)

@@ -2,8 +2,10 @@
 
 import importlib
 import json
+import os
 import random
 import re
+import shutil
 import subprocess
 import sys
 
@@ -127,8 +129,25 @@ def test_job_folder(spark, tmp_path):
     assert found() == want  # without meta.json the files are taken as they are
     (job / "meta.json").write_text(json.dumps({"sha256": "abc", "pair": "en-es"}))
     assert found() == want
+    store.write_jsonl(store.read_jsonl(spark, f"file://{job}", "abc", "en-es"), f"file://{tmp_path}/copy", "abc", "en-es")
+    assert {(r["chapter_idx"], r["block_idx"], r["t"]) for r in store.read_jsonl(spark, f"file://{tmp_path}/copy", "abc", "en-es").collect()} == want
+    assert json.loads((tmp_path / "copy" / "cap-000.jsonl").read_text(encoding="utf-8").split("\n")[0]) == {"b": 0, "t": "new"}
     (job / "meta.json").write_text(json.dumps({"sha256": "other", "pair": "en-es"}))
-    assert found() == set()
+    assert found() == set() and not job.exists()  # a stale folder goes
+
+
+def test_store_ends_jobs_and_compacts(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    rows = [("a", "en-es", 0, 0, "old", 1), ("a", "en-es", 0, 0, "new", 2), ("b", "en-es", 0, 0, "b", 1), ("a", "en-fr", 0, 0, "fr", 1)]
+    store.append(spark.createDataFrame(rows, TRANSLATIONS), at)
+    have = lambda path: {(r["sha256"], r["pair"], r["t"]) for r in store.stored(spark, path).collect()}
+    assert have(at) == {("a", "en-es", "new"), ("b", "en-es", "b"), ("a", "en-fr", "fr")}
+    store.discard(spark, at, spark.createDataFrame([("a",)], "sha256 string"), "en-es")
+    assert have(at) == {("b", "en-es", "b"), ("a", "en-fr", "fr")}
+    store.append(spark.createDataFrame([("a", "en-es", 0, 0, "again", 1 << 60)], TRANSLATIONS), at)
+    assert ("a", "en-es", "again") in have(at)
+    store.compact(spark, at, f"file://{tmp_path}/new")
+    assert have(f"file://{tmp_path}/new") == have(at) and spark.read.parquet(f"file://{tmp_path}/new").count() == 3
 
 
 def test_pipeline_resumes(spark, tmp_path):
@@ -153,6 +172,7 @@ def test_pipeline_resumes(spark, tmp_path):
     told = []
     result = pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, batches=2, on_progress=lambda *x: told.append(x))
     assert told == [(1, 2), (2, 2)]
+    assert [b.done for b in result.batches][-1] == result.batches[-1].total == 2 and sum(b.words for b in result.batches) == 3 and result.batches[-1].eta == 0
     (page,) = [open(r["path"].removeprefix("file://"), encoding="utf-8").read() for r in result.written.collect()]
     assert calls.value == 2 and "SENTINEL" in page and ">SECOND</td>" in page and "first <i>one</i>" in page and page.count("fila-marca") == 2
     assert page.count('<tr><td lang="en">') == 2 and page.count('nivel-1"') == 1
@@ -170,6 +190,8 @@ def test_transform_and_alignment(spark):
     done = transform.transformed(store.pending(keyed, none), lambda: str.upper, 3)
     whole = render.aligned(keyed, done, store.KEY)
     got = [r["row"] for r in render.rows(whole, F.lit("en"), F.lit("es")).orderBy("block_idx").collect()]
+    env = transform.transformed(store.pending(keyed, none), lambda: lambda t: os.environ["SEGMENTER"], settings={"SEGMENTER": "spacy"})
+    assert {r["t"] for r in env.collect()} == {"spacy"}
     assert len(got) == 3 and "nivel-6" in got[0] and "h&lt;" in got[0] and "H&lt;" in got[0] and got[2].endswith('<td lang="es">P&quot;</td></tr>')
 
 
@@ -230,3 +252,14 @@ assert e.queries() and not any(k.startswith("op") for k in e.queries())
 """
     root = importlib.import_module("bifolio").__path__[0].rsplit("/", 1)[0]
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_rest_passes_where_the_folders_are_deleted(tmp_path):
+    """A copy of the repository without them: it imports, queries run, and some of the rest's tests pass."""
+    root = importlib.import_module("bifolio").__path__[0].rsplit("/", 1)[0]
+    gone = lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", "corpus_pipeline.py")]
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    some = "test_contract or test_html_rules or test_transform_and_alignment or (test_queries_equal_their_sql and conversation_blocks)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-k", some], cwd=tmp_path / "copy", env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout[-2000:]
