@@ -39,9 +39,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def sweep(spark: SparkSession, keep: str = "") -> None:
+    """Delete what this process has put in the shared folder, but for ``keep``: when no DataFrame made before is used any more."""
+    for path in [p for p in _MADE if p != keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE[:] = [keep] if keep else []
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located
+from .common import located, settled
 
 SPAN, GRAM = 10, 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,7 +105,7 @@ def benchmark_windows(benchmark: DataFrame, span: int, item_col: str, text_col:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and its place: file, row."""
-    found = benchmark_windows(benchmark, span, item_col, item_text_col).cache()
+    found = settled(benchmark_windows(benchmark, span, item_col, item_text_col), "benchmark-windows")
     sizes = {r["len"]: r["n"] for r in found.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}  # span rows at most
     small = F.broadcast if sum(sizes.values()) <= BROADCAST_WINDOWS else (lambda df: df)
 

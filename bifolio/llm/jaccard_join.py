@@ -55,6 +55,8 @@ SHINGLE, PERCENT = 3, 90
 SHARING = 3
 BUCKET_BYTES = 8 << 20
 RANGE_ENTRIES = 200_000
+#: A stretch of documents sends packets to so many ranges of buckets at most; ranges of many buckets are cut again, from so many bytes at a time.
+FAN_OUT, CUT_BYTES = 256, 32 << 20
 CHUNK_SETS, CHUNK_TOKENS = 2048, 1_000_000
 #: So many candidates of some 60 bytes (about 30 MB as a hash table) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_UNITS = 500_000
@@ -383,6 +385,9 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source, file, row = located(docs, *dict.fromkeys((id_col, text_col)))
     narrow = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
     buckets = pieces(narrow, BUCKET_BYTES, 12)
+    widths = [1]
+    while -(-buckets // widths[0]) > FAN_OUT:
+        widths.insert(0, widths[0] * FAN_OUT)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -408,9 +413,7 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 fresh = np.ones(len(entries), bool)
                 fresh[1:] = (entries[1:] != entries[:-1]) | (keys[1:] != keys[:-1])
                 entries, keys = entries[fresh], keys[fresh]
-                cut = np.searchsorted((entries >> U(16)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=U))
-                rows = [(b, packed(entries[cut[b] : cut[b + 1]], keys[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
+                yield packets(entries, keys, buckets, widths[0])
 
     rows = settled(narrow.mapInArrow(lean(measure), SETS), "jaccard-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row"))
@@ -420,7 +423,7 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = [link for entries, keys in by_range([unpacked(x) for x in table.column("entries").to_pylist()]) for link in [shared_entries(entries, keys)]]
         return pa.table({c: np.concatenate([x[i] for x in found]).view(np.int64) for i, c in enumerate("ab")})
 
-    candidates = connected(narrow.select("text").mapInArrow(lean(index), "bucket int, entries binary").groupBy("bucket").applyInArrow(lean_group(meet), "a long, b long"))
+    candidates = connected(in_buckets(narrow.select("text").mapInArrow(lean(index), PACKET), buckets, widths).groupBy("bucket").applyInArrow(lean_group(meet), "a long, b long"))
 
     # second sieve: sketches, by component and pair of neighbouring bands
     grouped = settled(classes.join(candidates.toDF("k1", "cluster"), "k1").withColumn("zone", F.explode(F.array("band", F.col("band") + 1))), "jaccard-candidates")
@@ -459,6 +462,52 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows, settled(whole, "jaccard-components")
 
 
+PACKET = "bucket int, entries binary"
+
+
+def packets(entries: np.ndarray, keys: np.ndarray, buckets: int, width: int) -> pa.RecordBatch:
+    """A packet for each range of ``width`` buckets that some of the sorted entries fall in, by the range's first bucket."""
+    bucket = ((entries >> U(16)) * U(buckets) >> U(32)).astype(np.int64)
+    first, cut = np.unique(bucket - bucket % width, return_index=True)
+    ends = [*cut[1:], len(entries)]
+    return pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array([packed(entries[a:b], keys[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "entries"])
+
+
+def in_buckets(found: DataFrame, buckets: int, widths: list[int]) -> DataFrame:
+    """Packets for single buckets of packets for ranges of ``widths[0]`` buckets.
+
+    Each level deals the packets by range, and evenly within one, and cuts what a
+    task gets into the next narrower ranges, ``CUT_BYTES`` at a time. So the number
+    of packets grows with the input, not with the product of stretches and buckets.
+    """
+    for width in widths[1:]:
+
+        def cut(batches: Iterable[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[bytes]] = {}
+            size = 0
+
+            def emptied() -> Iterator[pa.RecordBatch]:
+                for first in sorted(held):
+                    entries, keys = map(np.concatenate, zip(*map(unpacked, held[first]), strict=True))
+                    order = np.argsort(entries, kind="stable")
+                    yield packets(entries[order], keys[order], buckets, width)
+                held.clear()
+
+            for batch in batches:
+                for first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.setdefault(first, []).append(data)
+                    size += len(data)
+                    if size >= CUT_BYTES:
+                        yield from emptied()
+                        size = 0
+            yield from emptied()
+
+        # a task has one range, or few: ranges are dealt in order, each over as many tasks as it has bytes for
+        lot = F.pmod(F.xxhash64("entries"), F.lit(max(1, buckets * BUCKET_BYTES // (256 << 20) // FAN_OUT + 1)))
+        found = found.withColumn("lot", lot).repartition("bucket", "lot").sortWithinPartitions("bucket").drop("lot").mapInArrow(lean(cut), PACKET)
+    return found
+
+
 def chunk_pairs(members: DataFrame, key: list[str]) -> DataFrame:
     """The members of each key with more than one, once for each pair of chunks (i, j) that has theirs; ``side`` is 1 in j where i < j."""
     sizes = members.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))

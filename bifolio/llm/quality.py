@@ -4,21 +4,24 @@ Each document becomes a short vector of statistics of its text (shares of kinds
 of characters, word and line lengths, repetition). Standardised, the vector is
 mapped to cosines at random frequencies, whose inner products approximate a
 Gaussian kernel. The normal equations of a ridge regression are summed within
-each partition, then over a few groups of partitions, so the driver gets a
-fixed number of matrices however large the corpus is. Scores are calibrated by
-isotonic regression on counts in fixed bins, which are summed the same way.
+each partition, then over groups of partitions and groups of these, so a task sums
+about the root of their number and the driver gets a fixed number of matrices however
+large the corpus is. Scores are calibrated by isotonic regression on counts in fixed
+bins, which are summed the same way; the rows are cut in two halves by their
+statistics for that, and each half is scored by the equations of the other.
 
 All labelled rows for which ``learn`` holds are used. Without any label every
 score is 0.5; with labels of one kind only, every score is that label.
 
 Null and empty texts have statistics too (zeros) and so get a score. Repeated
-rows get equal scores; a repeated label row counts as often as it comes; null
-labels are not used. An empty table gives an empty result. Only the columns
+rows get equal scores; a repeated label row counts as often as it comes, also where
+label rows of one id contradict each other; null labels are not used. An empty table gives an empty result. Only the columns
 named are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -163,18 +166,23 @@ def _summed(rows: DataFrame, of, length: int) -> np.ndarray | None:
                 total += of(x, y)
                 n += len(x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(length), 0
+        total, n, g = np.zeros(length), 0, 0
         for b in batches:
-            for v in b.column(1).to_pylist():
+            for g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total += np.frombuffer(v)
                 n += 1
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
-
-    found = rows.mapInArrow(lean(part), "g int, v binary").repartition(GROUPS, "g").mapInArrow(join, "g int, v binary").collect()  # GROUPS rows at most
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+
+    parts = rows.rdd.getNumPartitions()
+    wide = max(GROUPS, math.isqrt(parts))
+    sums = rows.mapInArrow(lean(part), "g int, v binary")
+    if parts > wide:
+        sums = sums.withColumn("g", F.col("g") % wide).repartition(wide, "g").mapInArrow(lean(join), "g int, v binary")
+    found = sums.withColumn("g", F.col("g") % GROUPS).repartition(GROUPS, "g").mapInArrow(lean(join), "g int, v binary").collect()  # GROUPS rows at most
     return np.sum([np.frombuffer(r["v"]) for r in found], axis=0) if found else None
 
 
@@ -193,6 +201,11 @@ def isotonic(weight: np.ndarray, positive: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(weight)), at, values)
 
 
+def halves(x: np.ndarray) -> np.ndarray:
+    """0 or 1 for each row, by its statistics: equal rows lie in one half."""
+    return (np.ascontiguousarray(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1, dtype=np.uint64).astype(np.uint64) >> np.uint64(63)
+
+
 def fit(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 3.0, seed: int = 7) -> Model:
     """From rows (x, y): statistics and a label of 0 or 1."""
     k = len(STATISTICS)
@@ -210,17 +223,22 @@ def fit(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 3.
     size = waves + k + 1
 
     def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        z, half = model.features(x), halves(x)
+        return np.concatenate([v for h in (0, 1) for m in [half == h] for v in ((z[m].T @ z[m]).ravel(), z[m].T @ y[m])])
 
-    both = _summed(rows, equations, size * size + size)
-    gram, right = both[: size * size].reshape(size, size), both[size * size :]
+    both = _summed(rows, equations, 2 * (size * size + size)).reshape(2, -1)
     penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
-    model.weights = np.linalg.solve(gram + np.diag(penalty), right)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(sums[: size * size].reshape(size, size) + np.diag(penalty), sums[size * size :])
+
+    model.weights = solved(both.sum(0))
+    others = np.stack([solved(both[1]), solved(both[0])], 1)  # for the rows of half 0 and 1
 
     def binned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        b = np.clip(((model.raw(x) - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
+        raw = (model.features(x) @ others)[np.arange(len(x)), halves(x).astype(int)]
+        b = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(b, minlength=BINS), np.bincount(b, y, BINS)])
 
     counts = _summed(rows, binned, 2 * BINS)

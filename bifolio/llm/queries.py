@@ -134,6 +134,27 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT k, md5(array_to_string(w[i:i + 2], ' ')) AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0
+), n AS MATERIALIZED (
+  SELECT k, count(*) AS n FROM s GROUP BY k
+), pairs AS (
+  SELECT a.k AS a, b.k AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN n AS x ON x.k = a JOIN n AS y ON y.k = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least_id AS (
+  SELECT a AS k, min(doc_id) AS m FROM reach JOIN d ON d.k = reach.b GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, m) AS component_id
+FROM d LEFT JOIN n USING (k) LEFT JOIN least_id USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -154,4 +175,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": OP1_SQL,
         "op4_exact_dedup": OP4_SQL,
         "op5_substring_dedup": OP5_SQL,
+        "op6_jaccard_join": OP6_SQL,
     }

@@ -8,7 +8,10 @@ A document goes if its quality score is under 0.3, if its text has an exact copy
 with a larger id, if it is linked to a document with a smaller id by a Jaccard
 similarity of at least 0.8 of their sets of five-word shingles (op6 has a rule
 of its own), or if it holds a passage of the benchmark. The last stage returns
-doc_id, n_tokens and ids of the others.
+doc_id, n_tokens and ids of the others. Rows without an id, or with one that other
+rows have too, stay or go by their own text; of linked documents that with the
+smallest id stays, one without an id last. ``run`` deletes what stages have written
+in the shared folder once the next one is done, so call it alone.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bifolio.llm import filters
-from bifolio.llm.common import shared_path, table
+from bifolio.llm.common import shared_path, sweep, table
 from bifolio.llm.queries import tokenizer_file
 from bifolio.llm.sentence_pieces import encoded
 
@@ -55,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(spark, path)  # what the stage and the one before it have written
     return docs

@@ -185,6 +185,44 @@ def test_quality(spark):
     assert quality.quality_scores(empty(spark), labels, learn=lambda i: F.lit(True)).count() == 0
 
 
+def test_equations_equal_a_dense_solve(spark):
+    """The sums over partitions give the weights of one dense ridge regression, with ties and rows of contradicting labels."""
+    g = np.random.default_rng(4)
+    k = len(quality.STATISTICS)
+    x = g.standard_normal((300, k)) * np.arange(1, k + 1)
+    x[40:50] = x[30]  # equal rows, with both labels
+    y = (x[:, 0] + 0.3 * g.standard_normal(300) > 0).astype(int)
+    y[40:45], y[45:50] = 0, 1
+    rows = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y, strict=True)], "x array<double>, y int").repartition(20)
+    model = quality.fit(rows, waves=32)
+    z = model.features(x)
+    penalty = np.full(z.shape[1], 3.0)
+    penalty[-1] = 1e-6
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ y), atol=1e-8)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-3)
+    half = quality.halves(x).astype(int)
+    assert set(half) == {0, 1} and len(set(half[[30, *range(40, 50)]])) == 1
+    raw = np.empty(300)
+    for h in (0, 1):
+        a, own = z[half != h], half == h
+        raw[own] = z[own] @ np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y[half != h])
+    b = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    assert np.allclose(model.steps, quality.isotonic(np.bincount(b, minlength=quality.BINS).astype(float), np.bincount(b, y, quality.BINS)))
+
+
+def test_quality_of_the_tables(spark):
+    """Held-out labels of the tables; long, empty and repeated texts."""
+    from bifolio.llm.common import crc_mod
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs.withColumn("score", F.lit("x")), labels.withColumn("x", F.lit(1)), learn=lambda i: crc_mod(i, 5) != 0).collect()}
+    held = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["quality"] is not None and r["doc_id"] in found]
+    assert np.mean([(found[r["doc_id"]] >= 0.3) == (r["quality"] == 1) for r in held]) > 0.95
+    rows = quality.with_statistics(table(spark, [(1, "word " * 400_000), (2, ""), (3, None), (4, "a b"), (4, "a b")])).collect()
+    by_id = {r["doc_id"]: r["x"] for r in rows}
+    assert len(rows) == 5 and by_id[2] == by_id[3] == [0.0] * len(quality.STATISTICS) and all(np.isfinite(r["x"]).all() for r in rows)
+
+
 def test_isotonic_is_monotone_and_keeps_the_sum():
     r = np.random.default_rng(0)
     w = r.integers(0, 5, 100).astype(float)
@@ -329,6 +367,7 @@ def test_jaccard_join(spark, chunk, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK_SETS", chunk)
     if chunk < 100:
         monkeypatch.setattr(jaccard_join, "BROADCAST_UNITS", 0)
+        monkeypatch.setattr(jaccard_join, "FAN_OUT", 3)
     near = near_rows()
     # rows without an id: some link others together, some are alone, some are copies; an id of two texts
     nameless = [(None if i % 5 == 0 else i, t) for i, t in near]
@@ -372,6 +411,27 @@ def test_packets():
         assert np.array_equal(a, entries) and np.array_equal(b, keys)
 
 
+def test_packets_grow_with_the_input(spark, monkeypatch):
+    """Twice the stretches and twice the buckets: no more than about twice the packets, and the same entries in each bucket."""
+    monkeypatch.setattr(jaccard_join, "FAN_OUT", 4)
+    r = np.random.default_rng(6)
+
+    def dealt(stretches, buckets):
+        widths = [1]
+        while -(-buckets // widths[0]) > 4:
+            widths.insert(0, widths[0] * 4)
+        data = [(np.sort(r.integers(0, 1 << 47, 400, dtype=np.uint64) << np.uint64(1)), r.integers(0, 1 << 62, 400).astype(np.uint64)) for _ in range(stretches)]
+        rows = [tuple(x.values()) for e, k in data for x in jaccard_join.packets(e, k, buckets, widths[0]).to_pylist()]
+        found = jaccard_join.in_buckets(spark.createDataFrame(rows, jaccard_join.PACKET).repartition(3), buckets, widths).collect()
+        back = [(e, k, row["bucket"]) for row in found for e, k in zip(*map(np.ndarray.tolist, jaccard_join.unpacked(row["entries"])), strict=True)]
+        assert sorted((e, k) for e, k, _ in back) == sorted((e, k) for x in data for e, k in zip(*map(np.ndarray.tolist, x), strict=True))
+        assert all(((e >> 16) * buckets) >> 32 == b for e, _, b in back)
+        return len(rows), len(found)
+
+    a, b = dealt(20, 40), dealt(40, 80)
+    assert b[0] <= 2.5 * a[0] and b[1] <= 2.5 * a[1]
+
+
 def test_ranges_lose_no_entry():
     r = np.random.default_rng(2)
     parts = [(np.sort(r.integers(0, 1 << 48, n)).astype(np.uint64), r.integers(0, 9, n).astype(np.uint64)) for n in (1, 40, 500)]
