@@ -58,6 +58,8 @@ RANGE_ENTRIES = 200_000
 #: A stretch of documents sends packets to so many ranges of buckets at most; ranges of many buckets are cut again, from so many bytes at a time.
 FAN_OUT, CUT_BYTES = 256, 32 << 20
 CHUNK_SETS, CHUNK_TOKENS = 2048, 1_000_000
+#: Chunks of sketches, which are small, so a component's are spread over more tasks.
+SKETCH_SETS = 512
 #: So many candidates of some 60 bytes (about 30 MB as a hash table) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_UNITS = 500_000
 
@@ -434,7 +436,7 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         a, b = chain(k1, roots)
         return pa.table({"a": a, "b": b})
 
-    near = chunk_pairs(grouped.select("cluster", "zone", "k1", "k2", "n", "sketch"), ["cluster", "zone"]).groupBy("cluster", "zone", "i", "j").applyInArrow(lean_group(filtered), "a long, b long")
+    near = chunk_pairs(grouped.select("cluster", "zone", "k1", "k2", "n", "sketch"), ["cluster", "zone"], SKETCH_SETS).groupBy("cluster", "zone", "i", "j").applyInArrow(lean_group(filtered), "a long, b long")
     clusters = connected(near.filter("a <> b"))
 
     # what is left: token by token
@@ -508,9 +510,9 @@ def in_buckets(found: DataFrame, buckets: int, widths: list[int]) -> DataFrame:
     return found
 
 
-def chunk_pairs(members: DataFrame, key: list[str]) -> DataFrame:
+def chunk_pairs(members: DataFrame, key: list[str], each: int | None = None) -> DataFrame:
     """The members of each key with more than one, once for each pair of chunks (i, j) that has theirs; ``side`` is 1 in j where i < j."""
-    sizes = members.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
+    sizes = members.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / min(each or CHUNK_SETS, CHUNK_SETS)), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
     dealt = members.join(sizes.filter("members > 1").drop("members"), key).withColumn("chunk", F.pmod(F.hash("k2"), "chunks"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return each.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).withColumn("side", (F.col("chunk") > F.col("other")).cast("int")).drop("chunks", "chunk", "other")
