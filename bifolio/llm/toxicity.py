@@ -141,7 +141,7 @@ class Index:
         bound = np.bincount(of, weight * self.peak[entry])
         order = np.argsort(-bound, kind="stable")
         best_i, best_c = np.zeros(0, np.int64), np.zeros(0)
-        i, step = 0, 2
+        i, step = 0, 8
         while i < len(order):
             blocks, i = order[i : i + step], i + step
             blocks = blocks[bound[blocks] > (best_c[-1] - 1e-9 if len(best_c) >= k else 0)]
@@ -161,7 +161,7 @@ class Index:
             best_i, best_c = np.concatenate([best_i, found]), np.concatenate([best_c, cos[found]])
             top = np.lexsort((self.ids[best_i], -np.round(best_c, 9)))[:k]
             best_i, best_c = best_i[top], best_c[top]
-            step *= 2
+            step *= 4
         return best_i, best_c
 
     def cell(self, i: np.ndarray, c: np.ndarray) -> tuple[int, int]:
