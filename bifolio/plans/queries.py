@@ -45,7 +45,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     chapters = docs.select("doc_id", F.lit(0).alias("chapter_idx"))
-    return profile.volume(text_blocks(docs), chapters)
+    return profile.volume(text_blocks(docs, html=False), chapters)
 
 
 DOC_VOLUME = r"""

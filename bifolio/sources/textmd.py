@@ -105,28 +105,29 @@ def plain_piece(stretch: Column) -> Column:
     return F.array(F.struct(F.lit(PARAGRAPH).alias("kind"), joined.alias("md"), F.lit(2).alias("level")))
 
 
-def of_piece(p: Column) -> Column:
-    """The blocks of a piece: its images' markers, then itself with its inline markup done."""
+def of_piece(p: Column, html: bool = True) -> Column:
+    """The blocks of a piece: its images' markers, then itself with its inline markup done (no HTML, if none is wanted)."""
     paragraph = p["kind"] == PARAGRAPH
     images = F.when(paragraph & F.contains(p["md"], F.lit("![")), image_count(p["md"])).otherwise(0)
     body = F.when(images > 0, without_images(p["md"])).otherwise(p["md"])
     is_marker = p["kind"] == MARKER
-    own = F.struct(p["kind"].alias("kind"), F.when(is_marker, p["md"]).otherwise(plain(body)).alias("text"), F.when(is_marker, "").otherwise(marked(body)).alias("html"), p["level"].cast("int").alias("level"))
+    own = F.struct(p["kind"].alias("kind"), F.when(is_marker, p["md"]).otherwise(plain(body)).alias("text"), (F.when(is_marker, "").otherwise(marked(body)) if html else F.lit("")).alias("html"), p["level"].cast("int").alias("level"))
     return F.concat(marks(images, MARK_IMAGE), F.array(own))
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", html: bool = True) -> DataFrame:
     """Numbered blocks of documents given as text: doc_id, chapter_idx, block_idx, kind, text, html, level.
 
     A document's stretches stay in its row, so they are numbered without a shuffle.
+    Without ``html`` that column is empty, and its work isn't done.
     """
-    return numbered(docs, id_col, stretches(F.col(text_col)))
+    return numbered(docs, id_col, stretches(F.col(text_col)), html)
 
 
-def numbered(docs: DataFrame, id_col: str, found: Column) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, found: Column, html: bool = True) -> DataFrame:
     """The blocks of each row's stretches. Python gets the stretches of documents with a sign of structure, and a null for all others."""
     cut = docs.select(F.col(id_col).alias("doc_id"), found.alias("found")).withColumn("odd", F.when(F.exists("found", lambda x: x.rlike(STRUCTURED)), F.col("found")))
     parts = cut.withColumn("own", F.pandas_udf(parsed, f"array<{PIECES}>")("odd"))
     pieces = F.flatten(F.coalesce("own", F.transform("found", plain_piece)))
-    blocks = F.filter(F.flatten(F.transform(pieces, of_piece)), lambda b: b["text"] != "")
+    blocks = F.filter(F.flatten(F.transform(pieces, lambda p: of_piece(p, html))), lambda b: b["text"] != "")
     return parts.select("doc_id", F.posexplode(blocks).alias("block_idx", "b")).select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")
