@@ -42,7 +42,7 @@ from .text_kernel import sliced
 MASK_DELTA = 0xA282EAD8
 FILE_BYTES, MOST_FILES = 24 << 20, 20_000
 #: Bytes of remembered stretches, with about ``ENTRY_BYTES`` for each beside its text and ids; as much again is kept of the ones before.
-REMEMBERED_BYTES, ENTRY_BYTES = 32 << 20, 200
+REMEMBERED_BYTES, ENTRY_BYTES = 72 << 20, 200
 NO_ID = -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
 MANIFEST = "bucket long, records string, index string, wide boolean, n_docs long, n_tokens long, n_bytes long"
@@ -114,9 +114,9 @@ class ChunkEncoder:
                 self._remember(zip(part, self._plain([" " + x for x in part]), strict=True))
 
     def _remember(self, found: Iterable[tuple[str, bytes]]) -> None:
-        for x, ids in found:
-            self.known[x] = ids
-            self.held += len(x) + len(ids) + ENTRY_BYTES
+        found = dict(found)
+        self.known.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
