@@ -101,8 +101,10 @@ DOT_WORDS = "dot|punkt|point|punto"
 #: Runs of fewer spelled digits are left as words.
 LEAST_SPELLED = 3
 
-_AT_FRAMED = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:{AT_WORDS}|@)[ \t]*[)\]}}>][ \t]*", re.I)
-_DOT_FRAMED = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:{DOT_WORDS}|\.)[ \t]*[)\]}}>][ \t]*", re.I)
+#: A run of blanks is entered at its first one only, and once: else each blank of a long run would scan the rest of it.
+_BLANKS_BEFORE = r"(?:(?<![ \t])[ \t]++)?+"
+_AT_FRAMED = re.compile(rf"{_BLANKS_BEFORE}[(\[{{<][ \t]*+(?:{AT_WORDS}|@)[ \t]*+[)\]}}>][ \t]*+", re.I)
+_DOT_FRAMED = re.compile(rf"{_BLANKS_BEFORE}[(\[{{<][ \t]*+(?:{DOT_WORDS}|\.)[ \t]*+[)\]}}>][ \t]*+", re.I)
 _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( ++(?:{AT_WORDS}) ++|@)[A-Za-z0-9-]++(?:(?: ++(?:{DOT_WORDS}) ++|\.)[A-Za-z0-9-]++)+", re.I)
 _BARE_DOT = re.compile(rf" +(?:{DOT_WORDS}) +", re.I)
 _DIGIT_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))

@@ -56,7 +56,13 @@ def test_many_addresses():
 
 
 def test_long_texts_take_linear_time():
-    for text in (" " * 10**6, "a" * 10**6 + " at b", "x " * 300_000, "a at " * 100_000, "(" * 300_000, "one " * 100_000, "a@" * 200_000):
+    for text in (" " * 10**6, "a" * 10**6 + " at b", "x " * 300_000, "a at " * 100_000, "(" * 300_000, "one " * 100_000, "a@" * 200_000, "\t" * 10**6, " \t" * 500_000, "(" + " " * 10**6, "(at" + " \t" * 500_000, "1" + " " * 10**6 + "dot", "a" + " " * 10**6 + "at", "( " * 300_000, "(at) " * 100_000):
         began = time.process_time()
         pii.spans(text)
         assert time.process_time() - began < 10, text[:5]
+
+
+def test_framed_words_in_a_row():
+    for text in ("a (at) (dot) b", "a (at) (at) b.c", "a\t \t[at]\t\tb {dot} com", "( at )x", "  (dot)  (dot)  "):
+        assert pii.spans(text)[1] == naive(text)
+    assert [m.span() for m in pii._AT_FRAMED.finditer("a  (at) \t(at)b (x) (at)")] == [(1, 9), (9, 13), (18, 23)]
