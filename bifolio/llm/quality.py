@@ -7,8 +7,10 @@ Gaussian kernel. The normal equations of a ridge regression are summed within
 each partition, then over groups of partitions and groups of these, so a task sums
 about the root of their number and the driver gets a fixed number of matrices however
 large the corpus is. Scores are calibrated by isotonic regression on counts in fixed
-bins, which are summed the same way; the rows are cut in two halves by their
-statistics for that, and each half is scored by the equations of the other.
+bins, which are summed the same way; the labelled rows are dealt to two halves at
+random by their place for that, so repeated texts lie in both, and each half is
+scored by the equations of the other. Where a half has fewer than ``LEAST_OF_LABEL``
+rows of a label, the equations of all rows score both.
 
 All labelled rows for which ``learn`` holds are used. Without any label every
 score is 0.5; with labels of one kind only, every score is that label.
@@ -38,6 +40,7 @@ STATISTICS = (
     "stop", "word_mean", "word_sd", "distinct_words", "same_as_last", "same_pair", "longest_word", "words_a_line", "upper_words", "closed_words", "distinct_pairs",
 )
 GROUPS, BINS, LOW, HIGH = 8, 512, -0.5, 1.5
+LEAST_OF_LABEL = 8
 
 
 def _classes() -> np.ndarray:
@@ -146,14 +149,14 @@ class Model:
         return np.clip(np.interp(place, np.arange(BINS), self.steps), 0, 1)
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = batch.column(0)
     x = np.asarray(flat.flatten()).reshape(len(flat), -1) if len(flat) else np.zeros((0, len(STATISTICS)))
-    return x, np.asarray(batch.column(1)).astype(float)
+    return x, np.asarray(batch.column(1)).astype(float), np.asarray(batch.column(2)).astype(int)
 
 
 def _summed(rows: DataFrame, of, length: int) -> np.ndarray | None:
-    """The sum over all rows of the vectors that ``of(x, y)`` makes of batches: by partition, then by GROUPS of partitions."""
+    """The sum over all rows of the vectors that ``of(x, y, half)`` makes of batches: by partition, then by GROUPS of partitions."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -161,9 +164,9 @@ def _summed(rows: DataFrame, of, length: int) -> np.ndarray | None:
         total = np.zeros(length)
         n = 0
         for b in batches:
-            x, y = _matrix(b)
+            x, y, half = _matrix(b)
             if len(x):
-                total += of(x, y)
+                total += of(x, y, half)
                 n += len(x)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
@@ -201,15 +204,10 @@ def isotonic(weight: np.ndarray, positive: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(weight)), at, values)
 
 
-def halves(x: np.ndarray) -> np.ndarray:
-    """0 or 1 for each row, by its statistics: equal rows lie in one half."""
-    return (np.ascontiguousarray(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1, dtype=np.uint64).astype(np.uint64) >> np.uint64(63)
-
-
 def fit(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 3.0, seed: int = 7) -> Model:
-    """From rows (x, y): statistics and a label of 0 or 1."""
+    """From rows (x, y, half): statistics, a label of 0 or 1, and 0 or 1 at random."""
     k = len(STATISTICS)
-    sums = _summed(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * k)
+    sums = _summed(rows, lambda x, y, half: np.concatenate([[len(x), y.sum()], np.bincount(2 * half + y.astype(int), minlength=4), x.sum(0), (x * x).sum(0)]), 6 + 2 * k)
     rng = np.random.default_rng(seed)
     model = Model(np.zeros(k), np.ones(k), rng.standard_normal((k, waves)) / width, rng.uniform(0, 2 * np.pi, waves), None, None)
     if sums is None:
@@ -218,12 +216,12 @@ def fit(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 3.
     if positive in (0, n):
         model.constant = float(positive > 0)
         return model
-    model.mean = sums[2 : 2 + k] / n
-    model.scale = np.sqrt(np.maximum(sums[2 + k :] / n - model.mean**2, 1e-9)) + 1e-3
+    model.mean = sums[6 : 6 + k] / n
+    model.scale = np.sqrt(np.maximum(sums[6 + k :] / n - model.mean**2, 1e-9)) + 1e-3
     size = waves + k + 1
 
-    def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z, half = model.features(x), halves(x)
+    def equations(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+        z = model.features(x)
         return np.concatenate([v for h in (0, 1) for m in [half == h] for v in ((z[m].T @ z[m]).ravel(), z[m].T @ y[m])])
 
     both = _summed(rows, equations, 2 * (size * size + size)).reshape(2, -1)
@@ -234,10 +232,11 @@ def fit(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 3.
         return np.linalg.solve(sums[: size * size].reshape(size, size) + np.diag(penalty), sums[size * size :])
 
     model.weights = solved(both.sum(0))
-    others = np.stack([solved(both[1]), solved(both[0])], 1)  # for the rows of half 0 and 1
+    apart = sums[2:6].min() >= LEAST_OF_LABEL
+    others = np.stack([solved(both[1]), solved(both[0])] if apart else [model.weights] * 2, 1)  # for the rows of half 0 and 1
 
-    def binned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        raw = (model.features(x) @ others)[np.arange(len(x)), halves(x).astype(int)]
+    def binned(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+        raw = (model.features(x) @ others)[np.arange(len(x)), half]
         b = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(b, minlength=BINS), np.bincount(b, y, BINS)])
 
@@ -260,7 +259,8 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 def _labelled(stats: DataFrame, labels: DataFrame, learn, id_col: str, label_col: str) -> Model:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & learn(F.col("doc_id")))
-    return fit(settled(stats.join(known, "doc_id").select("x", "y"), "quality-labelled"))
+    half = (F.xxhash64(F.monotonically_increasing_id()) % 2 != 0).cast("int").alias("half")  # written, so it stays as it is
+    return fit(settled(stats.join(known, "doc_id").select("x", "y", half), "quality-labelled"))
 
 
 def learnt(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:

@@ -193,21 +193,35 @@ def test_equations_equal_a_dense_solve(spark):
     x[40:50] = x[30]  # equal rows, with both labels
     y = (x[:, 0] + 0.3 * g.standard_normal(300) > 0).astype(int)
     y[40:45], y[45:50] = 0, 1
-    rows = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y, strict=True)], "x array<double>, y int").repartition(20)
+    half = g.integers(0, 2, 300)
+    rows = spark.createDataFrame([(v.tolist(), int(t), int(h)) for v, t, h in zip(x, y, half, strict=True)], "x array<double>, y int, half int").repartition(20)
     model = quality.fit(rows, waves=32)
     z = model.features(x)
     penalty = np.full(z.shape[1], 3.0)
     penalty[-1] = 1e-6
     assert np.allclose(model.weights, np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ y), atol=1e-8)
     assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-3)
-    half = quality.halves(x).astype(int)
-    assert set(half) == {0, 1} and len(set(half[[30, *range(40, 50)]])) == 1
     raw = np.empty(300)
     for h in (0, 1):
         a, own = z[half != h], half == h
         raw[own] = z[own] @ np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y[half != h])
     b = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
     assert np.allclose(model.steps, quality.isotonic(np.bincount(b, minlength=quality.BINS).astype(float), np.bincount(b, y, quality.BINS)))
+    alone = quality.fit(rows.withColumn("half", F.col("y")), waves=32)  # each half has one label only: the common equations score both
+    place = np.clip(((z @ model.weights - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    assert np.allclose(alone.steps, quality.isotonic(np.bincount(place, minlength=quality.BINS).astype(float), np.bincount(place, y, quality.BINS)))
+
+
+@pytest.mark.parametrize("repeated", [0, 1])
+def test_quality_of_repeated_labelled_texts(spark, repeated):
+    """One text many times in one label, few or many others: scores of separable labels lie on their own sides."""
+    good = [f"The paper number {i} reads well, and its words differ from line to line." for i in range(40)]
+    bad = [f"BUY!! NOW!! {i} " * 20 for i in range(40)]
+    texts = [*(good[:1] * 100 if repeated else good), *(bad if repeated else bad[:1] * 100)]
+    first = 100 if repeated else 40
+    labels = spark.createDataFrame([(i, int(i < first), 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["score"] for r in quality.quality_scores(table(spark, enumerate(texts)), labels, learn=lambda i: F.lit(True)).collect()}
+    assert all((found[i] >= 0.5) == (i < first) for i in found)
 
 
 def test_quality_of_the_tables(spark):
