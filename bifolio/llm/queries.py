@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import ball_kmeans, byte_pairs, language_id, toxicity
 from .common import crc_mod, table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .phrase_mining import collocations
 from .pii import find_pii
 from .quality import quality_scores
 from .sentence_pieces import round_trip
@@ -48,6 +49,18 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.with_inertia(*ball_kmeans.clusters(table(spark, sf_dir, "embeddings")))
+
+
 OP1_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -155,6 +168,73 @@ FROM d LEFT JOIN n USING (k) LEFT JOIN least_id USING (k)
 """
 
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x
+  FROM documents
+), w AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+  FROM w, unnest(range(1, 6)) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i)
+  GROUP BY lang, k, phrase HAVING count(*) >= 100
+), cut AS (
+  SELECT g.lang, g.phrase, g.k, g.f AS a, c, string_split(g.phrase, ' ') AS w FROM g, unnest(range(1, 5)) AS r(c) WHERE c < g.k
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.k, a, x.f AS l, y.f AS r, n, c, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cut JOIN total USING (lang)
+  JOIN g AS x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:c], ' ')
+  JOIN g AS y ON y.lang = cut.lang AND y.phrase = array_to_string(w[c + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), kept AS (
+  SELECT * FROM best AS b WHERE NOT EXISTS (
+    SELECT 1 FROM g AS q WHERE q.lang = b.lang AND q.k > b.k AND 100 * q.f >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def _kmeans_sql(size: int = 64, k: int = 16, rounds: int = 3) -> str:
+    """One pair of subqueries a round: every vector with its nearest centroid, and the centroids after it."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: CAST(floor({size} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(CAST(e AS DOUBLE)))) = {size}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id IS NULL, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x AS y FROM v QUALIFY c < {k}
+)"""
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (
+  SELECT i, min((d, c)) AS m FROM (
+    SELECT i, c, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{t}
+  ) GROUP BY i
+)""")
+        if t < rounds:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (
+  SELECT c, coalesce(new, y) AS y FROM c{t} LEFT JOIN (
+    SELECT c, list(CAST(floor_mean AS BIGINT) ORDER BY p) AS new FROM (
+      SELECT c, p, CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS floor_mean FROM (
+        SELECT m[2] AS c, p, sum(x[p]) AS s, count(*) AS n FROM a{t} JOIN v USING (i), unnest(range(1, {size + 1})) AS r(p) GROUP BY ALL
+      )
+    ) GROUP BY c
+  ) USING (c)
+)""")
+    return ", ".join(steps) + f"""
+SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, CAST(m[1] AS BIGINT) AS distance,
+       CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia, CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (i) JOIN c{rounds} ON c = m[2]
+"""
+
+
+OP13_SQL = _kmeans_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -167,6 +247,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
         "op10_sentence_pieces": op10_sentence_pieces,
+        "op11_byte_pairs": op11_byte_pairs,
+        "op12_collocations": op12_collocations,
+        "op13_ball_kmeans": op13_ball_kmeans,
     }
 
 
@@ -176,4 +259,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": OP4_SQL,
         "op5_substring_dedup": OP5_SQL,
         "op6_jaccard_join": OP6_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_ball_kmeans": OP13_SQL,
     }
