@@ -8,12 +8,14 @@ ones gives the first words of a phrase, right ones the last, so the counts for e
 cut and the test for being part of a longer phrase are found by joins on them.
 
 A corpus is cut once in blocks of some MB. A block counts its distinct words or pairs
-itself, so a word that a third of all texts repeat is one row of a block; these rows
-are summed over all blocks, and the sums of at least ``least`` are named and sent back
-to the blocks that hold the pair, where the sequence of names is replaced by that of
-pairs. Sequences and counts of each length are written to the shared folder, so nothing
-is counted twice and a lost executor repeats one step. Words are compared as they are,
-pairs by the names of their parts: nothing is hashed.
+itself, so a word that a third of all texts repeat is counted once a block. The counts
+go in packets to buckets by a hash of the word or pair, some million a bucket, where they
+are summed over all blocks; the sums of at least ``least`` are named and sent back to the
+blocks that hold the pair, where the sequence of names is replaced by that of pairs. There
+are never more packets than distinct words or pairs of blocks. Sequences and counts of
+each length are written to the shared folder, so nothing is counted twice and a lost
+executor repeats one step. Words are compared as they are, pairs by the names of their
+parts: hashes only choose the bucket.
 
 All counts are exact (products as decimals of 38 digits). Null texts count as empty,
 null languages as ``und``; ids aren't read, so rows without or with repeated ids count
@@ -33,29 +35,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, lean_group, settled, skew_joined
-from .text_kernel import ascii_lower, utf8, words
+from .common import bounded_batches, lean, lean_group, pieces, settled, skew_joined
+from .text_kernel import BASES, U, ascii_lower, mix, span_hashes, utf8, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BLOCK_BYTES = 16 << 20
-#: Up to so many names (some 60 bytes each as a hash table) are sent to all executors; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: About so many distinct words or pairs of blocks are summed together.
+BUCKET_KEYS, LEAST_BUCKETS = 1 << 20, 8
 SALTS = 64
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _GAP = _ENDS.copy()
 _GAP[[9, 32]] = True
 _CODEC = pa.Codec("zstd", 1)
+#: What a block writes: a row of its own with its sequence, and one for each bucket with words or pairs of it. ``base`` is the place of the first of them in the block.
+WRITTEN = "block long, size long, seq binary, bucket int, base long, data binary, words binary, langs array<string>"
 
 
-def packed(names: np.ndarray) -> bytes:
-    """A sequence of names within a block (-1: none), compressed."""
-    return len(names).to_bytes(8, "little") + _CODEC.compress(names.astype("<i4").tobytes(), asbytes=True)
+def _compressed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(_CODEC.decompress(data[8:], 4 * n, asbytes=True), "<i4")
+def _plain(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers of one length, compressed: all first bytes of a column together, then all second ones, so that small numbers take little."""
+    return bytes([len(columns)]) + _compressed(b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(_plain(data[1:]), np.uint8)
+    return tuple(np.ascontiguousarray(c.reshape(8, -1).T).view("<i8").ravel() for c in np.split(raw, data[0]))
 
 
 def _dense(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,40 +102,58 @@ def block(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Ar
     return sequence, langs.dictionary.take(pa.array(names // many)), found.dictionary.take(pa.array(names % many)), counts
 
 
-def word_blocks(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """block, seq, and the lang, word and n behind each name of a block."""
+def _dealt(sequence: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The sequence with its names renumbered so that those of a bucket follow each other, their order, and (bucket, first, end) of each bucket."""
+    order = np.argsort(buckets, kind="stable")
+    to = np.full(len(order) + 1, -1, np.int64)  # the last place serves -1
+    to[order] = np.arange(len(order))
+    found, first = np.unique(buckets[order], return_index=True)
+    return to[sequence], order, [*zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    schema = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("bucket", pa.int32()), ("base", pa.int64()), ("data", pa.binary()), ("words", pa.binary()), ("langs", pa.list_(pa.string()))])
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
+def word_blocks(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
+    """WRITTEN rows of the words."""
+
+    def written(number: int, texts: pa.Array, langs: pa.Array) -> pa.RecordBatch:
+        found = block(texts, langs)
+        if found is None:
+            return _batch([])
+        sequence, langs, terms, counts = found
+        codes = langs.dictionary_encode()
+        raw, at = utf8(terms)
+        sequence, order, parts = _dealt(sequence, (span_hashes(raw, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64))
+        code, terms, counts = np.asarray(codes.indices)[order], terms.take(pa.array(order)).to_pylist(), counts[order]
+        rows = [{"block": number, "size": len(sequence), "seq": packed(sequence)}]
+        rows += [{"block": number, "bucket": k, "base": a, "data": packed(code[a:b], counts[a:b]), "words": _compressed("\n".join(terms[a:b]).encode()), "langs": codes.dictionary.to_pylist()} for k, a, b in parts]
+        return _batch(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, made, some, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, some, size
-            table = pa.Table.from_batches(some)
-            some, size = [], 0
-            found = block(table.column(1).cast(pa.large_utf8()), table.column(0))
-            if found is not None:
-                sequence, langs, terms, counts = found
-                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (langs.cast(pa.string()), terms.cast(pa.string()), pa.array(counts, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([packed(sequence)], pa.binary()), *one], ["block", "seq", "lang", "word", "n"])
-                made += 1
-
         for batch in batches:
             some.append(batch)
             size += batch.nbytes
             if size >= block_bytes:
-                yield from flush()
+                table, some, size = pa.Table.from_batches(some), [], 0
+                yield written((task << 32) + made, table.column(1).cast(pa.large_utf8()), table.column(0))
+                made += 1
         if some:
-            yield from flush()
+            table = pa.Table.from_batches(some)
+            yield written((task << 32) + made, table.column(1).cast(pa.large_utf8()), table.column(0))
 
     narrow = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(lean(run), "block long, seq binary, lang array<string>, word array<string>, n array<long>")
+    return narrow.mapInArrow(lean(run), WRITTEN)
 
 
 def paired(sequence: np.ndarray, local: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """The sequence of pairs of neighbouring names that are frequent, with the two global names and the count behind each; None without pairs."""
-    most = int(sequence.max(initial=-1)) + 1
+    most = int(max(sequence.max(initial=-1), local.max(initial=-1))) + 1
     to = np.full(most + 1, -1, np.int64)  # the last place serves -1
     to[local] = np.arange(len(local))
     own = to[sequence]
@@ -138,38 +168,73 @@ def paired(sequence: np.ndarray, local: np.ndarray, names: np.ndarray) -> tuple[
     return out, names[pairs // len(local)], names[pairs % len(local)], counts
 
 
-def pair_blocks(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """block, seq, and the a, b and n behind each pair of a block, from the blocks before and (block, local, id) of their frequent names."""
+def pair_blocks(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """WRITTEN rows of the pairs, from the sequences before and the names of what is frequent in each block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+        none = pa.Table.from_batches([_batch([])])
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        found = paired(unpacked(left.column("seq")[0].as_py()), right.column("local").to_numpy(), right.column("id").to_numpy())
+            return none
+        local, names = (np.concatenate(x) for x in zip(*map(unpacked, right.column("data").to_pylist()), strict=True))
+        found = paired(*unpacked(left.column("seq")[0].as_py()), local, names)
         if found is None:
-            return schema.empty_table()
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in found[1:]]
-        return pa.table([left.column("block").cast(pa.int64()), pa.array([packed(found[0])], pa.binary()), *lists], schema=schema)
-
-    return blocks.select("block", "seq").groupBy("block").cogroup(named.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(lean_group(run), "block long, seq binary, a array<long>, b array<long>, n array<long>")
-
-
-def _rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each name of each block, with its place there as ``local``."""
-    return blocks.select("block", F.posexplode(F.arrays_zip(*keys, "n")).alias("local", "x")).select("block", "local", *[F.col("x")[k].alias(k) for k in (*keys, "n")])
-
-
-def _named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """id, keys and f of what occurs at least so often; ids are written, so they stay as they are."""
-    sums = rows.groupBy(*keys).agg(F.sum("n").alias("f"), F.count("*").alias("blocks")).filter(F.col("f") >= least)
-    return settled(sums.withColumn("id", F.monotonically_increasing_id()), "phrase-names")
-
-
-def _sent_back(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """block, local, id: the frequent names of each block."""
-    names = names.select(*keys, "id", "blocks")
-    joined = rows.join(F.broadcast(names), keys) if names.count() <= MOST_BROADCAST else skew_joined(rows, names, keys, "blocks")
-    return joined.select("block", "local", "id")
+            return none
+        number, (sequence, a, b, counts) = left.column("block")[0].as_py(), found
+        sequence, order, parts = _dealt(sequence, (mix(a.astype(U) * BASES[0] + b.astype(U)) % U(buckets)).astype(np.int64))
+        a, b, counts = a[order], b[order], counts[order]
+        rows = [{"block": number, "size": len(sequence), "seq": packed(sequence)}]
+        rows += [{"block": number, "bucket": k, "base": i, "data": packed(a[i:j], b[i:j], counts[i:j])} for k, i, j in parts]
+        return pa.Table.from_batches([_batch(rows)])
+
+    own = blocks.filter("bucket is null").select("block", "seq")
+    back = replies.filter("block is not null").select(F.col("block").alias("of"), "data")
+    return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(lean_group(run), WRITTEN)
+
+
+def summed(blocks: DataFrame, least: int, words_too: bool) -> DataFrame:
+    """The sums of a bucket over all blocks: id, its words or pair, and f of what occurs at least so often; replies (block, data) with the places and ids of these in each block; and for words the number of all by language (without an id)."""
+    kinds = [("lang", pa.string()), ("word", pa.string())] if words_too else [("a", pa.int64()), ("b", pa.int64())]
+    schema = pa.schema([("id", pa.int64()), *kinds, ("f", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        packets = table.to_pylist()
+        columns = [unpacked(r["data"]) for r in packets]
+        counts = np.concatenate([c[-1] for c in columns])
+        if words_too:
+            terms = pa.array([w for r in packets for w in _plain(r["words"]).decode().split("\n")], pa.large_string()).dictionary_encode()
+            langs = pa.concat_arrays([pa.array(r["langs"], pa.string()).take(pa.array(c[0])) for r, c in zip(packets, columns, strict=True)]).dictionary_encode()
+            first, second = np.asarray(langs.indices).astype(np.int64), np.asarray(terms.indices).astype(np.int64)
+        else:
+            first, second = (np.concatenate([c[i] for c in columns]) for i in (0, 1))
+        order = np.lexsort((second, first))
+        x, y = first[order], second[order]
+        fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        starts = np.flatnonzero(fresh)
+        sums = np.add.reduceat(counts[order], starts)
+        often = np.flatnonzero(sums >= least)
+        ids = np.full(len(starts), -1, np.int64)
+        ids[often] = (packets[0]["bucket"] << 32) + np.arange(len(often))
+        own = np.empty(len(order), np.int64)
+        own[order] = ids[np.cumsum(fresh) - 1]
+        x, y = x[starts[often]], y[starts[often]]
+        if words_too:
+            x, y = langs.dictionary.take(pa.array(x)), terms.dictionary.take(pa.array(y)).cast(pa.string())
+        out = [pa.table([pa.array(ids[often]), pa.array(x), pa.array(y), pa.array(sums[often]), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary())], schema=schema)]
+        replies, at = [], 0
+        for r, c in zip(packets, columns, strict=True):
+            found = own[at : at + len(c[-1])]
+            at += len(c[-1])
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                replies.append({"block": r["block"], "data": packed(r["base"] + hit, found[hit])})
+        if words_too:
+            totals = np.bincount(first, counts, len(langs.dictionary)).astype(np.int64)
+            replies += [{"lang": lang, "f": n} for lang, n in zip(langs.dictionary.to_pylist(), totals.tolist(), strict=True)]
+        return pa.concat_tables([*out, pa.Table.from_pylist(replies, schema)])
+
+    packets = blocks.filter("bucket is not null").select("bucket", "block", "base", "data", *(["words", "langs"] if words_too else []))
+    kinds = "lang string, word string" if words_too else "a long, b long"
+    return packets.groupBy("bucket").applyInArrow(lean_group(run), f"id long, {kinds}, f long, block long, data binary")
 
 
 def _phrases(names: DataFrame, before: DataFrame) -> DataFrame:
@@ -195,22 +260,25 @@ def _cut(candidates: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     bounded_batches(docs.sparkSession)
-    blocks = settled(word_blocks(docs, lang_col, text_col, block_bytes), "phrase-blocks")
-    totals = settled(_rows(blocks, ["lang"]).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    keys, levels = ["lang", "word"], []
+    # a distinct word of a block takes several bytes of text
+    blocks = settled(word_blocks(docs, lang_col, text_col, block_bytes, pieces(docs, 8 * BUCKET_KEYS, LEAST_BUCKETS)), "phrase-blocks")
+    levels, totals = [], None
     for length in range(1, longest + 1):
-        rows = _rows(blocks, keys)
-        names = _named(rows, keys, least)
+        sums = settled(summed(blocks, least, length == 1), "phrase-sums")
+        names = sums.filter("id is not null")
         if length == 1:
+            totals = sums.filter("id is null and block is null").groupBy("lang").agg(F.sum("f").alias("n"))
             none = F.array().cast("array<long>")
             found = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests"))
         else:
-            found = settled(_phrases(names.drop("blocks"), levels[-1]), "phrases")
+            found = settled(_phrases(names.select("id", "a", "b", "f"), levels[-1]), "phrases")
         levels.append(found)
         if length < longest:
             if names.isEmpty():
                 break
-            blocks, keys = settled(pair_blocks(blocks, _sent_back(rows, names, keys)), "phrase-blocks"), ["a", "b"]
+            # a block has no more pairs than places in its sequence
+            size = blocks.agg(F.sum("size")).head()[0]
+            blocks = settled(pair_blocks(blocks, sums, max(LEAST_BUCKETS, -(-size // BUCKET_KEYS))), "phrase-blocks")
     kept = []
     for i, found in enumerate(levels[1:], 1):
         if i + 1 < len(levels):  # a longer phrase that is as frequent has one of one word more in it that is, too

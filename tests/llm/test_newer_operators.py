@@ -132,9 +132,9 @@ def phrase_rows():
 COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-@pytest.mark.parametrize("block_bytes, broadcast, longest, top", [(2000, 500_000, 5, 2000), (1 << 20, 0, 5, 7), (500, 0, 3, 2000), (500, 500_000, 2, 3)])
-def test_collocations(spark, monkeypatch, block_bytes, broadcast, longest, top):
-    monkeypatch.setattr(phrase_mining, "MOST_BROADCAST", broadcast)
+@pytest.mark.parametrize("block_bytes, keys, longest, top", [(2000, 1 << 20, 5, 2000), (1 << 20, 50, 5, 7), (500, 1000, 3, 2000), (500, 1, 2, 3)])
+def test_collocations(spark, monkeypatch, block_bytes, keys, longest, top):
+    monkeypatch.setattr(phrase_mining, "BUCKET_KEYS", keys)
     rows = phrase_rows()
     docs = spark.createDataFrame([(t, lang, 1, 2, "s", "w", "b") for lang, t in rows], "text string, lang string, n long, id long, seq string, word string, block string").repartition(5)
     monkeypatch.setattr("bifolio.llm.phrase_mining.bounded_batches", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20"))
@@ -160,8 +160,8 @@ def test_counts_past_64_bits(spark):
 
 
 def test_sequences_round_trip():
-    for x in (np.zeros(0, np.int64), np.array([-1, 5, 0, 70000, -1])):
-        assert phrase_mining.unpacked(phrase_mining.packed(x)).tolist() == x.tolist()
+    for x in (np.zeros(0, np.int64), np.array([-1, 5, 0, 70000, -1, 1 << 60])):
+        assert [y.tolist() for y in phrase_mining.unpacked(phrase_mining.packed(x, x + 1))] == [x.tolist(), (x + 1).tolist()]
 
 
 # ---- 13
