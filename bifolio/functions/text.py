@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # The code points that Python calls white space, as the inside of a character class.
 WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as a string.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: cp1252 for the bytes 80 to 9F: what each becomes; U+FFFD for the five it leaves open.
 CP1252 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
 LATIN1 = "".join(chr(b) for b in range(0x80, 0xA0))

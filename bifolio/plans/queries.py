@@ -90,6 +90,25 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_blocks(docs)
 
 
+def _structured(text, role, turn, repeat, lf):
+    """A turn's text among all constructs, also in each other's way; pieces to be concatenated, for columns and SQL alike."""
+    return [
+        repeat("#", turn), " ", role, " ##  " + lf, text, lf + "see ![a](b) and ![c](d) [link](u) `x` **bo *it* ld** _i_ [^1]" + lf + "***" + lf,
+        "- ", role, lf + "  goes on" + lf + "[^a]: in the item" + lf + "12) | item" + lf + " | with | bars" + lf + "-|-" + lf,
+        "| a | b |" + lf + "|---|:-:|" + lf + "| ", role, " | 2 |" + lf + "# | of the table" + lf + "after the table" + lf + lf,
+        "> # Quoted *", role, "*" + lf + "> said" + lf + ">" + lf + "> | a | b |" + lf + "> |---|---|" + lf + "| c | d |" + lf + "    - far" + lf + "____" + lf,
+        "[^n]: note" + lf + "- of it" + lf + "# and | this" + lf + " " + lf + "![i](j)" + lf + "# " + lf + "* " + lf + "last ", role,
+    ]
+
+
+def markdown_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, lists, rules, tables, notes, quotes and images around the text of each turn of a conversation, as blocks."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    parts = _structured(F.coalesce("text", F.lit("")), F.col("role"), F.col("turn") % 6 + 1, lambda c, n: F.repeat(F.lit(c), n), "\n")
+    texts = turns.select(F.struct("conv_id", "turn").alias("at"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+    return text_blocks(texts, "at").select(F.col("doc_id.conv_id").alias("doc_id"), F.col("doc_id.turn").alias("turn"), "block_idx", "kind", "text", "html", "level")
+
+
 def line_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.volume(lines(spark, sf_dir), keys=("doc_id",))
 
@@ -598,10 +617,56 @@ _MARKED = _ITALIC.format(rf"regexp_replace(replace(replace(replace(x, '&', '&amp
 MARKDOWN = f"WITH {LINES}, {_UNLINKED} SELECT doc_id, 0 AS chapter_idx, block_idx, 'paragraph' AS kind, {_PLAIN} AS text, {_MARKED} AS html, 2 AS level FROM unlinked"
 ITALICS = f"WITH {LINES}, {_UNLINKED} SELECT doc_id, block_idx, {_PLAIN} AS text, {_MARKED} AS html FROM unlinked"
 
+class _Sql(str):
+    """An SQL expression among the strings of ``_structured``."""
+
+
+_TURN = " || ".join(x if isinstance(x, _Sql) else "'" + x + "'" for x in _structured(_Sql("coalesce(text, '')"), _Sql("role"), "turn % 6 + 1", lambda c, n: _Sql(f"repeat('{c}', CAST({n} AS INTEGER))"), "\n"))
+#: The automaton as a fold over a text's lines, one of each text a step.
+MARKDOWN_CONSTRUCTS = rf"""
+WITH RECURSIVE turns AS (
+  SELECT row_number() OVER () AS k, conv_id, turn, {_TURN} AS t FROM conversations
+), cut AS (
+  SELECT k, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM turns
+), quoted AS (
+  SELECT *, regexp_replace(raw, '^\s{{0,3}}>\s?', '') AS line, coalesce(lead(raw) OVER (PARTITION BY k ORDER BY n), '') AS after FROM cut
+), kinds AS (
+  SELECT *, CASE WHEN NOT regexp_matches(raw, '\S') THEN 'b' WHEN NOT regexp_matches(line, '\S') THEN 'q' WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 'h'
+                 WHEN regexp_matches(line, '^\s{{0,3}}(-{{3,}}|\*{{3,}}|_{{3,}})\s*$') THEN 'r' WHEN regexp_matches(line, '^\s{{0,3}}\[\^[^\]]+\]:') THEN 'n'
+                 WHEN contains(raw, '|') AND contains(after, '|') AND regexp_matches(after, '^\s*\|?[\s:|-]+\|[\s:|-]*\|?\s*$') THEN 't'
+                 WHEN regexp_matches(line, '^\s{{0,3}}([-*+]|[0-9]{{1,3}}[.)])\s+') THEN 'i' ELSE 'x' END AS c FROM quoted
+), valued AS (
+  SELECT k, n, contains(raw, '|') AS bar, c, CASE c WHEN 'h' THEN regexp_extract(line, '^#{{1,6}}\s+(.*?)\s*#*\s*$', 1) WHEN 'i' THEN trim(regexp_replace(line, '^\s{{0,3}}([-*+]|[0-9]{{1,3}}[.)])\s+', ''), E' \t') ELSE trim(line, E' \t') END AS v,
+         CASE c WHEN 'h' THEN length(regexp_extract(line, '^(#{{1,6}})', 1)) ELSE 2 END AS level FROM kinds
+), fold(k, n, mode, nr, kind, v, level) AS (
+  SELECT k, 0, 'none', 0, CAST(NULL AS VARCHAR), '', 2 FROM turns UNION ALL
+  SELECT x.k, x.n, x.mode, f.nr + CASE WHEN x.kind IS NULL OR (x.kind = 'paragraph' AND f.mode = x.mode AND x.more) THEN 0 ELSE 1 END, x.kind, x.v, x.level FROM fold AS f JOIN LATERAL (
+    SELECT l.k, l.n, l.v, l.level, l.c = 'x' OR (l.c = 'n' AND f.mode = 'item') AS more,
+           CASE WHEN l.c = 'b' THEN 'none' WHEN f.mode = 'note' THEN 'note' WHEN f.mode = 'table' AND l.bar THEN 'table' WHEN l.c = 'x' AND f.mode IN ('text', 'item') THEN f.mode WHEN l.c = 'n' AND f.mode = 'item' THEN 'item'
+                WHEN l.c = 'x' THEN 'text' WHEN l.c = 'n' THEN 'note' WHEN l.c = 't' THEN 'table' WHEN l.c = 'i' THEN 'item' ELSE 'none' END AS mode,
+           CASE WHEN l.c IN ('b', 'q', 'r') OR f.mode = 'note' OR (f.mode = 'table' AND l.bar) THEN NULL WHEN l.c = 'h' THEN 'heading' WHEN l.c = 't' OR (l.c = 'n' AND f.mode <> 'item') THEN 'marker' ELSE 'paragraph' END AS kind
+    FROM valued AS l WHERE l.k = f.k AND l.n = f.n + 1
+  ) AS x ON true
+), whole AS (
+  SELECT k, nr, any_value(kind) AS kind, CASE any_value(kind) WHEN 'marker' THEN CASE WHEN any_value(mode) = 'note' THEN '[nota omitida]' ELSE '[tabla omitida]' END ELSE string_agg(v, ' ' ORDER BY n) END AS md, min(level) AS level
+  FROM fold WHERE kind IS NOT NULL GROUP BY k, nr
+), placed AS (
+  SELECT k, nr, 0 AS j, 'marker' AS kind, '[imagen omitida]' AS text, 2 AS level FROM whole, unnest(regexp_extract_all(md, '!\[[^\]]*\]\([^)]*\)')) AS r(image) WHERE kind = 'paragraph' UNION ALL
+  SELECT k, nr, 1, kind, CASE WHEN kind = 'paragraph' THEN regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', '', 'g') ELSE md END, level FROM whole
+), unlinked AS (
+  SELECT *, {_LINKS} AS x FROM placed
+), done AS (
+  SELECT *, CASE WHEN kind = 'marker' THEN text ELSE {_PLAIN} END AS own, CASE WHEN kind = 'marker' THEN '' ELSE {_MARKED} END AS html FROM unlinked
+)
+SELECT conv_id AS doc_id, turn, CAST(row_number() OVER (PARTITION BY k ORDER BY nr, j) - 1 AS INTEGER) AS block_idx, kind, own AS text, html, CAST(level AS INTEGER) AS level
+FROM done JOIN turns USING (k) WHERE own <> ''
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "doc_volume": (doc_volume, DOC_VOLUME),
     "line_blocks": (line_blocks, f"WITH {LINES} SELECT doc_id, block_idx, text FROM lines"),
     "markdown_blocks": (markdown_blocks, MARKDOWN),
+    "markdown_constructs": (markdown_constructs, MARKDOWN_CONSTRUCTS),
     "line_volume": (line_volume, LINE_VOLUME),
     "language_volume": (language_volume, f"WITH {LINES} SELECT lang, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS words, count(*) AS paragraphs, count(*) AS translatable FROM lines GROUP BY lang"),
     "sample_text": (sample_text, SAMPLE),

@@ -1,101 +1,108 @@
 """TXT and Markdown: from text to blocks.
 
-Every construct ends at a blank line, so the stretches between blank lines are
-parsed alone. A stretch without a sign of structure is one paragraph and never
-leaves the JVM; others pass through an Arrow-batched function that cuts them into
-blocks. Inline markup is done by Column expressions for both.
+All of it is Column expressions. In a text without a sign of structure each stretch
+between blank lines is one paragraph; in others each line gets a letter for what it
+starts, and an automaton over the letters makes blocks of the lines.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, image_count, marked, normal_lines, plain, without_images
+from ..functions.text import WS, WS_CHARS, image_count, marked, normal_lines, plain, without_images
 from ..schema import HEADING, MARK_IMAGE, MARK_NOTE, MARK_TABLE, MARKER, PARAGRAPH
 from .blocks import marks
 
-# What lines look like.
-QUOTE = re.compile(r"^\s{0,3}>\s?")
-TITLE = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-RULE = re.compile(r"^\s{0,3}(?:-{3,}|\*{3,}|_{3,})\s*$")
-NOTE = re.compile(r"^\s{0,3}\[\^[^\]]+\]:")
-SEPARATOR = re.compile(r"^\s*\|?[\s:|-]+\|[\s:|-]*\|?\s*$")
-ITEM = re.compile(r"^\s{0,3}(?:[-*+]|\d{1,3}[.)])\s+(.*)$")
+# What lines look like, after the sign of a quote.
+QUOTE = rf"\A[{WS}]{{0,3}}>[{WS}]?"
+TITLE = rf"\A(#{{1,6}})[{WS}]"
+RULE = rf"\A[{WS}]{{0,3}}(?:-{{3,}}+|\*{{3,}}+|_{{3,}}+)[{WS}]*+\z"
+NOTE = rf"\A[{WS}]{{0,3}}\[\^[^\]]++\]:"
+ITEM = rf"\A[{WS}]{{0,3}}(?:[-*+]|\p{{Nd}}{{1,3}}[.)])[{WS}]+"
+#: A table's second line has these signs alone, a bar among them that isn't the first.
+SEPARATOR, BAR_INSIDE = rf"\A[{WS}:|-]++\z", r"(?s)\A.[^|]*+\|"
 #: A stretch that matches this may hold more than one paragraph.
 STRUCTURED = rf"\||(?m)(?:^#|^[{WS}&&[^\n]]{{0,3}}(?:[-*+_>]|\p{{Nd}}{{1,3}}[.)]|\[\^))"
+#: A line without any of these signs at its start, nor a bar, is text.
+SIGNS = rf"\||\A#|\A[{WS}]{{0,3}}(?:[-*+_>\[]|\p{{Nd}})"
 
-PIECES = "array<struct<kind:string,md:string,level:int>>"
-
-
-def line_kinds(lines: list[str]) -> list[tuple[str, object]]:
-    """What each line starts, if no construct before it takes it."""
-    found: list[tuple[str, object]] = []
-    for i, raw in enumerate(lines):
-        line = QUOTE.sub("", raw)
-        if not line.strip():
-            found.append(("blank", None))
-        elif m := TITLE.match(line):
-            found.append(("title", (len(m[1]), m[2])))
-        elif RULE.match(line):
-            found.append(("rule", None))
-        elif NOTE.match(line):
-            found.append(("note", line.strip()))
-        elif "|" in raw and i + 1 < len(lines) and "|" in lines[i + 1] and SEPARATOR.match(lines[i + 1]):
-            found.append(("table", line.strip()))
-        elif m := ITEM.match(line):
-            found.append(("item", m[1].strip()))
-        else:
-            found.append(("text", line.strip()))
-    return found
-
-
-def pieces(stretch: str) -> list[dict]:
-    """The blocks of a stretch without blank lines, with inline markup."""
-    lines = stretch.split("\n")
-    kinds = line_kinds(lines)
-    out: list[dict] = []
-    open_text: list[str] | None = None  # the lines of a paragraph or an item
-    in_item = False
-    skip = ""  # "note": all that follows; "table": while lines have a bar
-
-    def close() -> None:
-        nonlocal open_text, in_item
-        if open_text is not None:
-            out.append({"kind": PARAGRAPH, "md": " ".join(open_text), "level": 2})
-        open_text, in_item = None, False
-
-    for raw, (kind, value) in zip(lines, kinds, strict=True):
-        if skip == "note" or (skip == "table" and "|" in raw):
-            continue
-        skip = ""
-        if in_item and kind == "note":  # an item takes the start of a note as text, unless that starts an item too
-            kind = "text"
-        if kind == "text":
-            open_text = [*(open_text or []), value]
-            continue
-        close()
-        if kind == "title":
-            out.append({"kind": HEADING, "md": value[1], "level": value[0]})
-        elif kind in ("note", "table"):
-            out.append({"kind": MARKER, "md": MARK_NOTE if kind == "note" else MARK_TABLE, "level": 2})
-            skip = kind
-        elif kind == "item":
-            open_text, in_item = [value], True
-    close()
-    return out
-
-
-def parsed(stretches: pd.Series) -> pd.Series:
-    return stretches.map(lambda found: None if found is None else [pieces(x) for x in found])
+#: The automaton over a letter a line, capital where the line has a bar: a table takes the lines with bars that follow, an
+#: item and a paragraph lines of text (an item also those that else start a note), a note all up to a blank line.
+CONSTRUCTS = "T[A-Z]*|[Ii][XxNn]*|[Xx]+|[Nn][^b]*|[Hh]|[Rr]|q|b"
+
+
+def _strip(text: Column) -> Column:
+    return F.trim(text, F.lit(WS_CHARS))
+
+
+def _letters(raw: Column, after: Column) -> Column:
+    """(c, v, level) of a line, with the line after it: the letter of what it starts if no construct before takes it, and its text without signs."""
+    line = F.when(raw.rlike(QUOTE), F.regexp_replace(raw, QUOTE, "")).otherwise(raw)
+    table = F.contains(raw, F.lit("|")) & F.coalesce(F.contains(after, F.lit("|")) & after.rlike(SEPARATOR) & after.rlike(BAR_INSIDE), F.lit(False))
+
+    def found(line: Column) -> Column:
+        letter = (
+            F.when(~line.rlike(rf"[^{WS}]"), "q").when(line.rlike(TITLE), "h").when(line.rlike(RULE), "r")
+            .when(line.rlike(NOTE), "n").when(table, "t").when(line.rlike(ITEM), "i").otherwise("x")
+        )
+        return F.struct(line.alias("line"), letter.alias("c"))
+
+    def valued(x: Column) -> Column:
+        # a title ends before signs that close it, with the white space around them
+        title = F.rtrim(F.rtrim(F.rtrim(F.regexp_replace(x["line"], r"\A#{1,6}", ""), F.lit(WS_CHARS)), F.lit("#")), F.lit(WS_CHARS))
+        value = F.when(x["c"] == "h", F.ltrim(title, F.lit(WS_CHARS))).when(x["c"] == "i", _strip(F.regexp_replace(x["line"], ITEM, ""))).otherwise(_strip(x["line"]))
+        level = F.when(x["c"] == "h", F.length(F.regexp_extract(x["line"], TITLE, 1))).otherwise(2)
+        return F.struct(F.when(F.contains(raw, F.lit("|")), F.upper(x["c"])).otherwise(x["c"]).alias("c"), value.alias("v"), level.alias("level"))
+
+    def plain(c: str, value: Column) -> Column:
+        return F.struct(F.lit(c).alias("c"), value.alias("v"), F.lit(2).alias("level"))
+
+    # a value that is used more than once goes through an array of one
+    signed = F.transform(F.transform(F.array(line), found), valued)[0]
+    return F.when(raw.rlike(SIGNS), signed).when(raw.rlike(rf"[^{WS}]"), plain("x", _strip(raw))).otherwise(plain("b", F.lit("")))
+
+
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of x, which is computed once however often it is used: within a lambda a column would be computed for each element."""
+    return F.transform(F.array(x), use)[0]
+
+
+def pieces(text: Column) -> Column:
+    """The blocks of a text, with inline markup; null where the text is.
+
+    A line's letter depends on it and the next line alone. The letters of a text are
+    one string, and the automaton that says which lines belong together is a regular
+    expression over it, so a text takes linear time and never leaves the JVM.
+    """
+
+    def starts(lines: Column) -> Column:
+        parts = F.regexp_extract_all(F.array_join(F.transform(lines, lambda x: x["c"]), ""), F.lit(CONSTRUCTS), F.lit(0))
+        # each letter that begins a construct, and a dot for each other
+        firsts = F.split(F.array_join(F.transform(parts, lambda p: F.concat(F.left(p, F.lit(1)), F.repeat(F.lit("."), F.length(p) - 1))), ""), "")
+        return F.filter(F.transform(firsts, lambda c, i: F.when((c != ".") & (c != ""), i)), lambda i: i.isNotNull())
+
+    def piece(lines: Column, start: Column, end: Column) -> Column:
+        first = F.get(lines, start)
+        text = F.array_join(F.transform(F.slice(lines, start + 1, end - start), lambda x: x["v"]), " ")
+        c = F.lower(first["c"])
+        kind = F.when(c == "h", HEADING).when(c.isin("n", "t"), MARKER).when(c.isin("i", "x"), PARAGRAPH)
+        md = F.when(c == "h", first["v"]).when(c == "n", MARK_NOTE).when(c == "t", MARK_TABLE).otherwise(text)
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), md.alias("md"), first["level"].alias("level")))
+
+    def cut(lines: Column) -> Column:
+        found = once(starts(lines), lambda at: F.transform(at, lambda start, i: piece(lines, start, F.coalesce(F.get(at, i + 1), F.size(lines)))))
+        return F.filter(found, lambda p: p.isNotNull())
+
+    letters = once(F.split(text, "\n"), lambda raw: F.transform(raw, lambda x, i: _letters(x, F.get(raw, i + 1))))
+    return F.when(text.isNotNull(), once(letters, cut))
 
 
 def stretches(text: Column) -> Column:
     """The parts of a text between blank lines; blank ones are left out."""
-    cut = F.split(normal_lines(F.coalesce(text, F.lit(""))), rf"\n(?:[{WS}]*\n)+")
+    cut = F.split(text, rf"\n(?:[{WS}]*\n)+")
     return F.filter(cut, lambda x: x.rlike(rf"[^{WS}]"))
 
 
@@ -118,16 +125,11 @@ def of_piece(p: Column, html: bool = True) -> Column:
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", html: bool = True) -> DataFrame:
     """Numbered blocks of documents given as text: doc_id, chapter_idx, block_idx, kind, text, html, level.
 
-    A document's stretches stay in its row, so they are numbered without a shuffle.
+    A document's blocks stay in its row, so they are numbered without a shuffle.
     Without ``html`` that column is empty, and its work isn't done.
     """
-    return numbered(docs, id_col, stretches(F.col(text_col)), html)
-
-
-def numbered(docs: DataFrame, id_col: str, found: Column, html: bool = True) -> DataFrame:
-    """The blocks of each row's stretches. Python gets the stretches of documents with a sign of structure, and a null for all others."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), found.alias("found")).withColumn("odd", F.when(F.exists("found", lambda x: x.rlike(STRUCTURED)), F.col("found")))
-    parts = cut.withColumn("own", F.pandas_udf(parsed, f"array<{PIECES}>")("odd"))
-    pieces = F.flatten(F.coalesce("own", F.transform("found", plain_piece)))
-    blocks = F.filter(F.flatten(F.transform(pieces, lambda p: of_piece(p, html))), lambda b: b["text"] != "")
-    return parts.select("doc_id", F.posexplode(blocks).alias("block_idx", "b")).select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")
+    normal = normal_lines(F.coalesce(F.col(text_col), F.lit("")))
+    cut = docs.select(F.col(id_col).alias("doc_id"), normal.alias("normal"))
+    found = F.when(F.col("normal").rlike(STRUCTURED), pieces(F.col("normal"))).otherwise(F.flatten(F.transform(stretches(F.col("normal")), plain_piece)))
+    blocks = F.filter(F.flatten(F.transform(found, lambda p: of_piece(p, html))), lambda b: b["text"] != "")
+    return cut.select("doc_id", F.posexplode(blocks).alias("block_idx", "b")).select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")

@@ -13,6 +13,8 @@ from bifolio.functions import text as T
 from bifolio.schema import MARK_IMAGE, MARK_NOTE, MARK_TABLE
 from bifolio.sources import files, html_walk, textmd
 
+from . import markdown_lines
+
 TXT = "# One Title\n\nFirst paragraph of text,\nwrapped hard.\n\nSecond one.\n\n## Two\n\n" + "\n\n".join(f"Paragraph number {i} here." for i in range(3, 9)) + "\n\n### Three\n"
 
 
@@ -83,7 +85,7 @@ def test_fast_way_equals_slow_way(spark):
     for i, t in docs:  # the whole text, not cut at blank lines, through the slow way
         want = []
         for stretch in re.split(r"\n(?:\s*\n)*(?=\n|\Z)|(?:\A|\n)\s*\n", t):
-            want += [p for p in textmd.pieces(stretch) if p["md"].strip()] if stretch.strip() else []
+            want += [p for p in markdown_lines.pieces(stretch) if p["md"].strip()] if stretch.strip() else []
         images = sum(len(re.findall(T.IMAGE, p["md"])) for p in want if p["kind"] == P)
         assert sum(k == M and x == MARK_IMAGE for k, x in got.get(i, [])) == images
         assert [k for k, x in got.get(i, []) if x != MARK_IMAGE] == [p["kind"] for p in want if re.sub(T.IMAGE, "", p["md"]).strip()]
@@ -199,3 +201,33 @@ def test_files(spark, tmp_path):
     assert got["b.MD"][0][3] == "café" and "e.txt" not in got
     assert got["c.epub"] == [(0, 0, H, "One", "One", 1), (0, 1, P, "a b", "a <i>b</i>", 2), (1, 0, P, "c", "c", 2)]
     assert [(x[2], x[3], x[4], x[5]) for x in got["d.docx"]] == [(H, "Top", "Top", 1), (M, MARK_IMAGE, "", 2), (M, MARK_NOTE, "", 2), (P, "x link", "<b>x</b> link", 2), (M, MARK_TABLE, "", 2), (H, "Low", "Low", 6)]
+
+
+def test_markdown_automaton_equals_the_loop(spark):
+    """Random lines of all kinds, long runs and odd white space among them, against the plain loop: kinds, texts and levels."""
+    r = random.Random(8)
+    lines = [
+        "", " ", "\t", "text", "  more  text ", "# h", "###### six ## #", "####### seven", "#no", "# ", "## ##", "# a#b # ", "- item", "-", "-\t", "  cont", "    - far", "* * *", "+ x | y",
+        "| a | b |", "|--|--|", "--|--", "|", "||", ":-:|", "a | b", "# h | b", "- i | b", "[^1]: n | b", "---", "-- -", "___ ", "***x", "> q", ">", "> > qq", ">- i", "> [^1]: n", "> | a |", "[^1]: n", "[^]: no", "   [^a b]:", "3) x",
+        "1234. x", "٣. arabic", "*em* and", "\x0b- tab", "　# wide", "\x85text more", "a\x0bb",
+    ]
+    docs = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(14)))) for i in range(3000)]
+    found = spark.createDataFrame(docs, "id long, text string").withColumn("pieces", textmd.pieces(F.col("text")))
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    for row in found.collect():
+        want = [p for stretch in re.split(r"\n(?:\s*\n)+", row["text"]) if stretch.strip() for p in markdown_lines.pieces(stretch)]
+        assert [p.asDict() for p in row["pieces"]] == want, row["text"]
+
+
+def test_long_markdown_takes_linear_time(spark):
+    import time
+
+    for text in ("- item\n" * 150_000, "text | bar\n" * 150_000, "| a |\n|-|-|\n" * 80_000, "[^1]: n\n" * 150_000, "# " + "# " * 300_000, "# " + " " * 300_000 + "x", "|" * 300_000 + "x\n" + "|" * 300_000 + "x", "- " + " " * 300_000 + "x"):
+        began = time.monotonic()
+        spark.createDataFrame([(text,)], "text string").select(F.size(textmd.pieces(F.col("text")))).collect()
+        assert time.monotonic() - began < 20, text[:10]
+
+
+def test_plans_of_texts_have_no_python(spark):
+    plan = textmd.text_blocks(spark.createDataFrame([(1, "# a\n\nb")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
