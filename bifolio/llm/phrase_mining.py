@@ -39,9 +39,9 @@ from .common import bounded_batches, lean, lean_group, pieces, settled, skew_joi
 from .text_kernel import BASES, U, ascii_lower, mix, span_hashes, utf8, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: About so many distinct words or pairs of blocks are summed together.
-BUCKET_KEYS, LEAST_BUCKETS = 1 << 20, 8
+BUCKET_KEYS, LEAST_BUCKETS = 1 << 19, 8
 SALTS = 64
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -86,7 +86,7 @@ def block(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Ar
     starts, ends, docs = words(raw, offsets, _GAP)
     if not len(starts):
         return None
-    closed = np.cumsum(_ENDS[raw])[starts]
+    closed = np.cumsum(_ENDS[raw], dtype=np.int32)[starts]
     fresh = np.zeros(len(starts), bool)  # words that begin a piece
     fresh[1:] = (docs[1:] != docs[:-1]) | (closed[1:] != closed[:-1])
     inside = raw[~_GAP[raw]]
