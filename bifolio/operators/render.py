@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape
 from ..schema import HEADING, MARKER
+from .shared import opened
 
 STYLE = "body{max-width:70rem;margin:2rem auto;font-family:serif}table{width:100%;border-collapse:collapse}td{width:50%;vertical-align:top;padding:.4rem .8rem}.fila-marca{text-align:center;font-style:italic}.enc-orig,.enc-trad{display:block}.enc-orig{font-weight:bold}"
 
@@ -60,9 +61,7 @@ def write_files(page: DataFrame, folder: str) -> DataFrame:
         import hashlib
         import uuid
 
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
         for b in batches:
             paths = []
@@ -75,4 +74,5 @@ def write_files(page: DataFrame, folder: str) -> DataFrame:
                 paths.append(f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], ["doc_id", "path"])
 
+    opened(folder)  # an error here rather than in tasks
     return page.select(F.col("doc_id").cast("string").alias("doc_id"), "html").mapInArrow(write, "doc_id string, path string")

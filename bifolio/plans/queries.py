@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import BOLD, chapter_file, collapse, decoded, duration, escape, marked, normal_lines, plain, rate_and_eta, stem, styled, suffix, thousands
-from ..operators import language, layout, profile, render, store
+from ..operators import language, layout, profile, render, shared, store
 from ..schema import MARKER, PARAGRAPH
 from ..sources import files, html_walk
 from ..sources.textmd import text_blocks
@@ -188,6 +188,19 @@ def resume_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.last_wins(_versions(_keyed(spark, sf_dir))).select("sha256", "pair", "block_idx", "t")
 
 
+def resume_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines with what a store on disk has for them: a commit of those of over 40 characters, then the jobs of contents whose hash begins with 0 to 7 end, then a commit of those with an e. The store stays in the shared folder."""
+    keyed, at = _keyed(spark, sf_dir), shared.scratch(spark, "store")
+    store.buckets(spark, at, 16)
+    long = keyed.filter(F.length("text") > 40).dropDuplicates(store.KEY)
+    store.append(long.withColumn("t", F.lower("text")), at)
+    contents = keyed.filter(F.col("sha256") < "8").select("sha256", "pair").distinct()
+    for (pair,) in contents.select("pair").distinct().collect():  # one row a language
+        store.discard(spark, at, contents.filter(F.col("pair") == pair).select("sha256"), pair)
+    store.append(long.filter(F.contains("text", F.lit("e"))).withColumn("t", F.concat("text", F.lit("!"))), at)
+    return render.aligned(keyed, store.stored(spark, at), store.KEY).select("doc_id", "block_idx", "t")
+
+
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed, done = _store(spark, sf_dir)
     return render.rows(render.aligned(keyed, done, store.KEY), F.col("lang"), F.lit("xx"))
@@ -677,6 +690,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "pending_blocks": (pending_blocks, f"WITH {KEYED} SELECT doc_id, block_idx, text FROM keyed ANTI JOIN store USING (sha256, pair, block_idx)"),
     "resume_counts": (resume_counts, f"WITH {KEYED} SELECT k.doc_id, count(*) AS translatable, count(s.t) AS resumed, count(*) - count(s.t) AS fresh FROM keyed k LEFT JOIN store s USING (sha256, pair, block_idx) GROUP BY k.doc_id"),
     "resume_last_wins": (resume_last_wins, f"WITH {KEYED} SELECT sha256, pair, block_idx, t FROM every"),
+    "resume_from_store": (resume_from_store, f"WITH {KEYED} SELECT doc_id, block_idx, CASE WHEN length(text) > 40 THEN CASE WHEN contains(text, 'e') THEN text || '!' WHEN sha256 >= '8' THEN lower(text) END END AS t FROM keyed"),
     "aligned_rows": (aligned_rows, f"{ALIGNED} SELECT doc_id, block_idx, row FROM rendered"),
     "rendered_document": (rendered_document, f"{ALIGNED} SELECT doc_id, length(string_agg(row, E'\\n' ORDER BY block_idx)) AS chars, sha256(string_agg(row, E'\\n' ORDER BY block_idx)) AS sha256 FROM rendered GROUP BY doc_id"),
     "merge_fragments": (merge_fragments, MERGED),

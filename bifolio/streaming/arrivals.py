@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import store, transform
+from ..operators import segments, store, transform
 from ..sources.textmd import text_blocks
 
 
@@ -22,8 +22,8 @@ def translate_arrivals(spark: SparkSession, folder: str, schema: str, pair: str,
     def batch(rows: DataFrame, number: int) -> None:
         docs = rows.withColumn("sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
         keyed = text_blocks(docs, "sha256").withColumnRenamed("doc_id", "sha256").withColumn("pair", F.lit(pair)).dropDuplicates(store.KEY)
-        left = store.pending(keyed, store.stored(rows.sparkSession, store_path))
-        store.append(transform.transformed(left, make).withColumn("seq", F.lit(number).cast("long")), store_path)
+        left = store.pending(keyed, store.stored(rows.sparkSession, store_path, pair), pair)
+        segments.committed(left, make, store_path, store.next_commit(rows.sparkSession, store_path)).write.format("noop").mode("overwrite").save()
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from bifolio.functions import text as T
-from bifolio.operators import language, layout, profile, render, store, transform
+from bifolio.operators import language, layout, profile, render, segments, store, transform
 from bifolio.plans import pipeline
 from bifolio.plans.queries import PACKAGES, QUERIES
 from bifolio.schema import BLOCKS, MARK_IMAGE, MARK_TABLE, TRANSLATIONS
@@ -136,21 +136,108 @@ def test_job_folder(spark, tmp_path):
     assert found() == set() and not job.exists()  # a stale folder goes
 
 
-def test_store_ends_jobs_and_compacts(spark, tmp_path):
+@pytest.fixture
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(store, "BUCKETS", 4)
+
+
+def test_store_ends_jobs_and_compacts(spark, tmp_path, few_buckets):
     at = f"file://{tmp_path}/store"
     rows = [("a", "en-es", 0, 0, "old", 1), ("a", "en-es", 0, 0, "new", 2), ("b", "en-es", 0, 0, "b", 1), ("a", "en-fr", 0, 0, "fr", 1)]
-    store.append(spark.createDataFrame(rows, TRANSLATIONS), at)
-    have = lambda path: {(r["sha256"], r["pair"], r["t"]) for r in store.stored(spark, path).collect()}
+    assert store.append(spark.createDataFrame(rows, TRANSLATIONS), at) == 1
+    have = lambda path, *pair: {(r["sha256"], r["pair"], r["t"]) for r in store.stored(spark, path, *pair).collect()}
     assert have(at) == {("a", "en-es", "new"), ("b", "en-es", "b"), ("a", "en-fr", "fr")}
-    store.discard(spark, at, spark.createDataFrame([("a",)], "sha256 string"), "en-es")
-    assert have(at) == {("b", "en-es", "b"), ("a", "en-fr", "fr")}
-    store.append(spark.createDataFrame([("a", "en-es", 0, 0, "again", 1 << 60)], TRANSLATIONS), at)
+    assert have(at, "en-fr") == {("a", "en-fr", "fr")} and have(at, "xx") == set() and have(f"{at}-none") == set()
+    assert store.discard(spark, at, spark.createDataFrame([("a",)], "sha256 string"), "en-es") == 2
+    assert have(at) == {("b", "en-es", "b"), ("a", "en-fr", "fr")} and have(at, "en-es") == {("b", "en-es", "b")}
+    store.append(spark.createDataFrame([("a", "en-es", 0, 0, "again")], "sha256 string, pair string, chapter_idx int, block_idx int, t string"), at)
     assert ("a", "en-es", "again") in have(at)
     store.compact(spark, at, f"file://{tmp_path}/new")
     assert have(f"file://{tmp_path}/new") == have(at) and spark.read.parquet(f"file://{tmp_path}/new").count() == 3
+    store.drop_if_empty(spark, at)
+    assert (tmp_path / "store").exists()
+    for pair in ("en-es", "en-fr"):
+        store.discard(spark, at, spark.createDataFrame([("a",), ("b",)], "sha256 string"), pair)
+    store.drop_if_empty(spark, at)
+    assert not (tmp_path / "store").exists() and have(at) == set()
 
 
-def test_pipeline_resumes(spark, tmp_path):
+def test_commits_are_numbered_by_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "KEPT_NUMBERS", 3)
+    at = f"file://{tmp_path}/store"
+    assert [store.next_commit(spark, at) for _ in range(12)] == [*range(1, 13)] and len(list((tmp_path / "store" / "_commits").glob("[0-9]*"))) <= 4
+    (tmp_path / "store" / "_commits" / "13").touch()  # another driver was faster
+    assert store.next_commit(spark, at) == 14
+
+
+def test_store_is_joined_where_it_lies(spark, tmp_path, few_buckets):
+    """Reading a pair opens its folder alone, and neither grouping nor joining the store shuffles its side."""
+    at = f"file://{tmp_path}/store"
+    rows = [(f"s{i}", pair, 0, i, f"t{i}", 1) for i in range(50) for pair in ("en-es", "en-fr")]
+    store.append(spark.createDataFrame(rows, TRANSLATIONS), at)
+    store.discard(spark, at, spark.createDataFrame([("s1",)], "sha256 string"), "en-es")
+    keyed = blocks(spark, [("d", 0, i, "paragraph", "x", "", 2) for i in range(60)]).withColumn("sha256", F.concat(F.lit("s"), "block_idx")).withColumn("pair", F.lit("en-es"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = store.pending(keyed, store.stored(spark, at, "en-es"), "en-es")
+        assert sorted(r["block_idx"] for r in left.collect()) == [1, *range(50, 60)]
+        plan = left._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # the blocks' and that of the jobs that ended, whose rows are broadcast; none of the store's rows
+        assert plan.count("Exchange hashpartitioning(sha256#") == 2 and plan.count(", block_idx#") and plan.count("Exchange") == 3, plan
+        (scan,) = [x for x in plan.split("\n") if "FileScan parquet spark_catalog.default.store_" in x]
+        assert "Bucketed: true" in scan and "(pair#" in scan and "= en-es)" in scan, scan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def killed(spark, left, make, at, number, **how):
+    with pytest.raises(Exception, match="killed"):
+        segments.committed(left, make, at, number, **how).write.format("noop").mode("overwrite").save()
+
+
+def test_killed_task_leaves_its_segments(spark, tmp_path, monkeypatch):
+    """Blocks are durable while a task runs: one that dies after five of them, with segments of two, leaves four."""
+    monkeypatch.setattr(store, "BUCKETS", 1)
+    at = f"file://{tmp_path}/store"
+    keyed = blocks(spark, [("d", 0, i, "paragraph", f"text {i}", "", 2) for i in range(9)]).withColumn("sha256", F.lit("s")).withColumn("pair", F.lit("en-es"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def make(dies=True):
+        seen = [0]
+
+        def translate(t):
+            seen[0] += 1
+            calls.add(1)
+            if dies and seen[0] > 5:
+                raise RuntimeError("killed")
+            return t.upper()
+
+        return translate
+
+    killed(spark, keyed, make, at, store.next_commit(spark, at), most=2)
+    assert {r["t"] for r in store.stored(spark, at, "en-es").collect()} == {f"TEXT {i}" for i in range(4)}
+    assert not list((tmp_path / "store" / "pair=en-es").glob("_*.tmp")) and segments.progress(spark, at, 1) == (4, 8)
+    left = store.pending(keyed, store.stored(spark, at, "en-es"), "en-es")
+    number = store.next_commit(spark, at)
+    found = segments.committed(left, lambda: make(False), at, number, most=2).collect()
+    assert sum(r["blocks"] for r in found) == 5 and {r["t"] for r in store.stored(spark, at, "en-es").collect()} == {f"TEXT {i}" for i in range(9)}
+    assert segments.progress(spark, at, number) == (5, 10)
+    # a task's next attempt finds what the one before has left
+    store_files, root = segments.opened(at)
+    assert segments._left_behind(store_files, root, number, 0) == {("en-es", "s", 0, i) for i in range(4, 9)}
+    segments.stop(spark, at, 99)
+    assert segments.committed(keyed, lambda: make(False), at, 99).collect() == []
+    with pytest.raises(ValueError, match="tasks can't write"):
+        segments.opened("abfss://x@y/z")
+
+
+def test_folders_of_pairs():
+    for pair in ("en-es", "a/b", "100%", "x=y", "é"):
+        assert "/" not in segments.folder(pair) and segments.pair_of(segments.folder(pair)) == pair
+
+
+def test_pipeline_resumes(spark, tmp_path, few_buckets):
     inputs, at, out = tmp_path / "in", f"file://{tmp_path}/store", f"file://{tmp_path}/out"
     inputs.mkdir()
     (inputs / "a.txt").write_text("# Head\n\nfirst *one*\n\n![i](u)\n\nsecond\n")
@@ -169,10 +256,11 @@ def test_pipeline_resumes(spark, tmp_path):
 
     with pytest.raises(pipeline.Stopped):
         pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, should_stop=lambda: True)
+    assert not list((tmp_path / "out").glob("_work-*"))
     told = []
-    result = pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, batches=2, on_progress=lambda *x: told.append(x))
-    assert told == [(1, 2), (2, 2)]
-    assert [b.done for b in result.batches][-1] == result.batches[-1].total == 2 and sum(b.words for b in result.batches) == 3 and result.batches[-1].eta == 0
+    result = pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, on_progress=told.append)
+    assert (told[-1].done, told[-1].total, told[-1].words, told[-1].eta) == (2, 2, 3, 0) and result.progress == told[-1]
+    assert not list((tmp_path / "out").glob("_work-*"))
     (page,) = [open(r["path"].removeprefix("file://"), encoding="utf-8").read() for r in result.written.collect()]
     assert calls.value == 2 and "SENTINEL" in page and ">SECOND</td>" in page and "first <i>one</i>" in page and page.count("fila-marca") == 2
     assert page.count('<tr><td lang="en">') == 2 and page.count('nivel-1"') == 1
@@ -183,6 +271,32 @@ def test_pipeline_resumes(spark, tmp_path):
         pipeline.run(spark, [f"file://{inputs}"], "es", "de", make, packages, out, at)
 
 
+def test_run_reports_and_stops_while_it_runs(spark, tmp_path, few_buckets):
+    """Several reports of one run, and a stop that keeps what is done."""
+    inputs, at, out = tmp_path / "in", f"file://{tmp_path}/store", f"file://{tmp_path}/out"
+    inputs.mkdir()
+    (inputs / "a.txt").write_text("\n\n".join(f"paragraph {i}" for i in range(60)))
+    packages = language.packages_table(spark, PACKAGES)
+
+    def make():
+        import time
+
+        def translate(t):
+            time.sleep(0.2)
+            return t.upper()
+
+        return translate
+
+    told = []
+    with pytest.raises(pipeline.Stopped):
+        pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, seconds=0.1, report_seconds=0.3, on_progress=told.append, should_stop=lambda: bool(told) and told[-1].done > 5)
+    kept = store.stored(spark, at, "en-es").count()
+    assert len(told) > 2 and [p.done for p in told] == sorted(p.done for p in told) and told[-1].rate and 5 < kept < 60
+    assert not list((tmp_path / "store").glob("_stop*"))
+    result = pipeline.run(spark, [f"file://{inputs}"], "en", "es", make, packages, out, at, seconds=0.5)
+    assert result.progress.done == 60 - kept and not (tmp_path / "store").exists()
+
+
 def test_transform_and_alignment(spark):
     rows = [("a", 0, i, k, t, "", 9) for i, (k, t) in enumerate([("heading", "h<"), ("marker", MARK_IMAGE), ("paragraph", 'p"')])]
     keyed = blocks(spark, rows).withColumn("sha256", F.lit("s")).withColumn("pair", F.lit("en-es"))
@@ -195,7 +309,7 @@ def test_transform_and_alignment(spark):
     assert len(got) == 3 and "nivel-6" in got[0] and "h&lt;" in got[0] and "H&lt;" in got[0] and got[2].endswith('<td lang="es">P&quot;</td></tr>')
 
 
-def test_arrivals(spark, tmp_path):
+def test_arrivals(spark, tmp_path, few_buckets):
     docs = spark.createDataFrame([(1, "# a\n\nb"), (2, None)], "doc_id long, text string")
     at = f"file://{tmp_path}/store"
     for _ in range(2):
@@ -203,6 +317,12 @@ def test_arrivals(spark, tmp_path):
         query = arrivals.translate_arrivals(spark, f"file://{tmp_path}/in", "doc_id long, text string", "en-es", lambda: str.upper, at, f"file://{tmp_path}/check")
         query.awaitTermination()
     assert sorted(r["t"] for r in spark.read.parquet(at).collect()) == ["A", "B"]
+    contents = spark.read.parquet(at).select("sha256").distinct()
+    store.discard(spark, at, contents, "en-es")
+    assert store.stored(spark, at).isEmpty()
+    docs.write.mode("append").parquet(f"file://{tmp_path}/in")  # after the job ended, the same texts start afresh
+    arrivals.translate_arrivals(spark, f"file://{tmp_path}/in", "doc_id long, text string", "en-es", lambda: str.upper, at, f"file://{tmp_path}/check").awaitTermination()
+    assert sorted(r["t"] for r in store.stored(spark, at).collect()) == ["A", "B"]
 
 
 def test_shuffle_partitions_do_not_matter(spark):
