@@ -48,8 +48,8 @@ _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _GAP = _ENDS.copy()
 _GAP[[9, 32]] = True
 _CODEC = pa.Codec("zstd", 1)
-#: What a block writes: a row of its own with its sequence, and one for each bucket with words or pairs of it. ``base`` is the place of the first of them in the block.
-WRITTEN = "block long, size long, seq binary, bucket int, base long, data binary, words binary, langs array<string>"
+#: What a block writes: a row of its own with the sequence that its words or pairs come from, and one for each bucket with some of these. ``base`` is the place of the first of them in the block.
+WRITTEN = "block long, size long, seq binary, names binary, bucket int, base long, data binary, words binary, langs array<string>"
 
 
 def _compressed(data: bytes) -> bytes:
@@ -102,17 +102,25 @@ def block(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Ar
     return sequence, langs.dictionary.take(pa.array(names // many)), found.dictionary.take(pa.array(names % many)), counts
 
 
-def _dealt(sequence: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """The sequence with its names renumbered so that those of a bucket follow each other, their order, and (bucket, first, end) of each bucket."""
+def _dealt(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Places for names so that those of a bucket follow each other: the names in that order, the place of each name and of -1, and (bucket, first, end) of each bucket."""
     order = np.argsort(buckets, kind="stable")
-    to = np.full(len(order) + 1, -1, np.int64)  # the last place serves -1
-    to[order] = np.arange(len(order))
+    place = np.full(len(order) + 1, -1, np.int64)  # the last one serves -1
+    place[order] = np.arange(len(order))
     found, first = np.unique(buckets[order], return_index=True)
-    return to[sequence], order, [*zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+    return order, place, [*zip(found.tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=True)]
+
+
+def _ranked(sequence: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence by ranks, the most frequent name first, as small numbers take little; and the name of each rank."""
+    order = np.argsort(-np.bincount(sequence[sequence >= 0], minlength=many), kind="stable")
+    rank = np.full(many + 1, -1, np.int64)
+    rank[order] = np.arange(many)
+    return rank[sequence], order
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    schema = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("bucket", pa.int32()), ("base", pa.int64()), ("data", pa.binary()), ("words", pa.binary()), ("langs", pa.list_(pa.string()))])
+    schema = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("names", pa.binary()), ("bucket", pa.int32()), ("base", pa.int64()), ("data", pa.binary()), ("words", pa.binary()), ("langs", pa.list_(pa.string()))])
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -126,9 +134,10 @@ def word_blocks(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int,
         sequence, langs, terms, counts = found
         codes = langs.dictionary_encode()
         raw, at = utf8(terms)
-        sequence, order, parts = _dealt(sequence, (span_hashes(raw, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64))
+        order, place, parts = _dealt((span_hashes(raw, at[:-1], at[1:]) % U(buckets)).astype(np.int64))
         code, terms, counts = np.asarray(codes.indices)[order], terms.take(pa.array(order)).to_pylist(), counts[order]
-        rows = [{"block": number, "size": len(sequence), "seq": packed(sequence)}]
+        ranks, names = _ranked(place[sequence], len(order))
+        rows = [{"block": number, "size": len(ranks), "seq": packed(ranks), "names": packed(names)}]
         rows += [{"block": number, "bucket": k, "base": a, "data": packed(code[a:b], counts[a:b]), "words": _compressed("\n".join(terms[a:b]).encode()), "langs": codes.dictionary.to_pylist()} for k, a, b in parts]
         return _batch(rows)
 
@@ -151,42 +160,47 @@ def word_blocks(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int,
     return narrow.mapInArrow(lean(run), WRITTEN)
 
 
-def paired(sequence: np.ndarray, local: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The sequence of pairs of neighbouring names that are frequent, with the two global names and the count behind each; None without pairs."""
-    most = int(max(sequence.max(initial=-1), local.max(initial=-1))) + 1
-    to = np.full(most + 1, -1, np.int64)  # the last place serves -1
-    to[local] = np.arange(len(local))
-    own = to[sequence]
+def pairs_of(own: np.ndarray, names: np.ndarray, buckets: int):
+    """The pairs of neighbours in a sequence: their places (-1 where there is none), their two names, their counts, and the buckets of the places. The same each time."""
     ok = (own[:-1] >= 0) & (own[1:] >= 0)
-    if not ok.any():
-        return None
-    key = own[:-1][ok] * len(local) + own[1:][ok]
-    pairs, place, counts = np.unique(key, return_inverse=True, return_counts=True)
-    out = np.full(len(ok), -1, np.int64)
-    out[ok] = place
-    out = out[(out >= 0) | np.concatenate(([True], out[:-1] >= 0))]  # one gap is as good as many
-    return out, names[pairs // len(local)], names[pairs % len(local)], counts
+    pairs, found, counts = np.unique(own[:-1][ok] * len(names) + own[1:][ok], return_inverse=True, return_counts=True)
+    a, b = names[pairs // len(names)], names[pairs % len(names)]
+    order, place, parts = _dealt((mix(a.astype(U) * BASES[0] + b.astype(U)) % U(buckets)).astype(np.int64))
+    places = np.full(len(ok), -1, np.int64)
+    places[ok] = place[found]
+    return places, a[order], b[order], counts[order], parts
 
 
-def pair_blocks(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
-    """WRITTEN rows of the pairs, from the sequences before and the names of what is frequent in each block."""
+def frequent(places: np.ndarray, local: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence of what is frequent (places ``local`` with their global ids), by ranks, and the id of each rank."""
+    to = np.full(int(max(places.max(initial=-1), local.max(initial=-1))) + 2, -1, np.int64)  # the last one serves -1
+    to[local] = np.arange(len(local))
+    own = to[places]
+    own = own[(own >= 0) | np.concatenate(([True], own[:-1] >= 0))]  # one gap is as good as many
+    ranks, order = _ranked(own, len(local))
+    return ranks, ids[order]
+
+
+def pair_blocks(blocks: DataFrame, replies: DataFrame, before: int | None, buckets: int) -> DataFrame:
+    """WRITTEN rows of the pairs of what is frequent in each block, from the rows and replies of the length before: words, or pairs that were dealt to ``before`` buckets."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.Table.from_batches([_batch([])])
         if not left.num_rows or not right.num_rows:
             return none
-        local, names = (np.concatenate(x) for x in zip(*map(unpacked, right.column("data").to_pylist()), strict=True))
-        found = paired(*unpacked(left.column("seq")[0].as_py()), local, names)
-        if found is None:
+        (number,), (sequence,), (names,) = (left.column(c).to_pylist() for c in ("block", "seq", "names"))
+        (sequence,), (names,) = unpacked(sequence), unpacked(names)
+        places = np.append(names, -1)[sequence] if before is None else pairs_of(sequence, names, before)[0]
+        local, ids = (np.concatenate(x) for x in zip(*map(unpacked, right.column("data").to_pylist()), strict=True))
+        own, names = frequent(places, local, ids)
+        places, a, b, counts, parts = pairs_of(own, names, buckets)
+        if not len(a):
             return none
-        number, (sequence, a, b, counts) = left.column("block")[0].as_py(), found
-        sequence, order, parts = _dealt(sequence, (mix(a.astype(U) * BASES[0] + b.astype(U)) % U(buckets)).astype(np.int64))
-        a, b, counts = a[order], b[order], counts[order]
-        rows = [{"block": number, "size": len(sequence), "seq": packed(sequence)}]
+        rows = [{"block": number, "size": len(own), "seq": packed(own), "names": packed(names)}]
         rows += [{"block": number, "bucket": k, "base": i, "data": packed(a[i:j], b[i:j], counts[i:j])} for k, i, j in parts]
         return pa.Table.from_batches([_batch(rows)])
 
-    own = blocks.filter("bucket is null").select("block", "seq")
+    own = blocks.filter("bucket is null").select("block", "seq", "names")
     back = replies.filter("block is not null").select(F.col("block").alias("of"), "data")
     return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(lean_group(run), WRITTEN)
 
@@ -262,7 +276,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     bounded_batches(docs.sparkSession)
     # a distinct word of a block takes several bytes of text
     blocks = settled(word_blocks(docs, lang_col, text_col, block_bytes, pieces(docs, 8 * BUCKET_KEYS, LEAST_BUCKETS)), "phrase-blocks")
-    levels, totals = [], None
+    levels, totals, before = [], None, None
     for length in range(1, longest + 1):
         sums = settled(summed(blocks, least, length == 1), "phrase-sums")
         names = sums.filter("id is not null")
@@ -278,7 +292,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
                 break
             # a block has no more pairs than places in its sequence
             size = blocks.agg(F.sum("size")).head()[0]
-            blocks = settled(pair_blocks(blocks, sums, max(LEAST_BUCKETS, -(-size // BUCKET_KEYS))), "phrase-blocks")
+            now = max(LEAST_BUCKETS, -(-size // BUCKET_KEYS))
+            blocks, before = settled(pair_blocks(blocks, sums, before, now), "phrase-blocks"), now
     kept = []
     for i, found in enumerate(levels[1:], 1):
         if i + 1 < len(levels):  # a longer phrase that is as frequent has one of one word more in it that is, too
