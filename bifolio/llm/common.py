@@ -8,6 +8,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +41,38 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-_MADE: list[str] = []
+#: The paths that each open ``temporary`` block has given out, innermost last.
+_GIVEN: ContextVar[tuple[list[str], ...]] = ContextVar("given", default=())
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    """A path in the shared folder that no other call gets. It goes when the innermost ``temporary`` block around the call ends; without one it stays."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if given := _GIVEN.get():
+        given[-1].append(path)
+    return path
 
 
-def sweep(spark: SparkSession, keep: str = "") -> None:
-    """Delete what this process has put in the shared folder, but for ``keep``: when no DataFrame made before is used any more."""
-    for path in [p for p in _MADE if p != keep]:
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder, when nothing that is still to be read comes from them."""
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _MADE[:] = [keep] if keep else []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """What is written in the shared folder within this block goes when it ends; what others have written, in this thread or elsewhere, stays.
+
+    So DataFrames made within the block have to be written or collected there.
+    """
+    given: list[str] = []
+    token = _GIVEN.set((*_GIVEN.get(), given))
+    try:
+        yield given
+    finally:
+        _GIVEN.reset(token)
+        removed(spark, *given)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +80,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage, so a lost executor costs no step before it.
     """
+    return settled_at(df, name)[0]
+
+
+def settled_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, and the path, for those who remove it before its time."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def input_bytes(df: DataFrame) -> int:

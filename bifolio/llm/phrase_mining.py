@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, lean_group, pieces, settled, skew_joined
+from .common import bounded_batches, lean, lean_group, pieces, removed, settled, settled_at, skew_joined
 from .text_kernel import BASES, U, ascii_lower, mix, span_hashes, utf8, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -274,26 +274,29 @@ def _cut(candidates: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
     # a distinct word of a block takes several bytes of text
-    blocks = settled(word_blocks(docs, lang_col, text_col, block_bytes, pieces(docs, 8 * BUCKET_KEYS, LEAST_BUCKETS)), "phrase-blocks")
+    blocks, path = settled_at(word_blocks(docs, lang_col, text_col, block_bytes, pieces(docs, 8 * BUCKET_KEYS, LEAST_BUCKETS)), "phrase-blocks")
     levels, totals, before = [], None, None
     for length in range(1, longest + 1):
-        sums = settled(summed(blocks, least, length == 1), "phrase-sums")
+        sums, sums_path = settled_at(summed(blocks, least, length == 1), "phrase-sums")
         names = sums.filter("id is not null")
         if length == 1:
-            totals = sums.filter("id is null and block is null").groupBy("lang").agg(F.sum("f").alias("n"))
+            totals = settled(sums.filter("id is null and block is null").groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
             none = F.array().cast("array<long>")
             found = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests"))
         else:
-            found = settled(_phrases(names.select("id", "a", "b", "f"), levels[-1]), "phrases")
-        levels.append(found)
-        if length < longest:
-            if names.isEmpty():
-                break
-            # a block has no more pairs than places in its sequence
-            size = blocks.agg(F.sum("size")).head()[0]
-            now = max(LEAST_BUCKETS, -(-size // BUCKET_KEYS))
-            blocks, before = settled(pair_blocks(blocks, sums, before, now), "phrase-blocks"), now
+            found = _phrases(names.select("id", "a", "b", "f"), levels[-1])
+        levels.append(settled(found, "phrases"))
+        done = [path, sums_path]
+        if length == longest or levels[-1].isEmpty():
+            removed(spark, *done)
+            break
+        # a block has no more pairs than places in its sequence
+        size = blocks.agg(F.sum("size")).head()[0]
+        now = max(LEAST_BUCKETS, -(-size // BUCKET_KEYS))
+        (blocks, path), before = settled_at(pair_blocks(blocks, sums, before, now), "phrase-blocks"), now
+        removed(spark, *done)  # the next length is all that they were for
     kept = []
     for i, found in enumerate(levels[1:], 1):
         if i + 1 < len(levels):  # a longer phrase that is as frequent has one of one word more in it that is, too

@@ -233,3 +233,34 @@ def test_balls_save_distances():
     every = ((y[:, None, :] - close[None]) ** 2).sum(2)
     best, distance, took = ball_kmeans.nearest(y, np.zeros(4000, np.int64), close)
     assert (best == every.argmin(1)).all() and (distance == every.min(1)).all() and took <= 4 * len(y)
+
+
+# ---- the shared folder
+
+
+def test_temporary_files_belong_to_their_block(spark):
+    from bifolio.llm import common
+
+    before = common.settled(spark.range(3), "kept")
+    with common.temporary(spark) as outer:
+        own = common.settled(spark.range(4), "outer")
+        with common.temporary(spark) as inner:
+            common.settled(spark.range(5), "inner")
+        assert own.count() == 4 and len(outer) == 1 and len(inner) == 1
+        with pytest.raises(Exception):
+            spark.read.parquet(inner[0]).count()
+    assert before.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(outer[0]).count()
+
+
+def test_results_outlive_a_pipeline_run(spark):
+    """A DataFrame that an operator gave before can still be read after a run, and what the run returns, too."""
+    import corpus_pipeline
+    from bifolio.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    records = queries.op2_token_records(spark, sf)
+    phrases = queries.op12_collocations(spark, sf)
+    docs = corpus_pipeline.run(spark, sf)
+    assert docs.count() and records.count() and phrases.count() >= 0
