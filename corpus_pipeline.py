@@ -10,8 +10,9 @@ similarity of at least 0.8 of their sets of five-word shingles (op6 has a rule
 of its own), or if it holds a passage of the benchmark. The last stage returns
 doc_id, n_tokens and ids of the others. Rows without an id, or with one that other
 rows have too, stay or go by their own text; of linked documents that with the
-smallest id stays, one without an id last. ``run`` deletes what stages have written
-in the shared folder once the next one is done, so call it alone.
+smallest id stays, one without an id last. ``run`` deletes what a stage has written in
+the shared folder when it is done, and its result when the next one is; the last one's
+result stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bifolio.llm import filters
-from bifolio.llm.common import shared_path, sweep, table
+from bifolio.llm.common import removed, shared_path, table, temporary
 from bifolio.llm.queries import tokenizer_file
 from bifolio.llm.sentence_pieces import encoded
 
@@ -53,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        sweep(spark, path)  # what the stage and the one before it have written
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        removed(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
