@@ -119,7 +119,7 @@ def provision(plan: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def detect(samples: DataFrame, make: Callable[[], Callable[[str], str | None]], sample: str = "sample") -> DataFrame:
-    """The rows with ``detected``: the code that a detector, built once in each task, gives; null for blank samples and where it fails."""
+    """The rows with ``detected``: the code that a detector of one's own, built once in each task, gives; null for blank samples and where it fails. ``detection`` has one that learns and stays in the JVM."""
 
     def code(find: Callable[[str], str | None], text: str | None) -> str | None:
         if not text or not text.strip():
@@ -139,27 +139,6 @@ def detect(samples: DataFrame, make: Callable[[], Callable[[str], str | None]],
     return samples.withColumn("detected", run(sample))
 
 
-#: Frequent short words of some languages, for ``stop_word_detector``.
-STOP_WORDS = {
-    "de": "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch",
-    "en": "the of and to in is that for it as was with be by on not he his are this at from",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como",
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne",
-}
-
-
-def stop_word_detector() -> Callable[[str], str | None]:
-    """A stand-in for a real detector: the language with the most frequent short words."""
-    sets = {k: set(v.split()) for k, v in STOP_WORDS.items()}
-
-    def find(text: str) -> str | None:
-        words = text.lower().split()
-        best = max(sorted(sets), key=lambda k: sum(w in sets[k] for w in words))
-        return best if any(w in sets[best] for w in words) else None
-
-    return find
-
-
 def packages_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     from ..schema import PACKAGES
 

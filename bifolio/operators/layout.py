@@ -2,18 +2,18 @@ r"""From a page's layout to paragraphs.
 
 Lines of a layout block are joined, undoing hyphenation; blocks inside tables
 give way to one marker a table; page numbers go; and paragraphs that a column
-or page break cut are merged. As a merge looks only at the end of the block
-before, it is a gap-and-island problem: a window finds the boundaries, a
-running sum numbers the islands.
+or page break cut are merged. All of it looks at a line's or block's neighbours alone,
+so it is done on arrays within a document's row, in linear time and without a shuffle;
+``join_lines``, ``merge_fragments`` and ``layout_blocks`` are for lines and blocks that
+come as rows, and only gather them first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import WS, collapse, styled
+from ..functions.text import WS, collapse, once, styled
 from ..schema import MARK_IMAGE, MARK_TABLE, MARKER, PARAGRAPH
 
 # What ends a sentence, and what starts in the middle of one.
@@ -37,19 +37,99 @@ def scanned_warning(n: Column, first: Column) -> Column:
     return F.concat(F.lit("PDF: "), n.cast("string"), F.lit(" página(s) sin capa de texto omitida(s) (¿escaneadas?): "), F.array_join(first.cast("array<string>"), ", "), more, F.lit(". OCR fuera del alcance."))
 
 
+def _indices(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def joined(lines: Column) -> Column:
+    """(text, html) of lines (plain, html) as one paragraph; a hyphen before a lower-case letter joins."""
+    real = F.filter(F.transform(lines, lambda x: F.struct(collapse(x["plain"]).alias("p"), F.trim(x["html"]).alias("h"))), lambda x: x["p"] != "")
+
+    def glued(all_lines: Column, i: Column) -> Column:
+        """Whether a line goes on with the word that the one before it has cut."""
+        return F.coalesce(F.get(all_lines, i - 1)["p"].endswith("-") & _starts_lower(F.get(all_lines, i)["p"]), F.lit(False)) & (i > 0)
+
+    def parts(found: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            cut, sep = glued(found, i + 1), F.when(glued(found, i), "").otherwise(" ")
+            return F.struct(F.concat(sep, F.when(cut, F.regexp_replace(x["p"], "-$", "")).otherwise(x["p"])).alias("p"), F.concat(sep, F.when(cut, F.regexp_replace(x["h"], "-((?:</[bi]>)*)$", "$1")).otherwise(x["h"])).alias("h"))
+
+        return F.transform(found, part)
+
+    def whole(x: Column) -> Column:
+        marked = F.trim(F.array_join(F.transform(x, lambda e: e["h"]), ""))
+        marked = F.replace(F.replace(marked, F.lit("</i> <i>"), F.lit(" ")), F.lit("</b> <b>"), F.lit(" "))
+        return F.struct(collapse(F.array_join(F.transform(x, lambda e: e["p"]), "")).alias("text"), collapse(marked).alias("html"))
+
+    return once(once(real, parts), whole)
+
+
+def merged(blocks: Column) -> Column:
+    """Blocks (kind, text, html) with neighbouring paragraphs merged, after a hyphen or where no sentence ends and a lower-case letter follows; and of how many parts each is."""
+
+    def goes_on(all_blocks: Column, x: Column, i: Column) -> Column:
+        before = F.get(all_blocks, i - 1)
+        both = (x["kind"] == PARAGRAPH) & (before["kind"] == PARAGRAPH)
+        return (i > 0) & F.coalesce(both & (before["text"].endswith("-") | (~_ends_sentence(before["text"]) & _starts_lower(x["text"]))), F.lit(False))
+
+    def islands(found: Column) -> Column:
+        starts = F.filter(F.transform(found, lambda x, i: F.when(~goes_on(found, x, i), i)), lambda i: i.isNotNull())
+        return once(starts, lambda at: F.transform(at, lambda start, k: island(found, start, F.coalesce(F.get(at, k + 1), F.size(found)))))
+
+    def island(found: Column, start: Column, end: Column) -> Column:
+        def part(i: Column) -> Column:
+            x, cut = F.get(found, i), (i + 1 < end) & F.get(found, i)["text"].endswith("-")
+            sep = F.when((i == start) | F.coalesce(F.get(found, i - 1)["text"].endswith("-"), F.lit(False)), "").otherwise(" ")
+            return F.struct(F.concat(sep, F.when(cut, F.regexp_replace(x["text"], "-$", "")).otherwise(x["text"])).alias("t"), F.concat(sep, F.when(cut, F.regexp_replace(x["html"], "-((?:</[bi]>)*)$", "$1")).otherwise(x["html"])).alias("h"))
+
+        def whole(x: Column) -> Column:
+            return F.struct(F.get(found, start)["kind"].alias("kind"), F.array_join(F.transform(x, lambda e: e["t"]), "").alias("text"), F.array_join(F.transform(x, lambda e: e["h"]), "").alias("html"), F.size(x).alias("parts"))
+
+        return once(F.transform(F.sequence(start, end - 1), part), whole)
+
+    return once(blocks, islands)
+
+
+def page_blocks(boxes: Column, tables: Column) -> Column:
+    """The blocks (kind, text, html) of a page's boxes (type, bbox, lines) in reading order, with the boxes of its tables."""
+    placed = F.transform(boxes, lambda b: F.struct(b.alias("b"), F.when(b["type"] != 1, table_of(b["bbox"], tables)).alias("table")))
+
+    def block(kind: str, text: Column, html: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), html.alias("html"))
+
+    def text_of(b: Column) -> Column:
+        lines = F.transform(b["lines"], lambda spans: once(styled(spans), lambda s: F.struct(s["plain"].alias("plain"), s["html"].alias("html"))))
+        return once(joined(lines), lambda t: F.when((t["text"] != "") & ~t["text"].rlike(PAGE_NUMBER), block(PARAGRAPH, t["text"], t["html"])))
+
+    def all_of(found: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            again = F.exists(F.slice(found, F.lit(1), i), lambda y: y["table"].eqNullSafe(x["table"]))  # a page has few boxes
+            mark = F.when(x["b"]["type"] == 1, block(MARKER, F.lit(MARK_IMAGE), F.lit(""))).when(x["table"].isNotNull() & ~again, block(MARKER, F.lit(MARK_TABLE), F.lit("")))
+            return F.when((x["b"]["type"] == 1) | x["table"].isNotNull(), mark).otherwise(text_of(x["b"]))
+
+        return F.filter(F.transform(found, one), lambda b: b.isNotNull())
+
+    return once(placed, all_of)
+
+
+def laid_out(pages: Column) -> Column:
+    """The merged blocks of a document's pages (boxes, tables)."""
+    return merged(F.flatten(F.transform(pages, lambda p: page_blocks(p["boxes"], p["tables"]))))
+
+
+def scanned(pages: Column) -> Column:
+    """(n, first ten numbers, from 1) of the pages (page, boxes) that hold images and no text."""
+    has_text = lambda b: (b["type"] != 1) & F.exists(b["lines"], lambda line: F.exists(line, lambda s: F.trim(s["text"]) != ""))
+    found = F.transform(F.filter(pages, lambda p: F.exists(p["boxes"], lambda b: b["type"] == 1) & ~F.exists(p["boxes"], has_text)), lambda p: p["page"] + 1)
+    return once(found, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.slice(x, 1, 10).alias("first")))
+
+
 def join_lines(rows: DataFrame, key: list[str], order: str, plain: str = "plain", html: str = "html") -> DataFrame:
-    """One row a key: its lines (rows with text) as one paragraph; a hyphen before a lower-case letter joins."""
+    """One row a key: its lines (rows with text) ``joined``."""
     real = rows.filter(F.trim(collapse(F.col(plain))) != "")
-    at = Window.partitionBy(*key).orderBy(order)
-    flat, own = collapse(F.col(plain)), F.trim(F.col(html))
-    hyphen = F.coalesce(F.lag(flat).over(at).endswith("-") & _starts_lower(flat), F.lit(False))
-    next_joins = F.coalesce(F.lead(flat).over(at), F.lit("")).rlike(f"^[{LOWER}]") & flat.endswith("-")
-    parts = real.select(*key, order, F.when(next_joins, F.regexp_replace(flat, "-$", "")).otherwise(flat).alias("p"), F.when(next_joins, F.regexp_replace(own, "-((?:</[bi]>)*)$", "$1")).otherwise(own).alias("h"), F.when(hyphen, "").otherwise(" ").alias("sep"))
-    got = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, "sep", "p", "h"))).alias("x"))
-    text = F.array_join(F.transform("x", lambda e: F.concat(e["sep"], e["p"])), "")
-    marked = F.array_join(F.transform("x", lambda e: F.concat(e["sep"], e["h"])), "")
-    marked = F.replace(F.replace(F.trim(marked), F.lit("</i> <i>"), F.lit(" ")), F.lit("</b> <b>"), F.lit(" "))
-    return got.select(*key, collapse(text).alias("text"), collapse(marked).alias("html"))
+    got = real.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(plain).alias("plain"), F.col(html).alias("html")))).alias("x"))
+    return got.select(*key, joined(F.col("x")).alias("x")).select(*key, "x.*")
 
 
 def table_of(bbox: Column, tables: Column) -> Column:
@@ -64,36 +144,40 @@ def table_of(bbox: Column, tables: Column) -> Column:
 
 
 def merge_fragments(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Merge neighbouring paragraphs (kind, text, html): after a hyphen, or where no sentence ends and a lower-case letter follows."""
-    at = Window.partitionBy(*key).orderBy(*order)
-    before, both = F.lag("text").over(at), (F.col("kind") == PARAGRAPH) & (F.lag("kind").over(at) == PARAGRAPH)
-    hyphen = before.endswith("-")
-    joins = F.coalesce(both & (hyphen | (~_ends_sentence(before) & _starts_lower(F.col("text")))), F.lit(False))
-    marked = rows.withColumn("_joins", joins).withColumn("_hyphen", F.coalesce(hyphen, F.lit(False)))
-    marked = marked.withColumn("_island", F.sum((~F.col("_joins")).cast("int")).over(at)).withColumn("_cut", F.coalesce(F.lead("_joins").over(at), F.lit(False)) & F.col("text").endswith("-"))
-    sep = F.when(~F.col("_joins") | F.col("_hyphen"), "").otherwise(" ")
-    text = F.when(F.col("_cut"), F.regexp_replace("text", "-$", "")).otherwise(F.col("text"))
-    html = F.when(F.col("_cut"), F.regexp_replace("html", "-((?:</[bi]>)*)$", "$1")).otherwise(F.col("html"))
-    got = marked.groupBy(*key, "_island").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct(*order, sep.alias("sep"), text.alias("t"), html.alias("h")))).alias("x"))
-    whole = lambda f: F.array_join(F.transform("x", lambda e: F.concat(e["sep"], e[f])), "")
-    return got.select(*key, (F.col("_island") - 1).cast("int").alias("pos"), "kind", whole("t").alias("text"), whole("h").alias("html"), F.size("x").alias("parts"))
+    """The blocks (kind, text, html) of each key ``merged``, numbered as ``pos``."""
+    got = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "kind", "text", "html"))).alias("x"))
+    return got.select(*key, F.posexplode(merged(F.col("x"))).alias("pos", "x")).select(*key, "pos", "x.*")
+
+
+def pages_of(pdf_blocks: DataFrame, pdf_tables: DataFrame | None = None) -> DataFrame:
+    """doc_id and its pages (page, boxes, tables), of layout rows (doc_id, page, pos, type, bbox, lines) and (doc_id, page, table_idx, bbox)."""
+    placed = pdf_blocks.repartition("doc_id").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "bbox", "lines"))).alias("boxes"))
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    if pdf_tables is None:
+        placed = placed.withColumn("tables", none)
+    else:
+        tables = pdf_tables.repartition("doc_id").groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "bbox"))), lambda t: t["bbox"]).alias("tables"))
+        placed = placed.join(tables, ["doc_id", "page"], "left").withColumn("tables", F.coalesce("tables", none))
+    return placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "boxes", "tables"))).alias("pages"))
 
 
 def layout_blocks(pdf_blocks: DataFrame, pdf_tables: DataFrame) -> DataFrame:
-    """Numbered, merged blocks of documents given as layout (doc_id, page, pos, type, bbox, lines) and tables (doc_id, page, table_idx, bbox)."""
-    boxes = pdf_tables.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "bbox"))), lambda t: t["bbox"]).alias("tables"))
-    placed = pdf_blocks.join(boxes, ["doc_id", "page"], "left").withColumn("table", F.when((F.col("type") != 1) & F.col("tables").isNotNull(), table_of(F.col("bbox"), F.col("tables"))))
-    first = F.row_number().over(Window.partitionBy("doc_id", "page", "table").orderBy("pos")) == 1
-    marks = placed.withColumn("_first", first).filter((F.col("type") == 1) | (F.col("table").isNotNull() & F.col("_first")))
-    marks = marks.select("doc_id", "page", "pos", F.lit(MARKER).alias("kind"), F.when(F.col("type") == 1, MARK_IMAGE).otherwise(MARK_TABLE).alias("text"), F.lit("").alias("html"))
-    lines = placed.filter((F.col("type") != 1) & F.col("table").isNull()).select("doc_id", "page", "pos", F.posexplode("lines").alias("line", "spans")).select("doc_id", "page", "pos", "line", styled(F.col("spans")).alias("s")).select("doc_id", "page", "pos", "line", "s.*")
-    texts = join_lines(lines, ["doc_id", "page", "pos"], "line").filter(~F.col("text").rlike(PAGE_NUMBER)).select("doc_id", "page", "pos", F.lit(PARAGRAPH).alias("kind"), "text", "html")
-    merged = merge_fragments(marks.unionByName(texts), ["doc_id"], ["page", "pos"])
-    return merged.select("doc_id", F.lit(0).alias("chapter_idx"), F.col("pos").alias("block_idx"), "kind", "text", "html", F.lit(2).alias("level"))
+    """Numbered, merged blocks of documents given as layout rows and tables, as ``pages_of`` takes them."""
+    return numbered(pages_of(pdf_blocks, pdf_tables))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The blocks of documents (doc_id, pages), numbered, without a shuffle."""
+    found = docs.select("doc_id", F.posexplode(laid_out(F.col("pages"))).alias("block_idx", "b"))
+    return found.select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.kind", "b.text", "b.html", F.lit(2).alias("level"))
 
 
 def scanned_pages(pdf_blocks: DataFrame) -> DataFrame:
-    """doc_id, n_scanned and the first ten page numbers (from 1) of pages with images and no text."""
-    has_text = F.exists("lines", lambda line: F.exists(line, lambda s: F.trim(s["text"]) != ""))
-    pages = pdf_blocks.groupBy("doc_id", "page").agg(F.bool_or(F.col("type") == 1).alias("image"), F.bool_or((F.col("type") != 1) & has_text).alias("text")).filter("image and not text")
-    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_scanned"), F.slice(F.array_sort(F.collect_list(F.col("page") + 1)), 1, 10).alias("first_pages"))
+    """doc_id, n_scanned and the first ten page numbers (from 1) of pages with images and no text, of layout rows."""
+    return scanned_documents(pages_of(pdf_blocks))
+
+
+def scanned_documents(docs: DataFrame) -> DataFrame:
+    """The same of documents (doc_id, pages)."""
+    found = docs.select("doc_id", scanned(F.col("pages")).alias("s")).filter("s.n > 0")
+    return found.select("doc_id", F.col("s.n").alias("n_scanned"), F.col("s.first").alias("first_pages"))

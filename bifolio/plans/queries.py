@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import BOLD, chapter_file, collapse, decoded, duration, escape, marked, normal_lines, plain, rate_and_eta, stem, styled, suffix, thousands
-from ..operators import language, layout, profile, render, shared, store
+from ..functions.text import BOLD, chapter_file, collapse, decoded, duration, escape, marked, normal_lines, once, plain, rate_and_eta, stem, styled, suffix, thousands
+from ..operators import detection, language, layout, profile, render, shared, store
 from ..schema import MARKER, PARAGRAPH
-from ..sources import files, html_walk
+from ..sources import docx, epub, files, html_walk
+from ..sources.blocks import BLOCK, block
 from ..sources.textmd import text_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,8 +238,9 @@ WITH {KEYED}, esc AS (
 
 
 def merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = layout.merge_fragments(lines(spark, sf_dir), ["doc_id"], ["block_idx"])
-    return merged.select("doc_id", "pos", "text", F.col("parts").cast("long").alias("parts"))
+    blocks = F.transform("lines", lambda x: F.struct(F.lit(PARAGRAPH).alias("kind"), x.alias("text"), F.lit("").alias("html")))
+    merged = line_arrays(spark, sf_dir).select("doc_id", F.posexplode(layout.merged(blocks)).alias("pos", "b"))
+    return merged.select("doc_id", "pos", "b.text", F.col("b.parts").cast("long").alias("parts"))
 
 
 MERGED = f"""
@@ -257,9 +259,8 @@ FROM isle GROUP BY doc_id, island
 
 
 def line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).select("doc_id", "block_idx", F.col("text").alias("plain"), F.col("text").alias("html"))
-    rows = rows.withColumn("html", F.concat(F.lit("<i>"), escape(F.col("html")), F.lit("</i>")))
-    joined = layout.join_lines(rows, ["doc_id"], "block_idx")
+    each = F.transform("lines", lambda x: F.struct(x.alias("plain"), F.concat(F.lit("<i>"), escape(x), F.lit("</i>")).alias("html")))
+    joined = line_arrays(spark, sf_dir).filter(F.size("lines") > 0).select("doc_id", layout.joined(each).alias("x")).select("doc_id", "x.*")
     return joined.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"), F.sha2("html", 256).alias("html_sha256"))
 
 
@@ -340,8 +341,35 @@ FROM keyed LEFT JOIN names ON names.k = keyed.k LEFT JOIN spanish ON spanish.k =
 
 
 def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in detector on each document's sample."""
-    return language.detect(sample_text(spark, sf_dir), language.stop_word_detector).select("doc_id", "detected")
+    """The language of each document's sample by trigrams of all documents' samples."""
+    samples = line_arrays(spark, sf_dir).filter(F.size("lines") > 0).select("doc_id", "lang", profile.first_texts(F.col("lines")).alias("sample"))
+    return detection.detected(samples, detection.learnt(samples, text_col="sample"))
+
+
+DETECTED_LANGUAGE = rf"""
+WITH {LINES}, head AS (
+  SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines
+), sample AS (
+  SELECT doc_id, any_value(lang) AS lang, ' ' || trim(regexp_replace(lower(substring(string_agg(text, E'\n' ORDER BY block_idx), 1, 4000)), '\s+', ' ', 'g')) || ' ' AS s FROM head WHERE before < 4000 GROUP BY doc_id
+), g AS (
+  SELECT doc_id, lang, substring(s, i, 3) AS gram FROM sample, unnest(range(1, length(s) - 1)) AS r(i)
+), c AS (
+  SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL HAVING regexp_matches(gram, '\p{{L}}')
+), total AS (
+  SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM c) AS t FROM c GROUP BY lang
+), model AS (
+  SELECT gram, lang, round(1000 * ln((n + 1) / t)) - round(1000 * ln(1 / t)) AS above FROM c JOIN total USING (lang)
+), own AS (
+  SELECT doc_id, gram, count(*) AS times FROM g GROUP BY ALL
+), sums AS (
+  SELECT doc_id, model.lang, sum(times * above) AS above FROM own JOIN model USING (gram) GROUP BY ALL
+), scored AS (
+  SELECT doc_id, lang, above + size * round(1000 * ln(1 / t)) AS score FROM sums JOIN total USING (lang) JOIN (SELECT doc_id, sum(times) AS size FROM own GROUP BY doc_id) USING (doc_id)
+), best AS (
+  SELECT doc_id, lang FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1
+)
+SELECT doc_id, best.lang AS detected FROM sample LEFT JOIN best USING (doc_id)
+"""
 
 
 def _page_blocks(pages: pd.Series) -> pd.Series:
@@ -364,7 +392,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' blocks; every link of a list stands for an image, every heading is followed by a note, and footers are tables."""
+    """The pages' blocks; short ones, such as links of a list, stand for images, and copyright lines for tables."""
     blocks = pages(spark, sf_dir)
     mark = F.when(F.col("text").startswith("©"), "[tabla omitida]").when(F.length("text") < 6, "[imagen omitida]")
     return blocks.withColumn("kind", F.when(mark.isNotNull(), MARKER).otherwise(F.col("kind"))).withColumn("html", F.when(mark.isNotNull(), "").otherwise(F.col("html"))).withColumn("text", F.coalesce(mark, "text"))
@@ -449,6 +477,106 @@ SELECT *, 'Volumen: ' || replace(format('{{:,}}', words), ',', '.') || ' palabra
 """
 
 
+def _turn_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as the body of a Word file: a paragraph in a style that may be a heading, a table, and a paragraph with images and notes."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    style = F.element_at(F.array(*map(F.lit, ("Heading 2", "título 7", "Title", "Normal"))), (F.col("turn") % 4 + 1).cast("int"))
+    run = lambda t, flags: F.struct(t.alias("text"), F.lit(flags).alias("flags"))
+
+    def row(is_table, style, style_id, images, notes, *runs):
+        return F.struct(is_table.alias("is_table"), style.alias("style"), style_id.alias("style_id"), images.cast("int").alias("images"), notes.cast("int").alias("notes"), F.array(*runs).alias("runs"))
+
+    none, no = F.lit(""), F.lit(0)
+    rows = F.array(
+        row(F.lit(False), style, F.when(F.col("role") == "user", "heading").otherwise("x"), no, no, run(F.concat("role", F.lit(" ")), 18), run(none, 16), run(text, 2)),
+        row(turn % 3 == 0, none, none, no, no, run(none, 0)),
+        row(F.lit(False), F.lit("Body"), F.lit("B"), turn % 3, turn % 2, run(text, 0)),
+    )
+    return turns.select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(docx.blocks(rows)).alias("block_idx", "b")).select("doc_id", "turn", "block_idx", "b.*")
+
+
+def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of Word bodies: headings by style, runs with formatting, omissions."""
+    return _turn_bodies(spark, sf_dir)
+
+
+def word_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images, tables and notes that are left out of each conversation's bodies."""
+    return profile.omitted(_turn_bodies(spark, sf_dir))
+
+
+WORD = r"""
+r AS (
+  SELECT row_number() OVER () AS k, conv_id, turn, role, coalesce(text, '') AS t, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM conversations
+), parts AS (
+  SELECT k, 1 AS p, CASE WHEN turn % 4 = 3 AND role <> 'user' THEN 'paragraph' ELSE 'heading' END AS kind, role || ' ' || t AS x, '<b><i>' || role || ' </i></b>' || CASE WHEN t = '' THEN '' ELSE '<i>' || e || '</i>' END AS h,
+         CASE turn % 4 WHEN 0 THEN 2 WHEN 1 THEN 6 WHEN 2 THEN 1 ELSE CASE WHEN role = 'user' THEN 1 ELSE 2 END END AS level FROM r
+  UNION ALL SELECT k, 2, 'marker', '[tabla omitida]', '', 2 FROM r WHERE turn % 3 = 0
+  UNION ALL SELECT k, 3, 'marker', '[imagen omitida]', '', 2 FROM r, unnest(range(turn % 3)) AS i(n)
+  UNION ALL SELECT k, 4, 'marker', '[nota omitida]', '', 2 FROM r WHERE turn % 2 = 1
+  UNION ALL SELECT k, 5, 'paragraph', t, e, 2 FROM r
+), flat AS (
+  SELECT k, p, kind, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text, trim(regexp_replace(h, '\s+', ' ', 'g')) AS html, level FROM parts
+), blocks AS (
+  SELECT conv_id AS doc_id, turn, CAST(row_number() OVER (PARTITION BY k ORDER BY p) - 1 AS INTEGER) AS block_idx, kind, flat.text, html, CAST(level AS INTEGER) AS level FROM flat JOIN r USING (k) WHERE flat.text <> ''
+)"""
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a book's package: a manifest, of which one member is missing now and then, a spine, and what was found in each member."""
+    pages = spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url"))
+    item = lambda href, member, stem, present: F.struct(href.alias("href"), member.alias("member"), stem.alias("stem"), present.alias("present"))
+    name = F.concat(F.lit("p"), F.col("doc_id").cast("string"))
+    lit, n = F.lit, F.col("doc_id")
+    items = F.create_map(
+        lit("a"), item(lit("a%20b.xhtml"), lit("O/a b.xhtml"), lit("a b"), lit(True)), lit("b"), item(F.concat(name, lit(".xhtml")), F.concat(lit("O/"), name), name, n % 3 != 0),
+        lit("nav"), item(lit("nav.xhtml"), lit("O/nav.xhtml"), lit("nav"), lit(True)), lit("e"), item(lit(""), lit("O"), lit(""), lit(False)),
+    )
+    refs = F.array(*[F.struct(lit(i).alias("idref"), lit(linear).alias("linear")) for i, linear in SPINE])
+    piece = lambda kind, text: block(lit(kind), text, escape(text), lit(1 if kind == "heading" else 2))
+    none = F.array().cast(f"array<{BLOCK}>")
+    of_a = F.when(n % 5 == 0, none).otherwise(F.array(piece("paragraph", F.concat(lit("text of "), "url"))))
+    of_b = F.when(n % 2 == 0, F.array(piece("heading", F.concat(lit("On "), "url")), piece("paragraph", F.col("url")))).otherwise(F.array(piece("paragraph", F.col("url"))))
+    books = pages.withColumn("wanted", epub.spine(F.struct(items.alias("items"), refs.alias("refs"))))
+    return books.withColumn("found", F.transform(F.filter("wanted", lambda i: i["present"]), lambda i: F.when(i["stem"] == "a b", of_a).otherwise(of_b)))
+
+
+#: A spine with a reference that isn't linear, one to nothing, one to an item without a file, and one that comes twice.
+SPINE = [("nav", "No"), ("b", "yes"), ("zz", "yes"), ("a", "YES"), ("e", "yes"), ("b", "yes")]
+
+
+def book_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapters of books in the order of their spines, with their titles and numbers of blocks."""
+    made = _books(spark, sf_dir).select("doc_id", F.posexplode(epub.chapters(F.col("wanted"), F.col("found"))).alias("chapter_idx", "c"))
+    return made.select("doc_id", "chapter_idx", "c.title", F.size("c.blocks").alias("blocks"), F.col("c.blocks")[0]["text"].alias("first"))
+
+
+def book_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that spines name and that aren't there."""
+    return _books(spark, sf_dir).select("doc_id", F.posexplode(epub.warnings(F.col("wanted"))).alias("place", "warning"))
+
+
+BOOKS = f"""
+refs AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{r}', '{linear}')" for i, (r, linear) in enumerate(SPINE))}) AS v(pos, id, linear)),
+items AS (
+  SELECT page_id AS doc_id, url, v.id, CASE v.id WHEN 'b' THEN 'p' || page_id || '.xhtml' ELSE v.href END AS href, CASE v.id WHEN 'b' THEN 'p' || page_id ELSE v.stem END AS stem, CASE v.id WHEN 'b' THEN page_id % 3 <> 0 ELSE v.id <> 'e' END AS present
+  FROM pages, (VALUES ('a', 'a%20b.xhtml', 'a b'), ('b', '', ''), ('nav', 'nav.xhtml', 'nav'), ('e', '', '')) AS v(id, href, stem)
+), spine AS (
+  SELECT doc_id, url, pos, items.id, href, stem, present FROM refs JOIN items USING (id) WHERE lower(linear) <> 'no' AND href <> ''
+)"""
+BOOK_CHAPTERS = f"""
+WITH {BOOKS}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS chapter_idx, CASE WHEN id = 'b' AND doc_id % 2 = 0 THEN 'On ' || url ELSE stem END AS title,
+       CASE WHEN id = 'b' AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS blocks, CASE WHEN id = 'a' THEN 'text of ' || url WHEN doc_id % 2 = 0 THEN 'On ' || url ELSE url END AS first
+FROM spine WHERE present AND NOT (id = 'a' AND doc_id % 5 = 0)
+"""
+BOOK_WARNINGS = f"""
+WITH {BOOKS}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS place, 'EPUB: el documento «' || href || '» aparece en el spine pero no está en el zip; se omite.' AS warning FROM spine WHERE NOT present
+"""
+
+
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as chapters, their lines as blocks, numbered without gaps."""
     cut = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("spine_pos"), "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -541,26 +669,35 @@ FROM e GROUP BY doc_id, block_idx
 """
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(layout boxes, tables): eight lines a page; lines of under 12 characters are images; pages of over four lines have a table over the third and fourth, and half of the fifth."""
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their lines as pages: eight layout boxes a page; lines of under 12 characters are images; pages of over four lines have a table over the third and fourth, and half of the fifth."""
     box = lambda *x: F.struct(*[v.cast("double").alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), x, strict=True)])
-    n = F.col("block_idx")
-    span = lambda t: F.array(F.struct(t.alias("text"), F.lit(2).alias("flags")))
-    short = F.length("text") < 12
-    rows = lines(spark, sf_dir).select("doc_id", F.floor(n / 8).cast("int").alias("page"), (n % 8).alias("pos"), "text", short.cast("int").alias("type"))
-    boxes = rows.select("doc_id", "page", "pos", "type", box(F.lit(0), F.col("pos") * 10, F.lit(9), F.col("pos") * 10 + 10).alias("bbox"), F.when(F.col("type") == 1, F.array().cast("array<array<struct<text:string,flags:int>>>")).otherwise(F.transform(F.split("text", ", "), span)).alias("lines"))
-    tables = rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")).filter("n > 4").select("doc_id", "page", F.lit(0).alias("table_idx"), box(F.lit(-5), F.lit(20), F.lit(50), F.lit(45)).alias("bbox"))
-    return boxes, tables
+    no_lines = F.array().cast("array<array<struct<text:string,flags:int>>>")
+
+    def boxed(text: Column, i: Column) -> Column:
+        image = F.length(text) < 12
+        spans = F.transform(F.split(text, ", "), lambda t: F.array(F.struct(t.alias("text"), F.lit(2).alias("flags"))))
+        return F.struct(i.alias("pos"), image.cast("int").alias("type"), box(F.lit(0), i * 10, F.lit(9), i * 10 + 10).alias("bbox"), F.when(image, no_lines).otherwise(spans).alias("lines"))
+
+    def page(n: Column) -> Column:
+        def of(own: Column) -> Column:
+            tables = F.when(F.size(own) > 4, F.array(box(F.lit(-5), F.lit(20), F.lit(50), F.lit(45)))).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+            return F.struct(n.alias("page"), F.transform(own, boxed).alias("boxes"), tables.alias("tables"))
+
+        return once(F.slice("lines", n * 8 + 1, 8), of)
+
+    docs = line_arrays(spark, sf_dir).filter(F.size("lines") > 0).select("doc_id", "lines")
+    return docs.select("doc_id", F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 8).cast("int")), page).alias("pages"))
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with a layout: lines joined, tables and images marked, fragments merged."""
-    return layout.layout_blocks(*_boxes(spark, sf_dir)).select("doc_id", "block_idx", "kind", "text", "html")
+    return layout.numbered(_pages(spark, sf_dir)).select("doc_id", "block_idx", "kind", "text", "html")
 
 
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with pages that hold images alone, and the warning."""
-    found = layout.scanned_pages(_boxes(spark, sf_dir)[0])
+    found = layout.scanned_documents(_pages(spark, sf_dir))
     return found.select("doc_id", "n_scanned", F.array_join(F.col("first_pages").cast("array<string>"), ", ").alias("first_pages"), layout.scanned_warning(F.col("n_scanned"), F.col("first_pages")).alias("warning"))
 
 
@@ -697,13 +834,17 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "line_join": (line_join, LINE_JOIN),
     "language_lookup": (language_lookup, _lookup_sql()),
     "pair_plan": (pair_plan, PAIR_PLAN),
-    "detected_language": (detected_language, None),
+    "detected_language": (detected_language, DETECTED_LANGUAGE),
     "omitted_summary": (omitted_summary, _omitted_sql("marked")),
     "page_blocks": (page_blocks, f"WITH {PAGES} SELECT doc_id, block_idx, kind, text, html, level FROM blocks"),
     "page_titles": (page_titles, PAGE_TITLES),
     "page_omitted": (page_omitted, _omitted_sql("blocks")),
     "page_rows": (page_rows, PAGE_ROWS),
     "page_volume": (page_volume, PAGE_VOLUME),
+    "word_blocks": (word_blocks, f"WITH {WORD} SELECT * FROM blocks"),
+    "word_omissions": (word_omissions, f"WITH {WORD}" + _omitted_sql("blocks")[_omitted_sql("blocks").index(", n AS ("):]),
+    "book_chapters": (book_chapters, BOOK_CHAPTERS),
+    "book_warnings": (book_warnings, BOOK_WARNINGS),
     "conversation_blocks": (conversation_blocks, CONVERSATIONS),
     "numbers_text": (numbers_text, NUMBERS),
     "file_names": (file_names, FILE_NAMES),

@@ -95,15 +95,14 @@ def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nested = parsed.filter("chapters is not null and error is null").select("doc_id", F.posexplode("chapters").alias("chapter_idx", "c")).select("doc_id", "chapter_idx", "c.*")
     nested = nested.unionByName(of_word.filter(F.size("blocks") > 0).select("doc_id", F.lit(0).alias("chapter_idx"), "title", "blocks"))
     pages = parsed.filter("pages is not null")
-    boxes = pages.select("doc_id", F.explode("pages.boxes").alias("b")).select("doc_id", "b.*")
-    laid = layout.layout_blocks(boxes, pages.select("doc_id", F.explode("pages.tables").alias("t")).select("doc_id", "t.*"))
+    laid = layout.numbered(pages)
     readable = laid.filter(F.col("kind") == PARAGRAPH).select("doc_id").distinct()
     blocks = flat.unionByName(nested.select("doc_id", "chapter_idx", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "chapter_idx", "block_idx", "b.*")).unionByName(laid.join(readable, "doc_id", "left_semi"))
 
     single = parsed.filter("text is not null").select("doc_id", F.lit(0).alias("chapter_idx"), "title").unionByName(pages.join(readable, "doc_id", "left_semi").select("doc_id", F.lit(0).alias("chapter_idx"), "title"))
     chapters = single.unionByName(nested.select("doc_id", "chapter_idx", "title"))
 
-    scanned = layout.scanned_pages(boxes)
+    scanned = layout.scanned_documents(pages)
     found = parsed.drop("text", "chapters", "pages").join(scanned, "doc_id", "left").join(readable.withColumn("readable", F.lit(True)), "doc_id", "left")
     looks = F.when(F.col("n_scanned") > 0, " (parece escaneado; OCR fuera del alcance).").otherwise(".")
     no_text = F.when((F.col("format") == "PDF") & F.col("readable").isNull(), F.concat(F.lit("«"), name_of(F.col("path")), F.lit("»: el PDF no tiene capa de texto extraíble"), looks))

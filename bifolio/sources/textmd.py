@@ -7,12 +7,10 @@ starts, and an automaton over the letters makes blocks of the lines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, WS_CHARS, image_count, marked, normal_lines, plain, without_images
+from ..functions.text import WS, WS_CHARS, image_count, marked, normal_lines, once, plain, without_images
 from ..schema import HEADING, MARK_IMAGE, MARK_NOTE, MARK_TABLE, MARKER, PARAGRAPH
 from .blocks import marks
 
@@ -65,11 +63,6 @@ def _letters(raw: Column, after: Column) -> Column:
     return F.when(raw.rlike(SIGNS), signed).when(raw.rlike(rf"[^{WS}]"), plain("x", _strip(raw))).otherwise(plain("b", F.lit("")))
 
 
-def once(x: Column, use: Callable[[Column], Column]) -> Column:
-    """What ``use`` makes of x, which is computed once however often it is used: within a lambda a column would be computed for each element."""
-    return F.transform(F.array(x), use)[0]
-
-
 def pieces(text: Column) -> Column:
     """The blocks of a text, with inline markup; null where the text is.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from bifolio.functions import text as T
-from bifolio.operators import language, layout, profile, render, segments, store, transform
+from bifolio.operators import detection, language, layout, profile, render, segments, store, transform
 from bifolio.plans import pipeline
 from bifolio.plans.queries import PACKAGES, QUERIES
 from bifolio.schema import BLOCKS, MARK_IMAGE, MARK_TABLE, TRANSLATIONS
@@ -114,11 +114,30 @@ def test_languages(spark):
     wanted = language.provision(language.pair_plan(pairs, packages), packages)
     assert {(r["from_code"], r["to_code"]) for r in wanted.collect()} == {("de", "en"), ("en", "pt")}
     samples = spark.createDataFrame([("the cat is on the mat",), (" ",), (None,)], "sample string")
-    assert [r["detected"] for r in language.detect(samples, language.stop_word_detector).collect()] == ["en", None, None]
+    assert [r["detected"] for r in language.detect(samples, lambda: lambda t: "en-GB").collect()] == ["en", None, None]
     assert [r["detected"] for r in language.detect(samples, lambda: lambda t: "zh-cn").collect()] == ["zh", None, None]
     assert [r["detected"] for r in language.detect(samples, lambda: lambda t: 1 / 0).collect()] == [None] * 3
 
 
+def test_detection(spark):
+    texts = [("en", "the cat is on the mat and the dog is in the house"), ("zh-cn", "el gato y el perro"), ("pt-br", "não há pão na mesa"), (None, "la la la"), ("en", None), ("xx", "12 34")]
+    model = detection.learnt(spark.createDataFrame(texts, "lang string, text string"))
+    samples = spark.createDataFrame([(1, "The dog on the mat"), (2, "el perro"), (3, "PÃO e não"), (4, " "), (5, None), (6, "12 34"), (7, "ΩΩΩ"), (1, "The dog on the mat")], "doc_id long, sample string")
+    found = [(r["doc_id"], r["detected"]) for r in detection.detected(samples.dropDuplicates(), model).collect()]
+    assert sorted(found) == [(1, "en"), (2, "zh"), (3, "pt"), (4, None), (5, None), (6, None), (7, None)]
+    assert detection.learnt(spark.createDataFrame([], "lang string, text string")).collect() == []
+    plan = detection.detected(samples, model)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_detection_of_texts_left_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 4000).alias("sample")).filter("lang is not null")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = detection.detected(docs.filter(held), detection.learnt(docs.filter(~held), text_col="sample")).join(docs, "doc_id")
+    rate = found.agg(F.avg((F.col("detected") == F.col("lang")).cast("int"))).head()[0]
+    assert rate > 0.95
+
+
 def test_job_folder(spark, tmp_path):
     job = tmp_path / "job"
     job.mkdir()
