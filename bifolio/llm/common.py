@@ -167,19 +167,26 @@ def lean_group(run: Callable) -> Callable:
     return one if run.__code__.co_argcount == 1 else two
 
 
-def located(docs: DataFrame, *keep: str) -> tuple[DataFrame, str, str]:
+def located(docs: DataFrame, *keep: str, into: str | None = None) -> tuple[DataFrame, str, str]:
     """The rows with two more columns, whose names are returned, that tell each row from all others and lead back to it: a hash of its file's path, and its place in the file.
 
     The columns come from the scan, so they are the same in each reading. Rows that
     don't come straight from Parquet files are written to the shared folder first.
-    ``keep`` names the columns that are needed (all, if none is given).
+    ``keep`` names the columns that are needed (all, if none is given). ``into`` is where
+    such rows are written if they have to be found there later; the files' paths are a
+    third column, ``at_path``, then.
     """
     bounded_batches(docs.sparkSession)
     plan = docs._jdf.queryExecution().analyzed()
     while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.child()
     if not (plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.simpleString(1000).split("]")[-1]):
-        docs = settled(docs.select(*keep) if keep else docs, "located")
+        docs = docs.select(*keep) if keep else docs
+        if into:
+            docs.write.parquet(into)
+            docs = docs.sparkSession.read.schema(docs.schema).parquet(into)
+        else:
+            docs = settled(docs, "located")
     names = []
     for name in ("at_file", "at_row"):
         while name in docs.columns:
@@ -187,7 +194,8 @@ def located(docs: DataFrame, *keep: str) -> tuple[DataFrame, str, str]:
         names.append(name)
     place = docs.metadataColumn("_metadata")
     file, row = F.xxhash64(place["file_path"]), place["row_index"]
-    return docs.select(*(keep or ["*"]), file.alias(names[0]), row.alias(names[1])), *names
+    path = [place["file_path"].alias("at_path")] if into else []
+    return docs.select(*(keep or ["*"]), file.alias(names[0]), row.alias(names[1]), *path), *names
 
 
 def skew_joined(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:

@@ -304,6 +304,34 @@ def test_state_goes_on(spark, tmp_path):
     assert sorted((r["entry"]["doc_id"], r["group_size"]) for r in state.collect()) == [(2, 1), (3, 2), (4, 1)]
 
 
+@pytest.mark.parametrize("bytes_kept", [1, 32])
+@pytest.mark.parametrize("from_files", [True, False])
+def test_dedup_goes_on(spark, tmp_path, bytes_kept, from_files):
+    """Later runs compare bytes with texts of earlier ones, also where a digest of one byte makes many texts clash: each run's rows equal brute force over all rows so far."""
+    r = random.Random(bytes_kept)
+    every, at = [], f"file://{tmp_path}/state"
+    for run in range(3):
+        rows = [(run * 100 + i if r.random() < 0.9 else None, r.choice([None, "", *[f"text {r.randrange(60)}"] * 5])) for i in range(40)]
+        part = table(spark, rows).repartition(2)
+        if from_files:
+            part.write.parquet(f"file://{tmp_path}/in-{run}")
+            part = spark.read.parquet(f"file://{tmp_path}/in-{run}")
+        found = exact_dedup.exact_dedup(part, digest=lambda c: F.substring(exact_dedup.sha256(c), 1, bytes_kept), checkpoint=at).collect()
+        every += rows
+        groups = collections.defaultdict(list)
+        for i, t in every:
+            groups[t or ""].append(i)
+        best = {t: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+        texts = {i: t or "" for i, t in rows if i is not None}
+        named = [x for x in found if x["doc_id"] is not None]
+        assert len(found) == len(rows) and len(named) == len(texts)
+        for x in named:
+            keep, size = best[texts[x["doc_id"]]]
+            assert (x["keep_id"], x["group_size"], x["kept"]) == (keep, size, keep == x["doc_id"]), x
+        nameless = sorted((best[t or ""] for i, t in rows if i is None), key=repr)
+        assert sorted(((x["keep_id"], x["group_size"]) for x in found if x["doc_id"] is None), key=repr) == nameless
+
+
 # ---- 5
 
 
