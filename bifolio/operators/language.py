@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WS_CHARS
 from ..schema import PIVOT
 
 # Two-letter codes of ISO 639-1, in order, and two codes beside them.
@@ -39,19 +39,13 @@ DETECTED = {"zh-cn": "zh", "zh-tw": "zt"}
 BROADCAST_PACKAGES = 200_000
 
 
-def plain_name(name: str | None) -> str | None:
-    """A name without case and accents."""
-    if name is None:
-        return None
-    return "".join(c for c in unicodedata.normalize("NFD", name.strip().casefold()) if not unicodedata.combining(c))
+#: Compares names without case and accents.
+COLLATION = "UNICODE_CI_AI"
 
 
-def _plain_names(names: pd.Series) -> pd.Series:
-    return names.map(plain_name)
-
-
-def normalized(name: str) -> Column:
-    return F.pandas_udf(_plain_names, "string")(name)
+def normalized(name: str | Column) -> Column:
+    """A name as a key that is grouped and joined without case and accents; white space around it doesn't count."""
+    return F.collate(F.trim(name, F.lit(WS_CHARS)), COLLATION)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -83,7 +77,7 @@ def look_up(answers: DataFrame, packages: DataFrame, answer: str = "answer") ->
     codes = spark.createDataFrame([(c,) for c in [*ISO_639_1, *EXTRA_CODES]], "key string").withColumn("iso", F.col("key"))
     keyed = answers.withColumn("key", normalized(answer))
     for side in (_small(known_names(packages)), F.broadcast(spanish), F.broadcast(codes)):  # the last two are the fixed lists above
-        keyed = keyed.join(side, "key", "left")
+        keyed = keyed.join(side.withColumn("key", normalized("key")), "key", "left")
     return keyed.withColumn("code", F.coalesce("code", "spanish", "iso")).drop("key", "spanish", "iso")
 
 

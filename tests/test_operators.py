@@ -101,6 +101,10 @@ def test_languages(spark):
     packages = language.packages_table(spark, [*PACKAGES, ("xa", "", "xb", None, False, 99), ("zz", "French", "en", "English", False, 100)])
     answers = spark.createDataFrame([("FRÉNCH",), ("ingles",), ("zt",), ("e",), (None,), ("Strasse",)], "answer string")
     assert {r["answer"]: r["code"] for r in language.look_up(answers, packages).collect()} == {"FRÉNCH": "zz", "ingles": "en", "zt": "zt", "e": None, None: None, "Strasse": None}
+    odd = language.packages_table(spark, [("q1", "Straße", "q2", "ÎLE d’Été", True, 1), ("q3", "ΣΊΣΥΦΟΣ", "q4", "  Padded\u3000", True, 2)])
+    typed = [("STRASSE", "q1"), ("straße", "q1"), ("ile D’ete", "q2"), ("Île d’été", "q2"), ("σίσυφος", "q3"), ("padded", "q4"), ("\tPADDED ", "q4"), ("Ile", None), ("ESPAÑOL", "es"), ("EN", "en"), ("", None), ("  ", None)]
+    found = language.look_up(spark.createDataFrame([(a,) for a, _ in typed], "answer string"), odd)
+    assert {r["answer"]: r["code"] for r in found.collect()} == dict(typed) and "Python" not in found._jdf.queryExecution().toString()
     names = {r["code"]: r["name"] for r in language.catalogue(packages).collect()}
     assert names["fr"] == "French" and names["xa"] == "xa" and names["xb"] == "xb"
     assert language.language_list(packages).head()[0].startswith("Catalan (ca), English (en)")
