@@ -7,10 +7,11 @@ matcher takes matches from four bytes on, as words are short; stretches without
 letters count as one space. If the runner-up
 is nearly as small, the choice is marked as rejected.
 
-The sample is bounded: the ``LANGUAGES`` languages with the most labelled documents,
-of each at most ``DOCS_EACH`` documents, chosen by a hash of their ids among those
-of at most ``LONGEST`` bytes (the shortest one, if all are longer); their whole
-texts are learnt. What is classified is always the whole text.
+The sample is bounded: of each language at most ``DOCS_EACH`` documents, fewer where
+there are so many languages that all would pass ``SAMPLE_BYTES``, chosen by a hash of
+their ids among those of at most ``LONGEST`` bytes (the shortest one, if all are
+longer); their whole texts are learnt. All languages are. What is classified is always
+the whole text.
 
 Null texts and texts without a letter get ``und`` and score 0. If no labelled
 text has a letter, every document gets ``und``. Ties go to the language first
@@ -33,7 +34,8 @@ from .text_kernel import sliced
 
 UNKNOWN = "und"
 _GAP = re.compile(r"[\W\d_]+")
-LANGUAGES, DOCS_EACH, LONGEST = 100, 192, 8192
+#: The sample: so many whole documents of a language, of so many bytes at most, and fewer of each where the languages are so many that all would pass SAMPLE_BYTES.
+DOCS_EACH, LONGEST, SAMPLE_BYTES = 192, 8192, 160 << 20
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 Model = dict[str, bytes]
@@ -43,13 +45,15 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS_EACH, longest: int = LONGEST, languages: int = LANGUAGES) -> Model:
-    """Dictionaries' contents by language, from the rows where ``learn`` holds and the language is known."""
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS_EACH, longest: int = LONGEST, languages: int | None = None) -> Model:
+    """Dictionaries' contents by language, from the rows where ``learn`` holds and the language is known: of all languages, or of the ``languages`` with the most rows."""
     size = F.octet_length(F.col(text_col))
     named = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (size <= longest).alias("short"), size.alias("size"))
-    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"), F.min("size").alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"), F.min("size").alias("least")).orderBy(F.desc("n"), "lang")
+    counts = (counts if languages is None else counts.limit(languages)).collect()  # one row a language
     if not counts:
         return {}
+    docs_each = max(1, min(docs_each, SAMPLE_BYTES // (len(counts) * longest)))
     lot = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, 1.3 * docs_each / max(1, r["short"]))))])
     least = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -1 if r["short"] else r["least"])])

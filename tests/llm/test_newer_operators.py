@@ -264,3 +264,17 @@ def test_results_outlive_a_pipeline_run(spark):
     phrases = queries.op12_collocations(spark, sf)
     docs = corpus_pipeline.run(spark, sf)
     assert docs.count() and records.count() and phrases.count() >= 0
+
+
+# ---- languages without a bound
+
+
+def test_all_languages_are_learnt(spark, monkeypatch):
+    from bifolio.llm import language_id
+
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    rows = [(i, " ".join(f"{w}{'etnosi'[k % 6]}{w}" for k in range(30)), f"l{i:03d}") for i, w in enumerate(words) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs, F.lit(True))) == 150
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1)
+    assert len(language_id.fit(docs, F.lit(True))) == 150
