@@ -49,15 +49,16 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Dictionaries' contents by language, from the rows where ``learn`` holds and the language is known: of all languages, or of the ``languages`` with the most rows."""
     size = F.octet_length(F.col(text_col))
     named = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (size <= longest).alias("short"), size.alias("size"))
-    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"), F.min("size").alias("least")).orderBy(F.desc("n"), "lang")
+    lot = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1 << 20))
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"), F.min("size").alias("least"), F.min(F.when(F.col("short"), lot)).alias("lowest")).orderBy(F.desc("n"), "lang")
     counts = (counts if languages is None else counts.limit(languages)).collect()  # one row a language
     if not counts:
         return {}
     docs_each = max(1, min(docs_each, SAMPLE_BYTES // (len(counts) * longest)))
-    lot = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, 1.3 * docs_each / max(1, r["short"]))))])
     least = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -1 if r["short"] else r["least"])])
-    chosen = named.filter((F.col("short") & (lot < F.element_at(share, F.col("lang")) * F.lit(1 << 20))) | (F.col("size") == F.element_at(least, F.col("lang"))))
+    lowest = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -1 if r["lowest"] is None else r["lowest"])])  # one row at least, however few are wanted
+    chosen = named.filter((F.col("short") & ((lot < F.element_at(share, F.col("lang")) * F.lit(1 << 20)) | (lot == F.element_at(lowest, F.col("lang"))))) | (F.col("size") == F.element_at(least, F.col("lang"))))
     # of repeated rows one serves; a language has 1.3 * docs_each rows or so
     rows = chosen.groupBy("lang", "id", F.xxhash64("text")).agg(F.min("text").alias("text")).drop("xxhash64(text)").collect()
     model: Model = {}
