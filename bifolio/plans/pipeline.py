@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import language, profile, render, segments, store, transform
 from ..operators.shared import exists, remove
-from ..sources import files
+from ..sources import datasource, files
 from ..sources.errors import ReadError
 
 
@@ -124,7 +124,7 @@ def run(spark: SparkSession, paths: list[str], source: str, target: str, make: C
 
     try:
         # each file is read and parsed once
-        documents, chapters, blocks = (written(t, name) for t, name in zip(files.tables(written(files.parse(files.scan(spark, *paths)), "parsed")), ("documents", "chapters", "blocks"), strict=True))
+        documents, chapters, blocks = (written(t, name) for t, name in zip(files.tables(written(files.parse(datasource.scan(spark, *paths)), "parsed")), ("documents", "chapters", "blocks"), strict=True))
         keyed = blocks.join(documents.select("doc_id", "sha256"), "doc_id").withColumn("pair", F.lit(pair))
         left = written(store.pending(keyed, store.stored(spark, store_path, pair), pair).dropDuplicates(store.PLACED), "left")  # equal files are translated once
         progress = translated(left, make, store_path, f"{work}/segments", settings, **while_running)
