@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import thousands, word_count
+from ..functions.text import once, thousands, word_count
 from ..schema import MARKER, MARKERS, PARAGRAPH, SAMPLE_CHARS, TRANSLATABLE
 
 # How omissions are named in the summary.
@@ -26,6 +26,18 @@ def volume(blocks: DataFrame, chapters: DataFrame | None = None, keys: tuple[str
     return counted.select(*keys, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("words", "paragraphs", "translatable", "chapters")])
 
 
+def volume_of(blocks: Column, chapters: Column) -> Column:
+    """The same of blocks (kind, text) that are an array in their document's row: a struct, without a shuffle."""
+
+    def counted(found: Column) -> Column:
+        real = F.filter(found, lambda b: b["kind"].isin(*TRANSLATABLE))
+        words = F.aggregate(F.transform(real, lambda b: word_count(b["text"])), F.lit(0).cast("long"), lambda n, x: n + x)
+        paragraphs = F.size(F.filter(found, lambda b: b["kind"] == PARAGRAPH)).cast("long")
+        return F.struct(words.alias("words"), paragraphs.alias("paragraphs"), F.size(real).cast("long").alias("translatable"), chapters.cast("long").alias("chapters"))
+
+    return once(blocks, counted)
+
+
 def sample_text(blocks: DataFrame, limit: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id and the first translatable texts, by lines, until ``limit`` characters are reached; cut to the limit.
 

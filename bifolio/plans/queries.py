@@ -19,7 +19,7 @@ from ..operators import detection, language, layout, profile, render, shared, st
 from ..schema import MARKER, PARAGRAPH
 from ..sources import docx, epub, files, html_walk
 from ..sources.blocks import BLOCK, block
-from ..sources.textmd import text_blocks
+from ..sources.textmd import block_array, text_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +44,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    chapters = docs.select("doc_id", F.lit(0).alias("chapter_idx"))
-    return profile.volume(text_blocks(docs, html=False), chapters)
+    """Each document is one chapter, so all is counted in its row."""
+    volume = profile.volume_of(block_array(F.col("text"), html=False), F.lit(1))
+    return documents(spark, sf_dir).select("doc_id", volume.alias("v")).select("doc_id", "v.*")
 
 
 DOC_VOLUME = r"""
@@ -111,7 +111,9 @@ def markdown_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.volume(lines(spark, sf_dir), keys=("doc_id",))
+    blocks = F.transform("lines", lambda x: F.struct(F.lit(PARAGRAPH).alias("kind"), x.alias("text")))
+    found = line_arrays(spark, sf_dir).filter(F.size("lines") > 0).select("doc_id", profile.volume_of(blocks, F.lit(1)).alias("v"))
+    return found.select("doc_id", "v.words", "v.paragraphs", "v.translatable")
 
 
 LINE_VOLUME = f"""

@@ -10,9 +10,6 @@ MARKERS = (MARK_IMAGE, MARK_TABLE, MARK_NOTE)
 PIVOT = "en"
 SAMPLE_CHARS = 4000
 
-#: What a reader finds in a file, before numbering: block ``md`` texts still carry inline markup.
-PARSED = "array<struct<chapter:int,title:string,kind:string,text:string,html:string,level:int>>"
-DOCUMENTS = "doc_id string, path string, sha256 string, format string, title string, warnings array<string>, error string"
 BLOCKS = "doc_id string, chapter_idx int, block_idx int, kind string, text string, html string, level int"
 TRANSLATIONS = "sha256 string, pair string, chapter_idx int, block_idx int, t string, seq bigint"
 PACKAGES = "from_code string, from_name string, to_code string, to_name string, installed boolean, ord int"

@@ -115,14 +115,21 @@ def of_piece(p: Column, html: bool = True) -> Column:
     return F.concat(marks(images, MARK_IMAGE), F.array(own))
 
 
+def block_array(text: Column, html: bool = True) -> Column:
+    """The blocks of a text as an array in its row: kind, text, html, level. Without ``html`` that field is empty, and its work isn't done."""
+
+    def of_normal(normal: Column) -> Column:
+        found = F.when(normal.rlike(STRUCTURED), pieces(normal)).otherwise(F.flatten(F.transform(stretches(normal), plain_piece)))
+        return F.filter(F.flatten(F.transform(found, lambda p: of_piece(p, html))), lambda b: b["text"] != "")
+
+    return once(normal_lines(F.coalesce(text, F.lit(""))), of_normal)
+
+
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", html: bool = True) -> DataFrame:
     """Numbered blocks of documents given as text: doc_id, chapter_idx, block_idx, kind, text, html, level.
 
     A document's blocks stay in its row, so they are numbered without a shuffle.
     Without ``html`` that column is empty, and its work isn't done.
     """
-    normal = normal_lines(F.coalesce(F.col(text_col), F.lit("")))
-    cut = docs.select(F.col(id_col).alias("doc_id"), normal.alias("normal"))
-    found = F.when(F.col("normal").rlike(STRUCTURED), pieces(F.col("normal"))).otherwise(F.flatten(F.transform(stretches(F.col("normal")), plain_piece)))
-    blocks = F.filter(F.flatten(F.transform(found, lambda p: of_piece(p, html))), lambda b: b["text"] != "")
-    return cut.select("doc_id", F.posexplode(blocks).alias("block_idx", "b")).select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(block_array(F.col(text_col), html)).alias("block_idx", "b"))
+    return found.select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")
