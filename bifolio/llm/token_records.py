@@ -8,7 +8,9 @@ all little-endian; the payload is the document's ids as uint16 (vocabularies of
 at most 65,536 ids) or uint32. The mask rotates a checksum right by 15 bits and
 adds a constant, so that a checksum stored inside checksummed data stays
 harmless. The index beside it has 20 bytes a record: int64 document id, uint64
-offset of the record, uint32 number of ids. ``read_shuffled`` opens the indexes
+offset of the record, uint32 number of ids, whose highest bit says that the record has
+no document id. Files are read in stretches of some MB, so their size doesn't matter.
+``read_shuffled`` opens the indexes
 alone, puts their entries in random order and then reads single records.
 
 Documents are dealt to files by ranges of (id, place in its file), so an id that
@@ -43,7 +45,11 @@ MASK_DELTA = 0xA282EAD8
 FILE_BYTES, MOST_FILES = 24 << 20, 20_000
 #: Bytes of remembered stretches, with about ``ENTRY_BYTES`` for each beside its text and ids; as much again is kept of the ones before.
 REMEMBERED_BYTES, ENTRY_BYTES = 72 << 20, 200
-NO_ID = -(1 << 63)
+NO_ID = np.uint32(1 << 31)
+#: Index entries, and bytes of records, read at a time; a longer record is read alone.
+READ_ENTRIES, READ_BYTES = 1 << 16, 8 << 20
+#: What a record has beside its payload.
+FRAME_BYTES = 16
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
 MANIFEST = "bucket long, records string, index string, wide boolean, n_docs long, n_tokens long, n_bytes long"
 
@@ -183,7 +189,10 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
                     coded += end
                     record = framed(coded if wide else np.frombuffer(coded, "<u4").astype("<u2").tobytes())
                     out.write(record)
-                    entries.append((NO_ID if doc is None else doc, size, len(coded) // 4))
+                    n = len(coded) // 4
+                    if n >= NO_ID:
+                        raise ValueError(f"document {doc} has {n} ids, more than a record can")
+                    entries.append((doc or 0, size, n | int(NO_ID) if doc is None else n))
                     size += len(record)
                     n_tokens += len(coded) // 4
                 index.write(np.array(entries, INDEX).tobytes())
@@ -216,32 +225,53 @@ def _read(spark: SparkSession, manifest: list[dict], schema: str, ids) -> DataFr
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for m in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(m["index"])
-                index = np.frombuffer(store.open_input_file(path).readall(), INDEX)
-                store, path = fs.FileSystem.from_uri(m["records"])
-                data = memoryview(store.open_input_file(path).readall())
-                start, rows = m["start"], []
-                for doc, offset, n in index.tolist():
-                    payload, _ = unframed(data, offset)
-                    coded = np.frombuffer(payload, "<u4" if m["wide"] else "<u2")
-                    if len(coded) != n:
-                        raise ValueError(f"{m['records']}: the index has {n} ids at byte {offset}, the record {len(coded)}")
-                    doc = None if doc == NO_ID else doc
-                    rows.append((doc, start, ids(coded)) if ids else (doc, start, n, zlib.crc32(coded.astype("<u4").tobytes())))
-                    start += n
-                    if len(rows) >= (200 if ids else 5000):
-                        yield _batch(rows, fields, schema)
-                        rows = []
+                kind, start, rows, size = np.dtype("<u4" if m["wide"] else "<u2"), m["start"], [], 0
+                for index, data, base in _stretches(m["records"], m["index"], kind):
+                    for none, doc, offset, n in zip(index["n"] >= NO_ID, index["doc_id"].tolist(), index["offset"].tolist(), (index["n"] & ~NO_ID).tolist(), strict=True):
+                        payload, _ = unframed(data, offset - base)
+                        coded = np.frombuffer(payload, kind)
+                        if len(coded) != n:
+                            raise ValueError(f"{m['records']}: the index has {n} ids at byte {offset}, the record {len(coded)}")
+                        doc = None if none else doc
+                        rows.append((doc, start, ids(coded)) if ids else (doc, start, n, zlib.crc32(coded.astype("<u4").tobytes())))
+                        start += n
+                        size += n
+                        if len(rows) >= 5000 or (ids and size >= READ_BYTES // 16):
+                            yield _batch(rows, fields, schema)
+                            rows, size = [], 0
                 if rows:
                     yield _batch(rows, fields, schema)
 
     return _files(spark, manifest).mapInArrow(lean(read), schema)
 
 
+def _entries(index: str) -> Iterator[np.ndarray]:
+    """A file's index, some entries at a time."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(index)
+    with store.open_input_file(path) as f:
+        while len(data := f.read(READ_ENTRIES * INDEX.itemsize)):
+            yield np.frombuffer(data, INDEX)
+
+
+def _stretches(records: str, index: str, kind: np.dtype) -> Iterator[tuple[np.ndarray, memoryview, int]]:
+    """Consecutive records of a file: their index entries, their bytes, and where these begin in the file."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(records)
+    with store.open_input_file(path) as f:
+        for entries in _entries(index):
+            sizes = (entries["n"] & ~NO_ID).astype(np.int64) * kind.itemsize + FRAME_BYTES
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // READ_BYTES)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(entries)], strict=True):
+                some = entries[a:b]
+                base = int(some["offset"][0])
+                yield some, memoryview(f.read_at(int(some["offset"][-1]) - base + int(sizes[b - 1]), base)), base
+
+
 def _files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     files = spark.createDataFrame([(m["records"], m["index"], m["wide"], m["start"]) for m in manifest], "records string, index string, wide boolean, start long")
     return files.repartition(max(1, len(manifest)))
@@ -251,16 +281,13 @@ def read_shuffled(spark: SparkSession, manifest: list[dict], seed: int = 0, part
     """doc_id, ids of all records in a random order that the seed decides: the index entries are shuffled, and each record is read at its offset alone."""
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for m in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(m["index"])
-                index = np.frombuffer(store.open_input_file(path).readall(), INDEX)
-                for a in range(0, len(index), 10_000):
-                    some = index[a : a + 10_000]
-                    ids = pa.array(some["doc_id"].copy(), mask=some["doc_id"] == NO_ID)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([m["records"]] * len(some), pa.string()), pa.array([m["wide"]] * len(some)), pa.array(some["offset"].astype(np.int64)), pa.array(some["n"].astype(np.int64))], ["doc_id", "records", "wide", "offset", "n"])
+                for index in _entries(m["index"]):
+                    for a in range(0, len(index), 10_000):
+                        some = index[a : a + 10_000]
+                        ids = pa.array(some["doc_id"].copy(), mask=some["n"] >= NO_ID)
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([m["records"]] * len(some), pa.string()), pa.array([m["wide"]] * len(some)), pa.array(some["offset"].astype(np.int64)), pa.array((some["n"] & ~NO_ID).astype(np.int64))], ["doc_id", "records", "wide", "offset", "n"])
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -275,7 +302,7 @@ def read_shuffled(spark: SparkSession, manifest: list[dict], seed: int = 0, part
                     store, path = fs.FileSystem.from_uri(r["records"])
                     opened[r["records"]] = store.open_input_file(path)
                 kind = "<u4" if r["wide"] else "<u2"
-                data = opened[r["records"]].read_at(16 + r["n"] * np.dtype(kind).itemsize, r["offset"])
+                data = opened[r["records"]].read_at(FRAME_BYTES + r["n"] * np.dtype(kind).itemsize, r["offset"])
                 payload, _ = unframed(memoryview(data), 0)
                 rows.append((r["doc_id"], np.frombuffer(payload, kind).astype(np.int32).tolist()))
                 if len(rows) >= 200:

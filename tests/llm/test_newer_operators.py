@@ -278,3 +278,31 @@ def test_all_languages_are_learnt(spark, monkeypatch):
     assert len(language_id.fit(docs, F.lit(True))) == 150
     monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1)
     assert len(language_id.fit(docs, F.lit(True))) == 150
+
+
+# ---- records read in stretches
+
+
+def test_records_are_read_in_stretches(spark, tmp_path, monkeypatch):
+    """Bounded reads give the same rows, with ids of any value, none, long records and repeated ones."""
+    from tokenizers import Tokenizer
+
+    from bifolio.llm import token_records
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rows = [(-(1 << 63), "least id"), (None, "no id"), (0, "zero"), ((1 << 63) - 1, "largest"), (5, "word " * 3000), (6, None), (7, ""), (7, ""), *[(100 + i, f"text {i} of some") for i in range(60)]]
+    want = sorted(((i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    manifest = token_records.write_records(table(spark, rows), BYTE_BPE, f"file://{tmp_path}/records", least_files=2)
+    monkeypatch.setattr(token_records, "READ_ENTRIES", 7)
+    monkeypatch.setattr(token_records, "READ_BYTES", 200)
+    for m in manifest:  # here, as workers have bounds of their own
+        kind, whole = np.dtype("<u2"), open(m["records"].removeprefix("file://"), "rb").read()
+        pieces = list(token_records._stretches(m["records"], m["index"], kind))
+        assert len(pieces) > 3 and b"".join(bytes(data) for _, data, _ in pieces) == whole and sum(len(index) for index, _, _ in pieces) == m["n_docs"]
+        assert all(base == int(index["offset"][0]) and (len(index) == 1 or len(data) <= 3 * 200) for index, data, base in pieces)
+    back = token_records.read_records(spark, manifest).orderBy("start").collect()
+    assert sorted(((r["doc_id"], r["ids"]) for r in back), key=lambda x: (x[0] is not None, x[0] or 0, x[1])) == want
+    starts = np.cumsum([0, *[len(r["ids"]) for r in back]])
+    assert [r["start"] for r in back] == starts[:-1].tolist() and [r["doc_id"] for r in back if r["doc_id"] is not None] == sorted(i for i, _ in rows if i is not None)
+    mixed = token_records.read_shuffled(spark, manifest, seed=3).collect()
+    assert sorted(((r["doc_id"], r["ids"]) for r in mixed), key=lambda x: (x[0] is not None, x[0] or 0, x[1])) == want
