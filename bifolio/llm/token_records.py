@@ -46,7 +46,7 @@ FILE_BYTES, MOST_FILES = 24 << 20, 20_000
 #: Bytes of remembered stretches, with about ``ENTRY_BYTES`` for each beside its text and ids; as much again is kept of the ones before.
 REMEMBERED_BYTES, ENTRY_BYTES = 72 << 20, 200
 NO_ID = np.uint32(1 << 31)
-#: Index entries, and bytes of records, read at a time; a longer record is read alone.
+#: Index entries, and bytes of records, read at a time (and one record more at most).
 READ_ENTRIES, READ_BYTES = 1 << 16, 8 << 20
 #: What a record has beside its payload.
 FRAME_BYTES = 16
