@@ -49,7 +49,7 @@ CELLS = 4_000_000
 #: Judged pairs are remembered in so many slots, as a power of 2.
 PAIR_BITS = 20
 #: Bytes of remembered stretches, with about ``ENTRY_BYTES`` for each beside its text and ids; as much again is kept of the ones before.
-REMEMBERED_BYTES, ENTRY_BYTES = 24 << 20, 200
+REMEMBERED_BYTES, ENTRY_BYTES = 12 << 20, 200
 
 
 class Pieces:
