@@ -113,6 +113,18 @@ def test_html_rules(page, want):
     assert [(b["kind"], b["text"], b["html"]) for b in html_walk.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<h1>a &amp;&amp</h1>", "a &&amp"),
+        ("<p>&amp x &ampy; &notit; &am</p>", "&amp x &ampy; &notit; &am"),
+        ("<p>a<!--&amp;&amp-->&#65;&#x42;&lt;b&eacute;&", "a&amp;&ampAB<bé&"),
+    ],
+)
+def test_entities_need_their_semicolon(page, want):
+    assert [b["text"] for b in html_walk.blocks(page)] == [want]
+
+
 def epub(members, opf):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
