@@ -67,10 +67,15 @@ def omitted(blocks: DataFrame) -> DataFrame:
     return got.withColumn("summary", F.when(F.size(parts) > 0, F.concat(F.lit("elementos omitidos con marca en el HTML: "), F.array_join(parts, ", "))))
 
 
+def line_of() -> Column:
+    """The console line of a document's volume, in its row."""
+    chapters = F.concat(F.col("chapters").cast("string"), F.when(F.col("chapters") == 1, " capítulo").otherwise(" capítulos"))
+    return F.concat(F.lit("Volumen: "), thousands(F.col("words")), F.lit(" palabras · "), thousands(F.col("paragraphs")), F.lit(" párrafos · "), chapters)
+
+
 def volume_line(volumes: DataFrame) -> DataFrame:
     """The console line of a document's volume."""
-    chapters = F.concat(F.col("chapters").cast("string"), F.when(F.col("chapters") == 1, " capítulo").otherwise(" capítulos"))
-    return volumes.select("doc_id", F.concat(F.lit("Volumen: "), thousands(F.col("words")), F.lit(" palabras · "), thousands(F.col("paragraphs")), F.lit(" párrafos · "), chapters).alias("line"))
+    return volumes.select("doc_id", line_of().alias("line"))
 
 
 def summary(documents: DataFrame, volumes: DataFrame) -> DataFrame:

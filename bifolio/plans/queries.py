@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -374,14 +373,11 @@ SELECT doc_id, best.lang AS detected FROM sample LEFT JOIN best USING (doc_id)
 """
 
 
-def _page_blocks(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda h: html_walk.blocks(h or ""))
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = F.pandas_udf(_page_blocks, "array<struct<kind:string,text:string,html:string,level:int>>")("html")
-    found = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), F.posexplode(walked).alias("block_idx", "b"))
-    return found.select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "b.*")
+    files.bounded_batches(spark)
+    found = spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+    blocks = found.mapInArrow(html_walk.block_rows, f"doc_id {dict(found.dtypes)['doc_id']}, block_idx int, kind string, text string, html string, level int")
+    return blocks.select("doc_id", F.lit(0).alias("chapter_idx"), "block_idx", "kind", "text", "html", "level")
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +415,7 @@ def page_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume and console line of pages with headings."""
     chapters = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
     volumes = profile.volume(_with_omissions(spark, sf_dir), chapters)
-    return volumes.join(profile.volume_line(volumes), "doc_id")
+    return volumes.withColumn("line", profile.line_of())
 
 
 PAGES = r"""

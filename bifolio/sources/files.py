@@ -28,10 +28,15 @@ NOT_UTF8 = "El fichero no está en UTF-8; se ha leído como cp1252 y puede haber
 ARROW_BYTES = 16 << 20
 
 
-def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, suffix, name, sha256 and content of files or folders."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches where the session has no bound of its own."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str((1 << 31) - 1), "268435456"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def scan(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, suffix, name, sha256 and content of files or folders."""
+    bounded_batches(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     # the scan leaves out files without a byte; the listing has them
     listed = spark.createDataFrame([(unquote(f).replace("file:///", "file:/", 1),) for f in found.inputFiles()], "path string")

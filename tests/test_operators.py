@@ -377,6 +377,11 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted((tuple(r[n] for n in names) for r in rows), key=repr) == sorted(map(tuple, cursor.fetchall()), key=repr)
 
 
+def test_page_volume_walks_each_page_once(spark):
+    plan = QUERIES["page_volume"][0](spark, SF)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("MapInArrow") == 1
+
+
 def test_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -6,6 +6,7 @@ import random
 import re
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,17 @@ def test_entities_need_their_semicolon(page, want):
     assert [b["text"] for b in html_walk.blocks(page)] == [want]
 
 
+def test_pages_leave_python_by_stretches():
+    """However many pages a batch has, the blocks of some of them are held at once."""
+    page = "<p>" + "x" * 5000 + "</p><p>&amp;</p>"
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "html": [None, "", *[page] * 998]})
+    out = list(html_walk.block_rows([batch]))
+    assert len(out) > 3
+    assert max(b.nbytes for b in out) < 4 << 20
+    rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert [(r[0], r[1], r[2], len(r[3]), r[5]) for r in rows] == [x for i in range(2, 1000) for x in ((i, 0, P, 5000, 2), (i, 1, P, 1, 2))]
+
+
 def epub(members, opf):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
