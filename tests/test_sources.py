@@ -4,6 +4,7 @@ import html
 import io
 import random
 import re
+import time
 import zipfile
 
 import pyarrow as pa
@@ -137,6 +138,22 @@ def test_pages_leave_python_by_stretches():
     assert [(r[0], r[1], r[2], len(r[3]), r[5]) for r in rows] == [x for i in range(2, 1000) for x in ((i, 0, P, 5000, 2), (i, 1, P, 1, 2))]
 
 
+def test_white_space_is_told_apart_fast(spark):
+    """Most characters aren't tried against each part of the class."""
+    texts = spark.range(8, numPartitions=4).select(F.repeat(F.lit("some words, áé and more of them "), 30_000).alias("t")).cache()
+    texts.count()
+    spelled = "[^" + re.search(r"&&\[(.*)\]\]", T.WS)[1] + "]+"
+
+    def took(count):
+        began = time.perf_counter()
+        found = texts.agg(F.sum(count)).head()[0]
+        return time.perf_counter() - began, found
+
+    slow, fast = (min(took(c) for _ in range(2)) for c in (F.regexp_count("t", F.lit(spelled)), T.word_count(F.col("t"))))
+    assert fast[1] == slow[1] == 8 * 30_000 * 7
+    assert fast[0] < slow[0] / 2
+
+
 def epub(members, opf):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
