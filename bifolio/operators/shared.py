@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Hadoop's names of stores that Arrow knows by another one.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file", "s3": "s3"}
@@ -32,6 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(found or 'file://' + tempfile.mkdtemp(prefix='shared-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder, where they stay, and read again: for what is used more than once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def hadoop(spark: SparkSession, path: str):
     """(Hadoop file system, path)."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

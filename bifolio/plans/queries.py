@@ -192,11 +192,11 @@ def resume_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines with what a store on disk has for them: a commit of those of over 40 characters, then the jobs of contents whose hash begins with 0 to 7 end, then a commit of those with an e. The store stays in the shared folder."""
-    keyed, at = _keyed(spark, sf_dir), shared.scratch(spark, "store")
+    keyed, at = shared.settled(_keyed(spark, sf_dir), "lines"), shared.scratch(spark, "store")
     store.buckets(spark, at, 16)
-    long = keyed.filter(F.length("text") > 40).dropDuplicates(store.KEY)
+    long = keyed.filter(F.length("text") > 40).withColumn("seq", F.lit(0).cast("long"))  # of copies of a text one counts
     store.append(long.withColumn("t", F.lower("text")), at)
-    contents = keyed.filter(F.col("sha256") < "8").select("sha256", "pair").distinct()
+    contents = shared.settled(keyed.filter(F.col("sha256") < "8").select("sha256", "pair").distinct(), "contents")
     for (pair,) in contents.select("pair").distinct().collect():  # one row a language
         store.discard(spark, at, contents.filter(F.col("pair") == pair).select("sha256"), pair)
     store.append(long.filter(F.contains("text", F.lit("e"))).withColumn("t", F.concat("text", F.lit("!"))), at)
@@ -344,6 +344,7 @@ FROM keyed LEFT JOIN names ON names.k = keyed.k LEFT JOIN spanish ON spanish.k =
 def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document's sample by trigrams of all documents' samples."""
     samples = line_arrays(spark, sf_dir).filter(F.size("lines") > 0).select("doc_id", "lang", profile.first_texts(F.col("lines")).alias("sample"))
+    samples = shared.settled(samples, "samples")
     return detection.detected(samples, detection.learnt(samples, text_col="sample"))
 
 

@@ -134,6 +134,34 @@ def test_detection(spark):
     assert "Python" not in plan and "CartesianProduct" not in plan
 
 
+def test_many_languages_as_rows(spark, monkeypatch):
+    texts = spark.createDataFrame([("en", "the cat"), ("es", "el gato"), ("pt", "o gato"), ("fr", "le chat")], "lang string, text string")
+    samples = spark.createDataFrame([(1, "the cats"), (2, "gato"), (3, "\U0001d4b3\U0001d4b4 chat"), (4, "zzz")], "doc_id long, sample string")
+    model = detection.learnt(texts)
+    few = sorted(map(tuple, detection.detected(samples, model).collect()))
+    monkeypatch.setattr(detection, "MOST_COLUMNS", 3)
+    assert few == sorted(map(tuple, detection.detected(samples, model).collect()))
+    assert few[0] == (1, "en") and few[3] == (4, None)
+
+
+def test_texts_are_read_once_to_learn(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    texts = spark.createDataFrame([("en", "the cat"), ("es", "el gato")], "lang string, text string").withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    samples = spark.createDataFrame([(1, "the cat")], "doc_id long, sample string")
+    assert detection.detected(samples, detection.learnt(texts)).collect() == [(1, "en")]
+    assert read.value == 2
+
+
+def test_trigrams_are_of_characters(spark):
+    found = spark.createDataFrame([("A\U0001d4b3\n b",), ("",), (None,)], "t string").select(detection.grams(F.col("t")).alias("g")).collect()
+    assert [r["g"] for r in found] == [[" a\U0001d4b3", "a\U0001d4b3 ", "\U0001d4b3 b", " b "], [], []]
+
+
 def test_detection_of_texts_left_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 4000).alias("sample")).filter("lang is not null")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -382,6 +410,11 @@ def test_page_volume_walks_each_page_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_store_query_splits_documents_once(spark):
+    plan = QUERIES["resume_from_store"][0](spark, SF)._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan
+
+
 def test_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
