@@ -11,8 +11,12 @@ nothing. There the pass uses that a BPE encoding is the only sequence of pieces
 in which each neighbouring pair, encoded alone, stays that pair: every prefix
 has one encoding, with one last piece, and a piece may follow it exactly if the
 pair stays. So the transition weight is 1 if it does and else 0, and the result
-is the model's own encoding. Pairs are judged once, by the merges themselves.
-Runs of spaces, whose pieces share one score, are merged directly.
+is the model's own encoding. A pair is judged by the merges that made its two
+pieces, taken back from the last to the first: it stays if none of the pieces that
+stood side by side at the border on the way would have merged before the next of
+those merges. Pieces made by a merge that isn't worse than an earlier one of theirs
+are judged by the merges themselves. Runs of spaces, whose pieces share one score,
+are merged directly.
 
 Characters without a piece become the pieces of their UTF-8 bytes, or the
 unknown id where the model has none. Spaces become U+2581, one is put before
@@ -28,9 +32,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from struct import pack
 
@@ -91,6 +97,8 @@ class Pieces:
         self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)  # judged pairs, each at the slot of its hash
         self.pair_stays = np.zeros(1 << PAIR_BITS, bool)
         self.own = np.zeros(len(model.pieces), np.int8)  # 1: a piece that encodes to itself, -1: it doesn't, 0: not judged yet
+        self.made = array("d", [math.nan]) * len(model.pieces)  # the score of the merge that made a piece: inf for characters, nan if its merges don't get worse in turn
+        self.parts = array("i", [-1]) * (2 * len(model.pieces))  # the two pieces that this merge joined
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.remembered, self.held = remembered, 0
@@ -108,8 +116,8 @@ class Pieces:
 
     # ---- one word, by the merges
 
-    def merged(self, word: str) -> list[str]:
-        """The BPE encoding of a word: the best-scored neighbours merge, the leftmost of equals first."""
+    def merged(self, word: str, steps: list[tuple[str, str]] | None = None) -> list[str]:
+        """The BPE encoding of a word: the best-scored neighbours merge, the leftmost of equals first. ``steps`` gets what merged, in turn."""
         parts: list[str | None] = list(word)
         n, score = len(parts), self.score
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -120,6 +128,8 @@ class Pieces:
             j = after[i]
             if parts[i] is None or j >= n or parts[i] + parts[j] != both:  # one of the two has merged meanwhile
                 continue
+            if steps is not None:
+                steps.append((parts[i], parts[j]))
             parts[i], parts[j] = both, None
             after[i] = k = after[j]
             if k < n:
@@ -137,12 +147,10 @@ class Pieces:
         slot = (mix(pair.astype(U)) >> U(64 - PAIR_BITS)).astype(np.int64)
         fresh = self.pair_keys[slot] != pair
         if fresh.any():
-            text, n, new = self.text, len(self.text), np.unique(pair[fresh])
-            found = np.zeros(len(new), bool)
-            for i, x in enumerate(new.tolist()):
-                a, b = text[x // n], text[x % n]
-                # a pair that merges in one step doesn't stay; others are merged to see
-                found[i] = a + b not in self.ids and self.merged(a + b) == [a, b]
+            new = np.unique(pair[fresh])
+            one, two = np.divmod(new, len(self.text))
+            found = self.alone(one) & self.alone(two)
+            found[found] = list(map(self._stays, one[found].tolist(), two[found].tolist()))
             ok = self.pair_stays[slot]
             ok[fresh] = found[np.searchsorted(new, pair[fresh])]
             at = (mix(new.astype(U)) >> U(64 - PAIR_BITS)).astype(np.int64)
@@ -152,67 +160,112 @@ class Pieces:
             return ok
         return self.pair_stays[slot]
 
+    def _stays(self, a: int, b: int) -> bool:
+        """The same for one pair of pieces that each encode to themselves."""
+        text, score, made, parts = self.text, self.score, self.made, self.parts
+        if made[a] != made[a] or made[b] != made[b]:
+            return text[a] + text[b] not in score and self.merged(text[a] + text[b]) == [text[a], text[b]]
+        until_a = until_b = -math.inf  # the scores of the merges that the two pieces at the border went into
+        while True:
+            across = score.get(text[a] + text[b])
+            if across is not None and across > until_a and across >= until_b:  # of equals, the leftmost would have come first
+                return False
+            first, second = made[a], made[b]
+            if second <= first:  # what the later merge made is taken apart
+                if second == math.inf:
+                    return True
+                until_b, b = second, parts[2 * b]
+            else:
+                until_a, a = first, parts[2 * a + 1]
+
     def alone(self, ids: np.ndarray) -> np.ndarray:
         """Whether each piece, encoded, is itself."""
-        for i in np.unique(ids[self.own[ids] == 0]):
-            self.own[i] = 1 if self.merged(self.text[i]) == [self.text[i]] else -1
-        return self.own[ids] == 1
+        own = self.own[ids]
+        if not own.all():
+            for i in np.unique(ids[own == 0]).tolist():
+                self._judge(i)
+            own = self.own[ids]
+        return own == 1
+
+    def _judge(self, i: int) -> None:
+        """Whether a piece encodes to itself, and the last of the merges that make it."""
+        steps: list[tuple[str, str]] = []
+        word = self.text[i]
+        self.own[i] = 1 if self.merged(word, steps) == [word] else -1
+        if self.own[i] == 1 and not steps:
+            self.made[i] = math.inf
+        elif self.own[i] == 1:
+            x, y = (self.ids[p] for p in steps[-1])
+            self.parts[2 * i], self.parts[2 * i + 1] = x, y
+            for part in (x, y):
+                if not self.own[part]:
+                    self._judge(part)
+            if min(self.made[x], self.made[y]) > self.score[word] and self.made[x] == self.made[x] and self.made[y] == self.made[y]:
+                self.made[i] = self.score[word]
 
     # ---- words of one length, by the Viterbi pass
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Piece ids of distinct words, all of one length and made of characters that are pieces."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.coded(words)]
+
+    def coded(self, words: list[str]) -> list[bytes]:
+        """The same as little-endian uint32."""
         n, many = len(words[0]), len(words)
         if n == 1:
-            return [[self.ids[w]] for w in words]
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(many, n).astype(U) + U(1)
+            return [pack("<I", self.ids[w]) for w in words]
+        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(many, n).T).astype(U) + U(1)
         wide = min(n, self.longest)
-        piece = np.full((wide + 1, many, n), -1, np.int32)  # of the substring of a length that ends at a place
-        h = np.zeros((many, n), U)
-        for size in range(1, wide + 1):  # h[:, s]: the substring that starts at s
-            h = h[:, : n - size + 1] * BASES[0] + chars[:, size - 1 :]
+        piece = np.full((n, wide, many), -1, np.int32)  # by the place where a substring ends, its length and the word
+        h = np.zeros((n, many), U)
+        for size in range(1, wide + 1):  # h[s]: the substrings that start at s
+            h = h[: n - size + 1] * BASES[0] + chars[size - 1 :]
             key = mix(h + U(size))
-            hit = np.flatnonzero(self.maybe[(key & U((1 << 20) - 1)).astype(np.int64)].ravel())
+            hit = np.flatnonzero(self.maybe[(key & U((1 << 20) - 1)).view(np.int64)].ravel())
             probe = key.ravel()[hit]
             at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
             good = self.keys[at] == probe
-            row, start = np.divmod(hit[good], n - size + 1)
-            piece[size, row, start + size - 1] = self.key_ids[at[good]]
-        best = np.full((many, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((many, n + 1), np.int32)
-        last = np.full((many, n + 1), -1, np.int64)
+            start, row = np.divmod(hit[good], many)
+            piece[start + size - 1, size - 1, row] = self.key_ids[at[good]]
+        best = np.full((n + 1, many), -np.inf)
+        best[0] = 0
+        back = np.zeros((n + 1, many), np.int32)
+        last = np.full((n + 1, many), -1, np.int64)
         rows = np.arange(many)
         for end in range(1, n + 1):
-            here = piece[1 : min(wide, end) + 1, :, end - 1]
-            size, row = np.nonzero(here >= 0)
-            p = here[size, row].astype(np.int64)
-            start = end - 1 - size
-            before = last[row, start]
-            weight = np.full(here.shape, -np.inf)
+            here = piece[end - 1, :end]
             if self.kind == UNIGRAM:
-                weight[size, row] = best[row, start] + self.weights[p]
-            else:
-                ok = np.zeros(len(p), bool)
-                whole = before < 0
-                ok[whole] = (start[whole] == 0) & self.alone(p[whole])
-                ok[~whole] = self.stay(before[~whole], p[~whole])
-                weight[size, row] = np.where(ok, 1, -np.inf)
-            pick = np.argmax(weight, axis=0)
-            best[:, end] = weight[pick, rows]
-            back[:, end] = pick + 1
-            last[:, end] = np.where(best[:, end] > -np.inf, here[pick, rows], -1)
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(many, n)
-        live = rows[best[:, n] > -np.inf]
-        if len(live) < many:
-            raise ValueError(f"no encoding of {words[int(np.flatnonzero(best[:, n] == -np.inf)[0])]!r}")
+                size, row = np.nonzero(here >= 0)
+                weight = np.full(here.shape, -np.inf)
+                weight[size, row] = best[end - 1 - size, row] + self.weights[here[size, row]]
+                pick = np.argmax(weight, axis=0)
+                best[end], back[end] = weight[pick, rows], pick + 1
+                last[end] = np.where(best[end] > -np.inf, here[pick, rows], -1)
+                continue
+            open_ = rows  # the longest pieces first: of those that end here one stays, so no other has to be judged
+            for size in np.flatnonzero((here >= 0).any(axis=1))[::-1].tolist():
+                p = here[size, open_]
+                some = np.flatnonzero(p >= 0)
+                row, p, start = open_[some], p[some].astype(np.int64), end - 1 - size
+                ok = self.stay(last[start, row], p) if start else self.alone(p)
+                row, p = row[ok], p[ok]
+                best[end, row], back[end, row], last[end, row] = best[start, row] + 1, size + 1, p
+                left = np.ones(len(open_), bool)
+                left[some[ok]] = False
+                open_ = open_[left]
+                if not len(open_):
+                    break
+        if not (best[n] > -np.inf).all():
+            raise ValueError(f"no encoding of {words[int(np.flatnonzero(best[n] == -np.inf)[0])]!r}")
+        out = np.zeros((many, n), "<u4")  # each word's ids at the end of its row
+        at, place, live = np.full(many, n), np.full(many, n), rows
         while len(live):
-            for r, i in zip(live.tolist(), last[live, at[live]].tolist(), strict=True):
-                out[r].append(i)
-            at[live] -= back[live, at[live]]
+            place[live] -= 1
+            out[live, place[live]] = last[at[live], live]
+            at[live] -= back[at[live], live]
             live = live[at[live] > 0]
-        return [x[::-1] for x in out]
+        data, wide = out.tobytes(), 4 * n
+        return [data[a:b] for a, b in zip((rows * wide + 4 * place).tolist(), range(wide, wide * many + 1, wide), strict=True)]
 
     # ---- texts
 
@@ -225,23 +278,27 @@ class Pieces:
             for w in parts:
                 if w[0] in self.alphabet and not w.startswith(SPACE * 2):
                     groups.setdefault(len(w), set()).add(w)
-        done: dict[str, list[int]] = {}
+        done: dict[str, bytes] = {}
         for n, group in groups.items():
             words = sorted(group)
             step = max(1, CELLS // (n * min(n, self.longest)))
             for i in range(0, len(words), step):
                 some = words[i : i + step]
-                done.update(zip(some, self.viterbi(some), strict=True))
+                done.update(zip(some, self.coded(some), strict=True))
         for parts in cut.values():
             for w in parts:
                 if w not in done:
                     done[w] = self._plain(w)
-        return {x: pack("<%dI" % len(ids), *ids) for x, parts in cut.items() for ids in [done[parts[0]] if len(parts) == 1 else [i for w in parts for i in done[w]]]}
-
-    def _plain(self, word: str) -> list[int]:
-        if word[0] in self.alphabet:  # starts with a run of spaces
-            return [self.ids[p] for p in self.merged(word)] if self.kind == BPE else self.viterbi([word])[0]
-        return [self.byte_ids.get(b, self.unknown) for b in word.encode()] if self.byte_ids else [self.unknown]
+        return {x: done[parts[0]] if len(parts) == 1 else b"".join([done[w] for w in parts]) for x, parts in cut.items()}
+
+    def _plain(self, word: str) -> bytes:
+        if word[0] in self.alphabet and self.kind == UNIGRAM:  # starts with a run of spaces
+            return self.coded([word])[0]
+        if word[0] in self.alphabet:
+            ids = [self.ids[p] for p in self.merged(word)]
+        else:
+            ids = [self.byte_ids.get(b, self.unknown) for b in word.encode()] if self.byte_ids else [self.unknown]
+        return pack("<%dI" % len(ids), *ids)
 
     _runs = re.compile(f"  |{SPACE}")
 

@@ -670,6 +670,24 @@ def test_pieces_equal_the_library():
         assert own.decode(ids) == t.replace("▁", " ")
 
 
+def test_pairs_are_judged_by_the_merges_that_made_their_pieces(monkeypatch):
+    """As many runs of the merges as pieces, not as pairs; and pairs, also with pieces whose merges get better in turn, stay as they do by the merges."""
+    path, r = tokenizer_file("piece_bpe_32k.model"), random.Random(10)
+    own, merged, runs = sentence_pieces.Pieces(path), sentence_pieces.Pieces.merged, []
+    monkeypatch.setattr(sentence_pieces.Pieces, "merged", lambda self, *a: runs.append(1) or merged(self, *a))
+    own.encode([" ".join("".join(r.choice(["th", "er", "on", "ti", "e", "an", "s"]) for _ in range(r.randrange(2, 7))) for _ in range(20_000))])
+    judged = [(int(x) // len(own.text), int(x) % len(own.text)) for x in own.pair_keys if x >= 0]
+    assert len(judged) > 5_000 and len(runs) < 3_000
+    for pieces, pairs in ((own, judged[:3_000]), (sentence_pieces.Pieces(path), None)):
+        if not pairs:  # other scores, ties among them
+            short = [i for i, p in enumerate(pieces.text) if 1 <= len(p) <= 5 and set(p) <= set("thernoisa")]
+            pieces.score.update({pieces.text[i]: -float(r.randrange(len(short) // 2)) for i in short})
+            pairs = [(r.choice(short), r.choice(short)) for _ in range(20_000)]
+        one, two = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        want = [merged(pieces, pieces.text[a] + pieces.text[b]) == [pieces.text[a], pieces.text[b]] for a, b in pairs]
+        assert pieces.stay(one, two).tolist() == want and len(set(want)) == 2
+
+
 def test_unigram_finds_the_largest_sum():
     path = tokenizer_file("piece_bpe_32k.model")
     own = sentence_pieces.Pieces(path, kind=sentence_pieces.UNIGRAM)
