@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, lean_group, located, pieces, settled, skew_joined
-from .components import connected
+from .components import connected, local_roots
 from .text_kernel import U, ascii_lower, gram_hashes, mix, sliced, span_hashes, utf8, words
 
 SHINGLE, PERCENT = 3, 90
@@ -58,6 +58,8 @@ RANGE_ENTRIES = 200_000
 #: A stretch of documents sends packets to so many ranges of buckets at most; ranges of many buckets are cut again, from so many bytes at a time.
 FAN_OUT, CUT_BYTES = 256, 32 << 20
 CHUNK_SETS, CHUNK_TOKENS = 2048, 1_000_000
+#: A chunk of sketches, which take some 0.2 byte a token, has so many times as many sets and tokens. A set is copied once for each chunk of its component.
+SKETCHES = 8
 #: So many candidates of some 60 bytes (about 30 MB as a hash table) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_UNITS = 500_000
 
@@ -210,23 +212,26 @@ def sketches(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [data[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def near_sketches(found: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
-    """Roots of the sets under the pairs whose sketches, cut to the shortest, differ in no more bits than linked sets in tokens."""
+def near_sketches(found: list[bytes], size: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Roots of the sets under the pairs (with ``side``, of sets of side 0 and side 1) whose sketches, cut to the shortest, differ in no more bits than linked sets in tokens."""
     n = len(found)
     least = min(map(len, found))
     rows = np.empty((n, least // 8), U)
     for i, x in enumerate(found):  # a wider sketch, folded, is a narrower one
         rows[i] = np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, least // 8), axis=0)
-    order = np.argsort(size, kind="stable")
+    order = np.argsort(size, kind="stable") if side is None else np.lexsort((size, side))
     rows, size = rows[order], size[order].astype(np.int64)
-    last = np.searchsorted(size, size * 100 // percent, side="right")
+    half = 0 if side is None else n - int(np.count_nonzero(side))
+    others = size[half:]
+    last = half + np.searchsorted(others, size * 100 // percent, side="right")
+    first = np.arange(1, n + 1) if side is None else half + np.searchsorted(others, -(-size * percent // 100))
     joined = Joined(n)
-    for i in range(n):
-        some = slice(i + 1, int(last[i]))
+    for i in range(n if side is None else half):
+        some = slice(int(first[i]), int(last[i]))
         if some.start >= some.stop:
             continue
         apart = np.bitwise_count(rows[some] ^ rows[i]).sum(1, dtype=np.int64)
-        for j in (i + 1 + np.flatnonzero(apart * (100 + percent) <= (size[some] + size[i]) * (100 - percent))).tolist():
+        for j in (some.start + np.flatnonzero(apart * (100 + percent) <= (size[some] + size[i]) * (100 - percent))).tolist():
             a, b = joined.find(i), joined.find(j)
             joined.up[max(a, b)] = min(a, b)
     roots = np.empty(n, np.int64)
@@ -276,23 +281,6 @@ def chain(nodes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[order[:-1][same]], nodes[order[1:][same]]
 
 
-def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least member of each of n nodes' component under links (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-    return root
-
-
 def shared_entries(entries: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all keys with a common entry, at most two a key.
 
@@ -430,11 +418,12 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def filtered(table: pa.Table) -> pa.Table:
         k1 = table.column("k1").to_numpy()
-        roots = near_sketches(table.column("sketch").to_pylist(), table.column("n").to_numpy(), percent)
+        side = table.column("side").to_numpy() if table.column("i")[0] != table.column("j")[0] else None
+        roots = near_sketches(table.column("sketch").to_pylist(), table.column("n").to_numpy(), percent, side)
         a, b = chain(k1, roots)
         return pa.table({"a": a, "b": b})
 
-    near = chunk_pairs(grouped.select("cluster", "zone", "k1", "k2", "n", "sketch"), ["cluster", "zone"]).groupBy("cluster", "zone", "i", "j").applyInArrow(lean_group(filtered), "a long, b long")
+    near = chunk_pairs(grouped.select("cluster", "zone", "k1", "k2", "n", "sketch"), ["cluster", "zone"], SKETCHES).groupBy("cluster", "zone", "i", "j").applyInArrow(lean_group(filtered), "a long, b long")
     clusters = connected(near.filter("a <> b"))
 
     # what is left: token by token
@@ -508,9 +497,9 @@ def in_buckets(found: DataFrame, buckets: int, widths: list[int]) -> DataFrame:
     return found
 
 
-def chunk_pairs(members: DataFrame, key: list[str]) -> DataFrame:
-    """The members of each key with more than one, once for each pair of chunks (i, j) that has theirs; ``side`` is 1 in j where i < j."""
-    sizes = members.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
+def chunk_pairs(members: DataFrame, key: list[str], times: int = 1) -> DataFrame:
+    """The members of each key with more than one, once for each pair of chunks (i, j) that has theirs; ``side`` is 1 in j where i < j. Chunks are ``times`` the usual size."""
+    sizes = members.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / (times * CHUNK_SETS)), F.ceil(F.sum("n") / (times * CHUNK_TOKENS))).cast("int").alias("chunks"), F.count(F.lit(1)).alias("members"))
     dealt = members.join(sizes.filter("members > 1").drop("members"), key).withColumn("chunk", F.pmod(F.hash("k2"), "chunks"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return each.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).withColumn("side", (F.col("chunk") > F.col("other")).cast("int")).drop("chunks", "chunk", "other")

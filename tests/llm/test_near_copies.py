@@ -1,11 +1,13 @@
 """The pipeline's near copies: five-word shingles, similarity 0.8, against brute force."""
 
+import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from bifolio.llm import jaccard_join
+from bifolio.llm import components, jaccard_join
 from tests.llm.test_operators import ROWS, near_rows, table
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,3 +62,59 @@ def test_stage_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {d for d, _, c in brute_near(rows) if d == c}
+
+
+def test_the_last_links_take_no_rounds(spark, monkeypatch):
+    """A long path and random links, with and without rounds: the same components, and few tables written for the last links."""
+    r = random.Random(5)
+    pairs = [(r.randrange(1 << 40) * 4000 + i, i) for i in range(2000)]
+    names = [a for a, _ in pairs]
+    links = [(names[i], names[i + 1]) for i in range(1000)] + [(names[1001 + r.randrange(900)], names[1001 + r.randrange(900)]) for _ in range(700)]
+    up = {x: x for link in links for x in link}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[find(a)] = find(b)
+    settled, written = components.settled, []
+    monkeypatch.setattr(components, "settled", lambda df, name: written.append(name) or settled(df, name))
+    rounds = []
+    for few, kind in ((components.FEW, "long"), (components.FEW, "string"), (100, "long")):
+        monkeypatch.setattr(components, "FEW", few)
+        written.clear()
+        found = components.connected(spark.createDataFrame(links, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")).collect()
+        rounds.append(len(written))
+        got = {int(x["node"]): int(x["root"]) for x in found}
+        linked = {x for a, b in links if a != b for x in (a, b)}
+        assert set(got) == linked and len(found) == len(got)
+        assert len({(find(x), got[x]) for x in linked}) == len({find(x) for x in linked}) == len(set(got.values()))
+    assert rounds[0] == rounds[1] == 2 < rounds[2]
+
+
+def test_sketches_are_compared_across_chunks_alone():
+    """With sides, the pairs of one side and the other, each as without sides."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 190 + 5 * (i % 8)][: -1 - i], r.integers(0, 1 << 63, i % 7 * 4).astype(np.uint64)])) for i in range(24)]
+    size = np.array([len(x) for x in sets])
+    found = jaccard_join.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))))
+    side = r.integers(0, 2, len(sets))
+    near = lambda i, j: len(set(jaccard_join.near_sketches([found[i], found[j]], size[[i, j]], 80))) == 1
+    joined = jaccard_join.Joined(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if side[i] != side[j] and len(found[i]) == len(found[j]) and near(i, j):
+                a, b = joined.find(i), joined.find(j)
+                joined.up[max(a, b)] = min(a, b)
+    assert len({len(x) for x in found}) == 1
+    want, got = joined.roots(np.arange(len(sets))), jaccard_join.near_sketches(found, size, 80, side)
+    assert len(set(zip(want.tolist(), got.tolist(), strict=True))) == len(set(want.tolist())) == len(set(got.tolist()))
+
+
+def test_sketches_of_a_component_are_copied_less(spark):
+    members = spark.range(10_000).selectExpr("1L cluster", "2 zone", "id k1", "hash(id) k2", "300 n")
+    assert jaccard_join.chunk_pairs(members, ["cluster", "zone"]).count() == 50_000
+    assert jaccard_join.chunk_pairs(members, ["cluster", "zone"], jaccard_join.SKETCHES).count() == 10_000
